@@ -49,8 +49,9 @@ _ASSIGN_HEAD = rf"""(?:{_KEYWORDS})["']?\x20*[:=]\x20*["']?"""
 #: The base kinds, in the order in which they are listed.
 BASE = (
     Rule("assign", _ASSIGN_HEAD + r"[A-Za-z0-9+/_.=-]+", rf"^{_ASSIGN_HEAD}[A-Za-z0-9+/_.=-]{{12,}}$", (("password",), ("passwd",), ("secret",), ("token",), ("api_key",), ("apikey",))),
-    Rule("access", r"AKIA[A-Z0-9]+", r"^.{18,}$", (("akia",),)),
-    Rule("hex", r"[0-9a-f]+", r"^.{16,}$"),
+    # a match of these two takes its whole run of characters, so asking for the length at once changes nothing
+    Rule("access", r"AKIA[A-Z0-9]{14,}", r"^.{18,}$", (("akia",),)),
+    Rule("hex", r"[0-9a-f]{16,}", r"^.{16,}$"),
 )
 #: Further kinds of this scan.
 MORE = (
@@ -104,56 +105,68 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return masks.select("doc_id", "tie", hits.alias("hits")).filter("hits != 0")
 
 
-def spans(text: Column, rule: Rule, rank: int) -> Column:
-    """The rule's spans in text: an array of (start, rank, said), said being kind:start:end in code points.
+_NONE = "array<struct<start:int,rank:int,said:string>>"
+#: Matches whose running length is kept as a start for those that follow.
+STRIDE = 256
 
-    Spark gives matches and the texts between them but no places; the places are their running lengths.
-    """
-    matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
-    lengths = F.transform(matches, F.length)
-    start = lambda i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, x: a + x)
-    placed = F.transform(matches, lambda m, i: F.struct(start(i).alias("start"), F.lit(rank).alias("rank"), m.alias("m")))
-    kept = F.filter(placed, lambda s: s["m"].rlike(rule.must))
-    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), F.concat_ws(":", F.lit(rule.kind), s["start"], s["start"] + F.length(s["m"])).alias("said")))
 
+def add_spans(df: DataFrame, ranked: list[tuple[int, Rule, Column]], out: str) -> DataFrame:
+    """Adds `out`, the spans in column t of the rules whose condition holds: an array of (start, rank, said), said being
+    kind:start:end in code points.
 
-_NONE = "array<struct<start:int,rank:int,said:string>>"
+    Spark gives matches and the texts between them but no places; the places are their running lengths, summed from every
+    STRIDE-th on. Each step is a projection of its own whose columns the next one uses more than once, so that
+    the optimizer keeps them apart and a regex runs once for a text, not once for a match.
+    """
+    keep = [F.col(c) for c in df.columns]
+    every = [k for k, _, _ in ranked]
+    found = df.select(
+        *keep, *[F.when(c, F.regexp_extract_all("t", F.lit(r.pattern), F.lit(0))).alias(f"m{k}") for k, r, c in ranked],
+        *[F.when(c, F.transform(F.split("t", r.pattern, -1), F.length)).alias(f"g{k}") for k, r, c in ranked],
+    )
+    m, g, s, c = ({k: f"{x}{k}" for k in every} for x in "mgsc")
+    summed = found.select(*keep, *[F.col(x[k]) for x in (m, g) for k in every], *[F.zip_with(m[k], g[k], lambda a, b: F.coalesce(F.length(a), F.lit(0)) + b).alias(s[k]) for k in every])
+    starts = lambda k: F.transform(F.sequence(F.lit(0), F.floor(F.size(s[k]) / STRIDE).cast("int")), lambda b: F.aggregate(F.slice(s[k], 1, b * STRIDE), F.lit(0), lambda x, y: x + y))
+    based = summed.select(*keep, *[F.col(x[k]) for x in (m, g, s) for k in every], *[F.when(F.size(m[k]) > 0, starts(k)).alias(c[k]) for k in every])
+
+    def placed(k: int, rule: Rule) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            block = F.floor(i / STRIDE).cast("int")
+            start = F.get(c[k], block) + F.aggregate(F.slice(s[k], block * STRIDE + 1, i % STRIDE), F.lit(0), lambda x, y: x + y) + F.get(g[k], i)
+            return F.struct(start.alias("start"), (start + F.length(x)).alias("end"), x.rlike(rule.must).alias("ok"))
+
+        return F.when(F.size(m[k]) > 0, F.transform(m[k], one))
+
+    with_places = based.select(*keep, *[placed(k, r).alias(f"p{k}") for k, r, _ in ranked])
+    said = lambda k, r: F.transform(F.filter(f"p{k}", lambda x: x["ok"]), lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("rank"), F.concat_ws(":", F.lit(r.kind), x["start"], x["end"]).alias("said")))
+    none = F.array().cast(_NONE)
+    return with_places.select(*keep, F.concat(none, *[F.coalesce(said(k, r), none) for k, r, _ in ranked]).alias(out))
 
 
 def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE) -> DataFrame:
     """(doc_id, n_<kind> for base kinds, base_sha256, spans) for every row of docs."""
     rules = (*base, *more)
-    found = candidates(build_index(docs, rules), rules)
-    found = stored(found, "candidates")
+    found = stored(candidates(build_index(docs, rules), rules), "candidates")
     text = text_of(docs)
     keyed = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.md5(text).alias("tie"), text.alias("t"))
 
     # rules with trigrams: on candidates alone
     hit = lambda k: F.col("hits").bitwiseAND(F.lit(1 << k).cast("bigint")) != 0
     c = found.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "hits")
-    on = keyed["doc_id"].eqNullSafe(c["_id"]) & (keyed["tie"] == c["_tie"])
-    picked = keyed.join(c, on)
-    by_rule = [F.when(hit(k), spans(F.col("t"), r, k)).otherwise(F.array().cast(_NONE)) for k, r in enumerate(rules) if r.literals]
-    indexed = picked.select("_id", "_tie", F.concat(*by_rule).alias("indexed")).filter(F.size("indexed") > 0).groupBy("_id", "_tie").agg(F.first("indexed").alias("indexed"))
+    picked = keyed.join(c, keyed["doc_id"].eqNullSafe(c["_id"]) & (keyed["tie"] == c["_tie"])).select("_id", "_tie", "hits", "t")
+    indexed = add_spans(picked, [(k, r, hit(k)) for k, r in enumerate(rules) if r.literals], "indexed")
+    # no filter on the spans: pushed down, it would take their whole making with it
+    indexed = indexed.groupBy("_id", "_tie").agg(F.first("indexed").alias("indexed"))
 
     # rules without: on all texts, each tested for any match first
-    full = [F.when(F.col("t").rlike(_test(r)), spans(F.col("t"), r, k)).otherwise(F.array().cast(_NONE)) for k, r in enumerate(rules) if not r.literals]
-    scanned = keyed.select("doc_id", "tie", F.concat(*full).alias("scanned") if full else F.array().cast(_NONE).alias("scanned"))
+    scanned = add_spans(keyed, [(k, r, F.col("t").rlike(r.pattern)) for k, r in enumerate(rules) if not r.literals], "scanned").drop("t")
     both = scanned.join(indexed, scanned["doc_id"].eqNullSafe(indexed["_id"]) & (scanned["tie"] == indexed["_tie"]), "left")
-    every = F.array_sort(F.concat("scanned", F.coalesce("indexed", F.array().cast(_NONE))))
-    out = both.select("doc_id", every.alias("every"))
+    out = both.select("doc_id", F.array_sort(F.concat("scanned", F.coalesce("indexed", F.array().cast(_NONE)))).alias("every"))
     listed = lambda a: F.array_join(F.transform(a, lambda s: s["said"]), ",")
-    is_base = lambda s: s["rank"] < len(base)
     of_kind = lambda k: F.filter("every", lambda s: s["rank"] == k)
     return out.select(
         "doc_id",
         *[F.size(of_kind(k)).cast("bigint").alias(f"n_{r.kind}") for k, r in enumerate(base)],
-        F.sha2(listed(F.filter("every", is_base)), 256).alias("base_sha256"),
+        F.sha2(listed(F.filter("every", lambda s: s["rank"] < len(base))), 256).alias("base_sha256"),
         listed(F.col("every")).alias("spans"),
     )
-
-
-def _test(rule: Rule) -> str:
-    """A quick necessary test for a full scan: a hexadecimal run of the length asked for."""
-    return r"[0-9a-f]{16}" if rule.kind == "hex" else rule.pattern
