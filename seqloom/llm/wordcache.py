@@ -14,6 +14,7 @@ library in one piece. The cache is bounded; so is what is held at a time.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -24,12 +25,14 @@ from itertools import chain
 from tokenizers import Tokenizer
 
 #: Pieces of the present generation in a worker's cache; the one before is kept too until the next begins.
-KEPT = 500_000
+KEPT = 600_000
 #: Characters of texts that are encoded together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 22
 
-_UNSURE = re.compile(r"\s |[\x00\x1c-\x1f]")
-_CONTROL = re.compile(r"[\x00\x1c-\x1f]")
+_CONTROL = "\0\x1c\x1d\x1e\x1f"
+#: White space besides that of ASCII.
+_RARE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
+_BEFORE_SPACE = [c + " " for c in " \n\t\r\v\f"]
 _RUNS = re.compile(r"\s+\S*|\S+")
 
 
@@ -42,6 +45,7 @@ class WordEncoder:
 
     def __init__(self, path: str, spaced: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.set_threshold(200_000, 50, 100)  # nothing here is cyclic, and the cache is large
         self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
@@ -67,12 +71,12 @@ class WordEncoder:
 
     def _pieces(self, text: str) -> list[str]:
         """Spaced: a piece has a space before it that isn't written, or starts with a mark, which isn't part of it."""
-        if any(x in text for x in self.special) or (_CONTROL if not self.spaced else _UNSURE).search(text):
-            if _CONTROL.search(text) or any(x in text for x in self.special):
-                return ["\0" * self.spaced + text]
-            return ["\0" + x for x in _RUNS.findall(text)]
+        if any(x in text for x in self.special) or any(c in text for c in _CONTROL):
+            return ["\0" * self.spaced + text]
         if not self.spaced:
             return text.split()
+        if any(x in text for x in _BEFORE_SPACE) or not text.isascii() and _RARE.search(text):
+            return ["\0" + x for x in _RUNS.findall(text)]
         pieces = text.split(" ")
         if pieces[0]:
             pieces[0] = "\0" + pieces[0]
@@ -82,34 +86,51 @@ class WordEncoder:
     def _said(self, piece: str) -> str:
         return piece if not self.spaced else piece[1:] if piece[:1] == "\0" else " " + piece
 
-    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
-        """The ids of pieces that are not known."""
+    def _ids_of(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of each of the pieces; only those that surely aren't split further are kept for later."""
         if len(self.known) > KEPT:
             self.known, self.before = {}, self.known
-        old = {p: ids for p in pieces if (ids := self.before.get(p)) is not None}
-        parts = {p: self._parts(p) for p in pieces if p not in old}
-        ids = {q: self.known.get(q) or self.before.get(q) for q in set(chain.from_iterable(parts.values()))}
-        ask = [q for q, x in ids.items() if x is None]
-        ids.update(zip(ask, self.library(list(map(self._said, ask))), strict=True))
-        new = {p: b"".join([ids[q] for q in qs]) for p, qs in parts.items()} | old
-        for p, x in chain(ids.items(), new.items()):
-            if len(p) < 64:
-                self.known[p] = x
-        return new
+        local = self._kept(pieces)
+        whole, made = set(), {}
+        for p in pieces.difference(local):
+            parts = self._parts(p)
+            if len(parts) == 1:
+                whole.add(p)
+            else:
+                made[p] = parts
+        inner = set(chain.from_iterable(made.values())).difference(local, whole)
+        local |= self._kept(inner)
+        ask = [*whole, *inner.difference(local)]
+        new = dict(zip(ask, self.library(list(map(self._said, ask))), strict=True))
+        local |= new
+        self.known.update((p, ids) for p, ids in new.items() if len(p) < 64)
+        for p, parts in made.items():
+            local[p] = b"".join([local[q] for q in parts])
+        return local
+
+    def _kept(self, pieces: set[str]) -> dict[str, bytes]:
+        """Those of the pieces that are in the cache; what only the last generation has moves to this one."""
+        found = self.known.keys() & pieces
+        local = dict(zip(found, map(self.known.__getitem__, found), strict=True))
+        if self.before and len(found) < len(pieces):
+            old = self.before.keys() & (pieces - found)
+            moved = dict(zip(old, map(self.before.__getitem__, old), strict=True))
+            self.known |= moved
+            local |= moved
+        return local
 
     def encode_many(self, texts: list[str]) -> Iterator[bytes]:
         at = 0
         while at < len(texts):
-            held, size = [], 0
+            held, size, met = [], 0, set()
             while at < len(texts) and (size < TOGETHER or not held):
                 held.append(self._pieces(texts[at]))
+                met.update(held[-1])
                 size += len(texts[at])
                 at += 1
-            found = [list(map(self.known.get, x)) for x in held]
-            lacking = {p for x, ids in zip(held, found, strict=True) if None in ids for p, i in zip(x, ids, strict=True) if i is None}
-            new = self._learn(lacking) if lacking else {}
-            for x, ids in zip(held, found, strict=True):
-                yield b"".join(ids if None not in ids else [i if i is not None else new[p] for p, i in zip(x, ids, strict=True)])
+            local = self._ids_of(met)
+            for x in held:
+                yield b"".join(map(local.__getitem__, x))
 
 
 @lru_cache(maxsize=4)
