@@ -1,11 +1,545 @@
-"""All queries by name, and their SQL."""
+"""All queries of the sequence engine by name, over whole tables, and the DuckDB SQL that says the same.
+
+Reads come from documents: the ASCII letters of the whole text in turn as A, C, G, T, in groups 0 (train), 1 (test) and 2
+(reference) by doc_id. Proteins come from the same texts, and event sequences from events, a letter per event type.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from seqloom.functions import numeric as N
+from seqloom.functions import symbols as S
+from seqloom.operators import counting as C
+from seqloom.operators import models as M
+from seqloom.operators import sampling, scoring, training
+from seqloom.sources import files
+
+Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+ALPHAS = [0.1, 1.0, 10.0]
+HS = [0.01, 0.1, 1.0]
+
+
+def query(sql: str | None = None):
+    def put(f):
+        Q[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+# the tables both engines start from
+
+_DNA_SQL = "translate(regexp_replace({t}, '[^a-zA-Z]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'ACGTACGTACGTACGTACGTACGTACACGTACGTACGTACGTACGTACGTAC')"
+READS = f"WITH reads AS (SELECT doc_id AS seq_id, CAST(doc_id % 3 AS INTEGER) AS grp, {_DNA_SQL.format(t='text')} AS seq FROM documents WHERE regexp_matches(text, '[a-zA-Z]'))"
+
+
+def reads(spark: SparkSession, sf: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    return d.select(F.col("doc_id").alias("seq_id"), (F.col("doc_id") % 3).cast("int").alias("grp"), S.mapped_dna(F.col("text")).alias("seq")).filter("seq != ''")
+
+
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    letter = F.upper(F.when(F.col("event_type") == "click", "a").when(F.col("event_type") == "error", "c").when(F.col("event_type") == "purchase", "g").when(F.col("event_type") == "signup", "t").otherwise("u"))
+    return e.select("user_id", "ts", "event_id", letter.alias("letter"))
+
+
+_EVENTS_SQL = "WITH ev AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'click' THEN 'A' WHEN 'error' THEN 'C' WHEN 'purchase' THEN 'G' WHEN 'signup' THEN 'T' ELSE 'U' END AS letter FROM events)"
+
+
+def win(lag: int, src: str = "reads") -> str:
+    return f"SELECT seq_id, grp, i AS pos, substr(p, i, {lag}) AS kmer, substr(p, i + {lag}, 1) AS nxt FROM (SELECT seq_id, grp, repeat('[', {lag}) || seq || ']' AS p, unnest(range(1, length(seq) + 2)) AS i FROM {src})"
+
+
+def cells_sql(n_groups: int = 3, value: str = "1") -> str:
+    return ", ".join(f"CAST(coalesce(sum(CASE WHEN grp = {g} AND nxt = '{a}' THEN {value} END), 0) AS BIGINT) AS g{g}_{i}" for g in range(n_groups) for i, a in enumerate("ACGT]"))
+
+
+def wide_sql(lag: int = 3, src: str = "reads") -> str:
+    return f"wide AS (SELECT kmer, {cells_sql()} FROM ({win(lag, src)}) GROUP BY kmer)"
+
+
+WIDE = f"{READS}, {wide_sql()}"
+ALL_CELLS = [f"g{g}_{i}" for g in range(3) for i in range(5)]
+
+
+def long3(spark, sf, lag=3):
+    return C.count_long(reads(spark, sf), lag)
+
+
+def wide3(spark, sf, lag=3):
+    return C.wide(long3(spark, sf, lag), 3)
+
+
+# counting
+
+
+@query(f"{READS} SELECT grp, substr(seq, i, 5) AS kmer, count(*) AS n FROM (SELECT grp, seq, unnest(range(1, length(seq) - 3)) AS i FROM reads WHERE length(seq) >= 5) GROUP BY 1, 2")
+def kmer_count(spark, sf):
+    return C.kmers(reads(spark, sf), 5).groupBy("grp", "kmer").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{WIDE} SELECT * FROM wide")
+def transitions_lag3(spark, sf):
+    return wide3(spark, sf)
+
+
+def _multi_sql(lags) -> str:
+    return " UNION ALL ".join(f"SELECT CAST({x} AS INTEGER) AS lag, kmer, {cells_sql()} FROM ({win(x)}) GROUP BY kmer" for x in lags)
+
+
+@query(f"{READS} {_multi_sql([1, 2, 3])}")
+def transitions_multilag(spark, sf):
+    return C.wide(C.rolled_up(long3(spark, sf), [1, 2, 3]), 3, keys=("lag", "kmer"))
+
+
+@query(f"{READS} {_multi_sql([1, 2, 3, 4])}")
+def transitions_rollup(spark, sf):
+    return C.wide(C.rolled_up(long3(spark, sf, 5), [1, 2, 3, 4]), 3, keys=("lag", "kmer"))
+
+
+@query(f"{READS} {_multi_sql([1, 2, 3])}")
+def transitions_rollup_gsets(spark, sf):
+    return C.wide(C.rolled_up_sets(long3(spark, sf), [1, 2, 3]), 3, keys=("lag", "kmer"))
+
+
+_BOTH = "both_reads AS (SELECT seq_id, grp, seq FROM reads UNION ALL SELECT seq_id, grp, reverse(translate(seq, 'ACGT', 'TGCA')) FROM reads)"
+
+
+@query(f"{READS}, {_BOTH}, {wide_sql(3, 'both_reads')} SELECT * FROM wide")
+def transitions_both_strands(spark, sf):
+    return C.wide(C.count_long(C.both_strands(reads(spark, sf)), 3), 3)
+
+
+@query(f"{READS} SELECT seq_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM reads")
+def reverse_complement(spark, sf):
+    return reads(spark, sf).select("seq_id", S.reverse_complement(F.col("seq")).alias("rc"))
+
+
+def _ends_sql(f: str) -> str:
+    return f"{READS} SELECT grp, CAST(l AS INTEGER) AS len, {f}(seq, l) AS part, count(*) AS n FROM reads, (SELECT unnest([1, 2, 3, 4]) AS l) WHERE length(seq) >= l GROUP BY 1, 2, 3"
+
+
+@query(_ends_sql("left"))
+def prefix_kmers(spark, sf):
+    return C.prefixes(reads(spark, sf), 4)
+
+
+@query(_ends_sql("right"))
+def suffix_kmers(spark, sf):
+    return C.suffixes(reads(spark, sf), 4)
+
+
+@query(f"{READS}, fit AS (SELECT * FROM reads WHERE length(seq) >= 3), {wide_sql(3, 'fit')} SELECT * FROM wide")
+def transitions_union_parts(spark, sf):
+    return C.wide(C.from_parts(reads(spark, sf), 3), 3)
+
+
+_EVENT_KMERS = f"{_EVENTS_SQL} SELECT kmer, count(*) AS n FROM (SELECT letter || lead(letter) OVER w || lead(letter, 2) OVER w AS kmer FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE kmer IS NOT NULL GROUP BY 1"
+
+
+@query(_EVENT_KMERS)
+def event_kmers_lead(spark, sf):
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    k = events(spark, sf).select((F.col("letter")).alias("a"), F.lead("letter", 1).over(w).alias("b"), F.lead("letter", 2).over(w).alias("c"))
+    return k.filter("c is not null").groupBy(F.concat("a", "b", "c").alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(_EVENT_KMERS)
+def event_kmers_explode(spark, sf):
+    per_user = events(spark, sf).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "letter"))).alias("e"))
+    seqs = per_user.select(F.lit(0).alias("grp"), F.array_join(F.transform("e", lambda x: x["letter"]), "").alias("seq"))
+    return C.kmers(seqs, 3).groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
+
+
+_PROT_SQL = "translate(regexp_replace(text, '[^ARNDCEQGHILKMFPSTWYVarndceqghilkmfpstwyv]', '', 'g'), 'arndceqghilkmfpstwyv', 'ARNDCEQGHILKMFPSTWYV')"
+
+
+@query(f"WITH reads AS (SELECT doc_id AS seq_id, 0 AS grp, {_PROT_SQL} AS seq FROM documents) SELECT kmer, nxt, count(*) AS n FROM ({win(2)}) WHERE length(kmer) = 2 GROUP BY 1, 2")
+def protein_transitions(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null")
+    p = d.select(F.lit(0).alias("grp"), S.mapped_protein(F.col("text")).alias("seq"))
+    return C.count_long(p, 2, "prot").select("kmer", "nxt", "n")
+
+
+@query(f"{WIDE} SELECT kmer, g0_0 + g0_1 + g0_2 + g0_3 + g0_4 AS train, g1_0 + g1_1 + g1_2 + g1_3 + g1_4 AS test, g2_0 + g2_1 + g2_2 + g2_3 + g2_4 AS reference FROM wide")
+def group_columns(spark, sf):
+    return wide3(spark, sf).select("kmer", *[sum(M.cells(g)[1:], M.cells(g)[0]).alias(n) for g, n in enumerate(("train", "test", "reference"))])
+
+
+_PACK_SQL = "'[' || " + " || ',' || ".join("'[' || " + " || ',' || ".join(f"CAST(g{g}_{i} AS VARCHAR)" for i in range(5)) + " || ']'" for g in range(3)) + " || ']'"
+
+
+@query(f"{WIDE} SELECT kmer, {_PACK_SQL} AS counts FROM wide")
+def pack_counts_json(spark, sf):
+    return C.packed(wide3(spark, sf), 3)
+
+
+@query(f"{WIDE} SELECT * FROM wide")
+def unpack_counts_json(spark, sf):
+    return C.unpacked(C.packed(wide3(spark, sf), 3), 3)
+
+
+@query(f"{WIDE} SELECT * FROM wide")
+def sparse_to_dense(spark, sf):
+    return C.dense(C.sparse(wide3(spark, sf), 3), 3)
+
+
+@query(f"{READS} SELECT kmer, grp, nxt, count(*) AS n FROM ({win(3)}) GROUP BY 1, 2, 3 HAVING count(*) BETWEEN 1 AND 1000000000000")
+def count_range_filter(spark, sf):
+    return long3(spark, sf).filter("n between 1 and 1000000000000").select("kmer", "grp", "nxt", "n")
+
+
+@query(f"{READS} SELECT DISTINCT kmer FROM ({win(5)})")
+def distinct_kmers(spark, sf):
+    return C.windows(reads(spark, sf), 5).select("kmer").distinct()
+
+
+@query(f"{READS} SELECT max(grp) + 1 AS n_groups FROM reads")
+def n_groups(spark, sf):
+    return reads(spark, sf).agg((F.max("grp") + 1).alias("n_groups"))
+
+
+@query(f"{READS} SELECT grp, CAST(sum(length(seq) + 1) AS BIGINT) AS total FROM reads GROUP BY 1")
+def total_transitions(spark, sf):
+    return long3(spark, sf).groupBy("grp").agg(F.sum("n").alias("total"))
+
+
+@query("SELECT CAST('' AS VARCHAR) AS kmer, CAST(0 AS BIGINT) AS n_rows WHERE false")
+def duplicate_kmer_check(spark, sf):
+    return C.duplicates(wide3(spark, sf))
+
+
+@query(f"{READS}, {_BOTH}, a AS (SELECT kmer, {cells_sql()} FROM ({win(3)}) GROUP BY kmer), b AS (SELECT kmer, {cells_sql()} FROM ({win(3, 'both_reads')}) GROUP BY kmer), j AS (SELECT coalesce(a.kmer, b.kmer) AS kmer, CASE WHEN b.kmer IS NULL THEN 'left' WHEN a.kmer IS NULL THEN 'right' ELSE 'both' END AS side, " + " + ".join(f"abs(coalesce(a.{c}, 0) - coalesce(b.{c}, 0))" for c in ALL_CELLS) + " AS off FROM a FULL JOIN b ON a.kmer = b.kmer) SELECT * FROM j WHERE off > 0 OR side <> 'both'")
+def counts_table_diff(spark, sf):
+    return C.difference(wide3(spark, sf), C.wide(C.count_long(C.both_strands(reads(spark, sf)), 3), 3))
+
+
+# models
+
+
+def lg(c: str, n: str) -> str:
+    return f"(lgamma({c} + {n}) - lgamma({c}))"
+
+
+def dm_sql(conc: list[str], counts: list[str]) -> str:
+    return "(" + " + ".join(lg(f"({c})", n) for c, n in zip(conc, counts, strict=True)) + " - " + lg("(" + " + ".join(conc) + ")", "(" + " + ".join(counts) + ")") + ")"
+
+
+def argmax_sql(values: list[str], pick: list[str]) -> str:
+    top = f"greatest({', '.join(values)})"
+    return "CASE " + " ".join(f"WHEN {v} = {top} THEN {p}" for v, p in zip(values, pick, strict=True)) + " END"
+
+
+def g(k: int) -> list[str]:
+    return [f"g{k}_{i}" for i in range(5)]
+
+
+def total(k: int) -> str:
+    return "(" + " + ".join(g(k)) + ")"
+
+
+def _bmm_sql(groups, given, extra: str) -> str:
+    parts = []
+    for k in groups:
+        for a in ALPHAS:
+            conc = [f"{a}::DOUBLE + {c}" for c in g(given)] if given is not None else [f"{a}::DOUBLE"] * 5
+            parts.append(f"SELECT {k} AS grp, {a}::DOUBLE AS alpha, sum({dm_sql(conc, g(k))}) AS ll, CAST(sum({total(k)}) AS BIGINT) AS total, CAST(sum({argmax_sql(conc if given is not None else ['0'] * 5, g(k))}) AS BIGINT) AS correct FROM wide")
+    return f"{WIDE}, s AS ({' UNION ALL '.join(parts)}) SELECT {extra} FROM s"
+
+
+@query(_bmm_sql([0, 1, 2], None, "CAST(grp AS INTEGER) AS grp, alpha, round(ll, 4) AS loglik, total"))
+def bmm_loglik(spark, sf):
+    return M.bmm_loglik(wide3(spark, sf), [0, 1, 2], ALPHAS).select("grp", "alpha", F.round("loglik", 4).alias("loglik"), "total")
+
+
+@query(_bmm_sql([1], 0, "alpha, round(ll, 4) AS loglik, total, round(exp(-ll / total), 8) AS perplexity"))
+def bmm_heldout_perplexity(spark, sf):
+    t = M.bmm_loglik(wide3(spark, sf), [1], ALPHAS, given=0)
+    return t.select("alpha", F.round("loglik", 4).alias("loglik"), "total", F.round(F.exp(-F.col("loglik") / F.col("total")), 8).alias("perplexity"))
+
+
+@query(_bmm_sql([1], 0, "alpha, correct, round(correct / total, 8) AS accuracy"))
+def bmm_accuracy(spark, sf):
+    return M.bmm_loglik(wide3(spark, sf), [1], ALPHAS, given=0).select("alpha", "correct", F.round(F.col("correct") / F.col("total"), 8).alias("accuracy"))
+
+
+_JC = [f"(0.25::DOUBLE + exp(-1.0::DOUBLE / 30) * ((g2_{i} + 1e-7::DOUBLE) / (g2_0 + g2_1 + g2_2 + g2_3 + 4e-7::DOUBLE) - 0.25))" for i in range(4)] + ["0.0::DOUBLE"]
+_REF_AR = [f"((0.01::DOUBLE * {1 if i == 4 else 0} + {p}) / 1.01::DOUBLE)" for i, p in enumerate(_JC)]
+_F_CTE = f"{WIDE}, f AS (SELECT *, {', '.join(f'{p} AS f{i}' for i, p in enumerate(_REF_AR))} FROM wide)"
+F_COLS = [f"f{i}" for i in range(5)]
+
+
+def ref_probs():
+    return M.reference_ar(M.cells(2))
+
+
+@query(f"{WIDE} SELECT kmer, {', '.join(f'round({p}, 9) AS p{i}' for i, p in enumerate(_JC))} FROM wide")
+def ref_probs_jukes_cantor(spark, sf):
+    return wide3(spark, sf).select("kmer", *[F.round(p, 9).alias(f"p{i}") for i, p in enumerate(M.jukes_cantor(M.cells(2), 1 / 30))])
+
+
+_AR_LL = " + ".join(f"CASE WHEN g1_{i} = 0 THEN 0 ELSE g1_{i} * ln(f{i} + 1e-7::DOUBLE) END" for i in range(5))
+
+
+@query(f"{_F_CTE} SELECT round(sum({_AR_LL}), 4) AS loglik, CAST(sum({total(1)}) AS BIGINT) AS total FROM f")
+def ar_loglik_ref_stop(spark, sf):
+    return M.evaluation(wide3(spark, sf), ref_probs(), [], 1).select(F.round("loglik", 4).alias("loglik"), "total")
+
+
+def _dm_f(h: float) -> list[str]:
+    return [f"f{i} / {h}::DOUBLE + g0_{i} + 1e-7::DOUBLE" for i in range(5)]
+
+
+@query(f"{_F_CTE} SELECT round(sum({dm_sql(_dm_f(0.1), g(1))}), 4) AS loglik, CAST(sum({total(1)}) AS BIGINT) AS total FROM f")
+def dm_loglik_ref_stop(spark, sf):
+    return M.evaluation(wide3(spark, sf), ref_probs(), [0.1], 1, 0).filter("model = 'dm'").select(F.round("loglik", 4).alias("loglik"), "total")
+
+
+@query(f"{_F_CTE}, s AS (" + " UNION ALL ".join(f"SELECT {h}::DOUBLE AS h, sum({dm_sql(_dm_f(h), g(1))}) AS ll, sum({total(1)}) AS n FROM f" for h in HS) + ") SELECT h, round(ll, 4) AS loglik, round(exp(-ll / n), 8) AS perplexity FROM s")
+def h_scan(spark, sf):
+    return M.evaluation(wide3(spark, sf), ref_probs(), HS, 1, 0).filter("model = 'dm'").select("h", F.round("loglik", 4).alias("loglik"), F.round("perplexity", 8).alias("perplexity"))
+
+
+WEIGHTS = [[[((7 * j + 3 * a + 5 * o) % 11) / 10 - 0.5 for o in range(5)] for a in range(5)] for j in range(3)]
+
+
+def _lin_sql(o: int) -> str:
+    def one(j: int) -> str:
+        return f"CASE substr(kmer, {j + 1}, 1) " + " ".join(f"WHEN '{c}' THEN {WEIGHTS[j][a][o]}::DOUBLE" for a, c in enumerate("ACGT[")) + " END"
+
+    return "exp(" + " + ".join(one(j) for j in range(3)) + ")"
+
+
+@query(f"{WIDE}, e AS (SELECT kmer, {', '.join(f'{_lin_sql(o)} AS e{o}' for o in range(5))} FROM wide) SELECT kmer, {', '.join(f'round(e{o} / (e0 + e1 + e2 + e3 + e4), 9) AS p{o}' for o in range(5))} FROM e")
+def linear_ar_forward(spark, sf):
+    return wide3(spark, sf).select("kmer", *[F.round(p, 9).alias(f"p{o}") for o, p in enumerate(M.linear_ar(F.col("kmer"), WEIGHTS))])
+
+
+@query(f"{WIDE} SELECT kmer, {argmax_sql(g(0), [repr(c) for c in 'ACGT]'])} AS letter FROM wide")
+def argmax_letter(spark, sf):
+    return wide3(spark, sf).select("kmer", F.element_at(F.array(*[F.lit(c) for c in "ACGT]"]), N.argmax(M.cells(0)) + 1).alias("letter"))
+
+
+@query(f"{READS}, l AS (SELECT kmer, nxt, count(*) AS n FROM ({win(3)}) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY kmer ORDER BY n DESC, md5(kmer || '|' || nxt)) AS k FROM l) SELECT kmer, nxt AS letter, n FROM r WHERE k = 1")
+def argmax_tie_break(spark, sf):
+    t = long3(spark, sf).groupBy("kmer", "nxt").agg(F.sum("n").alias("n"))
+    return t.groupBy("kmer").agg(F.min(F.struct(-F.col("n"), F.md5(F.concat_ws("|", "kmer", "nxt")).alias("m"), F.col("nxt"), F.col("n").alias("c"))).alias("b")).select("kmer", F.col("b.nxt").alias("letter"), F.col("b.c").alias("n"))
+
+
+# variants and sequences
+
+_VAR = f"{READS}, v AS (SELECT seq_id AS var_id, seq, length(seq) // 2 AS pos, substr(seq, length(seq) // 2 + 1, 1) AS ref, translate(substr(seq, length(seq) // 2 + 1, 1), 'ACGT', 'CGTA') AS alt FROM reads)"
+_INDEL = f"{READS}, v AS (SELECT seq_id AS var_id, seq, length(seq) // 2 AS pos, CASE WHEN seq_id % 2 = 0 THEN substr(seq, length(seq) // 2 + 1, 2) ELSE '' END AS ref, CASE WHEN seq_id % 2 = 0 THEN '' ELSE 'GA' END AS alt FROM reads)"
+
+
+def variants(spark, sf) -> DataFrame:
+    pos = F.floor(F.length("seq") / 2).cast("int")
+    ref = F.substring(F.col("seq"), pos + 1, F.lit(1))
+    return reads(spark, sf).select(F.col("seq_id").alias("var_id"), "seq", pos.alias("pos"), ref.alias("ref"), F.translate(ref, "ACGT", "CGTA").alias("alt"))
+
+
+def indels(spark, sf) -> DataFrame:
+    pos, even = F.floor(F.length("seq") / 2).cast("int"), F.col("seq_id") % 2 == 0
+    return reads(spark, sf).select(
+        F.col("seq_id").alias("var_id"), "seq", pos.alias("pos"), F.when(even, F.substring(F.col("seq"), pos + 1, F.lit(2))).otherwise("").alias("ref"), F.when(even, "").otherwise("GA").alias("alt")
+    )
+
+
+_VWIN = """s AS (
+  SELECT var_id, pos, -1 AS sgn, '[[[' || seq || ']' AS p, least(pos + length(ref) + 3, length(seq) + 1) AS last FROM v
+  UNION ALL SELECT var_id, pos, 1, '[[[' || m || ']', least(pos + length(alt) + 3, length(m) + 1) FROM (SELECT *, left(seq, pos) || alt || substr(seq, pos + length(ref) + 1) AS m FROM v)
+), vw AS (SELECT var_id, sgn, substr(p, i, 3) AS kmer, substr(p, i + 3, 1) AS nxt FROM (SELECT *, unnest(range(pos + 1, last + 1)) AS i FROM s))"""
+
+
+def _logp_sql(a: float) -> str:
+    count = "CASE nxt " + " ".join(f"WHEN '{c}' THEN g0_{i}" for i, c in enumerate("ACGT]")) + " END"
+    return f"ln((coalesce({count}, 0) + {a}::DOUBLE) / (coalesce({total(0)}, 0) + 5 * {a}::DOUBLE))"
+
+
+def _score_sql(head: str, key: str, weight: str, src: str) -> str:
+    sums = " UNION ALL ".join(f"SELECT {key}, {a}::DOUBLE AS alpha, round(sum({weight} * {_logp_sql(a)}), 6) + 0.0 AS score FROM {src} w LEFT JOIN wide USING (kmer) GROUP BY 1" for a in ALPHAS)
+    return f"{head}, {wide_sql()} {sums}"
+
+
+@query(f"{_VAR} SELECT var_id, ref || CAST(pos AS VARCHAR) || alt AS said, ref, CAST(pos AS INTEGER) AS pos, alt FROM v")
+def variant_parse(spark, sf):
+    v = variants(spark, sf).select("var_id", F.concat("ref", F.col("pos").cast("string"), "alt").alias("said"))
+    return v.select("var_id", "said", F.inline(F.array(scoring.parsed(F.col("said")))))
+
+
+@query(f"{_VAR}, {_VWIN} SELECT var_id, CAST(sgn AS INTEGER) AS sgn, kmer, nxt, count(*) AS n FROM vw GROUP BY 1, 2, 3, 4")
+def variant_windows(spark, sf):
+    return scoring.variant_windows(variants(spark, sf), 3).groupBy("var_id", "sgn", "kmer", "nxt").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("score", F.round("score", 6) + F.lit(0.0))
+
+
+@query(_score_sql(f"{_VAR}, {_VWIN}", "var_id", "sgn", "vw"))
+def variant_score_map(spark, sf):
+    return _rounded(scoring.variant_scores(variants(spark, sf), wide3(spark, sf), 3, 0, ALPHAS))
+
+
+@query(_score_sql(f"{_INDEL}, {_VWIN}", "var_id", "sgn", "vw"))
+def variant_indel_score_map(spark, sf):
+    return _rounded(scoring.variant_scores(indels(spark, sf), wide3(spark, sf), 3, 0, ALPHAS))
+
+
+@query(_score_sql(READS, "seq_id", "1", f"({win(3)})").replace("6) + 0.0", "4) + 0.0"))
+def sequence_score_map(spark, sf):
+    w = C.windows(reads(spark, sf), 3, keep=("seq_id",))
+    return scoring.sequence_scores(w, wide3(spark, sf), 0, ALPHAS).withColumn("score", F.round("score", 4) + F.lit(0.0))
+
+
+_OWN = ", ".join(f"count(*) FILTER (nxt = '{c}') AS w{i}" for i, c in enumerate("ACGT]"))
+
+
+@query(f"{WIDE}, o AS (SELECT seq_id, kmer, {_OWN} FROM ({win(3)}) GROUP BY 1, 2) " + " UNION ALL ".join(f"SELECT seq_id, {a}::DOUBLE AS alpha, round(sum({dm_sql([f'{a}::DOUBLE + coalesce(g0_{i}, 0)' for i in range(5)], [f'w{i}' for i in range(5)])}), 4) AS score FROM o LEFT JOIN wide USING (kmer) GROUP BY 1" for a in ALPHAS))
+def sequence_marginal_loglik(spark, sf):
+    w = C.windows(reads(spark, sf), 3, keep=("seq_id",))
+    return scoring.sequence_marginals(w, wide3(spark, sf), 0, ALPHAS).withColumn("score", F.round("score", 4))
+
+
+# lookups
+
+_QK = "q AS (SELECT DISTINCT substr(text, i, 3) AS kmer FROM (SELECT translate(regexp_replace(upper(text), '[^A-Z]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'CCGTTGCACATGCATTACGGCATCAN') AS text, unnest(range(1, 2 + length(text))) AS i FROM (SELECT text FROM benchmark)) WHERE length(substr(text, i, 3)) = 3)"
+_QK = "q AS (SELECT DISTINCT substr(s, i, 3) AS kmer FROM (SELECT s, unnest(range(1, length(s) - 1)) AS i FROM (SELECT translate(regexp_replace(text, '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'CCGTTGCACATGCATTACGGCATCAN') AS s FROM benchmark) WHERE length(s) >= 3))"
+
+
+def asked(spark, sf) -> DataFrame:
+    """Contexts asked for, from the benchmark's texts; some are not in any table."""
+    s = F.translate(F.regexp_replace("text", "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "CCGTTGCACATGCATTACGGCATCAN")
+    return C.kmers(spark.read.parquet(f"{sf}/benchmark.parquet").select(F.lit(0).alias("grp"), s.alias("seq")), 3).select("kmer").distinct()
+
+
+@query(f"{WIDE}, {_QK} SELECT wide.* FROM wide SEMI JOIN q USING (kmer)")
+def kmer_semi_join(spark, sf):
+    return wide3(spark, sf).join(asked(spark, sf), "kmer", "left_semi")
+
+
+@query(f"{WIDE}, {_QK} SELECT q.kmer FROM q ANTI JOIN wide USING (kmer)")
+def kmer_anti_join(spark, sf):
+    return asked(spark, sf).join(wide3(spark, sf), "kmer", "left_anti")
+
+
+@query(f"{WIDE}, {_QK} SELECT q.kmer, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ALL_CELLS)} FROM q LEFT JOIN wide USING (kmer)")
+def kmer_lookup_default0(spark, sf):
+    return C.lookup(asked(spark, sf), wide3(spark, sf))
+
+
+@query(f"{READS}, {_BOTH}, {wide_sql(3, 'both_reads')}, {_QK} SELECT q.kmer, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ALL_CELLS)} FROM q LEFT JOIN wide USING (kmer)")
+def kmer_lookup_revcomp(spark, sf):
+    return C.lookup(asked(spark, sf), C.wide(C.count_long(C.both_strands(reads(spark, sf)), 3), 3))
+
+
+@query(f"{WIDE} SELECT kmer, nxt FROM wide, (SELECT unnest(['A', 'C', 'G', 'T', ']']) AS nxt)")
+def kmer_cross_alphabet(spark, sf):
+    return C.cross_letters(wide3(spark, sf).select("kmer"))
+
+
+# order, batches, draws
+
+_U = "((('0x' || substr(md5({k}), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0"
+
+
+@query(f"{WIDE} SELECT kmer, row_number() OVER (ORDER BY md5(kmer), kmer) AS place FROM wide")
+def shuffle_order(spark, sf):
+    return files.numbered(wide3(spark, sf), 1).select("kmer", (F.col("batch") + 1).alias("place"))
+
+
+@query(f"{WIDE} SELECT kmer, CAST(('0x' || substr(md5(kmer), 1, 8))::BIGINT % 8 AS INTEGER) AS bin FROM wide")
+def shard_assignment(spark, sf):
+    return wide3(spark, sf).select("kmer", F.pmod(F.conv(F.substring(F.md5("kmer"), 1, 8), 16, 10).cast("bigint"), F.lit(8)).cast("int").alias("bin"))
+
+
+@query(f"{WIDE} SELECT kmer, CAST(floor((row_number() OVER (ORDER BY md5(kmer), kmer) - 1) / 10) AS BIGINT) AS batch FROM wide")
+def batch_assignment(spark, sf):
+    return files.numbered(wide3(spark, sf), 10).select("kmer", "batch")
+
+
+@query(f"{WIDE}, l AS (SELECT kmer, nxt, n FROM (SELECT kmer, unnest(['A', 'C', 'G', 'T', ']']) AS nxt, unnest([{', '.join(g(0))}]) AS n FROM wide)), r AS (SELECT kmer, nxt, row_number() OVER (PARTITION BY kmer ORDER BY round(ln(n + 1.0::DOUBLE) - ln(-ln({_U.format(k=chr(39) + '7|' + chr(39) + ' || kmer || ' + chr(39) + '|' + chr(39) + ' || nxt')})), 9) DESC, nxt) AS k FROM l) SELECT kmer, nxt AS letter FROM r WHERE k = 1")
+def gumbel_sample(spark, sf):
+    c = M.cells(0)
+    rows = [F.struct(F.lit(x).alias("nxt"), F.round(F.log(c[i] + 1.0) + N.gumbel(F.lit(7), F.col("kmer"), F.lit(x)), 9).alias("v")) for i, x in enumerate("ACGT]")]
+    t = wide3(spark, sf).select("kmer", F.inline(F.array(*rows)))
+    return t.groupBy("kmer").agg(F.min(F.struct(-F.col("v"), F.col("nxt"))).alias("b")).select("kmer", F.col("b.nxt").alias("letter"))
+
+
+def _seeds(spark, sf) -> DataFrame:
+    return reads(spark, sf).select(F.col("seq_id").alias("seed_id"), F.right("seq", F.lit(12)).alias("seq"))
+
+
+@query()
+def generate_map(spark, sf):
+    return sampling.generated(_seeds(spark, sf), wide3(spark, sf), 3, 0, length=20, best=True)
+
+
+@query()
+def generate_mc(spark, sf):
+    return sampling.generated(_seeds(spark, sf), wide3(spark, sf), 3, 0, length=20, samples=3)
+
+
+@query()
+def dirichlet_posterior_mc(spark, sf):
+    t = sampling.posterior_samples(wide3(spark, sf), 0, 0.1, 200)
+    return t.groupBy("kmer").agg(*[F.round(F.avg(F.col("logp")[i]), 6).alias(f"mean{i}") for i in range(5)])
+
+
+@query()
+def variant_score_mc(spark, sf):
+    w = scoring.variant_windows(variants(spark, sf), 3).groupBy("var_id", "kmer", "nxt").agg(F.sum("sgn").alias("sgn")).filter("sgn != 0")
+    draws = sampling.posterior_samples(wide3(spark, sf), 0, 0.1, 41).groupBy("kmer").agg(F.collect_list(F.struct("sample", "logp")).alias("d"))
+    each = w.join(draws, "kmer").select("var_id", "sgn", "nxt", F.inline("d"))
+    value = F.col("sgn") * F.element_at("logp", F.instr(F.lit("ACGT]"), F.col("nxt")).cast("int"))
+    return each.groupBy("var_id", "sample").agg(F.round(F.sum(value), 6).alias("score"))
+
+
+@query(f"{READS} SELECT pos, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 8) + 0.0 AS entropy FROM (SELECT CAST(i - 1 AS INTEGER) AS pos, substr(seq, i, 1) AS letter, count(*) AS n FROM (SELECT seq, unnest(range(1, length(seq) + 1)) AS i FROM reads) GROUP BY 1, 2) GROUP BY 1")
+def site_entropy(spark, sf):
+    return sampling.site_entropy(reads(spark, sf)).select("pos", (F.round("entropy", 8) + F.lit(0.0)).alias("entropy"))
+
+
+@query(f"{WIDE} SELECT kmer, CAST(j AS INTEGER) AS place, {', '.join(f'CASE WHEN substr(kmer, j + 1, 1) = {chr(39)}{c}{chr(39)} THEN 1.0::DOUBLE ELSE 0.0 END AS h{i}' for i, c in enumerate('ACGT['))} FROM wide, (SELECT unnest([0, 1, 2]) AS j)")
+def one_hot(spark, sf):
+    t = wide3(spark, sf).select("kmer", F.posexplode(S.one_hot(F.col("kmer"), "dna")).alias("place", "h"))
+    return t.select("kmer", "place", *[F.col("h")[i].alias(f"h{i}") for i in range(5)])
+
+
+# training; the history of the loss
+
+
+def _history(spark, losses: list[float]) -> DataFrame:
+    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(losses)], "step int, loss double")
+
+
+@query()
+def train_linear_ar(spark, sf):
+    return _history(spark, training.train(wide3(spark, sf), "linear", 3, steps=10, rate=0.05, alone=True)[1])
+
+
+@query()
+def train_ref_dm(spark, sf):
+    return _history(spark, training.train(wide3(spark, sf), "stop", 3, ref_group=2, steps=10, rate=0.05)[1])
+
+
+@query()
+def train_cnn_ar(spark, sf):
+    return _history(spark, training.train(wide3(spark, sf), "cnn", 3, steps=10, rate=0.02)[1])
+
 
 def queries() -> dict:
-    return {}
+    return dict(Q)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
