@@ -55,8 +55,14 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 _EVENTS_SQL = "WITH ev AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'click' THEN 'A' WHEN 'error' THEN 'C' WHEN 'purchase' THEN 'G' WHEN 'signup' THEN 'T' ELSE 'U' END AS letter FROM events)"
 
 
+def words_sql(p: str, width: int, src: str) -> str:
+    """(seq_id, grp, w) with the overlapping words of p; by blocks, as substr walks to its place from the start."""
+    blocks = f"SELECT seq_id, grp, substr(p, b * 512 + 1, {512 + width - 1}) AS c FROM (SELECT seq_id, grp, p, unnest(range(0, length(p) // 512 + 1)) AS b FROM (SELECT seq_id, grp, {p} AS p FROM {src}))"
+    return f"SELECT seq_id, grp, substr(c, i, {width}) AS w FROM (SELECT seq_id, grp, c, unnest(range(1, length(c) - {width - 2})) AS i FROM ({blocks}))"
+
+
 def win(lag: int, src: str = "reads") -> str:
-    return f"SELECT seq_id, grp, i AS pos, substr(p, i, {lag}) AS kmer, substr(p, i + {lag}, 1) AS nxt FROM (SELECT seq_id, grp, repeat('[', {lag}) || seq || ']' AS p, unnest(range(1, length(seq) + 2)) AS i FROM {src})"
+    return f"SELECT seq_id, grp, left(w, {lag}) AS kmer, right(w, 1) AS nxt FROM ({words_sql(f'repeat({chr(39)}[{chr(39)}, {lag}) || seq || {chr(39)}]{chr(39)}', lag + 1, src)})"
 
 
 def cells_sql(n_groups: int = 3, value: str = "1") -> str:
@@ -82,7 +88,7 @@ def wide3(spark, sf, lag=3):
 # counting
 
 
-@query(f"{READS} SELECT grp, substr(seq, i, 5) AS kmer, count(*) AS n FROM (SELECT grp, seq, unnest(range(1, length(seq) - 3)) AS i FROM reads WHERE length(seq) >= 5) GROUP BY 1, 2")
+@query(f"{READS} SELECT grp, w AS kmer, count(*) AS n FROM ({words_sql('seq', 5, 'reads')}) GROUP BY 1, 2")
 def kmer_count(spark, sf):
     return C.kmers(reads(spark, sf), 5).groupBy("grp", "kmer").agg(F.count(F.lit(1)).alias("n"))
 
@@ -412,7 +418,6 @@ def sequence_marginal_loglik(spark, sf):
 
 # lookups
 
-_QK = "q AS (SELECT DISTINCT substr(text, i, 3) AS kmer FROM (SELECT translate(regexp_replace(upper(text), '[^A-Z]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'CCGTTGCACATGCATTACGGCATCAN') AS text, unnest(range(1, 2 + length(text))) AS i FROM (SELECT text FROM benchmark)) WHERE length(substr(text, i, 3)) = 3)"
 _QK = "q AS (SELECT DISTINCT substr(s, i, 3) AS kmer FROM (SELECT s, unnest(range(1, length(s) - 1)) AS i FROM (SELECT translate(regexp_replace(text, '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'CCGTTGCACATGCATTACGGCATCAN') AS s FROM benchmark) WHERE length(s) >= 3))"
 
 
@@ -504,7 +509,7 @@ def variant_score_mc(spark, sf):
     return each.groupBy("var_id", "sample").agg(F.round(F.sum(value), 6).alias("score"))
 
 
-@query(f"{READS} SELECT pos, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 8) + 0.0 AS entropy FROM (SELECT CAST(i - 1 AS INTEGER) AS pos, substr(seq, i, 1) AS letter, count(*) AS n FROM (SELECT seq, unnest(range(1, length(seq) + 1)) AS i FROM reads) GROUP BY 1, 2) GROUP BY 1")
+@query(f"{READS} SELECT pos, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 8) + 0.0 AS entropy FROM (SELECT CAST(i AS INTEGER) AS pos, letter, count(*) AS n FROM (SELECT unnest(string_split(seq, '')) AS letter, unnest(range(0, length(seq))) AS i FROM reads) GROUP BY 1, 2) GROUP BY 1")
 def site_entropy(spark, sf):
     return sampling.site_entropy(reads(spark, sf)).select("pos", (F.round("entropy", 8) + F.lit(0.0)).alias("entropy"))
 

@@ -29,8 +29,10 @@ def rising(c: Column, n: Column) -> Column:
 def dm_logprob(conc: list[Column], counts: list[Column]) -> Column:
     """Log probability of an ordered draw of `counts` letters under Dirichlet-multinomial concentrations."""
     total_c, total_n = sum(conc[1:], conc[0]), sum(counts[1:], counts[0])
-    parts = [rising(c, n) for c, n in zip(conc, counts, strict=True)]
-    return sum(parts[1:], parts[0]) - rising(total_c, total_n)
+    terms = [*((1.0, c, n) for c, n in zip(conc, counts, strict=True)), (-1.0, total_c, total_n)]
+    # one lambda over the terms: written out for each, the code would pass what the JVM compiles
+    rows = F.array(*[F.struct(F.lit(s).alias("s"), c.cast("double").alias("c"), n.cast("double").alias("n")) for s, c, n in terms])
+    return F.aggregate(rows, F.lit(0.0), lambda a, x: a + x["s"] * rising(x["c"], x["n"]))
 
 
 def multinomial_logprob(probs: list[Column], counts: list[Column]) -> Column:

@@ -15,15 +15,18 @@ from seqloom.functions import symbols as S
 
 def windows(reads: DataFrame, lag: int, keep: tuple[str, ...] = ("grp",)) -> DataFrame:
     """(keep..., pos, kmer, nxt): each letter with the lag symbols before it; pos counts from 1."""
-    return reads.select(*keep, S.padded(F.col("seq"), lag).alias("_p"), F.explode(F.sequence(F.lit(1), F.length("seq") + 1)).alias("pos")).select(
-        *keep, "pos", F.substring(F.col("_p"), F.col("pos"), F.lit(lag)).alias("kmer"), F.substring(F.col("_p"), F.col("pos") + lag, F.lit(1)).alias("nxt")
-    )
+    each = reads.select(*keep, F.posexplode(_overlapping(S.padded(F.col("seq"), lag), lag + 1)).alias("pos", "w"))
+    return each.select(*keep, (F.col("pos") + 1).alias("pos"), F.left("w", F.lit(lag)).alias("kmer"), F.right("w", F.lit(1)).alias("nxt"))
+
+
+def _overlapping(seq: Column, width: int) -> Column:
+    """All words of `width` symbols, in one pass: a substring at each place would walk there from the start every time."""
+    return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{width}}}))"), F.lit(1))
 
 
 def kmers(reads: DataFrame, k: int, keep: tuple[str, ...] = ("grp",)) -> DataFrame:
     """(keep..., kmer): the k-letter words of each sequence that has so many letters."""
-    fit = reads.filter(F.length("seq") >= k)
-    return fit.select(*keep, "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1)).alias("pos")).select(*keep, F.substring(F.col("seq"), F.col("pos"), F.lit(k)).alias("kmer"))
+    return reads.select(*keep, F.explode(_overlapping(F.col("seq"), k)).alias("kmer"))
 
 
 def count_long(reads: DataFrame, lag: int, alphabet: str = "dna") -> DataFrame:
