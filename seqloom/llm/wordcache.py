@@ -25,9 +25,9 @@ from itertools import chain
 from tokenizers import Tokenizer
 
 #: Pieces of the present generation in a worker's cache; the one before is kept too until the next begins.
-KEPT = 600_000
+KEPT = 250_000
 #: Characters of texts that are encoded together.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 21
 
 _CONTROL = "\0\x1c\x1d\x1e\x1f"
 #: White space besides that of ASCII.
