@@ -225,7 +225,7 @@ def packed(docs: DataFrame, vocabulary: str, *, spaced: bool = False, end_id: in
         end, block, size = np.array([end_id], "<u4"), [], 0
         for b in batches:
             for doc_id, raw in zip(b.column(0).to_pylist(), encoder.encode_many(b.column(1).to_pylist()), strict=True):
-                ids = np.concatenate((np.frombuffer(raw, "<u4"), end))
+                ids = np.concatenate((raw, end))
                 block.append(Item(doc_id, 0, ids, len(ids)))
                 size += len(ids)
                 if size >= BLOCK:

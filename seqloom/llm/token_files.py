@@ -124,7 +124,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, *, spaced: bool = True,
             for b in batches:
                 ids = b.column(0).fill_null(NULL_ID).to_numpy()
                 for doc_id, raw in zip(ids, encoder.encode_many(b.column(1).to_pylist()), strict=True):
-                    tokens = np.concatenate((np.frombuffer(raw, "<u4"), end))
+                    tokens = np.concatenate((raw, end))
                     n += len(tokens)
                     file.add(int(doc_id), tokens)
             file.close()
