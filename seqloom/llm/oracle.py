@@ -15,3 +15,103 @@ WITH d AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM g
 """
+
+# matches and the texts between them, numbered; a match starts where the lengths of both, up to it, end
+ORACLE["op1_secret_scan"] = r"""
+WITH rules(rank, kind, pattern, must) AS (VALUES
+  (0, 'assign',
+   '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]+',
+   '^(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9+/_.=-]{12,}$'),
+  (1, 'access', 'AKIA[A-Z0-9]+', '^.{18,}$'),
+  (2, 'hex', '[0-9a-f]+', '^.{16,}$'),
+  (3, 'pem', '-----BEGIN [A-Z ]*PRIVATE KEY-----', '.'),
+  (4, 'forge', 'gh[pousr]_[A-Za-z0-9]+', '^.{40,}$'),
+  (5, 'chat', 'xox[abprs]-[A-Za-z0-9-]+', '^.{15,}$'),
+  (6, 'jwt', 'eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+', '^.{40,}$'),
+  (7, 'url_login', '[a-z]+://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@', '.')
+), d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), found AS (
+  SELECT rid, rank, kind, must, regexp_extract_all(t, pattern) AS m, string_split_regex(t, pattern) AS g FROM d CROSS JOIN rules
+), each AS (
+  SELECT rid, rank, kind, must, unnest(m) AS said, unnest(g[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM found WHERE len(m) > 0
+), placed AS (
+  SELECT rid, rank, kind, must, said,
+    (sum(length(gap) + length(said)) OVER (PARTITION BY rid, rank ORDER BY i))::BIGINT AS e
+  FROM each
+), spans AS (
+  SELECT rid, rank, e - length(said) AS s, kind || ':' || (e - length(said)) || ':' || e AS span FROM placed WHERE regexp_matches(said, must)
+), listed AS (
+  SELECT rid, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+    string_agg(span, ',' ORDER BY s, rank) FILTER (rank < 3) AS base, string_agg(span, ',' ORDER BY s, rank) AS spans
+  FROM spans GROUP BY rid
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN listed USING (rid)
+"""
+
+ORACLE["op3_source_mixing"] = r"""
+WITH r AS (
+  SELECT doc_id, source, md5(coalesce(text, '')) AS tie, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s0 AS (
+  SELECT source, sum(size)::BIGINT AS source_size, count(*) AS source_docs FROM r GROUP BY source
+), s1 AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank, (sum(source_size) OVER ())::BIGINT AS words FROM s0
+), s2 AS (
+  SELECT *, [5, 2, 1][rank % 3 + 1] AS weight FROM s1
+), s3 AS (
+  SELECT *,
+    coalesce(sum(2 * source_size) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS cap_before,
+    (sum(weight) OVER (ORDER BY source_size / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS weight_left
+  FROM s2
+), s4 AS (
+  SELECT *, (1.5::DOUBLE * words - cap_before) / weight_left AS level FROM s3
+), s5 AS (
+  SELECT *, first(level) OVER (ORDER BY level * weight > 2 * source_size, cap_before, level ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first_level,
+    bool_or(level * weight <= 2 * source_size) OVER () AS any_free
+  FROM s4
+), s6 AS (
+  SELECT *, CASE WHEN any_free AND first_level * weight <= 2 * source_size THEN first_level * weight ELSE (2 * source_size)::DOUBLE END AS target,
+    floor(1.5::DOUBLE * words / 64 + 0.5)::BIGINT AS house, ceil(source_docs / 1024)::BIGINT AS n_shards
+  FROM s5
+), s7 AS (
+  SELECT *, floor(target / 64 + 0.5)::BIGINT AS b FROM s6
+), s8 AS (
+  SELECT *, house - (sum(b) OVER ())::BIGINT AS need, row_number() OVER (ORDER BY target / (b + 0.5::DOUBLE) DESC, rank) AS up,
+    row_number() OVER (ORDER BY CASE WHEN b > 0 THEN target / (b - 0.5::DOUBLE) END NULLS LAST, rank) AS down
+  FROM s7
+), sources AS (
+  SELECT source, rank, source_size, target, n_shards, b + (up <= need)::BIGINT - (down <= -need AND b > 0)::BIGINT AS seats FROM s8
+), dealt AS (
+  SELECT r.doc_id, r.tie, r.size, s.rank, s.source_size, s.target, s.seats,
+    ('0x' || substr(md5(concat_ws('|', '0', 'shard', coalesce(r.doc_id::VARCHAR, '~'), r.tie)), 1, 13))::BIGINT % s.n_shards AS shard,
+    ('0x' || substr(md5(concat_ws('|', '0', 'order', coalesce(r.doc_id::VARCHAR, '~'), r.tie)), 1, 13))::BIGINT AS place
+  FROM r JOIN sources s ON r.source IS NOT DISTINCT FROM s.source
+), lined AS (
+  SELECT *, (sum(size) OVER (PARTITION BY rank, shard ORDER BY place, doc_id NULLS FIRST, tie ROWS UNBOUNDED PRECEDING))::BIGINT AS fin FROM dealt
+), h0 AS (
+  SELECT rank, shard, seats, source_size, target, sum(size)::BIGINT AS shard_size FROM dealt GROUP BY ALL
+), h1 AS (
+  SELECT *, target * shard_size / greatest(source_size, 1) AS part FROM h0
+), h2 AS (
+  SELECT *, floor(part / 64 + 0.5)::BIGINT AS b FROM h1
+), h3 AS (
+  SELECT *, seats - (sum(b) OVER (PARTITION BY rank))::BIGINT AS need,
+    row_number() OVER (PARTITION BY rank ORDER BY part / (b + 0.5::DOUBLE) DESC, shard) AS up,
+    row_number() OVER (PARTITION BY rank ORDER BY CASE WHEN b > 0 THEN part / (b - 0.5::DOUBLE) END NULLS LAST, shard) AS down
+  FROM h2
+), h4 AS (
+  SELECT rank, shard, greatest(ceil(shard_size / 64)::BIGINT, 1) AS n_blocks, b + (up <= need)::BIGINT - (down <= -need AND b > 0)::BIGINT AS seats FROM h3
+), h5 AS (
+  SELECT rank, shard, n_blocks, greatest(least(seats, n_blocks * 2), 0) AS quota FROM h4
+), shards AS (
+  SELECT rank, shard, quota // n_blocks AS rounds, quota % n_blocks * 64 AS run, n_blocks * 64 AS ring,
+    ('0x' || substr(md5(concat_ws('|', '0', 'start', rank::VARCHAR, shard::VARCHAR)), 1, 13))::BIGINT % n_blocks * 64 AS run_from
+  FROM h5
+)
+SELECT doc_id, size, source_size, target,
+  (rounds * size + greatest(least(run_from + run, ring, fin) - greatest(run_from, fin - size), 0)
+   + greatest(least(run_from + run - ring, fin) - (fin - size), 0))::BIGINT AS taken
+FROM lined JOIN shards USING (rank, shard)
+"""
