@@ -31,9 +31,18 @@ def kmers(reads: DataFrame, k: int, keep: tuple[str, ...] = ("grp",)) -> DataFra
 
 def count_long(reads: DataFrame, lag: int, alphabet: str = "dna") -> DataFrame:
     """(kmer, grp, nxt, n); windows with symbols outside the alphabet are left out."""
+    return of_alphabet(count_windows(reads, lag), alphabet)
+
+
+def count_windows(reads: DataFrame, lag: int) -> DataFrame:
+    """(kmer, grp, nxt, n) of all windows, whatever their symbols."""
+    return windows(reads, lag).groupBy("kmer", "grp", "nxt").agg(F.count(F.lit(1)).alias("n"))
+
+
+def of_alphabet(long: DataFrame, alphabet: str = "dna") -> DataFrame:
+    """The windows of the alphabet's symbols alone. Roll up first: a shorter window may lack the unknown symbol of a longer one."""
     known = f"^[\\{S.START}{S.ALPHABETS[alphabet]}]*$"
-    seen = windows(reads, lag).groupBy("kmer", "grp", "nxt").agg(F.count(F.lit(1)).alias("n"))
-    return seen.filter(F.col("kmer").rlike(known) & F.col("nxt").isin(S.letters(alphabet)))
+    return long.filter(F.col("kmer").rlike(known) & F.col("nxt").isin(S.letters(alphabet)))
 
 
 def wide(long: DataFrame, n_groups: int, keys: tuple[str, ...] = ("kmer",), alphabet: str = "dna", value: str = "n") -> DataFrame:

@@ -18,8 +18,9 @@ def tables(reads: DataFrame, lag: int, reverse: bool = False) -> DataFrame:
     """(lag, kmer, g{group}_{letter}...) at each lag up to `lag`; reverse: of both strands. Counted once, then rolled up."""
     groups = reads.agg(F.max("grp")).first()[0]
     n_groups = 0 if groups is None else groups + 1
-    long = counting.count_long(counting.both_strands(reads) if reverse else reads, lag)
-    return counting.wide(counting.rolled_up(long, list(range(1, lag + 1))), max(n_groups, 1), keys=("lag", "kmer"))
+    every = counting.count_windows(counting.both_strands(reads) if reverse else reads, lag)
+    long = counting.of_alphabet(counting.rolled_up(every, list(range(1, lag + 1))))
+    return counting.wide(long, max(n_groups, 1), keys=("lag", "kmer"))
 
 
 def run(spark: SparkSession, manifest: str, prefix: str, lag: int, *, forward: bool = True, reverse: bool = False, file_gb: float = 0.1) -> None:
