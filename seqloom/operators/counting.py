@@ -35,8 +35,10 @@ def count_long(reads: DataFrame, lag: int, alphabet: str = "dna") -> DataFrame:
 
 
 def count_windows(reads: DataFrame, lag: int) -> DataFrame:
-    """(kmer, grp, nxt, n) of all windows, whatever their symbols."""
-    return windows(reads, lag).groupBy("kmer", "grp", "nxt").agg(F.count(F.lit(1)).alias("n"))
+    """(kmer, grp, nxt, n) of all windows, whatever their symbols. They are counted whole, and only the distinct ones are split."""
+    each = reads.select("grp", F.explode(_overlapping(S.padded(F.col("seq"), lag), lag + 1)).alias("w"))
+    seen = each.groupBy("grp", "w").agg(F.count(F.lit(1)).alias("n"))
+    return seen.select(F.left("w", F.lit(lag)).alias("kmer"), "grp", F.right("w", F.lit(1)).alias("nxt"), "n")
 
 
 def of_alphabet(long: DataFrame, alphabet: str = "dna") -> DataFrame:

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from seqloom.operators.counting import windows
+from seqloom.operators.counting import count_windows
 
 
 def running(reads: DataFrame, lag: int) -> DataFrame:
     """(kmer, grp, nxt, n) of a streaming frame (grp, seq); write it in update or complete mode."""
-    return windows(reads, lag).groupBy("kmer", "grp", "nxt").agg(F.count(F.lit(1)).alias("n"))
+    return count_windows(reads, lag)
