@@ -10,7 +10,9 @@ All steps are aggregates over a narrow stored table: a row per document enters,
 leaves each task, so a group may hold any share of the rows. Nothing is sampled. Groups with fewer than
 MIN_GROUP rows are taken together by language, and if that is too few still, over all languages.
 
-Floors on the spread of each statistic keep a group of near-equal texts from rejecting harmless differences.
+A statistic of a short text is uncertain: its counts vary as Poisson's do. This variance, the text's own, is added to the
+group's, so that one line said twice in a text of seven rejects nothing, whatever the group's spread. GUARD only
+keeps the covariance of a group without any spread invertible.
 
 Defined results: a null text has no words and fails the base rules; null languages and sources are groups of their
 own; repeated rows each get their result; an empty table gives an empty result; other columns are not read.
@@ -35,10 +37,12 @@ SYMBOLS = "#*$%&|<>"
 H, STEPS = 0.75, 3
 MIN_GROUP = 50
 #: Tail of the chi-square distribution beyond which a document is rejected.
-TAIL = 1e-7
+TAIL = 1e-3
 BINS_PER_OCTAVE = 16
-#: Transformed statistics, each with the least spread (standard deviation) that is taken for it.
-FEATURES = {"log_words": 1.2, "log_word_chars": 0.08, "symbol_share": 0.06, "dup_line_share": 0.12, "repeat_share": 0.12, "upper_share": 0.08}
+#: Transformed statistics.
+FEATURES = ("log_words", "log_word_chars", "symbol_share", "dup_line_share", "repeat_share", "upper_share")
+#: The least variance of a statistic in a group.
+GUARD = 1e-6
 _P = len(FEATURES)
 _PAIRS = [(i, j) for i in range(_P) for j in range(i + 1)]
 
@@ -113,6 +117,12 @@ def features() -> list[Column]:
     ]
 
 
+def noise() -> list[Column]:
+    """The variance that Poisson counts give each of the features in a text of this length; words repeat two windows at a time at least."""
+    chars, words = F.greatest("word_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
+    return [1 / words, 1 / chars, 0.25 / chars, 0.25 / F.greatest("n_lines", F.lit(1)), 0.5 * WINDOW / words, 0.25 / chars]
+
+
 def chi2_quantile(p: float, k: int) -> float:
     """Wilson-Hilferty; p is the upper tail. The normal quantile comes by bisection of erfc."""
     lo, hi = -40.0, 40.0
@@ -138,10 +148,9 @@ def chi2_tail(x: float, k: int) -> float:
 
 
 def _inverted(moments: DataFrame, share: float | None) -> DataFrame:
-    """From counts, sums and sums of products per group: the mean m0.. and the inverse covariance p00.. . share: of the rows that the moments are of."""
-    floors = np.array(list(FEATURES.values())) ** 2
+    """From counts, sums and sums of products per group: the mean m0.., the variances v0.. and the inverse covariance p00.. . share: of the rows that the moments are of."""
     scale = 1.0 if share is None else share / (1 - chi2_tail(chi2_quantile(1 - share, _P), _P + 2))
-    names = ["lang", "source", *(f"m{i}" for i in range(_P)), *(f"p{i}{j}" for i, j in _PAIRS)]
+    names = ["lang", "source", *(f"m{i}" for i in range(_P)), *(f"v{i}" for i in range(_P)), *(f"p{i}{j}" for i, j in _PAIRS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,19 +162,19 @@ def _inverted(moments: DataFrame, share: float | None) -> DataFrame:
             for i, j in _PAIRS:
                 cov[:, i, j] = cov[:, j, i] = b.column(f"q{i}{j}").to_numpy(zero_copy_only=False) / n - mean[:, i] * mean[:, j]
             cov *= scale
-            # the floor is added where a variance lacks it, which keeps the matrix positive definite
+            # the guard is added where a variance lacks it, which keeps the matrix positive definite
             for i in range(_P):
-                cov[:, i, i] = np.maximum(cov[:, i, i], 0) + np.maximum(floors[i] - cov[:, i, i], 1e-9)
+                cov[:, i, i] = np.maximum(cov[:, i, i], 0) + np.maximum(GUARD - cov[:, i, i], 1e-9)
             inv = np.linalg.inv(cov)
-            cols = [*(mean[:, i] for i in range(_P)), *(inv[:, i, j] for i, j in _PAIRS)]
+            cols = [*(mean[:, i] for i in range(_P)), *(cov[:, i, i] for i in range(_P)), *(inv[:, i, j] for i, j in _PAIRS)]
             yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("source"), *(pa.array(np.ascontiguousarray(c)) for c in cols)], names)
 
     return moments.mapInArrow(run, ", ".join(f"{c} {'string' if c in ('lang', 'source') else 'double'}" for c in names))
 
 
 def _distance() -> Column:
-    """The squared Mahalanobis distance of x0.. to m0.. under p00.. ."""
-    d = [F.col(f"x{i}") - F.col(f"m{i}") for i in range(_P)]
+    """The squared Mahalanobis distance of x0.. to m0.. under p00.., each variance v0.. raised by the text's noise and the correlations as they are."""
+    d = [(F.col(f"x{i}") - F.col(f"m{i}")) / F.sqrt(1 + e / F.col(f"v{i}")) for i, e in enumerate(noise())]
     terms = [d[i] * d[j] * F.col(f"p{i}{j}") * (1 if i == j else 2) for i, j in _PAIRS]
     total = terms[0]
     for t in terms[1:]:
@@ -186,13 +195,13 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 
 def mcd(rows: DataFrame) -> DataFrame:
-    """The robust mean and inverse covariance of each group (g_lang, g_source) of rows x0.. ."""
+    """The robust mean, variances and inverse covariance of each group (g_lang, g_source) of rows x0.. with their statistics."""
     # the start: medians, and quartile ranges as spreads
     quart = rows.groupBy(F.col("g_lang").alias("lang"), F.col("g_source").alias("source")).agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(_P)])
-    var = lambda i, floor: F.greatest(((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2, F.lit(floor**2))
+    var = lambda i: F.greatest(((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349) ** 2, F.lit(GUARD))
     est = quart.select(
-        "lang", "source", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(_P)],
-        *[(1 / var(i, list(FEATURES.values())[i]) if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i, j in _PAIRS],
+        "lang", "source", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(_P)], *[var(i).alias(f"v{i}") for i in range(_P)],
+        *[(1 / var(i) if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i, j in _PAIRS],
     )
     est = stored(est, "mcd")
     for step in range(STEPS + 1):

@@ -493,6 +493,27 @@ def test_outliers(spark):
     assert all(got[k] == (k % 5 != 0) for k in got)
 
 
+def test_outliers_by_estimated_scatter(spark):
+    """Junk of about a tenth symbols goes; a line said twice, a short text and one with many words stay."""
+    rng = np.random.default_rng(9)
+    vocabulary = ["".join(rng.choice(list("abcdefgh"), 4 + k % 4)) for k in range(400)]
+    text = lambda n: "\n".join(" ".join(w) for w in np.array_split(rng.choice(vocabulary, n), max(1, n // 30)))
+    rows, junk = [], set()
+    for k in range(300):
+        said = text(int(rng.integers(60, 300)))
+        if k % 12 == 0:
+            junk.add(k)
+            said = " ".join(x + "#$"[j % 2] * (j % 5 < 3) for j, x in enumerate(said.split()))
+        elif k % 12 == 1:
+            said += "\n" + said.split("\n")[-1][:12]
+        rows.append((k, said, "en", "a"))
+    same_lines = "\n".join(["one line here", "one line here", *text(150).split("\n")])
+    rows += [(300, text(15), "en", "a"), (301, same_lines, "en", "a"), (302, text(500), "en", "a")]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
+    assert all(0.05 < r["n_symbols"] / r["n_words"] / 6.5 < 0.15 for r in got if r["doc_id"] in junk)
+    assert {r["doc_id"] for r in got if not r["kept"]} == junk
+
+
 def test_chi2():
     assert quality.chi2_quantile(0.05, 6) == pytest.approx(12.592, abs=0.05)
     assert quality.chi2_tail(12.592, 6) == pytest.approx(0.05, abs=1e-4)
