@@ -373,6 +373,36 @@ def test_toxicity_held_out(spark):
     assert hit >= 0.8 * toxic and wrong <= 0.02 * (len(got) - toxic), (hit, wrong, toxic, len(got))
 
 
+def test_toxicity_learns_whole_texts(spark):
+    """Texts of 5000 words of which one late word tells the toxic ones."""
+    rnd = random.Random(12)
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(7)) for _ in range(300)]
+    rows = []
+    for k in range(120):
+        w = [rnd.choice(vocabulary) for _ in range(5000)]
+        if k % 2:
+            w[4500 + k] = "vermin"
+        rows.append((k, " ".join(w)))
+    table = spark.createDataFrame([*rows, (3, "a repeat of an id"), (5, None)], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id bigint, toxic int")
+    units, _, _ = toxicity.training_rows(table, labels)
+    assert Counter(len(u) for u in units)[5000] >= len(units) - 2 and min(map(len, units)) <= 5
+    model = toxicity.fit(table.filter("length(text) > 100"), labels)
+    assert all((model.score(text) >= 0.5) == k % 2 for k, text in rows)
+
+
+def test_toxicity_slices(monkeypatch):
+    """Training by slices is training on whole texts."""
+    rng = np.random.default_rng(13)
+    labels = np.arange(40) % 2
+    units = [rng.integers(2 * y, 400 + 2 * y, (int(rng.integers(0, 90)), 4)).astype("<i4") for y in labels]
+    langs = np.zeros(40, np.int64)
+    a = toxicity.train(units, langs, labels)
+    monkeypatch.setattr(toxicity, "SLICE", 16)
+    b = toxicity.train(units, langs, labels)
+    assert np.allclose(a.tables, b.tables, atol=1e-4) and np.allclose(a.middle, b.middle, atol=1e-3)
+
+
 # 6 licences
 
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
