@@ -30,3 +30,9 @@ def test_stages(spark, tmp_path):
             assert offset == at and length > 0
             at += length
         assert at <= 4096
+
+
+def test_ids_come_out(spark):
+    docs = spark.createDataFrame([(1, "some words to pack", "en", "a", 18), (1, "other words under the same id", "en", "a", 29)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    rows = corpus_pipeline.pack_sequences(spark, docs, SF).collect()
+    assert rows and all(len(r["ids"]) == 4 * r["length"] for r in rows)
