@@ -1,6 +1,6 @@
 """Secret scans over a trigram inverted index, in DataFrame operations alone.
 
-Each rule carries a regular expression and the Boolean trigram query derived from it: an or of
+Each rule carries a regular expression and a Boolean trigram query, from literals written by hand: an or of
 alternatives, each the and of the trigrams that every match of it must hold. The index has a posting
 (trigram, document) for every trigram of the rules, taken over whole texts lower-cased in A-Z; a query is
 answered by intersecting postings, and the regex then runs on the candidates alone. Rules without
