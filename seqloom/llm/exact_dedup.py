@@ -1,103 +1,158 @@
 """Exact dedup against a persistent digest index.
 
-The index is a table bucketed and sorted by digest. A batch of documents is reduced to one row per
-digest (map-side first, so that a group of copies of any size shuffles as a row per task), those
-that the index has are taken out by a sort-merge anti join, and the others are appended. Only
-digests, ids and lengths move, never texts.
+The index lies in a folder of its own, known by its path, and outlives the session. It has a table bucketed and sorted
+by digest with a row for every digest ever added. A batch of documents is reduced to one row per digest (map-side first,
+so that a group of copies of any size shuffles as a row per task); those that the index has are taken out by a
+sort-merge anti-join, and the others are appended. What a batch brings of known digests goes to a second such table, so the
+row that stays can still be told over all batches. Only digests, ids and lengths move, never texts.
+
+``resolve`` and ``without_copies`` bring their rows to the index in BATCHES batches, dealt by a hash of the id. Without an
+index of the caller's they use a new one and delete it afterwards.
 
 Defined results: a null text counts as empty. Of equal texts the row with the most code points in
-the original stays, then the smallest doc_id; a null doc_id comes after all others. Rows that repeat
+the original stays, then the smallest doc_id, a null doc_id after all others, then the least digest of the whole row. Rows that repeat
 a doc_id and text all carry the same result; ``without_copies`` keeps one of them. An empty table
-gives an empty result. Columns besides doc_id and text are never read by ``resolve`` and may have any name.
+gives an empty result. Texts may have any length that a row may have. Columns besides doc_id and text may have any name and type.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm._common import WHITE, hot_lookup, stored, text_of
+from seqloom.llm._common import WHITE, drop_scratch, forget, hot_lookup, hot_ties, picked, row_tie, scratch_path, stored, text_of
+
+BATCHES = 2
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, n_chars): SHA-256 of the text without white space, and the code points of the original."""
+    """(doc_id, digest, n_chars, tie): SHA-256 of the text without white space, the code points of the original, a digest of the row."""
     text = text_of(docs)
     return docs.select(
         docs["doc_id"].cast("bigint").alias("doc_id"),
         F.unhex(F.sha2(F.regexp_replace(text, WHITE + "+", ""), 256)).alias("digest"),
         F.length(text).cast("bigint").alias("n_chars"),
+        row_tie(docs).alias("tie"),
     )
 
 
 class DigestIndex:
-    """Table (digest, keep_id, keep_chars, group_size) in the warehouse, one row per digest ever added."""
+    """Two bucketed tables in a folder: `first` has a row per digest, from the batch that brought it; `again` a row per digest and later batch.
+
+    Columns: digest, keep_id, keep_chars, keep_tie (of the row that stays of the batch), group_size (rows of the batch), batch.
+    """
+
+    SCHEMA = "digest binary, keep_id bigint, keep_chars bigint, keep_tie string, group_size bigint, batch string"
 
-    def __init__(self, spark: SparkSession, table: str, buckets: int):
-        self.spark, self.table, self.buckets = spark, table, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int):
+        self.spark, self.path, self.buckets = spark, path, buckets
+        name = "digests_" + hashlib.md5(path.encode()).hexdigest()
+        self.tables = {part: f"{name}_{part}" for part in ("first", "again")}
+        for part, table in self.tables.items():
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({self.SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}/{part}'")
 
     @classmethod
-    def sized(cls, spark: SparkSession, n_rows: int, table: str | None = None) -> DigestIndex:
-        """A new index for about n_rows digests: some 500,000 to a bucket."""
-        buckets = 2 ** min(13, max(5, math.ceil(math.log2(max(1, n_rows) / 500_000))))
-        return cls(spark, table or f"digest_index_{uuid.uuid4().hex}", buckets)
-
-    def rows(self) -> DataFrame:
-        return self.spark.table(self.table)
-
-    def add(self, groups: DataFrame) -> None:
-        """Append the groups whose digest the index lacks. Adding a batch twice changes nothing."""
-        new = groups
-        if self.spark.catalog.tableExists(self.table):
-            new = groups.join(self.rows().hint("merge").select("digest"), "digest", "left_anti")
+    def open(cls, spark: SparkSession, path: str, n_rows: int = 0) -> DigestIndex:
+        """The index in that folder; if there is none, a new one for about n_rows digests. The number of buckets holds for its lifetime."""
+        try:
+            buckets = spark.read.parquet(f"{path}/buckets").first()[0]
+        except AnalysisException:
+            # some 500,000 digests to a bucket, and no fewer buckets than tasks of a shuffle, or joins would shuffle the index too
+            buckets = max(2 ** min(13, max(0, math.ceil(math.log2(max(1, n_rows) / 500_000)))), int(spark.conf.get("spark.sql.shuffle.partitions")))
+            spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/buckets")
+        return cls(spark, path, buckets)
+
+    def close(self) -> None:
+        """Take the tables out of the session's catalog; the files stay."""
+        for table in self.tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+    def part(self, name: str) -> DataFrame:
+        return self.spark.table(self.tables[name])
+
+    def _append(self, rows: DataFrame, name: str) -> None:
         (
-            new.repartition(self.buckets, "digest").write.mode("append").format("parquet")
-            .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
+            rows.repartition(self.buckets, "digest").write.mode("append").format("parquet")
+            .bucketBy(self.buckets, "digest").sortBy("digest").option("path", f"{self.path}/{name}").saveAsTable(self.tables[name])
         )
 
+    def add(self, groups: DataFrame, batch: str) -> None:
+        """Append the groups (see grouped) of a batch. Adding a batch twice, or again after a failure, changes nothing."""
+        cols = ["digest", "keep_id", "keep_chars", "keep_tie", "group_size"]
+        groups = groups.select(*cols, F.lit(batch).alias("batch"))
+        known = self.part("first").hint("merge").select("digest", F.col("batch").alias("_of"))
+        mine = self.part("again").filter(F.col("batch") == batch).hint("merge").select("digest")
+        later = groups.join(known.filter(F.col("_of") != batch).select("digest"), "digest", "left_semi").join(mine, "digest", "left_anti")
+        self._append(later, "again")
+        self._append(groups.join(known.select("digest"), "digest", "left_anti"), "first")
+
+    def groups(self) -> DataFrame:
+        """(digest, keep_id, keep_tie, group_size) over all batches. Both tables are bucketed by digest, so this moves nothing."""
+        best = F.min(F.struct(-F.col("keep_chars"), F.col("keep_id").isNull(), F.col("keep_id"), F.col("keep_tie")))
+        every = self.part("first").unionByName(self.part("again"))
+        return every.groupBy("digest").agg(best.alias("best"), F.sum("group_size").alias("group_size")).select("digest", F.col("best.keep_id").alias("keep_id"), F.col("best.keep_tie").alias("keep_tie"), "group_size")
+
 
 def grouped(rows: DataFrame) -> DataFrame:
-    """One row per digest: the id and length of the row that stays, and the number of rows."""
-    best = F.min(F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.col("doc_id")))
+    """One row per digest: the id, length and digest of the row that stays, and the number of rows."""
+    best = F.min(F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("tie")))
     return rows.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).select(
-        "digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.col1")).alias("keep_chars"), "group_size"
+        "digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.col1")).alias("keep_chars"), F.col("best.tie").alias("keep_tie"), "group_size"
     )
 
 
-def resolve(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def _brought(rows: DataFrame, index: DigestIndex, batches: int) -> list[str]:
+    """Bring rows to the index; the names of the batches."""
+    names = [uuid.uuid4().hex for _ in range(batches)]
+    for k, name in enumerate(names):
+        index.add(grouped(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k)), name)
+    return names
+
+
+def resolve(docs: DataFrame, index: DigestIndex | None = None, batches: int = BATCHES) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of docs, adding its digests to the index.
 
-    With an index that had a text before, keep_id and group_size are those of the batch that brought it.
+    With an index that has other batches, keep_id and group_size are over those too.
     """
+    spark = docs.sparkSession
     rows = stored(digests(docs), "digests")
     total = rows.count()
-    index = index or DigestIndex.sized(docs.sparkSession, total)
-    index.add(grouped(rows))
-    found = hot_lookup(rows, index.rows(), "digest", "group_size", total)
-    return found.select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
-
-
-def without_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """docs with one row of each group of equal texts, all columns as they were.
-
-    The rows to keep are found from digests alone; then docs is joined with them on (doc_id, digest,
-    length), a key that only true repeats of a row share, so that a large group of copies spreads evenly.
+    path = None if index else scratch_path(spark, "index")
+    index = index or DigestIndex.open(spark, path, total)
+    _brought(rows, index, batches)
+    # hot keys are told by the rows of docs alone, whatever else the index holds
+    mine = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    table = stored(mine.join(index.groups().hint("merge"), "digest"), "resolved")
+    found = hot_lookup(rows, table, "digest", "n", total)
+    out = found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    if path:
+        index.close()
+        drop_scratch(path)
+    return out
+
+
+def without_copies(docs: DataFrame, index: DigestIndex | None = None, batches: int = BATCHES) -> DataFrame:
+    """docs with one row of each group of equal texts that the index did not have before, all columns as they were.
+
+    The rows to keep are found from digests alone; then docs is joined with them on the digest of the whole row, a
+    key that only true repeats of a row share, so that a large group of copies spreads evenly.
     """
-
-    def key(id_, digest, chars):
-        return F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("null")), F.hex(digest), chars.cast("string"))
-
+    spark = docs.sparkSession
     rows = stored(digests(docs), "digests")
-    index = index or DigestIndex.sized(docs.sparkSession, rows.count())
-    index.add(grouped(rows))
-    keep = index.rows().select(key(F.col("keep_id"), F.col("digest"), F.col("keep_chars")).alias("k"))
-    text = text_of(docs)
-    packed = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
-        key(docs["doc_id"].cast("bigint"), F.unhex(F.sha2(F.regexp_replace(text, WHITE + "+", ""), 256)), F.length(text)).alias("k"),
-    )
-    return packed.join(keep, "k", "left_semi").dropDuplicates(["k"]).select("row.*")
+    total = rows.count()
+    path = None if index else scratch_path(spark, "index")
+    index = index or DigestIndex.open(spark, path, total)
+    names = _brought(rows, index, batches)
+    new = index.part("first").filter(F.col("batch").isin(names)).select("digest")
+    keep = stored(index.groups().join(new.hint("merge"), "digest", "left_semi").select(F.col("keep_tie").alias("k")), "keep")
+    hot = hot_ties(rows.select(F.col("tie").alias("k")), total)
+    if path:
+        index.close()
+        drop_scratch(path)
+    forget(rows)
+    return picked(docs, keep, hot).select("row.*")

@@ -13,7 +13,8 @@
    documents are in a seeded order, the run is a random set of documents of which at most three are cut.
 
 Defined results: a null text is empty (size 0, taken 0); the null source is a source, after all others;
-rows that repeat a doc_id count like any rows. An empty table gives an empty result.
+rows that repeat a doc_id, wholly or with another text or source, are rows of their own. Very long texts are counted and cut whole. Other columns
+may have any name and keep their values. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.llm._common import WHITE, WORD, stored, text_of
+from seqloom.llm._common import WHITE, WORD, hot_ties, picked, row_tie, stored, text_of
 
 WEIGHTS = (5, 2, 1)
 #: Aim at so many documents to a shard.
 SHARD_DOCS = 1024
+SALT = 64
 
 
 def seeded(seed: int, *cols: Column) -> Column:
@@ -36,11 +38,11 @@ def seeded(seed: int, *cols: Column) -> Column:
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, tie): tie tells rows of one doc_id apart."""
+    """(doc_id, source, size, tie, k): tie tells texts of one doc_id apart, k whole rows."""
     text = text_of(docs)
     return docs.select(
         docs["doc_id"].cast("bigint").alias("doc_id"), docs["source"].cast("string").alias("source"),
-        F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"), F.md5(text).alias("tie"),
+        F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"), F.md5(text).alias("tie"), row_tie(docs).alias("k"),
     )
 
 
@@ -84,7 +86,7 @@ def apportioned(df: DataFrame, value: str, house: Column, divisor: Column, keys:
 
 
 def plan(docs: DataFrame, *, seed: int = 0, block: int = 64, epochs: float = 1.5, max_repeat: int = 2) -> DataFrame:
-    """For every row: doc_id, tie, source, size, source_size, target, and what the mix takes of it:
+    """For every row: doc_id, tie, k, source, size, source_size, target, and what the mix takes of it:
     `rounds` whole copies and the words [cut1_from, cut1_to) and [cut2_from, cut2_to); `taken` is their sum."""
     rows = stored(sizes(docs), "sizes")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
@@ -96,7 +98,7 @@ def plan(docs: DataFrame, *, seed: int = 0, block: int = 64, epochs: float = 1.5
     keyed = per_source.select(F.col("source").alias("_source"), "rank", "source_size", "target", "seats", "n_shards")
     dealt = rows.join(keyed, rows["source"].eqNullSafe(keyed["_source"])).drop("_source")
     dealt = dealt.withColumn("shard", F.pmod(seeded(seed, F.lit("shard"), F.col("doc_id"), F.col("tie")), F.col("n_shards")))
-    by_order = W.partitionBy("rank", "shard").orderBy(seeded(seed, F.lit("order"), F.col("doc_id"), F.col("tie")), "doc_id", "tie")
+    by_order = W.partitionBy("rank", "shard").orderBy(seeded(seed, F.lit("order"), F.col("doc_id"), F.col("tie")), "doc_id", "tie", "k")
     dealt = dealt.withColumn("_end", F.sum("size").over(by_order.rowsBetween(W.unboundedPreceding, W.currentRow)))
 
     shards = rows.join(keyed, rows["source"].eqNullSafe(keyed["_source"])).withColumn(
@@ -125,7 +127,7 @@ def plan(docs: DataFrame, *, seed: int = 0, block: int = 64, epochs: float = 1.5
     out = out.withColumn("cut1_from", a).withColumn("cut1_to", b).withColumn("cut2_from", c).withColumn("cut2_to", d)
     taken = F.col("rounds") * F.col("size") + F.col("cut1_to") - F.col("cut1_from") + F.col("cut2_to") - F.col("cut2_from")
     return out.select(
-        "doc_id", "tie", "source", "size", "source_size", "target", "rounds", "cut1_from", "cut1_to", "cut2_from", "cut2_to", taken.cast("bigint").alias("taken")
+        "doc_id", "tie", "k", "source", "size", "source_size", "target", "rounds", "cut1_from", "cut1_to", "cut2_from", "cut2_to", taken.cast("bigint").alias("taken")
     )
 
 
@@ -135,14 +137,16 @@ def mixed(docs: DataFrame, **params) -> DataFrame:
     Documents of which the mix takes nothing go. A cut document's text holds the words taken, joined by
     spaces, unless all of them are taken at once, which leaves the text as it is.
     """
-    key = lambda id_, tie: F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("null")), tie)
     cut = F.col("cut1_to") - F.col("cut1_from") + F.col("cut2_to") - F.col("cut2_from")
-    # rows that repeat doc_id and text share the key: the plan has a row for each, the documents one for all
-    chosen = plan(docs, **params).filter("taken > 0").select(
-        key(F.col("doc_id"), F.col("tie")).alias("k"), "rounds", "size", "cut1_from", "cut1_to", "cut2_from", "cut2_to", cut.alias("cut")
-    )
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), key(docs["doc_id"].cast("bigint"), F.md5(text_of(docs))).alias("k"))
-    used = packed.dropDuplicates(["k"]).join(chosen, "k")
+    rows = plan(docs, **params).filter("taken > 0")
+    chosen = stored(rows.select("k", "rounds", "size", "cut1_from", "cut1_to", "cut2_from", "cut2_to", cut.alias("cut")), "chosen")
+    hot = hot_ties(chosen.select("k"), chosen.count())
+    # rows alike in all columns share the key: the plan has a row for each, the documents one for all
+    used = picked(docs, chosen.select("k"), hot)
+    if not hot.isEmpty():  # their texts go to SALT places each, and the plan's rows are dealt to these
+        used = used.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        chosen = chosen.withColumn("salt", F.monotonically_increasing_id() % SALT)
+    used = used.join(chosen, [c for c in ("k", "salt") if c in used.columns])
     words = F.split(F.regexp_replace(F.col("row.text"), f"^{WHITE}+", ""), WHITE + "+")
     piece = lambda n: F.slice(words, (F.col(f"cut{n}_from") + 1).cast("int"), (F.col(f"cut{n}_to") - F.col(f"cut{n}_from")).cast("int"))
     cut_text = F.when(F.col("cut") == F.col("size"), F.col("row.text")).otherwise(F.array_join(F.concat(piece(1), piece(2)), " "))

@@ -148,13 +148,6 @@ def test_simhash_hub_and_chunks(spark, monkeypatch):
     assert sorted(roots.values()) == [30, 41]
 
 
-def test_near_copies_go(docs):
-    kept = simhash.without_near_copies(docs)
-    assert kept.columns == docs.columns
-    found = {r["doc_id"]: r["component_id"] for r in simhash.components(docs).collect()}
-    assert Counter(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == Counter(d for d, c in found.items() if d is not None and d == c)
-
-
 # 3 mixing
 
 
@@ -204,6 +197,21 @@ def test_mixed_texts(table):
     assert got == want
 
 
+def test_mixed_rows_keep_their_columns(spark):
+    """Equal ids and texts under other sources, and true repeats: each row's own words and columns."""
+    rnd = random.Random(9)
+    text = [" ".join(f"w{rnd.randrange(50)}" for _ in range(rnd.randint(1, 90))) for _ in range(6)]
+    rows = [(1, text[0], "x", 1), (1, text[0], "y", 2), (1, text[1], "y", 3), (None, text[2], None, 4), (None, text[3], "x", 5)] + [(k, text[k % 6], "xyz"[k % 3], k) for k in range(10, 60)] * 2
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string, `n.o` int").repartition(3)
+    got, want = Counter(), Counter()
+    for r in mixing.mixed(table).collect():
+        assert any((r[0], r[2], r[3]) == (d, s, n) and set(r[1].split()) <= set(t.split()) for d, t, s, n in rows)
+        got[r[0], r[2]] += len(words(r[1]))
+    for r in mixing.plan(table).collect():
+        want[r["doc_id"], r["source"]] += r["taken"]
+    assert got == +want
+
+
 # 4 token files, 9 counts, 10 packing
 
 
@@ -467,16 +475,58 @@ def test_exact(table):
     same([(r["doc_id"],) for r in left.collect()], [(min(g)[3],) for g in groups.values()])
 
 
-def test_index_persists(spark):
+def test_rows_kept_are_rows(spark):
+    """Repeated ids with other texts, equal texts with other columns, null ids, true repeats, odd column names: rows, not ids."""
+    schema = "doc_id bigint, text string, source string, `a.b` int, m map<string,int>"
+    rows = [(1, "A x", "s", 1, {"k": 1}), (8, "A x", "s", 1, None), (8, "B", "s", 1, None), (9, "C", "t", 2, None), (9, "D", "t", 2, None), (1, "A x", "s", 1, {"k": 1}), (None, "E", "u", 3, None), (None, "Ax", "u", 3, None), (1, "A x", "s", 2, None)]
+    found = exact_dedup.without_copies(spark.createDataFrame(rows, schema).repartition(3)).collect()
+    assert sorted(r["text"] for r in found) == ["A x", "B", "C", "D", "E"]
+    by_text = {r["text"]: r for r in found}
+    assert by_text["A x"]["doc_id"] == 1 and by_text["B"]["doc_id"] == 8 and all(tuple(r) in rows for r in map(lambda r: (*r[:4], r[4]), found))
+    again = exact_dedup.without_copies(spark.createDataFrame(rows[::-1], schema).repartition(2)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, found))
+
+
+def test_index_persists(spark, tmp_path):
     frame = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
-    index = exact_dedup.DigestIndex.sized(spark, 10)
+    open_ = lambda: exact_dedup.DigestIndex.open(spark, f"file://{tmp_path}/index", 10)
+    index = open_()
     first = frame([(1, "a b"), (2, "ab"), (3, "c")])
     assert {r["doc_id"] for r in exact_dedup.without_copies(first, index).collect()} == {1, 3}
+    index.close()
+    index = open_()  # as another session would
+    assert index.part("first").count() == 2
     second = frame([(0, "a  b"), (4, "d"), (5, "d ")])
-    got = {r["doc_id"]: r["keep_id"] for r in exact_dedup.resolve(second, index).collect()}
-    assert got == {0: 1, 4: 5, 5: 5}
-    index.add(exact_dedup.grouped(exact_dedup.digests(second)))
-    assert index.rows().count() == 3
+    assert {r["doc_id"] for r in exact_dedup.without_copies(second, index).collect()} == {5}
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.resolve(frame([(6, "ab"), (7, "e")]), index).collect()}
+    assert got == {6: (0, 4), 7: (7, 1)}
+    groups = exact_dedup.grouped(exact_dedup.digests(second))
+    for _ in range(2):  # a batch that is brought again changes nothing
+        index.add(groups, "named")
+    assert index.part("first").count() == 4 and index.part("again").filter("batch = 'named'").count() == 2
+    index.close()
+
+
+def test_small_batch_against_large_index(spark, tmp_path):
+    """The index is never broadcast, whatever its groups hold; the anti-join is a sort-merge join."""
+    index = exact_dedup.DigestIndex.open(spark, f"file://{tmp_path}/index", 10)
+    old = spark.range(5000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    exact_dedup.resolve(old.union(old), index).count()
+    batch = spark.createDataFrame([(7, "text 7"), (5001, "new"), (5002, "text 8")], "doc_id bigint, text string")
+    rows = exact_dedup.digests(batch)
+    plan = rows.join(index.part("first").hint("merge").select("digest"), "digest", "left_anti")._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    found = exact_dedup.resolve(batch, index)
+    assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in found.collect()} == {7: (7, 3), 5001: (5001, 1), 5002: (8, 3)}
+    assert "digests_" not in found._jdf.queryExecution().toString()
+    index.close()
+
+
+def test_resolve_leaves_no_tables(spark, docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    a, b = exact_dedup.resolve(docs), exact_dedup.resolve(docs)
+    same(a.collect(), b.collect())
+    assert {t.name for t in spark.catalog.listTables()} == before
 
 
 # 8 quality
