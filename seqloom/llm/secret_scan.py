@@ -1,13 +1,14 @@
 """Secret scans over a trigram inverted index, in DataFrame operations alone.
 
-Each rule carries a regular expression and a Boolean trigram query, from literals written by hand: an or of
-alternatives, each the and of the trigrams that every match of it must hold. The index has a posting
-(trigram, document) for every trigram of the rules, taken over whole texts lower-cased in A-Z; a query is
-answered by intersecting postings, and the regex then runs on the candidates alone. Rules without
-mandatory trigrams (runs of hexadecimal digits) scan all texts.
+Each rule carries a regular expression, from which its Boolean trigram query is derived (see trigram): an or of
+alternatives, each the and of trigrams that a match must hold. The index has a posting
+(trigram, document) for every trigram of the rules, taken over whole texts in lower case, sorted by trigram; a query
+looks up the postings of its trigrams and intersects them, alternative by alternative, and the regex then runs on the
+candidates alone. Rules without mandatory trigrams (runs of hexadecimal digits) scan all texts.
 
 Documents are known by (doc_id, md5 of the text), so rows that repeat a doc_id with other texts stay
-apart and true repeats share a result. Defined results: a null text is empty and has no spans;
+apart and true repeats share a result. Defined results: a null text is empty and has no spans; spans with the same start
+come in the order of the rules; a text of any length and number of matches is scanned whole, in time that grows with its length;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -15,12 +16,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.llm._common import stored, text_of
+from seqloom.llm.trigram import held_by, query_of
 
 
 def either_case(word: str) -> str:
@@ -30,17 +31,16 @@ def either_case(word: str) -> str:
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret. pattern: what is matched, leftmost and non-overlapping; must: an RE2/Java test that a match
-    has to pass; literals: alternatives, each a tuple of strings that a match holds in lower case (none: scan all)."""
+    """A kind of secret. pattern: what is matched, leftmost and non-overlapping; must: an RE2/Java test that a match has to pass."""
 
     kind: str
     pattern: str
     must: str
-    literals: tuple[tuple[str, ...], ...] = ()
 
     def query(self) -> list[frozenset[str]]:
-        """The Boolean trigram query: any of these sets, each wholly."""
-        return [frozenset(s[i : i + 3] for s in alt for i in range(len(s) - 2)) for alt in self.literals]
+        """The Boolean trigram query: any of these sets, each wholly; none if the pattern has no mandatory trigrams."""
+        found = query_of(self.pattern)
+        return [] if frozenset() in found else sorted(found, key=sorted)
 
 
 _KEYWORDS = "|".join([either_case("password"), either_case("passwd"), either_case("secret"), either_case("token"), either_case("api") + "_?" + either_case("key")])
@@ -48,23 +48,23 @@ _ASSIGN_HEAD = rf"""(?:{_KEYWORDS})["']?\x20*[:=]\x20*["']?"""
 
 #: The base kinds, in the order in which they are listed.
 BASE = (
-    Rule("assign", _ASSIGN_HEAD + r"[A-Za-z0-9+/_.=-]+", rf"^{_ASSIGN_HEAD}[A-Za-z0-9+/_.=-]{{12,}}$", (("password",), ("passwd",), ("secret",), ("token",), ("api_key",), ("apikey",))),
+    Rule("assign", _ASSIGN_HEAD + r"[A-Za-z0-9+/_.=-]+", rf"^{_ASSIGN_HEAD}[A-Za-z0-9+/_.=-]{{12,}}$"),
     # a match of these two takes its whole run of characters, so asking for the length at once changes nothing
-    Rule("access", r"AKIA[A-Z0-9]{14,}", r"^.{18,}$", (("akia",),)),
+    Rule("access", r"AKIA[A-Z0-9]{14,}", r"^.{18,}$"),
     Rule("hex", r"[0-9a-f]{16,}", r"^.{16,}$"),
 )
 #: Further kinds of this scan.
 MORE = (
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"^.+$", (("-----begin ", "private key-----"),)),
-    Rule("forge", r"gh[pousr]_[A-Za-z0-9]+", r"^.{40,}$", tuple((f"gh{c}_",) for c in "pousr")),
-    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", r"^.{15,}$", tuple((f"xox{c}-",) for c in "abprs")),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"^.{40,}$", (("eyj", ".eyj"),)),
-    Rule("url_login", r"[a-z]+://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@", r"^.+$", (("://",),)),
-)
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"^.+$"),
+    Rule("forge", r"gh[pousr]_[A-Za-z0-9]+", r"^.{40,}$"),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", r"^.{15,}$"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", r"^.{40,}$"),
+    Rule("url_login", r"[a-z]+://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/:@]+@", r"^.+$"),
+)
 
 
 def lowered(text: Column) -> Column:
-    """A-Z in lower case; a superset of the cases of any rule."""
+    """In lower case, beyond ASCII too: a superset of the cases of any rule."""
     return F.lower(text)
 
 
@@ -73,49 +73,61 @@ def trigrams(rules: tuple[Rule, ...]) -> list[str]:
 
 
 def build_index(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """The postings (gram, doc_id, tie) of the rules' trigrams, stored sorted by gram."""
+    """The postings (gram, doc_id, tie) of the rules' trigrams, stored sorted by gram. One pass over the texts; a search for
+    each trigram in the JVM is faster than one regex for all (0.13 s against 0.28 s a MB at 64 trigrams)."""
     grams = trigrams(rules)
     text = text_of(docs)
     # the lower-cased text is a column of its own, so that it is made once and not once for each trigram
     low = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.md5(text).alias("tie"), lowered(text).alias("low"))
-    found = F.array_compact(F.array(*[F.when(F.col("low").contains(g), F.lit(k)) for k, g in enumerate(grams)]))
-    return stored(low.select("doc_id", "tie", F.explode(found).alias("gram")).sortWithinPartitions("gram"), "postings")
+    found = F.array_compact(F.array(*[F.when(F.col("low").contains(g), F.lit(g)) for g in grams]))
+    return stored(low.select(F.explode(found).alias("gram"), "doc_id", "tie").sortWithinPartitions("gram"), "postings")
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(doc_id, tie, hits): the indexed rules whose query a document satisfies, as bits.
+    """(doc_id, tie, hits): the rules whose query a document satisfies, as bits.
 
-    The postings of a document meet as one bit mask per 63 trigrams, so the intersection is a bit test.
+    Postings are looked up by gram (sorted files: the scan skips what it isn't asked for). Those of an alternative's grams are
+    intersected: a document is in all of them if it comes with as many different grams as the alternative has.
     """
-    grams = {g: k for k, g in enumerate(trigrams(rules))}
-    words = range((len(grams) + 62) // 63)
-    bit = F.expr("shiftleft(1L, cast(gram % 63 as int))")
-    masks = postings.groupBy("doc_id", "tie").agg(
-        *[F.bit_or(F.when((F.col("gram") / 63).cast("int") == w, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"m{w}") for w in words]
-    )
-
-    def holds(alt: frozenset[str]) -> Column:
-        need = {w: sum(1 << (grams[g] % 63) for g in alt if grams[g] // 63 == w) for w in words}
-        return reduce(Column.__and__, [F.col(f"m{w}").bitwiseAND(F.lit(n).cast("bigint")) == n for w, n in need.items() if n])
-
-    hits = F.lit(0).cast("bigint")
+    uses: dict[str, list[Column]] = {}
     for k, r in enumerate(rules):
-        if r.literals:
-            hits = hits.bitwiseOR(F.when(reduce(Column.__or__, [holds(a) for a in r.query()]), F.lit(1 << k).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return masks.select("doc_id", "tie", hits.alias("hits")).filter("hits != 0")
+        for a, alt in enumerate(r.query()):
+            for g in alt:
+                uses.setdefault(g, []).append(F.struct(F.lit(k).alias("rule"), F.lit(a).alias("alt"), F.lit(len(alt)).alias("need")))
+    asked = F.create_map(*[x for g, u in uses.items() for x in (F.lit(g), F.array(*u))])
+    looked_up = postings.filter(F.col("gram").isin(list(uses))).select("doc_id", "tie", "gram", F.inline(F.element_at(asked, F.col("gram"))))
+    # a document's grams meet as bits; repeated rows set theirs again
+    place = F.create_map(*[x for k, g in enumerate(uses) for x in (F.lit(g), F.lit(k))])
+    met = looked_up.groupBy("doc_id", "tie", "rule", "alt", "need").agg(F.count_distinct(F.element_at(place, F.col("gram"))).alias("n"))
+    return met.filter("n = need").groupBy("doc_id", "tie").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("hits"))
 
 
 _NONE = "array<struct<start:int,rank:int,said:string>>"
-#: Matches whose running length is kept as a start for those that follow.
-STRIDE = 256
+#: Matches, and blocks of so many matches, whose lengths are summed together.
+STRIDE = 64
+
+
+def _sum(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda x, y: x + y)
+
+
+def _sums(a: Column) -> Column:
+    """The sums of STRIDE neighbours each."""
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / STRIDE).cast("int")), lambda b: _sum(F.slice(a, b * STRIDE + 1, STRIDE)))
+
+
+def _before(a: Column, i: Column) -> Column:
+    """The sum of the elements before i that are in its block of STRIDE."""
+    block = F.floor(i / STRIDE).cast("int") * STRIDE
+    return _sum(F.slice(a, block + 1, i - block))
 
 
 def add_spans(df: DataFrame, ranked: list[tuple[int, Rule, Column]], out: str) -> DataFrame:
     """Adds `out`, the spans in column t of the rules whose condition holds: an array of (start, rank, said), said being
     kind:start:end in code points.
 
-    Spark gives matches and the texts between them but no places; the places are their running lengths, summed from every
-    STRIDE-th on. Each step is a projection of its own whose columns the next one uses more than once, so that
+    Spark gives matches and the texts between them but no places; the places are their running lengths, summed in blocks and
+    blocks of blocks. Each step is a projection of its own whose columns the next one uses more than once, so that
     the optimizer keeps them apart and a regex runs once for a text, not once for a match.
     """
     keep = [F.col(c) for c in df.columns]
@@ -124,18 +136,25 @@ def add_spans(df: DataFrame, ranked: list[tuple[int, Rule, Column]], out: str) -
         *keep, *[F.when(c, F.regexp_extract_all("t", F.lit(r.pattern), F.lit(0))).alias(f"m{k}") for k, r, c in ranked],
         *[F.when(c, F.transform(F.split("t", r.pattern, -1), F.length)).alias(f"g{k}") for k, r, c in ranked],
     )
-    m, g, s, c = ({k: f"{x}{k}" for k in every} for x in "mgsc")
-    summed = found.select(*keep, *[F.col(x[k]) for x in (m, g) for k in every], *[F.zip_with(m[k], g[k], lambda a, b: F.coalesce(F.length(a), F.lit(0)) + b).alias(s[k]) for k in every])
-    starts = lambda k: F.transform(F.sequence(F.lit(0), F.floor(F.size(s[k]) / STRIDE).cast("int")), lambda b: F.aggregate(F.slice(s[k], 1, b * STRIDE), F.lit(0), lambda x, y: x + y))
-    based = summed.select(*keep, *[F.col(x[k]) for x in (m, g, s) for k in every], *[F.when(F.size(m[k]) > 0, starts(k)).alias(c[k]) for k in every])
+    cols = lambda x: {k: f"{x}{k}" for k in every}
+    m, g, s, t, u, v = map(cols, ("m", "g", "s", "t", "u", "v"))
+    at = found.select(*keep, *[F.col(x[k]) for x in (m, g) for k in every], *[F.zip_with(m[k], g[k], lambda a, b: F.coalesce(F.length(a), F.lit(0)) + b).alias(s[k]) for k in every])
+    some = lambda k: F.size(m[k]) > 0
+    for lower, upper in ((s, t), (t, u)):
+        have = [c for c in at.columns if c not in df.columns]
+        at = at.select(*keep, *have, *[F.when(some(k), _sums(F.col(lower[k]))).alias(upper[k]) for k in every])
+    # running sums of the blocks of blocks, each over 4096 matches
+    running = lambda k: F.transform(F.sequence(F.lit(0), F.size(u[k]) - 1), lambda b: _sum(F.slice(F.col(u[k]), 1, b)))
+    have = [c for c in at.columns if c not in df.columns]
+    based = at.select(*keep, *have, *[F.when(some(k), running(k)).alias(v[k]) for k in every])
 
     def placed(k: int, rule: Rule) -> Column:
         def one(x: Column, i: Column) -> Column:
             block = F.floor(i / STRIDE).cast("int")
-            start = F.get(c[k], block) + F.aggregate(F.slice(s[k], block * STRIDE + 1, i % STRIDE), F.lit(0), lambda x, y: x + y) + F.get(g[k], i)
+            start = F.get(v[k], F.floor(i / STRIDE**2).cast("int")) + _before(F.col(t[k]), block) + _before(F.col(s[k]), i) + F.get(g[k], i)
             return F.struct(start.alias("start"), (start + F.length(x)).alias("end"), x.rlike(rule.must).alias("ok"))
 
-        return F.when(F.size(m[k]) > 0, F.transform(m[k], one))
+        return F.when(some(k), F.transform(m[k], one))
 
     with_places = based.select(*keep, *[placed(k, r).alias(f"p{k}") for k, r, _ in ranked])
     said = lambda k, r: F.transform(F.filter(f"p{k}", lambda x: x["ok"]), lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("rank"), F.concat_ws(":", F.lit(r.kind), x["start"], x["end"]).alias("said")))
@@ -153,13 +172,17 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...]
     # rules with trigrams: on candidates alone
     hit = lambda k: F.col("hits").bitwiseAND(F.lit(1 << k).cast("bigint")) != 0
     c = found.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "hits")
-    picked = keyed.join(c, keyed["doc_id"].eqNullSafe(c["_id"]) & (keyed["tie"] == c["_tie"])).select("_id", "_tie", "hits", "t")
-    indexed = add_spans(picked, [(k, r, hit(k)) for k, r in enumerate(rules) if r.literals], "indexed")
+    # should the candidates be too many to broadcast, texts without any string that a match holds stay where they are
+    held = sorted({h for r in rules if r.query() for h in held_by(r.pattern)})
+    low = keyed.withColumn("low", lowered(F.col("t")))
+    near = low.filter(reduce(Column.__or__, [F.col("low").contains(h) for h in held])).drop("low") if held else keyed.limit(0)
+    picked = near.join(c, near["doc_id"].eqNullSafe(c["_id"]) & (near["tie"] == c["_tie"])).select("_id", "_tie", "hits", "t")
+    indexed = add_spans(picked, [(k, r, hit(k)) for k, r in enumerate(rules) if r.query()], "indexed")
     # no filter on the spans: pushed down, it would take their whole making with it
     indexed = indexed.groupBy("_id", "_tie").agg(F.first("indexed").alias("indexed"))
 
     # rules without: on all texts, each tested for any match first
-    scanned = add_spans(keyed, [(k, r, F.col("t").rlike(r.pattern)) for k, r in enumerate(rules) if not r.literals], "scanned").drop("t")
+    scanned = add_spans(keyed, [(k, r, F.col("t").rlike(r.pattern)) for k, r in enumerate(rules) if not r.query()], "scanned").drop("t")
     both = scanned.join(indexed, scanned["doc_id"].eqNullSafe(indexed["_id"]) & (scanned["tie"] == indexed["_tie"]), "left")
     out = both.select("doc_id", F.array_sort(F.concat("scanned", F.coalesce("indexed", F.array().cast(_NONE)))).alias("every"))
     listed = lambda a: F.array_join(F.transform(a, lambda s: s["said"]), ",")

@@ -70,6 +70,75 @@ def test_secrets_more_kinds(spark):
         assert re.fullmatch({x.kind: x.pattern for x in secret_scan.MORE}[kind], text[int(a) : int(b)])
 
 
+def strings_of(rnd, pattern):
+    """A random string that the pattern matches, by its parsed form in Python's own parser."""
+    import re._parser as parser
+
+    def one(item):
+        op, arg = str(item[0]), item[1]
+        if op == "LITERAL":
+            return chr(arg)
+        if op == "NOT_LITERAL":
+            return rnd.choice([c for c in "aZ9é" if ord(c) != arg])
+        if op == "IN":
+            accepted = [c for c in map(chr, [*range(9, 14), *range(32, 127), 233]) if re.fullmatch(pattern_of_class(arg), c)]
+            return rnd.choice(accepted)
+        if op == "BRANCH":
+            return many(rnd.choice(arg[1]))
+        if op == "SUBPATTERN":
+            return many(arg[-1])
+        if op == "MAX_REPEAT":
+            return "".join(many(arg[2]) for _ in range(rnd.randint(arg[0], min(int(arg[1]), arg[0] + 3))))
+        raise AssertionError(op)
+
+    def pattern_of_class(items):
+        spelt = ["^" if str(o) == "NEGATE" else f"\\x{a[0]:02x}-\\x{a[1]:02x}" if str(o) == "RANGE" else f"\\x{a:02x}" for o, a in items]
+        return "[" + "".join(spelt) + "]"
+
+    def many(items):
+        return "".join(map(one, items))
+
+    return many(parser.parse(pattern))
+
+
+EXTRA_PATTERNS = ["abc", "a?bcd+e", "(ab|cde)f*ghi", "(?:x|y|z)(?:longer|words)[0-9]{2,3}end", "[abc]{3}d", "(?:abc)*", "a[^b]cde", "no|yes", "(?:one|two)?three", "ab{2}c\\.d"]
+
+
+@pytest.mark.parametrize("pattern", [r.pattern for r in (*secret_scan.BASE, *secret_scan.MORE)] + EXTRA_PATTERNS)
+def test_matches_satisfy_their_query(pattern):
+    from seqloom.llm import trigram
+
+    rnd, query, held = random.Random(pattern), trigram.query_of(pattern), trigram.held_by(pattern)
+    for _ in range(400):
+        said = strings_of(rnd, pattern)
+        assert re.fullmatch(pattern, said)
+        low = trigram.lower("x" * rnd.randint(0, 2) + said + "é")
+        assert any(all(g in low for g in alt) for alt in query) and any(h in low for h in held)
+
+
+def test_queries_are_derived():
+    asked = {r.kind: r.query() for r in (*secret_scan.BASE, *secret_scan.MORE)}
+    assert frozenset(["tok", "oke", "ken"]) in asked["assign"] and len(asked["assign"]) == 6
+    assert asked["access"] == [frozenset(["aki", "kia"])] and asked["url_login"] == [frozenset(["://"])]
+    assert [k for k, q in asked.items() if not q] == ["hex"]
+
+
+def test_intersected_postings(spark):
+    """A document is a candidate if one alternative's grams are all there, spread over the text or not."""
+    rule = secret_scan.Rule("r", "abcd|xyz[0-9]+uvw", ".")
+    texts = {1: "ABC ... bcd", 2: "abc", 3: "xyz uvw", 4: "xyz", 5: None, 6: "bcdabc xyz"}
+    table = spark.createDataFrame([(k, t) for k, t in texts.items()] * 2, "doc_id bigint, text string")
+    found = secret_scan.candidates(secret_scan.build_index(table, (rule,)), (rule,)).collect()
+    assert sorted(r["doc_id"] for r in found) == [1, 3, 6] and {r["hits"] for r in found} == {1}
+
+
+def test_many_matches(spark):
+    """Places in a text with more matches than blocks of blocks hold."""
+    text = "".join(f"{'é' * (k % 3)}0123456789abcdef{k % 7 * ' '}G" for k in range(9000))
+    r = secret_scan.scan(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+    assert r["spans"] == ",".join(said for _, said in base_spans(text)) and r["n_hex"] == 9000
+
+
 # 2 SimHash
 
 
