@@ -4,8 +4,9 @@ A document's fingerprint has bit b set if over half the XXH64 hashes of its word
 fingerprints are one node. Two fingerprints within the radius r agree on at least BLOCKS - r of
 BLOCKS bit blocks, so they meet in a bucket of one of the tables that key on BLOCKS - r blocks. Within a bucket
 the fingerprints are compared as bit planes: plane b holds bit b of all of them, 64 to a machine word; a
-query's planes are xored in and added up by carry-save counters, many distances at a time, and a block
-of queries is abandoned once every lane has passed the radius.
+query's planes are xored in and added up by carry-save counters, many distances at a time, and a block of 64 lanes
+is abandoned once every lane has passed the radius. A query looks at the lanes after its own, in the planes in which the
+bucket's fingerprints differ.
 
 No bucket gives out its pairs: it gives a forest that spans its links, so at most one edge per
 fingerprint. A bucket with over LANES fingerprints is cut into chunks and each pair of chunks is
@@ -13,7 +14,8 @@ a task of its own, so memory is bounded and no pair is missed. Components come f
 small-star rounds over the edges, stored between rounds; hubs are looked up by broadcast (see hot_lookup).
 
 Defined results: a null or wordless text has fingerprint zero and links like any other. A component's id
-is the smallest doc_id in it, null only if all are. An empty table gives an empty result.
+is the smallest doc_id in it, null only if all are. A very long text is hashed whole, 65,536 shingles at a time. Rows that repeat a doc_id or
+text each get their result. Columns besides doc_id and text are not read and may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm._common import hot_lookup, stored
+from seqloom.llm._common import forget, hot_lookup, stored
 
 SEED = 42
 #: Fingerprints compared as one block: 64 words of 64 lanes.
@@ -76,26 +78,37 @@ def planes_of(fps: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
-def near(planes: np.ndarray, queries: np.ndarray, radius: int) -> np.ndarray:
-    """(queries, words): lanes within the radius of each query.
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
-    Distances of all lanes grow together in a vertical counter of few bits; a lane that overflows is out for good.
+
+def near(planes: np.ndarray, queries: np.ndarray, radius: int, skip: np.ndarray | None = None, order: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """(queries, words): lanes within the radius of each query but those in skip, and how many blocks were abandoned.
+
+    A block is a query against a word of 64 lanes. Distances of all its lanes grow together in a vertical counter of few bits; a
+    lane that overflows is out for good, and a block whose lanes are all out takes no part in the planes that are left.
+    order: the planes to look at; those in which nothing differs may be left out.
     """
-    full = np.uint64(0xFFFFFFFFFFFFFFFF)
-    n_bits = int(radius + 1).bit_length()
-    counter = np.zeros((n_bits, len(queries), planes.shape[1]), np.uint64)
-    out = np.zeros(counter.shape[1:], np.uint64)
-    for b in range(64):
-        carry = planes[b][None, :] ^ np.where((queries >> np.uint64(b)) & np.uint64(1), full, np.uint64(0))[:, None]
+    n_words, n_bits = planes.shape[1], int(radius + 1).bit_length()
+    out = np.full(len(queries) * n_words, _FULL)
+    over = np.zeros(len(out), np.uint64) if skip is None else skip.ravel().copy()
+    live = np.flatnonzero(over != _FULL)
+    over, abandoned = over[live], 0
+    query, word = np.divmod(live, n_words)
+    counter = np.zeros((n_bits, len(live)), np.uint64)
+    for step, b in enumerate(range(64) if order is None else order):
+        carry = planes[b][word] ^ np.where((queries >> np.uint64(b)) & np.uint64(1), _FULL, np.uint64(0))[query]
         for k in range(n_bits):
             counter[k], carry = counter[k] ^ carry, counter[k] & carry
-        out |= carry
-        if b > radius:
-            over = out | _above(counter, radius)
-            if b % 8 == 7 and (over == full).all():
-                return np.zeros_like(out)
-            out = over
-    return ~out
+        over |= carry
+        if step > radius and step % 4 == 3:
+            over |= _above(counter, radius)
+            stay = over != _FULL
+            gone = len(stay) - int(stay.sum())
+            if gone:
+                abandoned += gone
+                live, over, query, word, counter = live[stay], over[stay], query[stay], word[stay], counter[:, stay]
+    out[live] = over | _above(counter, radius)
+    return ~out.reshape(len(queries), n_words), abandoned
 
 
 def _above(counter: np.ndarray, radius: int) -> np.ndarray:
@@ -110,14 +123,29 @@ def _above(counter: np.ndarray, radius: int) -> np.ndarray:
     return above
 
 
+def differing(fps: np.ndarray) -> np.ndarray:
+    """The bits in which not all fingerprints agree: those of a bucket share the bits of its key."""
+    spread = np.bitwise_or.reduce(fps) ^ np.bitwise_and.reduce(fps)
+    return np.flatnonzero((spread >> np.arange(64, dtype=np.uint64)) & np.uint64(1))
+
+
+def lanes_up_to(first: int, n_queries: int, n_words: int, n: int) -> np.ndarray:
+    """(queries, words): for query k the lanes up to its own, first + k, and those past the last, n: only later ones are asked for."""
+    lane = np.arange(n_words * 64)
+    closed = (lane[None, :] <= (first + np.arange(n_queries))[:, None]) | (lane >= n)[None, :]
+    return np.ascontiguousarray(np.packbits(closed, axis=1, bitorder="little")).view(np.uint64)
+
+
 def forest(fps: np.ndarray, radius: int) -> np.ndarray:
     """(edges, 2): each fingerprint of a linked set with the set's smallest; fps are distinct."""
     n, label = len(fps), np.arange(len(fps))
-    planes = planes_of(fps)
+    planes, order = planes_of(fps), differing(fps)
     for at in range(0, n, 256):
-        lanes = np.unpackbits(np.ascontiguousarray(near(planes, fps[at : at + 256], radius)).view(np.uint8), axis=1, bitorder="little")[:, :n]
-        for i in np.flatnonzero(lanes.sum(axis=1, dtype=np.int64) > 1):
-            met = np.unique(label[np.flatnonzero(lanes[i])])
+        asked = fps[at : at + 256]
+        found, _ = near(planes, asked, radius, lanes_up_to(at, len(asked), planes.shape[1], n), order)
+        for i in np.flatnonzero(found.any(axis=1)):
+            lanes = np.flatnonzero(np.unpackbits(np.ascontiguousarray(found[i]).view(np.uint8), bitorder="little"))
+            met = np.unique(label[np.append(lanes, at + i)])
             if len(met) > 1:
                 label[np.isin(label, met)] = met[0]
     signed = fps.view(np.int64)
@@ -139,7 +167,9 @@ def small_forests(fps: np.ndarray, starts: np.ndarray, radius: int) -> np.ndarra
     out = []
     for at in range(0, len(i), 65536):
         x = fps[i[at : at + 65536]] ^ fps[j[at : at + 65536]]
-        ok = np.unpackbits(near(planes_of(x), np.zeros(1, np.uint64), radius)[0].view(np.uint8), bitorder="little")[: len(x)].astype(bool)
+        planes = planes_of(x)
+        found, _ = near(planes, np.zeros(1, np.uint64), radius, lanes_up_to(-1, 1, planes.shape[1], len(x)))
+        ok = np.unpackbits(found[0].view(np.uint8), bitorder="little")[: len(x)].astype(bool)
         out.append(np.stack([fps[i[at : at + 65536]][ok], fps[j[at : at + 65536]][ok]], axis=1).view(np.int64))
     # of a small bucket all links are given, each an edge
     return np.concatenate(out)
@@ -229,9 +259,10 @@ def stars(edges: DataFrame) -> DataFrame:
         big = stored(big.filter("u != v").distinct(), "large")
         # small star: u and its smaller neighbours go to the smallest of these
         n_big = big.count()
-        least = stored(big.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
-        small = hot_lookup(big, least, "u", "n", n_big).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = stored(small.filter("u != v").distinct(), "edges")
+        lower = stored(big.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        small = hot_lookup(big, lower, "u", "n", n_big).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lower.select("u", F.col("m").alias("v")))
+        before, edges = edges, stored(small.filter("u != v").distinct(), "edges")
+        forget(before, least, big, lower)
 
 
 def components(docs: DataFrame, *, width: int = 3, radius: int = 2, seed: int = SEED) -> DataFrame:
@@ -244,15 +275,3 @@ def components(docs: DataFrame, *, width: int = 3, radius: int = 2, seed: int =
     comp = stored(placed.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count(F.lit(1)).alias("n_nodes")), "components")
     named = stored(hot_lookup(placed, comp, "root", "n_nodes", nodes.count()).select("fp", "n", "component_id"), "named")
     return hot_lookup(rows, named, "fp", "n", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def without_near_copies(docs: DataFrame, **params) -> DataFrame:
-    """docs with one row of each component, the one with the smallest doc_id; all columns as they were.
-
-    Rows that repeat a doc_id count as one document. No id can stand for a row whose doc_id is null; such rows stay.
-    """
-    found = components(docs, **params)
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("bigint").alias("doc_id"))
-    kept = packed.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(packed.filter("doc_id is null")).select("row.*")

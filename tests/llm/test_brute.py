@@ -180,9 +180,17 @@ def test_bit_slices(radius):
     for k in range(1, 200):
         fps[k] = fps[rng.integers(0, k)] ^ np.uint64(1 << int(rng.integers(0, 64)))
     fps = np.unique(fps)
-    got = np.unpackbits(np.ascontiguousarray(simhash.near(simhash.planes_of(fps), fps, radius)).view(np.uint8), axis=1, bitorder="little")[:, : len(fps)]
+    planes = simhash.planes_of(fps)
+    bits = lambda found: np.unpackbits(np.ascontiguousarray(found).view(np.uint8), axis=1, bitorder="little")[:, : len(fps)]
+    got = bits(simhash.near(planes, fps, radius)[0])
     want = np.array([[(int(a) ^ int(b)).bit_count() <= radius for b in fps] for a in fps])
     assert (got.astype(bool) == want).all()
+    later = simhash.lanes_up_to(0, len(fps), planes.shape[1], len(fps))
+    found, abandoned = simhash.near(planes, fps, radius, later, simhash.differing(fps))
+    assert (bits(found).astype(bool) == np.triu(want, 1)).all()
+    # blocks behind the query are closed from the start, so those abandoned lie ahead of it; most have no near lane
+    blocks = np.add.reduceat(np.triu(want, 1), np.arange(0, len(fps), 64), axis=1)
+    assert 0 < abandoned <= (blocks == 0).sum()
 
     def classes(edges):
         root = {int(x): int(x) for x in fps.view(np.int64)}
