@@ -174,8 +174,9 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...]
     c = found.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "hits")
     # should the candidates be too many to broadcast, texts without any string that a match holds stay where they are
     held = sorted({h for r in rules if r.query() for h in held_by(r.pattern)})
-    low = keyed.withColumn("low", lowered(F.col("t")))
-    near = low.filter(reduce(Column.__or__, [F.col("low").contains(h) for h in held])).drop("low") if held else keyed.limit(0)
+    holds = lambda low: reduce(Column.__or__, [low.contains(h) for h in held], F.lit(False))
+    # an array of one: the lambda's argument is made once, however often it is looked into
+    near = keyed.filter(F.exists(F.array(lowered(F.col("t"))), holds))
     picked = near.join(c, near["doc_id"].eqNullSafe(c["_id"]) & (near["tie"] == c["_tie"])).select("_id", "_tie", "hits", "t")
     indexed = add_spans(picked, [(k, r, hit(k)) for k, r in enumerate(rules) if r.query()], "indexed")
     # no filter on the spans: pushed down, it would take their whole making with it
