@@ -476,6 +476,65 @@ def test_toxicity_learns_whole_texts(spark):
     assert all((model.score(text) >= 0.5) == k % 2 for k, text in rows)
 
 
+def test_score_is_a_plain_forward_pass(docs, spark):
+    """Each text's score by loops: hashed units, sums of the filters' tables over spans, maxima, a logistic layer, the language's threshold."""
+    labels = spark.createDataFrame([(100 + k, int(k % 2)) for k in range(40)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels)
+    names = sorted(toxicity.FUNCTION_WORDS)
+
+    def plain(text):
+        found = [m.encode() for m in re.findall(r"(?:[a-zA-Z0-9]|[^\x00-\x7f])+", (text or "").lower())]
+        units = []
+        for w in found:
+            raw = sum((c + 1) * pow(toxicity._ODD, k, 1 << 64) for k, c in enumerate(w)) % (1 << 64)
+            first = [int.from_bytes(w[:k], "little") + k - 1 for k in (4, 5, 6)]
+            units.append([(u * int(toxicity._MUL) % (1 << 64)) >> 47 for u in (raw, *first)])
+        best = np.zeros(toxicity._N)
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                for at in range(len(units) - width + 1):
+                    total = sum(float(model.tables[sum(toxicity.WIDTHS[:k]) + j][u, f]) for j in range(width) for u in units[at + j])
+                    best[k * toxicity.FILTERS + f] = max(best[k * toxicity.FILTERS + f], total + float(model.filter_bias[k * toxicity.FILTERS + f]))
+        votes = [sum(w.decode() in toxicity.FUNCTION_WORDS[n].split() for w in found) for n in names]
+        lang = max(range(len(names)), key=lambda k: (votes[k], -k))
+        return 1 / (1 + np.exp(-(float(best @ model.out + model.bias) - model.middle[lang])))
+
+    texts = {r["text"] for r in docs.collect()} | {"x", "one two", "Été 中文 the the", "under_score a-b", "\u0130stanbul"}
+    for text in texts:
+        if len(text or "") < 5000:
+            assert model.score(text) == pytest.approx(plain(text), abs=1e-4)
+    long = "the worst vermin " * 9000 + " ".join(f"w{k}" for k in range(90_000))
+    parts = [x for _, x in toxicity.word_hashes(long)]
+    assert sum(map(len, parts)) == 117_000 > toxicity.SLICE
+    best = toxicity.pooled(model.tables, model.filter_bias, np.concatenate(parts))[0]
+    assert model.logit(long)[0] == pytest.approx(float(best @ model.out + model.bias), abs=1e-4)
+
+
+def test_maxima_of_texts_together():
+    """Maxima over many texts at once, in slices, are those of each text alone."""
+    rng = np.random.default_rng(3)
+    emb, w = rng.normal(size=(50, toxicity.DIM)).astype(np.float32), rng.normal(size=(6, toxicity.DIM, toxicity.FILTERS)).astype(np.float32)
+    bias = rng.normal(size=toxicity._N).astype(np.float32)
+    units = [rng.integers(0, 50, (n, 4)) for n in (0, 1, 2, 3, 7, 0, 40, 1, 0)]
+    best, where = toxicity.tops(emb, w, bias, np.concatenate(units), np.cumsum(list(map(len, units))))
+    start = np.cumsum([0, *map(len, units)])
+    tables = np.einsum("bd,sdf->sbf", emb, w)
+    for k, u in enumerate(units):
+        alone, at = toxicity.pooled(tables, bias, u)
+        assert np.allclose(best[k], alone, atol=1e-4) and (where[k] == np.where(at >= 0, at + start[k], -1)).all()
+
+
+def test_repeated_ids_stay_few(spark):
+    """Rows that repeat a labelled id come down to one before the driver sees them."""
+    table = spark.createDataFrame([(k, f"text {k}") for k in range(1, 35)], "doc_id bigint, text string")
+    many = table.unionByName(table.filter("doc_id in (1, 2)").crossJoin(spark.range(3000)).select("doc_id", "text"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 35)], "doc_id bigint, toxic int")
+    units, _, got = toxicity.training_rows(many, labels)
+    assert len(units) == len(got) == labels.filter(~toxicity.is_held_out(labels["doc_id"])).count()
+    few, _, _ = toxicity.training_rows(many, labels, words=8)
+    assert 0 < len(few) < len(units) and all(len(u) == 2 for u in few)
+
+
 def test_toxicity_slices(monkeypatch):
     """Training by slices is training on whole texts."""
     rng = np.random.default_rng(13)
