@@ -730,6 +730,98 @@ def test_outliers_by_estimated_scatter(spark):
     assert {r["doc_id"] for r in got if not r["kept"]} == junk
 
 
+def plain_mcd(x, h, rng, tries=60):
+    """The least log determinant of the nearest h share's covariance, by concentration steps from random starts, and its mean."""
+    best = (np.inf, None)
+    n = int(np.ceil(h * len(x)))
+    for _ in range(tries):
+        own = x[rng.choice(len(x), x.shape[1] + 2, replace=False)]
+        was = np.inf
+        while True:
+            mean, cov = own.mean(axis=0), np.cov(own.T, bias=True) + 1e-9 * np.eye(x.shape[1])
+            d = np.einsum("ri,ij,rj->r", x - mean, np.linalg.inv(cov), x - mean)
+            own = x[np.argsort(d)[:n]]
+            now = np.linalg.slogdet(np.cov(own.T, bias=True))[1]
+            if not now < was - 1e-6:
+                break
+            was = now
+        best = min(best, (was, tuple(own.mean(axis=0))))
+    return best
+
+
+def test_least_determinant(spark):
+    """Groups with a tenth to a fifth of far rows: the determinant is the least that many random starts find."""
+    rng, rows, groups = np.random.default_rng(11), [], {}
+    for g in range(3):
+        a = rng.normal(size=(6, 6))
+        x = rng.normal(size=(400, 6)) @ a + rng.normal(size=6)
+        far = rng.choice(400, 40 + 20 * g, replace=False)
+        x[far] = x[far] * 0.3 + 15 * rng.normal(size=6)
+        groups[f"s{g}"] = x
+        rows += [("en", f"s{g}", *map(float, r)) for r in x]
+    table = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"x{i} double" for i in range(6)))
+    scale = quality._scale(quality.H)
+    for r in quality.raw_mcd(table).collect():
+        least, mean = plain_mcd(groups[r["source"]], quality.H, rng)
+        assert r["logdet"] == pytest.approx(least + 6 * np.log(scale), abs=0.12)
+        assert [r[f"m{i}"] for i in range(6)] == pytest.approx(mean, abs=0.3)
+
+
+def test_distance_and_kept(spark, sample):
+    """From the groups' raw estimates on: drawing towards parents, the chi-square step, distances and verdicts, in numpy."""
+    rows = quality.statistics(sample).select("doc_id", "lang", "source", *quality._STATS, quality.base_failed().alias("base_failed"), *quality.features()).collect()
+    table = spark.createDataFrame(rows)
+    pairs, p = quality._PAIRS, quality._P
+
+    def cov_of(r):
+        c = np.zeros((p, p))
+        for i, j in pairs:
+            c[i, j] = c[j, i] = r[f"c{i}{j}"]
+        return c
+
+    est = {(r["lang"], r["source"]): (r["n"], np.array([r[f"m{i}"] for i in range(p)]), cov_of(r)) for r in quality.raw_mcd(table).collect()}
+
+    def mixed(parts):
+        n = sum(x[0] for x in parts)
+        mean = sum(x[0] * x[1] for x in parts) / n
+        return n, mean, sum(x[0] * (x[2] + np.outer(x[1], x[1])) for x in parts) / n - np.outer(mean, mean)
+
+    def towards(own, parent):
+        (n, m, c), (_, pm, pc), k = own, parent, quality.PRIOR
+        return n, (n * m + k * pm) / (n + k), (n * c + k * pc + n * k / (n + k) * np.outer(m - pm, m - pm)) / (n + k)
+
+    def drawn(est):
+        langs = {lang: mixed([v for (x, _), v in est.items() if x == lang]) for lang, _ in est}
+        root = mixed(list(langs.values()))
+        langs = {k: towards(v, root) for k, v in langs.items()}
+        return {k: towards(v, langs[k[0]]) for k, v in est.items()}
+
+    def guarded(c):
+        c = c.copy()
+        for i in range(p):
+            c[i, i] = max(c[i, i], 0) + max(quality.GUARD - c[i, i], 1e-9)
+        return c
+
+    def distance(r, e):
+        words, chars, lines = max(r["n_words"], 1), max(r["word_chars"], 1), max(r["n_lines"], 1)
+        noise = np.array([1 / words, 1 / chars, 0.25 / chars, 0.25 / lines, 2.5 / words, 0.25 / chars])
+        c = guarded(e[2])
+        d = (np.array([r[f"x{i}"] for i in range(p)]) - e[1]) / np.sqrt(1 + noise / np.diag(c))
+        return max(d @ np.linalg.inv(c) @ d, 0)
+
+    first, last = drawn(est), {}
+    for key in est:
+        near = [r for r in rows if (r["lang"], r["source"]) == key and distance(r, first[key]) <= quality.chi2_quantile(0.01, p)]
+        x = np.array([[r[f"x{i}"] for i in range(p)] for r in near])
+        last[key] = (len(near), x.mean(axis=0), np.cov(x.T, bias=True).reshape(p, p) * quality._scale(0.99)) if near else (0.0, first[key][1], guarded(first[key][2]))
+    last = drawn(last)
+    want = {r["doc_id"]: distance(r, last[r["lang"], r["source"]]) for r in rows}
+    limit = quality.chi2_quantile(quality.TAIL, p)
+    for r in quality.judge(sample).collect():
+        assert r["distance"] == pytest.approx(want[r["doc_id"]], rel=1e-4, abs=1e-4)
+        assert r["kept"] == (not r["base_failed"] and want[r["doc_id"]] <= limit)
+
+
 def test_chi2():
     assert quality.chi2_quantile(0.05, 6) == pytest.approx(12.592, abs=0.05)
     assert quality.chi2_tail(12.592, 6) == pytest.approx(0.05, abs=1e-4)
