@@ -2,14 +2,16 @@
 
 The text is lower-cased in A-Z and every ASCII character but letters and digits becomes a space, so a phrase
 is a run of words whatever stands between them. One automaton finds all phrases, words whole, overlapping ones too.
-Where it finds the tag "spdx license identifier", the expression after it is parsed from the text as it is.
+Where it finds the tag "spdx license identifier", the expression after it is parsed from the text as it is; an open bracket
+or operator at a line's end goes on in the next line.
 
 labels: those of the phrases found and of the identifiers in the tags' expressions. score: how free the use is that
 the strictest finding allows, 1 for none found or a public-domain dedication, down to 0 for reserved rights; an
-expression counts as its best side for `or`, its worse side for `and`, and its licence for `with`.
+expression counts as its best side for `or`, its worse side for `and`, and its licence for `with`. A notice within a longer one
+("general public license" in "lesser general public license") gives its label, but only the longer one counts for the score.
 
-Defined results: a null text is empty; a broken expression gives its identifiers as labels and no score of its own;
-an empty table gives an empty result; repeated rows each get their result; other columns are not read.
+Defined results: a null text is empty; a broken expression gives its identifiers up to there as labels and no score of its own;
+very long texts are read whole, one at a time in a task; an empty table gives an empty result; repeated rows each get their result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ UNKNOWN = 0.5
 
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _TAG = re.compile(r"(?i:spdx)[^0-9A-Za-z\x80-\U0010ffff]+(?i:license)[^0-9A-Za-z\x80-\U0010ffff]+(?i:identifier)[\x20\t]*:?[\x20\t]*([^\r\n]*)")
+_LINE = re.compile(r"(?:\r\n|\r|\n)([^\r\n]*)")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 _PRIORITY = {"or": 1, "and": 2, "with": 3}
 
@@ -57,47 +60,45 @@ def family(identifier: str) -> str:
     return max(known, key=len) if known else low
 
 
-def parse(expression: str) -> list[str]:
-    """Shunting-yard: the expression in reverse Polish order; raises ValueError if it is broken."""
-    out, held, operand_due = [], [], True
+def parse(expression: str) -> tuple[list[str], list[str], str]:
+    """Shunting-yard: (the expression in reverse Polish order, its operands so far, "whole", "open" if it ends too early, or "broken")."""
+    out, held, operands, operand_due = [], [], [], True
     for token in _TOKEN.findall(expression):
         low = token.lower()
         if low in _PRIORITY:
             if operand_due:
-                raise ValueError("an operand is missing")
+                return out, operands, "broken"
             while held and held[-1] != "(" and _PRIORITY[held[-1]] >= _PRIORITY[low]:
                 out.append(held.pop())
             held.append(low)
             operand_due = True
-        elif token == "(":
-            if not operand_due:
-                raise ValueError("an operator is missing")
+        elif token == "(" and operand_due:
             held.append(token)
-        elif token == ")":
-            if operand_due:
-                raise ValueError("an operand is missing")
-            while held and held[-1] != "(":
+        elif token == ")" and operand_due:
+            return out, operands, "broken"
+        elif token == ")" and "(" in held:
+            while held[-1] != "(":
                 out.append(held.pop())
-            if not held:
-                raise ValueError("a bracket is missing")
             held.pop()
         elif operand_due:
             out.append(token)
+            if not (held and held[-1] == "with"):
+                operands.append(token)
             operand_due = False
+        elif "(" in held:
+            return out, operands, "broken"
         else:  # words after the expression are not part of it
             break
     if operand_due or "(" in held:
-        raise ValueError("it ends too early")
-    return out + held[::-1]
+        return out, operands, "open"
+    return out + held[::-1], operands, "whole"
 
 
 def evaluate(expression: str) -> tuple[set[str], float | None]:
-    """Labels of an expression's licences, and its freedom (None if it is broken)."""
-    try:
-        rpn = parse(expression)
-    except ValueError:
-        found = [t for t in _TOKEN.findall(expression)[:1] if t not in "()" and t.lower() not in _PRIORITY]
-        return {family(t) for t in found}, None
+    """Labels of an expression's licences, and its freedom. None if it is broken: then the labels are those up to there."""
+    rpn, operands, state = parse(expression)
+    if state != "whole":
+        return {family(t) for t in operands}, None
     stack: list[tuple[set[str], float]] = []
     for token in rpn:
         if token in _PRIORITY:
@@ -108,6 +109,18 @@ def evaluate(expression: str) -> tuple[set[str], float | None]:
     return stack[0]
 
 
+def expressions(text: str) -> Iterator[str]:
+    """What follows each tag up to its line's end; further lines as long as a bracket or an operator is open there."""
+    for tag in _TAG.finditer(text):
+        said, at = tag[1], tag.end()
+        while parse(said)[2] == "open" and said.strip():
+            line = _LINE.match(text, at)
+            if not line or not _TOKEN.search(line[1]):
+                break
+            said, at = said + " " + line[1], line.end()
+        yield said
+
+
 @lru_cache(maxsize=1)
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
@@ -121,11 +134,11 @@ def scan_text(text: str | None) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score) of a whole text."""
     words = words_of(text)
     joined = " " + b" ".join(words).decode("utf-8", "surrogatepass") + " "
-    base, starts, labels, scores, tagged = set(), [], set(), [], False
+    base, starts, labels, spans, tagged = set(), [], set(), [], False
     counted, at = 0, 0
     for end, (phrase, label, is_base) in automaton().iter(joined):
+        begin = end - len(phrase) - 1
         if is_base:
-            begin = end - len(phrase) - 1
             # starts come in the order of ends; a longer phrase may start before the last one
             counted += joined.count(" ", at, begin) if begin >= at else -joined.count(" ", begin, at)
             at = begin
@@ -133,12 +146,17 @@ def scan_text(text: str | None) -> tuple:
             base.add(label)
         if label:
             labels.add(label)
+            spans.append((begin, -end, label))
         tagged |= not label
-    # the longest label of those that a notice spells stands for it
-    scores = [FREEDOM[x] for x in labels if not any(y != x and y.startswith(x + "-") for y in labels)]
+    # a notice that lies within a longer one is part of that one's name
+    scores, reach = [], -1
+    for _, end, label in sorted(spans):
+        if -end > reach:
+            scores.append(FREEDOM[label])
+            reach = -end
     if tagged:
-        for tag in _TAG.finditer(text):
-            more, score = evaluate(tag[1])
+        for said in expressions(text):
+            more, score = evaluate(said)
             labels |= more
             scores += [] if score is None else [score]
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), min(scores, default=1.0)
