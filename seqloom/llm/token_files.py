@@ -16,7 +16,8 @@ store. A task writes under a name of its own and then moves the file to its fina
 replaces its file by an equal one.
 
 Defined results: a null text is empty (the end id alone); a null doc_id comes first; rows that repeat a
-doc_id are ordered by the md5 of their text and each is a document of its own; an empty table gives no files.
+doc_id are ordered by the md5 of their text and each is a document of its own, and may lie in several files; very long texts are one frame
+each; other columns are not read and may have any name; an empty table gives no files.
 """
 
 from __future__ import annotations
@@ -44,6 +45,10 @@ SEEK_MAGIC, INDEX_MAGIC, FOOT_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 NULL_ID = -(1 << 63)
 
 
+#: A row per file, kept in the folder's manifest.
+MANIFEST = "part bigint, file string, n_docs bigint, n_ids bigint, first_id bigint, last_id bigint"
+
+
 @dataclass
 class FrameWriter:
     """Writes one file to a binary stream; holds 12 bytes and the id of every document until the end."""
@@ -105,10 +110,10 @@ class FrameReader:
         return np.frombuffer(raw, f"<u{self.width}").astype("<u4")
 
 
-def write(docs: DataFrame, folder: str, vocabulary: str, *, spaced: bool = True, end_id: int = 0) -> list[tuple[int, str, int, int]]:
-    """Tokenise docs into files in folder, in ascending doc_id over the files; returns (place, file, documents, ids) of each.
+def write(docs: DataFrame, folder: str, vocabulary: str, *, spaced: bool = True, end_id: int = 0) -> list[tuple]:
+    """Tokenise docs into files in folder, in ascending doc_id over the files; returns (part, file, documents, ids, first and last doc_id) of each.
 
-    The list has a row per file, which is a row per partition.
+    The list has a row per file, which is a row per partition; it is also written to the folder's manifest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,17 +137,62 @@ def write(docs: DataFrame, folder: str, vocabulary: str, *, spaced: bool = True,
             fs.delete_file(mine)
             return
         fs.move(mine, final)
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, final.rpartition("/")[2], len(file.ids), n)], ["part", "file", "n_docs", "n_ids"])
+        row = (part, final.rpartition("/")[2], len(file.ids), n, min(file.ids), max(file.ids))
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["part", "file", "n_docs", "n_ids", "first_id", "last_id"])
 
     text = text_of(docs)
-    keyed = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text.alias("text"))
-    # a hash of the text orders rows that repeat a doc_id
-    ranged = keyed.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.md5("text"))
-    done = ranged.mapInArrow(run, "part bigint, file string, n_docs bigint, n_ids bigint").collect()
-    return sorted(map(tuple, done))
+    keyed = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), text.alias("text"), F.md5(text).alias("tie"))
+    # the text's hash orders rows that repeat a doc_id, and lets their range be split
+    ranged = keyed.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
+    done = ranged.select("doc_id", "text").mapInArrow(run, MANIFEST)
+    done.write.mode("overwrite").parquet(f"{folder}/_manifest")
+    return manifest(docs.sparkSession, folder)
+
+
+def manifest(spark: SparkSession, folder: str) -> list[tuple]:
+    """The rows of the folder's manifest, in the files' order."""
+    return sorted(map(tuple, spark.read.schema(MANIFEST).parquet(f"{folder}/_manifest").collect()))
+
 
+def requested(spark: SparkSession, folder: str, ids: DataFrame) -> DataFrame:
+    """(doc_id, ids binary) of the documents asked for in ids (doc_id); rows that repeat a doc_id all come.
 
-def read(spark: SparkSession, folder: str, files: list[tuple[int, str, int, int]]) -> DataFrame:
+    The manifest tells which files an id may be in; each of these is opened once, and only the frames of documents asked for are read.
+    """
+    files = [x for x in manifest(spark, folder) if x[5] != NULL_ID]
+    last, first = np.array([x[5] for x in files], np.int64), np.array([x[4] for x in files], np.int64)
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wanted = b.column(0).to_numpy(zero_copy_only=False)
+            # a file that also holds rows without an id starts before all of them
+            lo, hi = np.searchsorted(last, wanted, side="left"), np.searchsorted(first, wanted, side="right")
+            n = np.maximum(hi - lo, 0)
+            place = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array([files[k][1] for k in place], pa.string()), pa.array(np.repeat(wanted, n))], ["file", "doc_id"])
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        name, held = None, {}
+        for b in batches:
+            for file, doc_id in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if file != name:
+                    if held:
+                        held["source"].close()
+                    source = fs.open_input_file(f"{root}/{file}")
+                    name, held = file, {"source": source, "reader": FrameReader(source, fs.get_file_info(f"{root}/{file}").size)}
+                reader = held["reader"]
+                at = np.arange(*(np.searchsorted(reader.doc_ids, doc_id, side=x) for x in ("left", "right")))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(at), pa.int64()), pa.array([reader.tokens(k).tobytes() for k in at], pa.binary())], ["doc_id", "ids"])
+        if held:
+            held["source"].close()
+
+    wanted = ids.select(ids["doc_id"].cast("bigint").alias("doc_id")).filter("doc_id is not null").distinct()
+    return wanted.mapInArrow(locate, "file string, doc_id bigint").repartition("file").sortWithinPartitions("file", "doc_id").mapInArrow(fetch, "doc_id bigint, ids binary")
+
+
+def read(spark: SparkSession, folder: str, files: list[tuple]) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids binary) of every document, from the files; start counts the ids of all before it."""
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary"
 

@@ -336,6 +336,37 @@ def test_token_file_reader(tmp_path):
         token_files.FrameReader(io.BytesIO(raw[:-4]), len(raw) - 4)
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Small tables keep the partitions of a shuffle."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_requested_documents(spark, many_partitions, docs, no_docs, tmp_path):
+    folder = f"file://{tmp_path}/tokens"
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    files = token_files.write(docs, folder, vocabulary)
+    assert len(files) > 1 and sum(x[2] for x in files) == docs.count()
+    rows = [(d, t) for d, t in rows_of(docs) if d in (1, 7, 8, 105, 139)]
+    want = [(d, np.array([*x, 0], "<u4").tobytes()) for (d, _), x in zip(rows, encoded("byte_bpe_50k.json", [t for _, t in rows]), strict=True)]
+    asked = spark.createDataFrame([(k,) for k in (1, 7, 8, 105, 139, 5000, -3, None, 7)], "doc_id bigint")
+    same([(r["doc_id"], bytes(r["ids"])) for r in token_files.requested(spark, folder, asked).collect()], want)
+    assert token_files.write(no_docs, f"{folder}2", vocabulary) == [] and token_files.requested(spark, f"{folder}2", asked).count() == 0
+
+
+def test_one_id_in_many_files(spark, many_partitions, tmp_path):
+    """Rows of one id may fill several ranges; all are written once, in order, and found again."""
+    table = spark.createDataFrame([(7, f"text number {k}") for k in range(400)] + [(k, "a") for k in range(14)], "doc_id bigint, text string")
+    folder = f"file://{tmp_path}/tokens"
+    files = token_files.write(table, folder, public_tokenizers.path("byte_bpe_50k.json"))
+    assert sum(x[4] <= 7 <= x[5] for x in files) > 1
+    assert token_files.requested(spark, folder, spark.createDataFrame([(7,)], "doc_id bigint")).count() == 401
+    starts = [r["start"] for r in token_files.read(spark, folder, files).orderBy("start").collect()]
+    assert len(starts) == len(set(starts)) == 414
+
+
 @pytest.mark.parametrize(("name", "spaced"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_word_encoder(name, spaced):
     rnd = random.Random(3)
@@ -584,7 +615,12 @@ def test_licenses_random():
         ("(MIT OR GPL-2.0) AND AGPL-3.0", {"mit", "gpl", "agpl"}, 0.3),
         ("MIT OR GPL-2.0 AND AGPL-3.0", {"mit", "gpl", "agpl"}, 0.9),
         ("GPL-2.0-only WITH Classpath-exception-2.0", {"gpl"}, 0.4),
-        ("(MIT OR", {"mit"} - {"mit"}, None),
+        ("(MIT OR", {"mit"}, None),
+        ("MIT OR (Apache-2.0", {"mit", "apache"}, None),
+        ("(MIT OR Apache-2.0", {"mit", "apache"}, None),
+        ("OR MIT", set(), None),
+        ("(MIT Apache-2.0)", {"mit"}, None),
+        ("(GPL-2.0 WITH Classpath-exception-2.0", {"gpl"}, None),
         ("MIT OR", {"mit"}, None),
         ("", set(), None),
     ],
@@ -596,6 +632,77 @@ def test_expressions(said, labels, score):
         assert set(got[5].split(",")) == labels and got[6] == score
 
 
+def plain_verdict(text):
+    """Labels and score by the words alone and by recursive descent over the expressions."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    found = [(i, i + len(p.split()), label) for p, label in {**licenses.MORE, **licenses.BASE}.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+    labels = {x for _, _, x in found}
+    scores = [licenses.FREEDOM[x] for i, j, x in found if not any((a, b) != (i, j) and a <= i and j <= b for a, b, _ in found)]
+    for at in re.finditer(r"(?i:spdx-license-identifier):?[ \t]*", text or ""):
+        tokens = re.findall(r"[()]|[A-Za-z0-9.+:-]+", (text[at.end() :].split("\n\n") or [""])[0])
+        pos, seen = 0, []
+
+        def peek(tokens=tokens):
+            return tokens[pos].lower() if pos < len(tokens) else None
+
+        def side(names, inner):
+            nonlocal pos
+            out = inner()
+            while peek() in names:
+                name, pos = peek(), pos + 1
+                other = inner()
+                out = out if name == "with" else max(out, other) if name == "or" else min(out, other)
+            return out
+
+        def unit(tokens=tokens):
+            nonlocal pos
+            t = peek()
+            if t is None or t in (")", "or", "and", "with"):
+                raise ValueError
+            pos += 1
+            if t == "(":
+                out = side({"or"}, lambda: side({"and"}, lambda: side({"with"}, unit)))
+                if peek() != ")":
+                    raise ValueError
+                pos += 1
+                return out
+            if not (pos > 1 and tokens[pos - 2].lower() == "with"):
+                seen.append(licenses.family(t))
+            return licenses.FREEDOM.get(licenses.family(t), licenses.UNKNOWN)
+
+        try:
+            scores.append(side({"or"}, lambda: side({"and"}, lambda: side({"with"}, unit))))
+        except ValueError:
+            pass
+        labels |= set(seen)
+    return ",".join(sorted(labels)), min(scores, default=1.0)
+
+
+def test_verdicts_random():
+    rnd = random.Random(14)
+    notices = [*licenses.MORE, *licenses.BASE, "gnu", "lesser", "plain words", "é"]
+    for _ in range(600):
+        text = " ".join(rnd.choice(notices).title() if rnd.random() < 0.5 else rnd.choice(notices) for _ in range(rnd.randint(0, 6)))
+        if rnd.random() < 0.6:
+            tokens = [rnd.choice(["MIT", "GPL-2.0-only", "Apache-2.0", "LGPL-3.0", "Odd-1", "(", ")", "OR", "AND", "with", "CC-BY-4.0"]) for _ in range(rnd.randint(0, 7))]
+            text += "\n# SPDX-License-Identifier: " + " ".join(tokens)
+        assert licenses.scan_text(text)[5:] == plain_verdict(text), text
+
+
+@pytest.mark.parametrize(
+    ("text", "labels", "score"),
+    [
+        ("the GNU Lesser General Public License", "gpl,lgpl", 0.5),
+        ("GNU Lesser General Public License and the General Public License", "gpl,lgpl", 0.4),
+        ("cc by nc sa", "cc-by,cc-by-nc,cc-by-nc-sa", 0.2),
+        ("# SPDX-License-Identifier: (MIT OR\n#   Apache-2.0) AND\n# ISC\nnot this BSD", "apache,isc,mit", 0.9),
+        ("# SPDX-License-Identifier: (MIT OR", "mit", 1.0),
+    ],
+)
+def test_verdicts(text, labels, score):
+    assert licenses.scan_text(text)[5:] == (labels, score)
+
+
 # 7 exact dedup
 
 
