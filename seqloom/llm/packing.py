@@ -4,7 +4,8 @@ A task reads its documents in blocks of about BLOCK ids. Of a document longer th
 sequences of their own; what is left, and every shorter document, is an item. Item lengths are counted in steps of
 window / GRID. All combinations of up to DEPTH steps that fill a window exactly are the columns of a matrix, a row per
 length; non-negative least squares finds how often to use each so that the histogram of items is met. The repeat counts
-are rounded down, and each use takes the longest items left of its lengths. The items that remain are packed
+are rounded down and held to the stock, each use takes the longest items left of its lengths, and what is left is solved again
+until no combination can be filled. The items that remain are packed
 greedily: the largest that fits into each gap, then pieces cut to fill what is still open, then new windows one
 after the other. What does not fill a window goes to the next block, and at the end of the task is
 cut into sequences of powers of two, which need no padding. So no sequence is padded, and few documents are cut.
@@ -13,7 +14,7 @@ Documents never move between tasks, and a task holds one block, so memory doesn'
 id is the task's number and its own number there; reruns over the same input splits give the same sequences.
 
 Defined results: a null text is empty and has the end id alone; rows that repeat a doc_id are documents of their own; an
-empty table gives no pieces; other columns are not read.
+empty table gives no pieces; a document of any length is packed whole; other columns are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -70,7 +71,8 @@ def combinations_of(grid: int, depth: int) -> np.ndarray:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, steps: int = 300) -> np.ndarray:
-    """x >= 0 that minimises |a x - b|, by active sets (Lawson and Hanson)."""
+    """x >= 0 that minimises |a x - b|, by active sets (Lawson and Hanson). After `steps` steps the best so far stands: packing stays
+    right with any repeat counts, only less tight."""
     n = a.shape[1]
     ata, atb = a.T @ a, a.T @ b
     x, free = np.zeros(n), np.zeros(n, bool)
@@ -101,6 +103,35 @@ def nnls(a: np.ndarray, b: np.ndarray, steps: int = 300) -> np.ndarray:
     return x
 
 
+def repeat_counts(stock: dict[int, int], grid: int, depth: int) -> list[tuple[list[int], int]]:
+    """(lengths, times) of the combinations to use: least squares against the stock, rounded down, and never more than there is.
+
+    Only combinations whose lengths are all there take part. A length counts by 1 / its stock, so that few of it are not asked for
+    many times over; where rounding leaves nothing, the combination asked for most is used once.
+    """
+    columns = combinations_of(grid, depth)
+    have = np.zeros(grid + 1)
+    for k, n in stock.items():
+        have[k] = n
+    fits = np.flatnonzero((columns <= have[:, None]).all(axis=0))
+    if not len(fits):
+        return []
+    rows = np.flatnonzero(have)
+    weight = 1 / np.sqrt(have[rows])
+    x = nnls(columns[np.ix_(rows, fits)] * weight[:, None], have[rows] * weight)
+    out, left = [], have.copy()
+    for k in np.argsort(-x, kind="stable"):
+        need = columns[:, fits[k]]
+        times = int(min(np.floor(x[k] + 1e-6) if out or x[k] >= 1 else 1, (left[need > 0] // need[need > 0]).min()))
+        if times < 1:
+            if out:
+                break
+            continue
+        left -= need * times
+        out.append(([int(z) for z in np.flatnonzero(need) for _ in range(int(need[z]))], times))
+    return out
+
+
 def pack(items: list[Item], window: int = WINDOW, grid: int = GRID, depth: int = DEPTH) -> tuple[list[list[Item]], list[Item]]:
     """Full sequences, and items (fewer than a window of ids in all) that are left. Every sequence has window ids."""
     done: list[list[Item]] = []
@@ -115,17 +146,10 @@ def pack(items: list[Item], window: int = WINDOW, grid: int = GRID, depth: int =
     by: dict[int, list[Item]] = defaultdict(list)
     for x in sorted(short, key=lambda x: len(x.ids)):
         by[-(-len(x.ids) // step)].append(x)
-    columns = combinations_of(grid, depth)
-    histogram = np.zeros(grid + 1)
-    for k, xs in by.items():
-        histogram[k] = len(xs)
-    repeats = np.floor(nnls(columns[1:], histogram[1:]) + 1e-6).astype(int)
     opened: list[list[Item]] = []
-    for k in np.flatnonzero(repeats):
-        lengths = [int(x) for x in np.flatnonzero(columns[:, k]) for _ in range(int(columns[x, k]))]
-        need = {x: lengths.count(x) for x in lengths}
-        for _ in range(min(int(repeats[k]), *(len(by[x]) // n for x, n in need.items()))):
-            opened.append([by[x].pop() for x in lengths])
+    while use := repeat_counts({k: len(xs) for k, xs in by.items()}, grid, depth):
+        for lengths, times in use:
+            opened += [[by[x].pop() for x in lengths] for _ in range(times)]
     pool = sorted((x for xs in by.values() for x in xs), key=lambda x: len(x.ids))
     fill = lambda seq: sum(len(x.ids) for x in seq)
     gaps = [window - fill(s) for s in opened]

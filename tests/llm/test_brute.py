@@ -437,6 +437,19 @@ def test_packing_cuts_little():
     assert sum(cut[k] > 1 for k in short) < 0.15 * len(short)
 
 
+def test_repeats_hold_to_the_stock():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        stock = {int(k): int(n) for k, n in zip(rng.choice(np.arange(1, 17), 8, replace=False), rng.integers(0, 30, 8), strict=True)}
+        used = Counter()
+        for lengths, times in packing.repeat_counts(stock, 16, 3):
+            assert sum(lengths) == 16 and len(lengths) <= 3 and times > 0
+            used.update({k: n * times for k, n in Counter(lengths).items()})
+        assert all(used[k] <= stock.get(k, 0) for k in used)
+        can = any(all(stock.get(x, 0) >= n for x, n in Counter(c).items()) for c in [(16,), *((a, 16 - a) for a in range(1, 16)), *((a, b, 16 - a - b) for a in range(1, 15) for b in range(1, 16 - a))])
+        assert bool(used) == can
+
+
 def test_nnls():
     rng = np.random.default_rng(2)
     for _ in range(20):
