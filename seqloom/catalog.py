@@ -18,6 +18,7 @@ from seqloom.operators import counting as C
 from seqloom.operators import models as M
 from seqloom.operators import sampling, scoring, training
 from seqloom.sources import files
+from seqloom.sources.shared import kept, spread
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -42,7 +43,7 @@ READS = f"WITH reads AS (SELECT doc_id AS seq_id, CAST(doc_id % 3 AS INTEGER) AS
 
 
 def reads(spark: SparkSession, sf: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf}/documents.parquet")
+    d = spread(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
     return d.select(F.col("doc_id").alias("seq_id"), (F.col("doc_id") % 3).cast("int").alias("grp"), S.mapped_dna(F.col("text")).alias("seq")).filter("seq != ''")
 
 

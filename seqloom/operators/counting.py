@@ -7,16 +7,22 @@ shorter lags are sums of those at the longest one, since every window is padded
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import symbols as S
 
 
-def windows(reads: DataFrame, lag: int, keep: tuple[str, ...] = ("grp",)) -> DataFrame:
-    """(keep..., pos, kmer, nxt): each letter with the lag symbols before it; pos counts from 1."""
-    each = reads.select(*keep, F.posexplode(_overlapping(S.padded(F.col("seq"), lag), lag + 1)).alias("pos", "w"))
-    return each.select(*keep, (F.col("pos") + 1).alias("pos"), F.left("w", F.lit(lag)).alias("kmer"), F.right("w", F.lit(1)).alias("nxt"))
+#: Windows of a sequence that are taken together, so that none, however long, is one row of all its windows.
+BLOCK = 1 << 14
+
+
+def blocks(reads: DataFrame, seq: Column, width: int, keep: tuple[str, ...]) -> DataFrame:
+    """(keep..., b, part): the sequence in parts that start every BLOCK letters and overlap by width - 1, so each window lies in one. One pass."""
+    parts = F.regexp_extract_all(seq, F.lit(f"(?=(.{{1,{BLOCK + width - 1}}})).{{1,{BLOCK}}}"), F.lit(1))
+    return reads.select(*keep, F.posexplode(parts).alias("b", "part"))
 
 
 def _overlapping(seq: Column, width: int) -> Column:
@@ -24,9 +30,16 @@ def _overlapping(seq: Column, width: int) -> Column:
     return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{width}}}))"), F.lit(1))
 
 
+def windows(reads: DataFrame, lag: int, keep: tuple[str, ...] = ("grp",)) -> DataFrame:
+    """(keep..., pos, kmer, nxt): each letter with the lag symbols before it; pos counts from 1."""
+    parts = blocks(reads, S.padded(F.col("seq"), lag), lag + 1, keep)
+    each = parts.select(*keep, "b", F.posexplode(_overlapping(F.col("part"), lag + 1)).alias("at", "w"))
+    return each.select(*keep, (F.col("b") * BLOCK + F.col("at") + 1).alias("pos"), F.left("w", F.lit(lag)).alias("kmer"), F.right("w", F.lit(1)).alias("nxt"))
+
+
 def kmers(reads: DataFrame, k: int, keep: tuple[str, ...] = ("grp",)) -> DataFrame:
     """(keep..., kmer): the k-letter words of each sequence that has so many letters."""
-    return reads.select(*keep, F.explode(_overlapping(F.col("seq"), k)).alias("kmer"))
+    return blocks(reads, F.col("seq"), k, keep).select(*keep, F.explode(_overlapping(F.col("part"), k)).alias("kmer"))
 
 
 def count_long(reads: DataFrame, lag: int, alphabet: str = "dna") -> DataFrame:
@@ -34,11 +47,11 @@ def count_long(reads: DataFrame, lag: int, alphabet: str = "dna") -> DataFrame:
     return of_alphabet(count_windows(reads, lag), alphabet)
 
 
-def count_windows(reads: DataFrame, lag: int) -> DataFrame:
-    """(kmer, grp, nxt, n) of all windows, whatever their symbols. They are counted whole, and only the distinct ones are split."""
-    each = reads.select("grp", F.explode(_overlapping(S.padded(F.col("seq"), lag), lag + 1)).alias("w"))
-    seen = each.groupBy("grp", "w").agg(F.count(F.lit(1)).alias("n"))
-    return seen.select(F.left("w", F.lit(lag)).alias("kmer"), "grp", F.right("w", F.lit(1)).alias("nxt"), "n")
+def count_windows(reads: DataFrame, lag: int, keep: tuple[str, ...] = ("grp",)) -> DataFrame:
+    """(kmer, keep..., nxt, n) of all windows, whatever their symbols. They are counted whole, and only the distinct ones are split."""
+    parts = blocks(reads, S.padded(F.col("seq"), lag), lag + 1, keep)
+    seen = parts.select(*keep, F.explode(_overlapping(F.col("part"), lag + 1)).alias("w")).groupBy(*keep, "w").agg(F.count(F.lit(1)).alias("n"))
+    return seen.select(F.left("w", F.lit(lag)).alias("kmer"), *keep, F.right("w", F.lit(1)).alias("nxt"), "n")
 
 
 def of_alphabet(long: DataFrame, alphabet: str = "dna") -> DataFrame:
@@ -92,7 +105,8 @@ def _ends(reads: DataFrame, longest: int, part) -> DataFrame:
 
 
 def from_parts(reads: DataFrame, lag: int) -> DataFrame:
-    """(kmer, grp, nxt, n) put together from starts, inner words and ends, for reads of lag letters at least."""
+    """(kmer, grp, nxt, n) put together from starts, inner words and ends, for reads of lag letters at least. Shorter ones
+    have no such parts and are left out; checked_length raises for them."""
     fit = reads.filter(F.length("seq") >= lag)
     inner = kmers(fit, lag + 1).select("grp", F.left("kmer", F.lit(lag)).alias("kmer"), F.right("kmer", F.lit(1)).alias("nxt"))
     each = fit.select("grp", "seq", F.explode(F.sequence(F.lit(1), F.lit(lag))).alias("len"))
@@ -101,6 +115,12 @@ def from_parts(reads: DataFrame, lag: int) -> DataFrame:
     return inner.unionByName(starts).unionByName(ends).groupBy("kmer", "grp", "nxt").agg(F.count(F.lit(1)).alias("n"))
 
 
+def checked_length(reads: DataFrame, lag: int) -> DataFrame:
+    """reads, raising for a sequence of fewer than lag letters."""
+    short = F.raise_error(F.format_string("a sequence has %d letters, fewer than the lag", F.length("seq")))
+    return reads.withColumn("seq", F.when(F.length("seq") >= lag, F.col("seq")).otherwise(short))
+
+
 def packed(table: DataFrame, n_groups: int, n_letters: int = 5) -> DataFrame:
     """(kmer, counts): the matrix as JSON text, a list of letters for each group."""
     rows = [F.array(*[F.col(f"g{g}_{i}") for i in range(n_letters)]) for g in range(n_groups)]
@@ -145,10 +165,23 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.select(F.coalesce("l.kmer", "r.kmer").alias("kmer"), side.alias("side"), sum(off[1:], off[0]).alias("off")).filter("off > 0 or side != 'both'")
 
 
-def lookup(queries: DataFrame, table: DataFrame) -> DataFrame:
-    """Counts of the queried contexts, 0 for those the table lacks. Spark broadcasts whichever side is small."""
+def lookup(queries: DataFrame, table: DataFrame, ends: bool = True) -> DataFrame:
+    """Counts of the queried contexts, 0 for those the table lacks. Spark broadcasts whichever side is small.
+
+    ends=False: sequences are taken as pieces of a longer one, so stops, and contexts with a start, count as 0."""
     cells = [c for c in table.columns if c != "kmer"]
-    return queries.join(table, "kmer", "left").select("kmer", *[F.coalesce(c, F.lit(0)).alias(c) for c in cells])
+    stop = f"_{len(S.ALPHABETS['dna'])}"
+    value = lambda c: F.coalesce(c, F.lit(0)) if ends else F.when(F.col("kmer").contains(S.START) | F.lit(c.endswith(stop)), 0).otherwise(F.coalesce(c, F.lit(0))).cast("bigint")
+    return queries.join(table, "kmer", "left").select("kmer", *[value(c).alias(c) for c in cells])
+
+
+def none_found(counts: DataFrame) -> bool:
+    """Whether looked-up counts are all 0; then the table or the lag is likely the wrong one, and a warning says so."""
+    cells = [c for c in counts.columns if c != "kmer"]
+    most = counts.agg(F.max(F.greatest(*cells) if len(cells) > 1 else F.col(cells[0]))).first()[0]
+    if not most:
+        warnings.warn("no context was found: is it the right table and lag?", stacklevel=2)
+    return not most
 
 
 def cross_letters(contexts: DataFrame, alphabet: str = "dna") -> DataFrame:

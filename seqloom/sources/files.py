@@ -1,13 +1,17 @@
 """Sequence files and count files.
 
-FASTA and FASTQ are framed by Spark's text reader, so they may lie in any store that Spark reads and are split by record, not
-by file: FASTA at lines that start with '>'; FASTQ, whose quality lines may start with '@', by lines of four in a file.
+FASTA and FASTQ are framed by Spark's text reader, so they may lie in any store that Spark reads, and large files are read in
+splits: FASTA at lines that start with '>'; FASTQ, whose quality lines may start with '@', by the lines' numbers in their file.
 """
 
 from __future__ import annotations
 
 import configparser
+import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,11 +32,28 @@ def fasta(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(file, name, seq). Lines are numbered within a file, which is one task's work: files are read whole."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
-    each = text.select("file", "lines", F.explode(F.sequence(F.lit(0), F.greatest(F.floor(F.size("lines") / 4) - 1, F.lit(0)).cast("int"))).alias("k"))
-    at = lambda j: F.get("lines", F.col("k") * 4 + j)
-    return each.select("file", F.regexp_replace(at(0), "^@", "").alias("name"), at(1).alias("seq")).filter("seq is not null")
+    """(file, name, seq). A record is four lines. Lines are counted per split of a file, the splits' counts added up, and names
+    and sequences meet by the number of their record; quality lines never move."""
+    src = spark.read.text(path)
+    lines = src.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.regexp_replace("value", "\r$", "").alias("value"))
+
+    def numbered_in_split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = None, 0
+        for b in batches:
+            at = np.zeros(b.num_rows, np.int64)
+            files, splits = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for k, key in enumerate(zip(files, splits, strict=True)):
+                held, n = (held, n + 1) if key == held else (key, 0)
+                at[k] = n
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at)], ["file", "split", "value", "at"])
+
+    counts = lines.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1))
+    offsets = counts.select("file", "split", F.coalesce(before, F.lit(0)).alias("before"))
+    each = lines.mapInArrow(numbered_in_split, "file string, split bigint, value string, at bigint").join(offsets, ["file", "split"])
+    each = each.select("file", "value", (F.col("at") + F.col("before")).alias("line")).filter("line % 4 < 2")
+    record = each.groupBy("file", F.floor(F.col("line") / 4).alias("k")).agg(F.max(F.when(F.col("line") % 4 == 0, F.col("value"))).alias("name"), F.max(F.when(F.col("line") % 4 == 1, F.col("value"))).alias("seq"))
+    return record.filter("seq is not null").select("file", F.regexp_replace("name", "^@", "").alias("name"), "seq")
 
 
 def reads(spark: SparkSession, manifest_path: str) -> DataFrame:
@@ -57,6 +78,30 @@ def read_sparse(spark: SparkSession, path: str, n_groups: int) -> DataFrame:
     return counting.dense(src, n_groups)
 
 
+def discovered(folder: str, start: str = "") -> str:
+    """The path of all files in a folder whose names start so, for any of the readers."""
+    return f"{folder.rstrip('/')}/{start}*"
+
+
+def read_dump(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(kmer, n) of a k-mer counter's tab-separated dump."""
+    return spark.read.csv(path, sep="\t", quote="", schema="kmer string, n bigint")
+
+
+def dump_transitions(dump: DataFrame, group: int = 0) -> DataFrame:
+    """(kmer, grp, nxt, n) from counted words: the last letter follows the others. Words with other letters are left out."""
+    long = dump.select(F.expr("left(kmer, length(kmer) - 1)").alias("kmer"), F.lit(group).alias("grp"), F.right("kmer", F.lit(1)).alias("nxt"), "n")
+    return counting.of_alphabet(long)
+
+
+def load_table(spark: SparkSession, path: str) -> DataFrame:
+    """A wide count table kept as Parquet; a path without one raises Spark's AnalysisException."""
+    table = spark.read.parquet(path)
+    if "kmer" not in table.columns:
+        raise ValueError(f"{path} is no count table: it has no column kmer")
+    return table
+
+
 def write_dense(table: DataFrame, path: str, n_groups: int, bins: int = 1) -> None:
     """Tab-separated files, rows dealt to them by the md5 of the context, as shuffled as by chance but the same in every run."""
     by = F.pmod(F.conv(F.substring(F.md5("kmer"), 1, 8), 16, 10).cast("bigint"), F.lit(bins))
@@ -76,10 +121,19 @@ def bins_for(total_bytes: int, n_groups: int, file_gb: float) -> int:
     return bins
 
 
-def config(path: str) -> dict[str, dict[str, str]]:
+def config(path: str) -> dict[str, dict[str, object]]:
+    """An INI file; values that are JSON (numbers, lists, objects) are decoded, True and False too, others are strings."""
     found = configparser.ConfigParser()
-    found.read(path)
-    return {s: dict(found[s]) for s in found.sections()}
+    with open(path) as file:  # the driver's own file
+        found.read_file(file)
+
+    def value(said: str) -> object:
+        try:
+            return {"True": True, "False": False}[said] if said in ("True", "False") else json.loads(said)
+        except ValueError:
+            return said
+
+    return {s: {k: value(v) for k, v in found[s].items()} for s in found.sections()}
 
 
 def numbered(df: DataFrame, size: int, by: str = "kmer") -> DataFrame:
