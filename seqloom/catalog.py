@@ -404,7 +404,7 @@ def variant_indel_score_map(spark, sf):
 
 @query(_score_sql(READS, "seq_id", "1", f"({win(3)})").replace("6) + 0.0", "4) + 0.0"))
 def sequence_score_map(spark, sf):
-    w = C.windows(reads(spark, sf), 3, keep=("seq_id",))
+    w = C.count_windows(reads(spark, sf), 3, keep=("seq_id",))
     return scoring.sequence_scores(w, wide3(spark, sf), 0, ALPHAS).withColumn("score", F.round("score", 4) + F.lit(0.0))
 
 
@@ -413,7 +413,7 @@ _OWN = ", ".join(f"count(*) FILTER (nxt = '{c}') AS w{i}" for i, c in enumerate(
 
 @query(f"{WIDE}, o AS (SELECT seq_id, kmer, {_OWN} FROM ({win(3)}) GROUP BY 1, 2) " + " UNION ALL ".join(f"SELECT seq_id, {a}::DOUBLE AS alpha, round(sum({dm_sql([f'{a}::DOUBLE + coalesce(g0_{i}, 0)' for i in range(5)], [f'w{i}' for i in range(5)])}), 4) AS score FROM o LEFT JOIN wide USING (kmer) GROUP BY 1" for a in ALPHAS))
 def sequence_marginal_loglik(spark, sf):
-    w = C.windows(reads(spark, sf), 3, keep=("seq_id",))
+    w = C.count_windows(reads(spark, sf), 3, keep=("seq_id",))
     return scoring.sequence_marginals(w, wide3(spark, sf), 0, ALPHAS).withColumn("score", F.round("score", 4))
 
 
@@ -481,18 +481,42 @@ def gumbel_sample(spark, sf):
     return t.groupBy("kmer").agg(F.min(F.struct(-F.col("v"), F.col("nxt"))).alias("b")).select("kmer", F.col("b.nxt").alias("letter"))
 
 
+def both3(spark, sf):
+    return C.wide(C.count_long(C.both_strands(reads(spark, sf)), 3), 3)
+
+
 def _seeds(spark, sf) -> DataFrame:
-    return reads(spark, sf).select(F.col("seq_id").alias("seed_id"), F.right("seq", F.lit(12)).alias("seq"))
+    """The last 12 letters of each read, to be grown by 4 to 6 letters to the left and 5 to 8 to the right."""
+    n = F.col("seq_id")
+    return reads(spark, sf).select(n.alias("seed_id"), F.right("seq", F.lit(12)).alias("seq"), (4 + n % 3).alias("left"), (5 + n % 4).alias("right"))
 
 
-@query()
+def _grown_sql(lag: int, steps: int, alpha: float) -> str:
+    """A step after the other: the letter with the largest log posterior mean plus Gumbel noise."""
+
+    def noise(step: int, x: str) -> str:
+        return "-ln(-ln(" + _U.format(k=f"concat_ws('|', '0', seed_id::VARCHAR, '0', side, '{step}', '{x}')") + "))"
+
+    out = [
+        f"{READS}, {_BOTH}, {wide_sql(3, 'both_reads')}, seeds AS (SELECT seq_id AS seed_id, right(seq, 12) AS seq, 4 + seq_id % 3 AS l, 5 + seq_id % 4 AS r FROM reads)",
+        f"s0 AS (SELECT seed_id, seq, 'L' AS side, right(repeat('[', {lag}) || reverse(translate(seq, 'ACGT', 'TGCA')), {lag}) AS tail, '' AS grown, l AS todo FROM seeds UNION ALL SELECT seed_id, seq, 'R', right(repeat('[', {lag}) || seq, {lag}), '', r FROM seeds)",
+    ]
+    for step in range(1, steps + 1):
+        v = [f"round(ln({alpha}::DOUBLE + coalesce(g0_{i}, 0)) + {noise(step, x)}, 9)" for i, x in enumerate("ACGT")]
+        out.append(f"v{step} AS MATERIALIZED (SELECT s.*, [{', '.join(v)}] AS v FROM s{step - 1} s LEFT JOIN wide ON kmer = tail)")
+        out.append(f"t{step} AS (SELECT *, CASE WHEN todo >= {step} THEN ['A', 'C', 'G', 'T'][list_position(v, list_max(v))] ELSE '' END AS letter FROM v{step})")
+        out.append(f"s{step} AS MATERIALIZED (SELECT seed_id, seq, side, right(tail || letter, {lag}) AS tail, grown || letter AS grown, todo FROM t{step})")
+    return ", ".join(out) + f" SELECT seed_id, 0 AS rep, reverse(translate(max(grown) FILTER (side = 'L'), 'ACGT', 'TGCA')) || s{steps}.seq || max(grown) FILTER (side = 'R') AS seq FROM s{steps} GROUP BY seed_id, s{steps}.seq"
+
+
+@query(_grown_sql(3, 8, 0.1))
 def generate_map(spark, sf):
-    return sampling.generated(_seeds(spark, sf), wide3(spark, sf), 3, 0, length=20, best=True)
+    return sampling.generated(_seeds(spark, sf), both3(spark, sf), 3, 0, best=True)
 
 
 @query()
 def generate_mc(spark, sf):
-    return sampling.generated(_seeds(spark, sf), wide3(spark, sf), 3, 0, length=20, samples=3)
+    return sampling.generated(_seeds(spark, sf), both3(spark, sf), 3, 0, samples=3)
 
 
 @query()
@@ -504,10 +528,71 @@ def dirichlet_posterior_mc(spark, sf):
 @query()
 def variant_score_mc(spark, sf):
     w = scoring.variant_windows(variants(spark, sf), 3).groupBy("var_id", "kmer", "nxt").agg(F.sum("sgn").alias("sgn")).filter("sgn != 0")
-    draws = sampling.posterior_samples(wide3(spark, sf), 0, 0.1, 41).groupBy("kmer").agg(F.collect_list(F.struct("sample", "logp")).alias("d"))
-    each = w.join(draws, "kmer").select("var_id", "sgn", "nxt", F.inline("d"))
-    value = F.col("sgn") * F.element_at("logp", F.instr(F.lit("ACGT]"), F.col("nxt")).cast("int"))
-    return each.groupBy("var_id", "sample").agg(F.round(F.sum(value), 6).alias("score"))
+    conc = scoring.concentrations(w, wide3(spark, sf), 0, alphas=[0.1])
+    scores = scoring.model_samples(w.withColumnRenamed("sgn", "n"), conc, "var_id", 41)
+    return scores.select("var_id", "sample", F.round("score", 6).alias("score"))
+
+
+# scores under a fixed linear model, alone, as the mean of a Dirichlet, and beside the plain Bayesian Markov model
+
+
+def linear(rows: DataFrame) -> DataFrame:
+    return rows.select("*", *[p.alias(f"f{i}") for i, p in enumerate(M.linear_ar(F.col("kmer"), WEIGHTS))])
+
+
+def _conc_sql(context: str) -> str:
+    """f0.. of the linear model and the counts, for each distinct context; then a row of concentrations per model."""
+    eps = "1e-7::DOUBLE"
+    models = [("ar", 0.0, [f"f{i} + {eps}" for i in range(5)])]
+    models += [("dm", h, [f"(f{i} + {eps}) / {h}::DOUBLE + n{i}" for i in range(5)]) for h in HS]
+    models += [("bmm", a, [f"{a}::DOUBLE + n{i}" for i in range(5)]) for a in ALPHAS]
+    rows = " UNION ALL ".join(f"SELECT kmer, '{m}' AS model, {x}::DOUBLE AS param, {', '.join(f'{c} AS c{i}' for i, c in enumerate(cs))} FROM fn" for m, x, cs in models)
+    e = ", ".join(f"{_lin_sql(o)} AS e{o}" for o in range(5))
+    return (
+        f"k AS (SELECT DISTINCT kmer FROM ({context})), e AS (SELECT kmer, {e}, {', '.join(f'coalesce(g0_{i}, 0) AS n{i}' for i in range(5))} FROM k LEFT JOIN wide USING (kmer)), "
+        f"fn AS (SELECT *, {', '.join(f'e{o} / (e0 + e1 + e2 + e3 + e4) AS f{o}' for o in range(5))} FROM e), conc AS ({rows})"
+    )
+
+
+_LETTER_C = "CASE nxt " + " ".join(f"WHEN '{x}' THEN c{i}" for i, x in enumerate("ACGT]")) + " END"
+
+
+def _scores_sql(head: str, key: str, n: str, src: str, digits: int) -> str:
+    return f"{head}, {wide_sql()}, {_conc_sql(f'SELECT kmer FROM {src}')} SELECT {key}, model, param, round(sum({n} * ln({_LETTER_C} / (c0 + c1 + c2 + c3 + c4))), {digits}) + 0.0 AS score FROM {src} JOIN conc USING (kmer) GROUP BY 1, 2, 3"
+
+
+@query(_scores_sql(f"{_VAR}, {_VWIN}", "var_id", "sgn", "vw", 6))
+def variant_score_models_map(spark, sf):
+    w = kept(scoring.variant_windows(variants(spark, sf), 3).groupBy("var_id", "kmer", "nxt").agg(F.sum("sgn").alias("n")), "windows")
+    conc = scoring.concentrations(w, wide3(spark, sf), 0, predict=linear, hs=HS, alphas=ALPHAS)
+    return _rounded(scoring.model_scores(w, conc, "var_id"))
+
+
+_SEQ_W = f"sw AS (SELECT seq_id, kmer, nxt, count(*) AS n FROM ({win(3).replace('grp, left', 'left')}) GROUP BY 1, 2, 3)"
+_SEQ_COUNTS = ", ".join(f"coalesce(CAST(sum(n) FILTER (nxt = '{x}') AS BIGINT), 0) AS w{i}" for i, x in enumerate("ACGT]"))
+
+
+def seq_windows(spark, sf) -> DataFrame:
+    return kept(C.count_windows(reads(spark, sf), 3, keep=("seq_id",)), "windows")
+
+
+@query(_scores_sql(f"{READS}, {_SEQ_W}", "seq_id", "n", "sw", 4))
+def sequence_score_models_map(spark, sf):
+    w = seq_windows(spark, sf)
+    conc = scoring.concentrations(w, wide3(spark, sf), 0, predict=linear, hs=HS, alphas=ALPHAS)
+    return scoring.model_scores(w, conc, "seq_id").withColumn("score", F.round("score", 4) + F.lit(0.0))
+
+
+@query(f"{READS}, {_SEQ_W}, {wide_sql()}, {_conc_sql('SELECT kmer FROM sw')}, o AS (SELECT seq_id, kmer, {_SEQ_COUNTS} FROM sw GROUP BY 1, 2) SELECT seq_id, model, param, round(sum({dm_sql([f'c{i}' for i in range(5)], [f'w{i}' for i in range(5)])}), 4) AS score FROM o JOIN conc USING (kmer) WHERE model <> 'ar' GROUP BY 1, 2, 3")
+def sequence_score_models_marginal(spark, sf):
+    w = seq_windows(spark, sf)
+    conc = scoring.concentrations(w, wide3(spark, sf), 0, predict=linear, hs=HS, alphas=ALPHAS, alone=False)
+    return scoring.model_marginals(w, conc, "seq_id").withColumn("score", F.round("score", 4))
+
+
+@query(f"{WIDE}, {_QK} SELECT q.kmer, {', '.join('CAST(0 AS BIGINT) AS ' + c if c.endswith('_4') else f'coalesce({c}, 0) AS {c}' for c in ALL_CELLS)} FROM q LEFT JOIN wide USING (kmer)")
+def kmer_lookup_no_ends(spark, sf):
+    return C.lookup(asked(spark, sf), wide3(spark, sf), ends=False)
 
 
 @query(f"{READS} SELECT pos, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 8) + 0.0 AS entropy FROM (SELECT CAST(i AS INTEGER) AS pos, letter, count(*) AS n FROM (SELECT unnest(string_split(seq, '')) AS letter, unnest(range(0, length(seq))) AS i FROM reads) GROUP BY 1, 2) GROUP BY 1")

@@ -25,7 +25,7 @@ def blocks(reads: DataFrame, seq: Column, width: int, keep: tuple[str, ...]) ->
     return reads.select(*keep, F.posexplode(parts).alias("b", "part"))
 
 
-def _overlapping(seq: Column, width: int) -> Column:
+def overlapping(seq: Column, width: int) -> Column:
     """All words of `width` symbols, in one pass: a substring at each place would walk there from the start every time."""
     return F.regexp_extract_all(seq, F.lit(f"(?=(.{{{width}}}))"), F.lit(1))
 
@@ -33,13 +33,13 @@ def _overlapping(seq: Column, width: int) -> Column:
 def windows(reads: DataFrame, lag: int, keep: tuple[str, ...] = ("grp",)) -> DataFrame:
     """(keep..., pos, kmer, nxt): each letter with the lag symbols before it; pos counts from 1."""
     parts = blocks(reads, S.padded(F.col("seq"), lag), lag + 1, keep)
-    each = parts.select(*keep, "b", F.posexplode(_overlapping(F.col("part"), lag + 1)).alias("at", "w"))
+    each = parts.select(*keep, "b", F.posexplode(overlapping(F.col("part"), lag + 1)).alias("at", "w"))
     return each.select(*keep, (F.col("b") * BLOCK + F.col("at") + 1).alias("pos"), F.left("w", F.lit(lag)).alias("kmer"), F.right("w", F.lit(1)).alias("nxt"))
 
 
 def kmers(reads: DataFrame, k: int, keep: tuple[str, ...] = ("grp",)) -> DataFrame:
     """(keep..., kmer): the k-letter words of each sequence that has so many letters."""
-    return blocks(reads, F.col("seq"), k, keep).select(*keep, F.explode(_overlapping(F.col("part"), k)).alias("kmer"))
+    return blocks(reads, F.col("seq"), k, keep).select(*keep, F.explode(overlapping(F.col("part"), k)).alias("kmer"))
 
 
 def count_long(reads: DataFrame, lag: int, alphabet: str = "dna") -> DataFrame:
@@ -50,7 +50,7 @@ def count_long(reads: DataFrame, lag: int, alphabet: str = "dna") -> DataFrame:
 def count_windows(reads: DataFrame, lag: int, keep: tuple[str, ...] = ("grp",)) -> DataFrame:
     """(kmer, keep..., nxt, n) of all windows, whatever their symbols. They are counted whole, and only the distinct ones are split."""
     parts = blocks(reads, S.padded(F.col("seq"), lag), lag + 1, keep)
-    seen = parts.select(*keep, F.explode(_overlapping(F.col("part"), lag + 1)).alias("w")).groupBy(*keep, "w").agg(F.count(F.lit(1)).alias("n"))
+    seen = parts.select(*keep, F.explode(overlapping(F.col("part"), lag + 1)).alias("w")).groupBy(*keep, "w").agg(F.count(F.lit(1)).alias("n"))
     return seen.select(F.left("w", F.lit(lag)).alias("kmer"), *keep, F.right("w", F.lit(1)).alias("nxt"), "n")
 
 

@@ -6,14 +6,17 @@ its key, so results don't depend on partitions or reruns.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqloom.functions import numeric as N
+from seqloom.functions import symbols as S
 from seqloom.operators.models import LETTERS, cells
+from seqloom.sources.shared import kept
 
 
 def log_dirichlet(conc: np.ndarray, samples: int, rng: np.random.Generator) -> np.ndarray:
@@ -23,51 +26,80 @@ def log_dirichlet(conc: np.ndarray, samples: int, rng: np.random.Generator) -> n
     return g - top - np.log(np.exp(g - top).sum(axis=1, keepdims=True))
 
 
-def posterior_samples(table: DataFrame, group: int, alpha: float, samples: int, seed: int = 0) -> DataFrame:
-    """(kmer, sample, logp array): draws of each context's letter probabilities."""
-    src = table.select("kmer", F.xxhash64("kmer", F.lit(seed)).alias("key"), F.array(*[c.cast("double") + alpha for c in cells(group)]).alias("conc"))
+def drawn(conc: DataFrame, samples: int, seed: int = 0, by: Sequence[str] | None = None) -> DataFrame:
+    """Replaces conc by logps: `samples` draws of each row's letter probabilities, seeded by the row's other columns, or by those of `by`."""
+    others = [c for c in conc.columns if c != "conc"]
+    src = conc.select(*others, F.xxhash64(*(by or others), F.lit(seed)).alias("_key"), "conc")
+    fields = [f for f in conc.schema.fields if f.name != "conc"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for kmer, key, conc in zip(b["kmer"], b["key"], b["conc"], strict=True):
-                draws = log_dirichlet(np.asarray(conc), samples, np.random.default_rng(int(key) & (2**64 - 1)))
-                yield pd.DataFrame({"kmer": kmer, "sample": np.arange(samples, dtype=np.int32), "logp": list(draws)})
+            if not b.num_rows:
+                continue
+            shapes = b.column("conc").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            draws = np.stack([log_dirichlet(c, samples, np.random.default_rng(int(k) & (2**64 - 1))) for c, k in zip(shapes, b.column("_key").to_pylist(), strict=True)])
+            n = draws.shape[2]
+            inner = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows * samples + 1) * n, pa.int32()), pa.array(draws.ravel()))
+            outer = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * samples, pa.int32()), inner)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), outer], [*others, "logps"])
 
-    return src.mapInPandas(run, "kmer string, sample int, logp array<double>")
+    return src.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", logps array<array<double>>")
 
 
-def generated(seeds: DataFrame, table: DataFrame, lag: int, group: int, *, length: int, alpha: float = 0.1, samples: int = 1, best: bool = False, seed: int = 0) -> DataFrame:
-    """(seed_id, rep, seq): each seed continued to the right by `length` letters, never stopping.
+def posterior_samples(table: DataFrame, group: int, alpha: float, samples: int, seed: int = 0) -> DataFrame:
+    """(kmer, sample, logp array): draws of each context's letter probabilities."""
+    src = table.select("kmer", F.array(*[c.cast("double") + alpha for c in cells(group)]).alias("conc"))
+    return drawn(src, samples, seed).select("kmer", F.posexplode("logps").alias("sample", "logp"))
 
-    Each repeat walks under one drawn model: a context's distribution is drawn when first met, seeded by repeat and context.
-    best takes the likeliest letter instead. The count table is held by each task; it has at most 5^lag rows, so lag is limited to 10.
-    """
-    if lag > 10:
-        raise ValueError("the table of contexts is held in memory; lag may be 10 at most")
-    counts = {r["kmer"]: [r[f"g{group}_{i}"] for i in range(LETTERS - 1)] for r in table.collect()}
-    shared = table.sparkSession.sparkContext.broadcast(counts)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zlib
+#: Steps of generation between tables that are stored, which cuts the lineage.
+STEPS = 8
 
-        for b in batches:
-            out = []
-            for seed_id, start in zip(b["seed_id"], b["seq"], strict=True):
-                for rep in range(samples):
-                    model: dict[str, np.ndarray] = {}
-                    rng = np.random.default_rng([seed, int(seed_id), rep])
-                    seq = start
-                    for _ in range(length):
-                        kmer = ("[" * lag + seq)[-lag:]
-                        if kmer not in model:
-                            conc = np.array(shared.value.get(kmer, [0] * (LETTERS - 1)), float) + alpha
-                            model[kmer] = np.log(conc / conc.sum()) if best else log_dirichlet(conc, 1, np.random.default_rng([seed, rep, zlib.crc32(kmer.encode())]))[0]
-                        p = model[kmer]
-                        seq += "ACGT"[int(np.argmax(p if best else p + rng.gumbel(size=len(p))))]
-                    out.append((seed_id, rep, seq))
-            yield pd.DataFrame(out, columns=["seed_id", "rep", "seq"])
-
-    return seeds.select("seed_id", "seq").mapInPandas(run, "seed_id bigint, rep int, seq string")
+
+def generated(
+    seeds: DataFrame, table: DataFrame, lag: int, group: int, *, left: int = 0, right: int = 0, samples: int = 1, best: bool = False, alpha: float = 0.1,
+    predict: Callable[[DataFrame], DataFrame] | None = None, h: float = 1.0, seed: int = 0,
+) -> DataFrame:
+    """(seed_id, rep, seq): each seed (seed_id, seq) grown on both sides, never stopping; the left side through the reverse complement.
+
+    seeds may have columns `left` and `right` with lengths of their own. Counts, for the left side too, come from `table`, which should then
+    hold both strands, by a join at each step; nothing is collected. Without predict the prior is alpha (BMM), else f / h.
+    Every repeat of a seed walks, on each side, under one model drawn for it: a context's letters are drawn by a generator that is seeded by (seed,
+    repeat, side, context), so a context that comes again has the same ones. best takes the posterior mean instead. The
+    letter is then drawn by Gumbel noise from md5.
+    """
+    counts = kept(table.select(F.col("kmer").alias("tail"), F.array(*cells(group)[:-1]).alias("_c")), "counts")
+    state = ["seed_id", "seq", "rep", "side", "tail", "grown", "todo"]
+
+    def side(name: str, start: Column, n: int) -> Column:
+        todo = F.col(name) if name in seeds.columns else F.lit(n)
+        return F.struct(F.lit(name[0].upper()).alias("side"), start.alias("start"), todo.cast("int").alias("todo"))
+
+    sides = F.array(side("left", S.reverse_complement(F.col("seq")), left), side("right", F.col("seq"), right))
+    at = seeds.select("seed_id", "seq", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("rep"), sides.alias("sides")).select("seed_id", "seq", "rep", F.inline("sides"))
+    at = at.withColumn("tail", F.right(F.concat(F.lit(S.START * lag), "start"), F.lit(lag))).withColumn("grown", F.lit(""))
+    at = kept(at.select(*state), "seeds")
+    steps = at.agg(F.max("todo")).first()[0] or 0
+    for step in range(1, steps + 1):
+        rows = at.join(counts, "tail", "left").withColumn("_c", F.coalesce("_c", F.array(*[F.lit(0).cast("bigint")] * (LETTERS - 1))))
+        prior = [F.lit(alpha)] * (LETTERS - 1)
+        if predict is not None:
+            rows = predict(rows.withColumn("kmer", F.col("tail")))
+            prior = [(F.col(f"f{i}") + N.EPSILON) / h for i in range(LETTERS - 1)]
+        rows = rows.select(*state, F.array(*[p + F.col("_c")[i] for i, p in enumerate(prior)]).alias("conc"))
+        if best:
+            rows = rows.select(*state, F.transform("conc", lambda x: F.log(x)).alias("logp"))
+        else:
+            rows = drawn(rows, 1, seed, ("seed_id", "rep", "side", "tail")).select(*state, F.col("logps")[0].alias("logp"))
+        noisy = [F.round(F.col("logp")[i] + N.gumbel(F.lit(seed), F.col("seed_id"), F.col("rep"), F.col("side"), F.lit(step), F.lit(x)), 9) for i, x in enumerate("ACGT")]
+        letter = F.when(F.col("todo") >= step, F.element_at(F.array(*[F.lit(x) for x in "ACGT"]), N.argmax(noisy) + 1)).otherwise("")
+        rows = rows.withColumn("letter", letter)
+        at = rows.withColumn("tail", F.right(F.concat("tail", "letter"), F.lit(lag))).withColumn("grown", F.concat("grown", "letter")).select(*state)
+        if step % STEPS == 0 and step < steps:
+            at = kept(at, "grown")
+    flank = lambda name: F.max(F.when(F.col("side") == name, F.col("grown")))
+    both = at.groupBy("seed_id", "rep", "seq").agg(flank("L").alias("l"), flank("R").alias("r"))
+    return both.select("seed_id", "rep", F.concat(S.reverse_complement(F.col("l")), "seq", "r").alias("seq"))
 
 
 def site_entropy(seqs: DataFrame) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import numeric as N
 from seqloom.functions import symbols as S
+from seqloom.operators.counting import overlapping
 from seqloom.operators.models import LETTERS, cells
+from seqloom.operators.sampling import drawn
 
 
 def parsed(variant: Column) -> Column:
@@ -20,14 +24,13 @@ def variant_windows(variants: DataFrame, lag: int) -> DataFrame:
     """(var_id, sgn, kmer, nxt) from (var_id, seq, ref, pos, alt): the windows that a variant takes away (-1) and brings (+1)."""
     ok = F.substring(F.col("seq"), F.col("pos") + 1, F.length("ref")) == F.col("ref")
     v = variants.select("var_id", "seq", "ref", "alt", F.when(ok, F.col("pos")).otherwise(F.raise_error(F.lit("the sequence differs from the variant's reference"))).alias("pos"))
-    mutant = F.concat(F.left(F.col("seq"), F.col("pos")), F.col("alt"), F.substring(F.col("seq"), F.col("pos") + F.length("ref") + 1, F.length("seq")))
-
-    def side(sgn: int, seq: Column, changed: Column) -> Column:
-        return F.struct(F.lit(sgn).alias("sgn"), S.padded(seq, lag).alias("p"), F.least(F.col("pos") + F.length(changed) + lag, F.length(seq) + 1).alias("last"))
-
-    sides = v.select("var_id", "pos", F.inline(F.array(side(-1, F.col("seq"), F.col("ref")), side(1, mutant, F.col("alt")))))
-    each = sides.filter("last > pos").select("var_id", "sgn", "p", F.explode(F.sequence(F.col("pos") + 1, F.col("last"))).alias("i"))
-    return each.select("var_id", "sgn", F.substring(F.col("p"), F.col("i"), F.lit(lag)).alias("kmer"), F.substring(F.col("p"), F.col("i") + lag, F.lit(1)).alias("nxt"))
+    # only the letters around the change matter: lag before it, the changed ones, lag after it, stop included
+    p = S.padded(F.col("seq"), lag)
+    near = v.select("var_id", "ref", "alt", F.substring(p, F.col("pos") + 1, F.lit(lag)).alias("before"), F.substring(p, F.col("pos") + F.length("ref") + lag + 1, F.lit(lag)).alias("after"))
+    side = lambda sgn, c: F.struct(F.lit(sgn).alias("sgn"), F.concat("before", c, "after").alias("p"))
+    each = near.select("var_id", F.inline(F.array(side(-1, F.col("ref")), side(1, F.col("alt")))))
+    each = each.select("var_id", "sgn", F.explode(overlapping(F.col("p"), lag + 1)).alias("w"))
+    return each.select("var_id", "sgn", F.left("w", F.lit(lag)).alias("kmer"), F.right("w", F.lit(1)).alias("nxt"))
 
 
 def logp(windows: DataFrame, table: DataFrame, group: int, alphas: list[float]) -> DataFrame:
@@ -46,17 +49,71 @@ def variant_scores(variants: DataFrame, table: DataFrame, lag: int, group: int,
     return each.groupBy("var_id", "alpha").agg(F.sum(F.col("sgn") * F.col("logp")).alias("score"))
 
 
-def sequence_scores(windows: DataFrame, table: DataFrame, group: int, alphas: list[float]) -> DataFrame:
-    """(seq_id, alpha, score) of windows (seq_id, kmer, nxt); equal windows of a sequence are counted before the join."""
-    each = windows.groupBy("seq_id", "kmer", "nxt").agg(F.count(F.lit(1)).alias("times"))
-    return logp(each, table, group, alphas).groupBy("seq_id", "alpha").agg(F.sum(F.col("times") * F.col("logp")).alias("score"))
+def sequence_scores(counted: DataFrame, table: DataFrame, group: int, alphas: list[float]) -> DataFrame:
+    """(seq_id, alpha, score) of counted windows (seq_id, kmer, nxt, n)."""
+    return logp(counted, table, group, alphas).groupBy("seq_id", "alpha").agg(F.sum(F.col("n") * F.col("logp")).alias("score"))
+
+
+def _own() -> list[Column]:
+    """w0..: how often each letter follows, of a group of counted windows."""
+    return [F.coalesce(F.sum(F.when(F.col("nxt") == x, F.col("n"))), F.lit(0)).alias(f"w{i}") for i, x in enumerate("ACGT]")]
 
 
-def sequence_marginals(windows: DataFrame, table: DataFrame, group: int, alphas: list[float]) -> DataFrame:
-    """(seq_id, alpha, score): log marginal likelihood, a sequence's windows of one context sharing their distribution."""
-    own = windows.groupBy("seq_id", "kmer").agg(*[F.count_if(F.col("nxt") == x).alias(f"w{i}") for i, x in enumerate("ACGT]")])
+def sequence_marginals(counted: DataFrame, table: DataFrame, group: int, alphas: list[float]) -> DataFrame:
+    """(seq_id, alpha, score) of counted windows (seq_id, kmer, nxt, n): log marginal likelihood, a sequence's windows of one context sharing their distribution."""
+    own = counted.groupBy("seq_id", "kmer").agg(*_own())
     joined = own.join(table.select("kmer", *[c.alias(f"t{i}") for i, c in enumerate(cells(group))]), "kmer", "left")
     w = [F.col(f"w{i}") for i in range(LETTERS)]
     lls = [F.sum(N.dm_logprob([F.coalesce(f"t{i}", F.lit(0)) + F.lit(a) for i in range(LETTERS)], w)).alias(f"s{k}") for k, a in enumerate(alphas)]
     out = joined.groupBy("seq_id").agg(*lls)
     return out.select("seq_id", F.inline(F.array(*[F.struct(F.lit(a).alias("alpha"), F.col(f"s{k}").alias("score")) for k, a in enumerate(alphas)])))
+
+
+# scores under trained models: "ar" (an autoregressive model alone), "dm" (the mean of a Dirichlet of scale 1/h) and "bmm"
+
+
+def concentrations(contexts: DataFrame, table: DataFrame, group: int, *, predict: Callable[[DataFrame], DataFrame] | None = None, hs: Sequence[float] = (), alphas: Sequence[float] = (), alone: bool = True) -> DataFrame:
+    """(kmer, model, param, conc array) for each distinct context: what its letters' probabilities are drawn from, given the counts of the group.
+
+    predict adds the model's probabilities f0.. to (kmer, ...) rows; without it there are bmm rows alone. Contexts that the
+    table lacks have the prior. alone: also rows of the autoregressive model without counts.
+    """
+    seen = table.select("kmer", F.array(*cells(group)).alias("_c"))
+    rows = contexts.select("kmer").distinct().join(seen, "kmer", "left").withColumn("_c", F.coalesce("_c", F.array(*[F.lit(0).cast("bigint")] * LETTERS)))
+    models = [("bmm", float(a), [F.lit(float(a))] * LETTERS, True) for a in alphas]
+    if predict is not None:
+        rows = predict(rows)
+        f = [F.col(f"f{i}") + N.EPSILON for i in range(LETTERS)]
+        models = ([("ar", 0.0, f, False)] if alone else []) + [("dm", float(h), [x / float(h) for x in f], True) for h in hs] + models
+
+    def struct(name: str, param: float, prior: list[Column], counted: bool) -> Column:
+        conc = F.array(*[p + (F.col("_c")[i] if counted else F.lit(0)) for i, p in enumerate(prior)])
+        return F.struct(F.lit(name).alias("model"), F.lit(param).alias("param"), conc.alias("conc"))
+
+    return rows.select("kmer", F.inline(F.array(*[struct(*m) for m in models])))
+
+
+def _letter(values: Column) -> Column:
+    return F.element_at(values, F.instr(F.lit("ACGT]"), F.col("nxt")).cast("int"))
+
+
+def model_scores(counted: DataFrame, conc: DataFrame, key: str) -> DataFrame:
+    """(key, model, param, score) of windows (key, kmer, nxt, n): sums of n times the log of the posterior mean. n may be negative."""
+    total = F.aggregate("conc", F.lit(0.0), lambda a, x: a + x)
+    logs = conc.select("kmer", "model", "param", F.transform("conc", lambda x: F.log(x / total)).alias("logp"))
+    each = counted.join(logs, "kmer").select(key, "model", "param", (F.col("n") * _letter(F.col("logp"))).alias("s"))
+    return each.groupBy(key, "model", "param").agg(F.sum("s").alias("score"))
+
+
+def model_marginals(counted: DataFrame, conc: DataFrame, key: str) -> DataFrame:
+    """(key, model, param, score): log marginal likelihood of the windows, those of one context sharing their distribution."""
+    own = counted.groupBy(key, "kmer").agg(*_own()).join(conc.filter("model != 'ar'"), "kmer")
+    ll = N.dm_logprob([F.col("conc")[i] for i in range(LETTERS)], [F.col(f"w{i}") for i in range(LETTERS)])
+    return own.groupBy(key, "model", "param").agg(F.sum(ll).alias("score"))
+
+
+def model_samples(counted: DataFrame, conc: DataFrame, key: str, samples: int, seed: int = 0) -> DataFrame:
+    """(key, model, param, sample, score): scores under models drawn from the posterior; a context's draw is shared by all windows."""
+    draws = drawn(conc.filter("model != 'ar'"), samples, seed)
+    each = counted.join(draws, "kmer").select(key, "model", "param", F.posexplode("logps").alias("sample", "logp"), "n", "nxt")
+    return each.groupBy(key, "model", "param", "sample").agg(F.sum(F.col("n") * _letter(F.col("logp"))).alias("score"))
