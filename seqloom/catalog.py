@@ -17,6 +17,7 @@ from seqloom.functions import symbols as S
 from seqloom.operators import counting as C
 from seqloom.operators import models as M
 from seqloom.operators import sampling, scoring, training
+from seqloom.plans import fit
 from seqloom.sources import files
 from seqloom.sources.shared import kept, spread
 
@@ -628,6 +629,50 @@ def train_cnn_ar(spark, sf):
     return _history(spark, training.train(wide3(spark, sf), "cnn", 3, steps=10, rate=0.02)[1])
 
 
+def settings(name: str, **model) -> dict:
+    """A small run: trained on group 0, tested on group 1, with group 2 as the reference."""
+    return {
+        "general": {"seed": 1}, "data": {"train_column": 0, "test_column": 1, "reference_column": 2}, "hyperp": {"lag": 3},
+        "train": {"train": True, "epochs": "6s", "batch_size": 0.5, "optimizer_name": "Adam", "learning_rate": 0.05, "train_ar": False, "accumulation_steps": 1},
+        "test": {"test": True, "train_test": True, "van_reg": ALPHAS}, "model": {"ar_func_name": name, "af_kwargs": model},
+    }
+
+
+def _bmm_rows_sql(of: str, grp: int, given: int | None) -> str:
+    out = []
+    for a in ALPHAS:
+        conc = [f"{a}::DOUBLE + {c}" for c in g(given)] if given is not None else [f"{a}::DOUBLE"] * 5
+        correct = f"sum({argmax_sql(conc if given is not None else ['0'] * 5, g(grp))})"
+        for metric, value in (("loglik", f"sum({dm_sql(conc, g(grp))})"), ("perplexity", f"exp(-sum({dm_sql(conc, g(grp))}) / sum({total(grp)}))"), ("accuracy", f"{correct} / sum({total(grp)})")):
+            out.append(f"SELECT '{of}' AS of, '{metric}' AS metric, {a}::DOUBLE AS param, round(({value})::DOUBLE, 4) AS value FROM wide")
+    return " UNION ALL ".join(out)
+
+
+@query(f"{WIDE} {_bmm_rows_sql('heldout', 1, 0)} UNION ALL {_bmm_rows_sql('train', 0, None)}")
+def fit_and_evaluate_bmm(spark, sf):
+    """The count model's part of a whole run, which SQL can say."""
+    return _results(spark, sf, "linear").filter("model = 'bmm'").select("of", "metric", "param", F.round("value", 4).alias("value"))
+
+
+def _results(spark, sf, name: str, reference: bool = False, **model) -> DataFrame:
+    return fit.fit_and_evaluate(kept(wide3(spark, sf), "counts"), settings(name, **model), reference)[2]
+
+
+@query()
+def fit_and_evaluate_linear(spark, sf):
+    return _results(spark, sf, "linear")
+
+
+@query()
+def fit_and_evaluate_cnn(spark, sf):
+    return _results(spark, sf, "cnn", filter_width=2, num_filters=6)
+
+
+@query()
+def fit_and_evaluate_reference(spark, sf):
+    return _results(spark, sf, "stop", True)
+
+
 def queries() -> dict:
     return dict(Q)
 

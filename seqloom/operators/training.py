@@ -11,8 +11,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EPSILON = 1e-7
 INPUT = {c: k for k, c in enumerate("ACGT[")}
@@ -53,7 +55,7 @@ class Linear:
     @staticmethod
     def start(lag: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
         w = rng.normal(size=(lag, 5, 5))
-        return {"w": 0.05 * w / np.sqrt((w * w).sum())}
+        return {"w": 0.05 * w / np.sqrt((w * w).sum(axis=1, keepdims=True))}
 
     @staticmethod
     def forward(p, x):
@@ -67,37 +69,60 @@ class Linear:
         return {"w": np.einsum("rjl,ro->jlo", x, dz)}
 
 
-class Convolutional:
-    """Filters over places, a hidden layer and an output layer, with elu between."""
+def elu(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x, np.expm1(np.minimum(x, 0)))
+
+
+def elu_slope(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, 1, np.exp(np.minimum(x, 0)))
+
+
+def normalized(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean 0 and variance 1 over the last axis, and the spread that it was divided by."""
+    spread = np.sqrt(x.var(axis=-1, keepdims=True) + 1e-5)
+    return (x - x.mean(axis=-1, keepdims=True)) / spread, spread
+
+
+def normalized_back(dn: np.ndarray, n: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    return (dn - dn.mean(axis=-1, keepdims=True) - n * (dn * n).mean(axis=-1, keepdims=True)) / spread
+
 
-    WIDTH, FILTERS, HIDDEN = 3, 8, 16
+class Convolutional:
+    """Filters over places, a hidden layer and an output layer. Both inner layers are normalised over their last axis, scaled, shifted and go through elu."""
 
-    @classmethod
-    def start(cls, lag, rng):
-        width = min(cls.WIDTH, lag)
-        sizes = {"c": (width, 5, cls.FILTERS), "h": ((lag - width + 1) * cls.FILTERS, cls.HIDDEN), "o": (cls.HIDDEN, 5)}
-        out = {k: rng.normal(size=s) / np.sqrt(np.prod(s[:-1])) for k, s in sizes.items()}
-        return out | {"cb": np.zeros(cls.FILTERS), "hb": np.zeros(cls.HIDDEN), "ob": np.zeros(5)}
+    @staticmethod
+    def start(lag, rng, filter_width: float = 8, num_filters: float = 30, kmer_layer1_width: int = 16):
+        width, filters, hidden = min(int(filter_width), lag), int(num_filters), int(kmer_layer1_width)
+        places = lag - width + 1
+        unit = lambda size, axis: (x := rng.normal(size=size)) / np.sqrt((x * x).sum(axis=axis, keepdims=True))
+        return {
+            "c": unit((width, 5, filters), (0, 1)), "cs": np.ones((places, filters)), "cb": np.ones((places, filters)),
+            "h": unit((places, filters, hidden), 0), "hs": np.ones(hidden), "hb": np.ones(hidden), "o": 0.05 * unit((hidden, 5), 0), "ob": np.zeros(5),
+        }
 
     @staticmethod
     def forward(p, x):
         width = p["c"].shape[0]
         spans = np.stack([x[:, j : j + width] for j in range(x.shape[1] - width + 1)], axis=1)
-        a = np.einsum("rjwl,wlf->rjf", spans, p["c"]) + p["cb"]
-        e = np.where(a > 0, a, np.expm1(np.minimum(a, 0)))
-        flat = e.reshape(len(x), -1)
-        b = flat @ p["h"] + p["hb"]
-        g = np.where(b > 0, b, np.expm1(np.minimum(b, 0)))
-        f = softmax(g @ p["o"] + p["ob"])
-        return f, (spans, a, flat, b, g, f)
+        n0, s0 = normalized(np.einsum("rjwl,wlf->rjf", spans, p["c"]))
+        a = p["cs"] * n0 + p["cb"]
+        n1, s1 = normalized(np.einsum("rjf,jfk->rk", elu(a), p["h"]))
+        b = p["hs"] * n1 + p["hb"]
+        f = softmax(elu(b) @ p["o"] + p["ob"])
+        return f, (spans, n0, s0, a, n1, s1, b, f)
 
     @staticmethod
     def backward(p, held, df):
-        spans, a, flat, b, g, f = held
+        spans, n0, s0, a, n1, s1, b, f = held
         dz = f * (df - (f * df).sum(axis=1, keepdims=True))
-        db = (dz @ p["o"].T) * np.where(b > 0, 1, np.exp(np.minimum(b, 0)))
-        da = (db @ p["h"].T).reshape(a.shape) * np.where(a > 0, 1, np.exp(np.minimum(a, 0)))
-        return {"o": g.T @ dz, "ob": dz.sum(axis=0), "h": flat.T @ db, "hb": db.sum(axis=0), "c": np.einsum("rjwl,rjf->wlf", spans, da), "cb": da.sum(axis=(0, 1))}
+        db = (dz @ p["o"].T) * elu_slope(b)
+        dh = normalized_back(db * p["hs"], n1, s1)
+        da = np.einsum("rk,jfk->rjf", dh, p["h"]) * elu_slope(a)
+        dc = normalized_back(da * p["cs"], n0, s0)
+        return {
+            "o": elu(b).T @ dz, "ob": dz.sum(axis=0), "hs": (db * n1).sum(axis=0), "hb": db.sum(axis=0), "h": np.einsum("rjf,rk->jfk", elu(a), dh),
+            "cs": (da * n0).sum(axis=0), "cb": da.sum(axis=0), "c": np.einsum("rjwl,rjf->wlf", spans, dc),
+        }
 
 
 class Stop:
@@ -167,16 +192,43 @@ def loglik_and_grads(p: dict, model, kmers, counts: np.ndarray, ref: np.ndarray
     return ll, grads | model.backward(p, held, df)
 
 
-def train(table: DataFrame, model: str, lag: int, *, group: int = 0, ref_group: int | None = None, steps: int = 20, batches: int = 1, rate: float = 0.01, optimizer: str = "Adam", alone: bool = False, accumulate: int = 1, start: dict | None = None, seed: int = 0) -> tuple[dict, list[float]]:
-    """The parameters and the loss at each step. start: parameters to go on from."""
+def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row of sums of partial log likelihoods and gradients."""
+    total = None
+    for b in frames:
+        for ll, rows, grad in zip(b["ll"], b["rows"], b["grad"], strict=True):
+            total = (ll, rows, np.asarray(grad)) if total is None else (total[0] + ll, total[1] + rows, total[2] + grad)
+    if total is not None:
+        yield pd.DataFrame({"ll": [total[0]], "rows": [total[1]], "grad": [total[2]]})
+
+
+def predicted(rows: DataFrame, params: dict, model: str, ref_group: int | None = None) -> DataFrame:
+    """Adds a trained model's letter probabilities f0.. to rows with kmer, and with the reference's counts if it has one."""
+    make, names = MODELS[model], [f"f{i}" for i in range(5)]
+    ref = [f"g{ref_group}_{i}" for i in range(5)] if ref_group is not None else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                f, _ = make.forward(params, one_hot(b.column("kmer").to_pylist()))
+                if ref:
+                    f, _ = reference_mix(params, np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ref], axis=1).astype(float), f)
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(c)) for c in f.T)], [*b.schema.names, *names])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(c, T.DoubleType()) for c in names)]))
+
+
+def train(table: DataFrame, model: str, lag: int, *, group: int = 0, ref_group: int | None = None, steps: int = 20, batches: int = 1, rate: float = 0.01, optimizer: str = "Adam", alone: bool = False, accumulate: int = 1, start: dict | None = None, seed: int = 0, kwargs: dict | None = None) -> tuple[dict, list[float]]:
+    """The parameters and the loss at each step. start: parameters to go on from; kwargs: of the model's start."""
     make, rng = MODELS[model], np.random.default_rng(seed)
-    p = dict(start) if start else {"log_h": np.zeros(1)} | make.start(lag, rng)
+    p = dict(start) if start else {"log_h": np.zeros(1)} | make.start(lag, rng, **(kwargs or {}))
     if ref_group is not None and "log_tau" not in p:
         p |= {"log_tau": np.log(np.array([1 / 30])), "log_nu": np.log(np.array([1 / 100]))}
     cols = lambda g: F.array(*[F.col(f"g{g}_{i}").cast("double") for i in range(5)])
     part = F.pmod(F.conv(F.substring(F.md5("kmer"), 1, 8), 16, 10).cast("bigint"), F.lit(batches)).cast("int")
     src = table.select("kmer", cols(group).alias("n"), cols(ref_group if ref_group is not None else group).alias("r"), part.alias("part")).cache()
-    rows_all = src.count()
+    rows_all, n_parts = src.count(), src.rdd.getNumPartitions()
+    fan = int(n_parts**0.5) if n_parts > 64 else 0
     adam, losses, names, held = OPTIMIZERS[optimizer](rate), [], sorted(p), None
     for step in range(steps):
         now = dict(p)
@@ -191,7 +243,10 @@ def train(table: DataFrame, model: str, lag: int, *, group: int = 0, ref_group:
                         sums[k] = sums[k] + g
             yield pd.DataFrame({"ll": [total], "rows": [rows], "grad": [np.concatenate([np.ravel(sums[k]) for k in names])]})
 
-        got = src.filter(F.col("part") == step % batches).mapInPandas(run, "ll double, rows bigint, grad array<double>").toPandas()
+        sums = src.filter(F.col("part") == step % batches).mapInPandas(run, "ll double, rows bigint, grad array<double>")
+        if fan:  # many partitions: their rows are added up by fewer tasks before the driver sees them
+            sums = sums.repartition(fan).mapInPandas(added, sums.schema)
+        got = sums.toPandas()
         scale = rows_all / max(int(got["rows"].sum()), 1)
         flat = -scale * np.sum(np.stack(got["grad"]), axis=0)
         losses.append(-scale * float(got["ll"].sum()))
