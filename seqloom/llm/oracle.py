@@ -115,3 +115,97 @@ SELECT doc_id, size, source_size, target,
    + greatest(least(run_from + run - ring, fin) - (fin - size), 0))::BIGINT AS taken
 FROM lined JOIN shards USING (rank, shard)
 """
+
+# a rule fits by the ends of host and path; a listed URL is one whose canonical form a page has that reserves its rights
+ORACLE["op11_url_filter"] = r"""
+WITH rules(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')), p AS (
+  SELECT row_number() OVER () AS rid, page_id, html, url,
+    translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), c AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^(?s:.*)@', ''), '\.*(:(80|443)?)?\z', ''), '^www\.', '') AS site,
+    list_sort(list_filter(string_split(regexp_extract(url, '://[^?#]*\?([^#]*)', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(split_part(x, '=', 1), '^(utm_|(ref|referrer|fbclid|gclid|msclkid|mc_cid|mc_eid|igshid|session_?id)\z)'))) AS said
+  FROM p
+), k AS (
+  SELECT *, CASE WHEN site <> '' THEN site || regexp_replace(path, '/+\z', '') || CASE WHEN len(said) > 0 THEN '?' || array_to_string(said, '&') ELSE '' END END AS own FROM c
+), listed AS (
+  SELECT DISTINCT own FROM k WHERE contains(lower(html), 'all rights reserved') AND own IS NOT NULL
+), fits AS (
+  SELECT rid, r.host || r.path AS rule, r.verdict,
+    row_number() OVER (PARTITION BY rid ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS place
+  FROM p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+)
+SELECT page_id, host, path, rule, coalesce(f.verdict, CASE WHEN own IN (SELECT own FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+FROM k LEFT JOIN (SELECT * FROM fits WHERE place = 1) f USING (rid)
+"""
+
+# every term of the language for every source, 0 counts too, and then all pairs term by term
+ORACLE["op12_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), each AS (
+  SELECT rid, lang, source, unnest(terms) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n_lang FROM each GROUP BY ALL HAVING count(DISTINCT rid) >= 30
+), langs AS (
+  SELECT lang, count(*) AS v, sum(n_lang) AS total_lang FROM kept GROUP BY lang
+), counts AS (
+  SELECT lang, source, term, count(*) AS n FROM each JOIN kept USING (lang, term) GROUP BY ALL
+), totals AS (
+  SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL
+), groups AS (
+  SELECT lang, source, coalesce(total, 0) AS total, coalesce(v, 0) AS v, coalesce(total_lang, 0) AS total_lang
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN totals USING (lang, source) LEFT JOIN langs USING (lang)
+), priced AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n,
+    (1 + 1000000000::HUGEINT * (coalesce(n, 0) + 5) // (total + 5 * v))::BIGINT AS p, (1 + 1000000000::HUGEINT * (n_lang + 5) // (total_lang + 5 * v))::BIGINT AS q
+  FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)
+), pairs AS (
+  SELECT g.lang, g.source, h.source AS item, coalesce(sum(abs(a.p - b.p)), 0)::BIGINT AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+    LEFT JOIN priced a ON a.lang = g.lang AND a.source = g.source LEFT JOIN priced b ON b.lang = h.lang AND b.source = h.source AND b.term = a.term
+  GROUP BY ALL
+), found AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM priced WHERE n > 0 AND p > q
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found
+)
+SELECT lang, source, part, item, value, rank FROM placed WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLE["op13_filter_interactions"] = r"""
+WITH letters(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')), orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.f NOT IN (b.f, c.f, d.f, e.f) AND b.f NOT IN (c.f, d.f, e.f) AND c.f NOT IN (d.f, e.f) AND d.f <> e.f
+), r AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM r
+), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), d AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(words) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN coalesce(doc_id > least, false) THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN l USING (doc_id)
+), alike AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM d GROUP BY ALL
+), steps AS (
+  SELECT filter_order, step::INTEGER AS step, filter_order[step] AS f, left(filter_order, step - 1) AS earlier FROM orders, range(1, 6) s(step)
+), told AS (
+  SELECT part, filter_order, step, f, n, n_good, n_toxic, contains(fails, f) AS failing, length(translate(fails, earlier, '')) < length(fails) AS gone, fails = f AS alone FROM alike, steps
+), found AS (
+  SELECT part, filter_order, step, any_value(f) AS f,
+    coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (failing AND NOT gone), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (failing AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n_good) FILTER (failing AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(n_toxic) FILTER (failing AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM told GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM found
+"""

@@ -1,4 +1,4 @@
-"""One query for each operator, over the whole table documents, and the SQL that says the same where SQL can."""
+"""One query for each operator, over its whole table, and the SQL that says the same where SQL can."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from seqloom.llm import exact_dedup, licenses, mixing, packing, quality, secret_scan, simhash, token_count, token_files, toxicity
+from seqloom.llm import divergence, exact_dedup, filter_audit, licenses, mixing, packing, quality, secret_scan, simhash, token_count, token_files, toxicity, url_filter
 from seqloom.llm.oracle import ORACLE
 
 
@@ -56,9 +56,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(docs_of(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_filter.judge(pages, url_filter.rule_table(spark), url_filter.reserved(pages))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(docs_of(spark, sf_dir))
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(docs_of(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The ten operators' queries; the pipeline is registered beside them by the entry module."""
-    found = (op1_secret_scan, op2_simhash_near_dedup, op3_source_mixing, op4_token_files, op5_toxicity, op6_license_scan, op7_exact_dedup, op8_quality_rules, op9_token_counts, op10_packing)
+    """The operators' queries; the pipeline is registered beside them by the entry module."""
+    found = (op1_secret_scan, op2_simhash_near_dedup, op3_source_mixing, op4_token_files, op5_toxicity, op6_license_scan, op7_exact_dedup, op8_quality_rules, op9_token_counts, op10_packing, op11_url_filter, op12_source_divergence, op13_filter_interactions)
     return {f.__name__: f for f in found}
 
 

@@ -16,7 +16,7 @@ OPERATORS = {
 
 
 def test_all_are_here():
-    assert set(OPERATORS) == set(ORACLE)
+    assert set(OPERATORS) | {"op11_url_filter", "op12_source_divergence", "op13_filter_interactions"} == set(ORACLE)  # these in test_audits.py
 
 
 @pytest.mark.parametrize("docs_name", ["docs", "sample", "no_docs"])
