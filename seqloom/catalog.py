@@ -8,18 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.functions import numeric as N
 from seqloom.functions import symbols as S
+from seqloom.operators import cells
 from seqloom.operators import counting as C
 from seqloom.operators import models as M
 from seqloom.operators import sampling, scoring, training
 from seqloom.plans import fit
 from seqloom.sources import files
-from seqloom.sources.shared import kept, spread
+from seqloom.sources.shared import kept, scratch, spread
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -607,18 +609,136 @@ def one_hot(spark, sf):
     return t.select("kmer", "place", *[F.col("h")[i].alias(f"h{i}") for i in range(5)])
 
 
+# proteins: tables with an array of 21 cells per group
+
+PROT = "ARNDCEQGHILKMFPSTWYV]"
+_PROT_READS = f"WITH reads AS (SELECT doc_id AS seq_id, CAST(doc_id % 3 AS INTEGER) AS grp, {_PROT_SQL} AS seq FROM documents WHERE text IS NOT NULL), long AS (SELECT kmer, grp, nxt, count(*) AS n FROM ({win(2)}) GROUP BY 1, 2, 3)"
+PROT_WEIGHTS = [[[((5 * j + 3 * a + 7 * o) % 13) / 12 - 0.5 for o in range(21)] for a in range(21)] for j in range(2)]
+
+
+def protein_cells(spark, sf) -> DataFrame:
+    d = spread(spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null").select("doc_id", "text"))
+    reads_ = d.select((F.col("doc_id") % 3).cast("int").alias("grp"), S.mapped_protein(F.col("text")).alias("seq"))
+    return cells.celled(C.count_long(reads_, 2, "prot"), 3, "prot")
+
+
+def _rising_sql(c: str, n: str) -> str:
+    return f"(lgamma({c} + {n}) - lgamma({c}))"
+
+
+# letter by letter over what was counted: letters without counts add nothing, and the first of the largest in the alphabet's order is the one foretold
+_PROT_PAIRS = f"""p AS (SELECT kmer, nxt, coalesce(sum(n) FILTER (grp = 0), 0) AS n0, coalesce(sum(n) FILTER (grp = 1), 0) AS n1 FROM long GROUP BY 1, 2),
+t AS (SELECT kmer, sum(n0) AS t0, sum(n1) AS t1 FROM p GROUP BY 1), kmers AS (SELECT DISTINCT kmer FROM long), letters AS (SELECT unnest(string_split('{PROT}', '')) AS nxt, unnest(range(1, 22)) AS place),
+every AS (SELECT kmer, nxt, place, coalesce(n0, 0) AS n0, coalesce(n1, 0) AS n1 FROM kmers CROSS JOIN letters LEFT JOIN p USING (kmer, nxt))"""
+
+
+@query(f"{_PROT_READS}, {_PROT_PAIRS}, best AS (SELECT kmer, arg_min(n1, (-n0, place)) AS n1 FROM every GROUP BY 1), ok AS (SELECT CAST(sum(n1) AS BIGINT) AS correct FROM best), s AS ("
+       + " UNION ALL ".join(f"SELECT {a}::DOUBLE AS alpha, (SELECT sum({_rising_sql(f'({a}::DOUBLE + n0)', 'n1')}) FROM p WHERE n1 > 0) - (SELECT sum({_rising_sql(f'(21 * {a}::DOUBLE + t0)', 't1')}) FROM t WHERE t1 > 0) AS ll" for a in ALPHAS)
+       + "), n AS (SELECT CAST(sum(t1) AS BIGINT) AS total FROM t) SELECT alpha, round(ll, 3) AS loglik, total, correct, round(exp(-ll / total), 7) AS perplexity FROM s, n, ok")
+def protein_bmm_heldout(spark, sf):
+    t = cells.bmm_loglik(protein_cells(spark, sf), [1], ALPHAS, given=0)
+    return t.select("alpha", F.round("loglik", 3).alias("loglik"), "total", "correct", F.round(F.exp(-F.col("loglik") / F.col("total")), 7).alias("perplexity"))
+
+
+@query(f"{_PROT_READS} SELECT kmer, grp, nxt, n FROM long")
+def protein_dense_round_trip(spark, sf):
+    """Written as dense files, read back as arrays of the alphabet's width."""
+    path = scratch(spark, "dense")
+    files.write_dense(protein_cells(spark, sf), path, 3, 4)
+    return cells.to_long(files.read_cells(spark, path, 3, "prot"), "prot").select("kmer", "grp", "nxt", "n")
+
+
+def _prot_linear_sql() -> str:
+    """f of every context and letter under PROT_WEIGHTS, by a table of the weights."""
+    rows = ", ".join(f"({j}, '{a}', '{o}', {PROT_WEIGHTS[j][x][y]!r}::DOUBLE)" for j in range(2) for x, a in enumerate(PROT[:-1] + "[") for y, o in enumerate(PROT))
+    return f"w(j, a, nxt, w) AS (VALUES {rows}), z AS (SELECT kmer, nxt, exp(w0.w + w1.w) AS e FROM kmers JOIN w w0 ON w0.j = 0 AND w0.a = substr(kmer, 1, 1) JOIN w w1 USING (nxt) WHERE w1.j = 1 AND w1.a = substr(kmer, 2, 1)), f AS (SELECT kmer, nxt, e / sum(e) OVER (PARTITION BY kmer) AS f FROM z)"
+
+
+@query(f"{_PROT_READS}, {_PROT_PAIRS}, {_prot_linear_sql()}, x AS (SELECT kmer, nxt, n0, n1, f FROM every JOIN f USING (kmer, nxt)), c AS (SELECT kmer, h, sum(f / h + 1e-7::DOUBLE + n0) AS c, sum(n1) AS n, sum(CASE WHEN n1 > 0 THEN {_rising_sql('(f / h + 1e-7::DOUBLE + n0)', 'n1')} ELSE 0 END) AS up FROM x, (SELECT unnest({HS!r})::DOUBLE AS h) GROUP BY 1, 2) "
+       f"SELECT 'ar' AS model, 0.0::DOUBLE AS h, round(sum(n1 * ln(f + 1e-7::DOUBLE)), 3) AS loglik, CAST(sum(n1) AS BIGINT) AS total FROM x UNION ALL SELECT 'dm', h, round(sum(up - {_rising_sql('c', 'n')}), 3), CAST(sum(n) AS BIGINT) FROM c GROUP BY h")
+def protein_linear_heldout(spark, sf):
+    """A linear model of 21 letters, alone and as the mean of a Dirichlet."""
+    t = protein_cells(spark, sf)
+    return cells.evaluation(t, cells.linear(F.col("kmer"), PROT_WEIGHTS, "prot"), HS, 1, 0).select("model", "h", F.round("loglik", 3).alias("loglik"), "total")
+
+
+# gradients of the linear model, and its training
+
+
+def _digamma_sql(x: str) -> str:
+    z = f"({x} + 12)"
+    return f"(ln({z}) - 0.5 / {z} - 1 / (12 * {z} ** 2) + 1 / (120 * {z} ** 4) - 1 / (252 * {z} ** 6) + 1 / (240 * {z} ** 8) - " + " - ".join(f"1 / ({x} + {k})" for k in range(12)) + ")"
+
+
+def _dz_sql(alone: bool, h: str = "1.0::DOUBLE", src: str = "e", to: str = "") -> str:
+    """From e0.. and g0_0.. of each context: f, the slopes of the log likelihood by f, and by the logits."""
+    eps = "1e-7::DOUBLE"
+    f = f"f{to} AS (SELECT kmer, {', '.join(g(0))}, {', '.join(f'e{o} / (e0 + e1 + e2 + e3 + e4) AS f{o}' for o in range(5))} FROM {src})"
+    if alone:
+        d = f"d{to} AS (SELECT *, {', '.join(f'g0_{o} / (f{o} + {eps}) AS d{o}' for o in range(5))} FROM f{to})"
+    else:
+        c = [f"(f{o} / {h} + {eps})" for o in range(5)]
+        whole = f"({_digamma_sql('(' + ' + '.join(c) + ' + ' + total(0) + ')')} - {_digamma_sql('(' + ' + '.join(c) + ')')})"
+        own = [f"(CASE WHEN g0_{o} = 0 THEN 0 ELSE {_digamma_sql(f'({c[o]} + g0_{o})')} - {_digamma_sql(c[o])} END)" for o in range(5)]
+        d = f"d{to} AS (SELECT *, {', '.join(f'({own[o]} - {whole}) / {h} AS d{o}' for o in range(5))} FROM f{to})"
+    mean = " + ".join(f"f{o} * d{o}" for o in range(5))
+    return f"{f}, {d}, dz{to} AS (SELECT *, {', '.join(f'f{o} * (d{o} - ({mean})) AS z{o}' for o in range(5))} FROM d{to})"
+
+
+def _gradient_sql(alone: bool) -> str:
+    each = " UNION ALL ".join(f"SELECT {j} AS place, substr(kmer, {j + 1}, 1) AS letter, {', '.join(f'z{o}' for o in range(5))} FROM dz" for j in range(3))
+    return f"{WIDE}, e AS (SELECT *, {', '.join(f'{_lin_sql(o)} AS e{o}' for o in range(5))} FROM wide), {_dz_sql(alone, '0.5::DOUBLE')} SELECT place, letter, {', '.join(f'round(sum(z{o}), 4) + 0.0 AS v{o}' for o in range(5))} FROM ({each}) GROUP BY 1, 2"
+
+
+def _gradient(spark, sf, alone: bool) -> DataFrame:
+    rows = wide3(spark, sf).select("kmer", F.array(*[c.cast("double") for c in M.cells(0)]).alias("n"))
+    p = {"w": np.array(WEIGHTS), "log_h": np.log(np.array([0.5]))}
+    return training.linear_rows(rows, p, alone).filter("place >= 0").groupBy("place", "letter").agg(*[(F.round(F.sum(F.col("v")[o]), 4) + F.lit(0.0)).alias(f"v{o}") for o in range(5)])
+
+
+@query(_gradient_sql(True))
+def linear_gradient_ar(spark, sf):
+    return _gradient(spark, sf, True)
+
+
+@query(_gradient_sql(False))
+def linear_gradient_dm(spark, sf):
+    return _gradient(spark, sf, False)
+
+
+def _adam_sql(steps: int, rate: float) -> str:
+    """The losses of so many steps of Adam from the model's start: the weights are a table (j, a, o, w, m, v) that each step makes anew."""
+    start = training.Linear.start(3, np.random.default_rng(0))["w"]
+    rows = ", ".join(f"({j}, '{a}', {o}, {float(start[j, x, o])!r}::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE)" for j in range(3) for x, a in enumerate("ACGT[") for o in range(5))
+    out = [f"{WIDE}, w0(j, a, o, w, m, v) AS (VALUES {rows}), contexts AS MATERIALIZED (SELECT kmer, {', '.join(g(0))} FROM wide), spots AS MATERIALIZED (SELECT kmer, j, substr(kmer, j + 1, 1) AS a FROM contexts, (SELECT unnest([0, 1, 2]) AS j))"]
+    for t in range(steps):
+        logits = ", ".join(f"exp(sum(w) FILTER (o = {o})) AS e{o}" for o in range(5))
+        out.append(f"e{t} AS (SELECT kmer, {', '.join(g(0))}, {', '.join(f'e{o}' for o in range(5))} FROM contexts JOIN (SELECT kmer, {logits} FROM spots JOIN w{t} USING (j, a) GROUP BY kmer) USING (kmer))")
+        out.append(_dz_sql(True, src=f"e{t}", to=str(t)))
+        out.append(f"loss{t} AS (SELECT -sum({' + '.join(f'g0_{o} * ln(f{o} + 1e-7::DOUBLE)' for o in range(5))}) AS loss FROM f{t})")
+        out.append(f"slope{t} AS (SELECT j, a, unnest([0, 1, 2, 3, 4]) AS o, unnest([{', '.join(f'-sum(z{o})' for o in range(5))}]) AS s FROM dz{t} JOIN spots USING (kmer) GROUP BY j, a)")
+        out.append(f"moved{t} AS (SELECT j, a, o, w, 0.9 * m + 0.1 * coalesce(s, 0) AS m, 0.999 * v + 0.001 * coalesce(s, 0) * coalesce(s, 0) AS v FROM w{t} LEFT JOIN slope{t} USING (j, a, o))")
+        out.append(f"w{t + 1} AS MATERIALIZED (SELECT j, a, o, w - {rate}::DOUBLE * (m / {1 - 0.9 ** (t + 1)!r}::DOUBLE) / (sqrt(v / {1 - 0.999 ** (t + 1)!r}::DOUBLE) + 1e-7::DOUBLE) AS w, m, v FROM moved{t})")
+    return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT {t} AS step, round(loss, 3) AS loss FROM loss{t}" for t in range(steps))
+
+
 # training; the history of the loss
 
 
 def _history(spark, losses: list[float]) -> DataFrame:
-    return spark.createDataFrame([(k, float(x)) for k, x in enumerate(losses)], "step int, loss double")
+    return spark.createDataFrame([(k, round(float(x), 3)) for k, x in enumerate(losses)], "step int, loss double")
 
 
-@query()
+@query(_adam_sql(10, 0.05))
 def train_linear_ar(spark, sf):
     return _history(spark, training.train(wide3(spark, sf), "linear", 3, steps=10, rate=0.05, alone=True)[1])
 
 
+@query()
+def train_linear_protein(spark, sf):
+    return _history(spark, training.train(protein_cells(spark, sf), "linear", 2, steps=6, batches=2, rate=0.05, alphabet="prot")[1])
+
+
 @query()
 def train_ref_dm(spark, sf):
     return _history(spark, training.train(wide3(spark, sf), "stop", 3, ref_group=2, steps=10, rate=0.05)[1])
@@ -655,7 +775,7 @@ def fit_and_evaluate_bmm(spark, sf):
 
 
 def _results(spark, sf, name: str, reference: bool = False, **model) -> DataFrame:
-    return fit.fit_and_evaluate(kept(wide3(spark, sf), "counts"), settings(name, **model), reference)[2]
+    return fit.fit_and_evaluate(kept(wide3(spark, sf), "counts"), settings(name, **model), reference)[2].withColumn("value", F.round("value", 4))
 
 
 @query()

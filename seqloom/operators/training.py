@@ -1,8 +1,12 @@
-"""Training of autoregressive models (linear, convolutional, reference) alone or as the mean of a Dirichlet.
+"""Training of autoregressive models (linear, convolutional, reference) alone or as the mean of a Dirichlet, for any alphabet.
 
-A step is one pass of mapInPandas that gives a row of partial gradients per partition; their sum goes to an Adam or SGD step in
-numpy on the driver. A step's batch is the whole table or a slice of it by the md5 of the context, so reruns agree.
-Parameters are a dict of arrays and can be stored as a Parquet table.
+The table is written once, by batch, in the order of its contexts; a step reads the files of its batch and no others. The linear model's gradients are
+sums by place and letter of expressions over the contexts, one Spark aggregate without Python; other models give a row of partial gradients per
+partition from mapInPandas, added up in the partitions' order. The sums go to an optimizer in numpy on the driver.
+
+With a state folder, the step, the parameters, what the optimizer holds and the losses are written every few steps, and a run that finds
+such a state goes on from it: its parameters are those of a run that was not stopped. Sums of an aggregate depend on the order of its tasks in their last
+bits, so reruns of the linear model agree to some 12 digits; the others agree wholly. Parameters are a dict of arrays and can be stored as a Parquet table.
 """
 
 from __future__ import annotations
@@ -12,18 +16,27 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from seqloom.functions import numeric as N
+from seqloom.functions import symbols as S
+from seqloom.operators import cells
+from seqloom.sources.shared import dropped, scratch
+
 EPSILON = 1e-7
-INPUT = {c: k for k, c in enumerate("ACGT[")}
 
 
-def one_hot(kmers) -> np.ndarray:
-    """(rows, lag, 5)."""
-    eye = np.vstack([np.eye(5), np.zeros(5)])
-    return eye[np.array([[INPUT.get(c, 5) for c in k] for k in kmers])]
+def one_hot(kmers, alphabet: str = "dna") -> np.ndarray:
+    """(rows, lag, letters and start); a symbol outside the alphabet has no place."""
+    symbols = S.ALPHABETS[alphabet] + S.START
+    eye, place = np.vstack([np.eye(len(symbols)), np.zeros(len(symbols))]), np.full(128, len(symbols))
+    place[list(symbols.encode())] = np.arange(len(symbols))
+    kmers = list(kmers)
+    codes = np.frombuffer("".join(kmers).encode("ascii", "replace"), np.uint8).reshape(len(kmers), -1)
+    return eye[place[codes]]
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -53,8 +66,8 @@ class Linear:
     """softmax of the sum of a row of weights for each place and letter."""
 
     @staticmethod
-    def start(lag: int, rng: np.random.Generator) -> dict[str, np.ndarray]:
-        w = rng.normal(size=(lag, 5, 5))
+    def start(lag: int, rng: np.random.Generator, letters: int = 5) -> dict[str, np.ndarray]:
+        w = rng.normal(size=(lag, letters, letters))
         return {"w": 0.05 * w / np.sqrt((w * w).sum(axis=1, keepdims=True))}
 
     @staticmethod
@@ -91,13 +104,13 @@ class Convolutional:
     """Filters over places, a hidden layer and an output layer. Both inner layers are normalised over their last axis, scaled, shifted and go through elu."""
 
     @staticmethod
-    def start(lag, rng, filter_width: float = 8, num_filters: float = 30, kmer_layer1_width: int = 16):
+    def start(lag, rng, filter_width: float = 8, num_filters: float = 30, kmer_layer1_width: int = 16, letters: int = 5):
         width, filters, hidden = min(int(filter_width), lag), int(num_filters), int(kmer_layer1_width)
         places = lag - width + 1
         unit = lambda size, axis: (x := rng.normal(size=size)) / np.sqrt((x * x).sum(axis=axis, keepdims=True))
         return {
-            "c": unit((width, 5, filters), (0, 1)), "cs": np.ones((places, filters)), "cb": np.ones((places, filters)),
-            "h": unit((places, filters, hidden), 0), "hs": np.ones(hidden), "hb": np.ones(hidden), "o": 0.05 * unit((hidden, 5), 0), "ob": np.zeros(5),
+            "c": unit((width, letters, filters), (0, 1)), "cs": np.ones((places, filters)), "cb": np.ones((places, filters)),
+            "h": unit((places, filters, hidden), 0), "hs": np.ones(hidden), "hb": np.ones(hidden), "o": 0.05 * unit((hidden, letters), 0), "ob": np.zeros(letters),
         }
 
     @staticmethod
@@ -128,8 +141,8 @@ class Convolutional:
 class Stop:
     """Always the stop letter; no parameters."""
 
-    start = staticmethod(lambda lag, rng: {})
-    forward = staticmethod(lambda p, x: (np.tile([0.0, 0, 0, 0, 1], (len(x), 1)), None))
+    start = staticmethod(lambda lag, rng, letters=5: {})
+    forward = staticmethod(lambda p, x: (np.tile(np.eye(x.shape[2])[-1], (len(x), 1)), None))
     backward = staticmethod(lambda p, held, df: {})
 
 
@@ -137,28 +150,79 @@ class Stop:
 MODELS: dict[str, type] = {"linear": Linear, "cnn": Convolutional, "stop": Stop}
 
 
-class Adam:
+class Optimizer:
+    """A step for every parameter. What a kind holds of each is in slots, by name and parameter, so that a state can be written and read."""
+
     def __init__(self, rate: float):
-        self.rate, self.m, self.v, self.t = rate, {}, {}, 0
+        self.rate, self.t, self.slots = rate, 0, {}
+
+    def held(self, name: str, key: str, start=0.0) -> np.ndarray | float:
+        return self.slots.get((name, key), start)
 
-    def step(self, params, grads):
+    def mixed(self, name: str, key: str, share: float, new: np.ndarray) -> np.ndarray:
+        """The running mean of a slot with the new value's share, kept there."""
+        self.slots[name, key] = (1 - share) * self.held(name, key) + share * new
+        return self.slots[name, key]
+
+    def step(self, params: dict, grads: dict) -> None:
         self.t += 1
         for k, g in grads.items():
-            self.m[k] = 0.9 * self.m.get(k, 0) + 0.1 * g
-            self.v[k] = 0.999 * self.v.get(k, 0) + 0.001 * g * g
-            params[k] = params[k] - self.rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-7)
+            params[k] = params[k] - self.change(k, g)
 
+    def change(self, k: str, g: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
 
-class SGD:
-    def __init__(self, rate: float):
-        self.rate = rate
 
-    def step(self, params, grads):
-        for k, g in grads.items():
-            params[k] = params[k] - self.rate * g
+class SGD(Optimizer):
+    def change(self, k, g):
+        return self.rate * g
+
+
+class Adam(Optimizer):
+    def change(self, k, g):
+        m, v = self.mixed("m", k, 0.1, g), self.mixed("v", k, 0.001, g * g)
+        return self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-7)
+
+
+class Nadam(Optimizer):
+    """Adam with Nesterov's look ahead, whose first decay warms up."""
+
+    def change(self, k, g):
+        u = [0.9 * (1 - 0.5 * 0.96 ** (0.004 * (self.t + i))) for i in (0, 1)]
+        done = self.held("u", k, 1.0) * u[0]
+        self.slots["u", k] = np.asarray(done)
+        m, v = self.mixed("m", k, 0.1, g), self.mixed("v", k, 0.001, g * g)
+        ahead = u[1] * m / (1 - done * u[1]) + (1 - u[0]) * g / (1 - done)
+        return self.rate * ahead / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-7)
+
 
+class Adamax(Optimizer):
+    def change(self, k, g):
+        m = self.mixed("m", k, 0.1, g)
+        self.slots["most", k] = np.maximum(0.999 * self.held("most", k), np.abs(g))
+        return self.rate / (1 - 0.9**self.t) * m / (self.slots["most", k] + 1e-7)
 
-OPTIMIZERS: dict[str, Callable] = {"Adam": Adam, "SGD": SGD}
+
+class RMSprop(Optimizer):
+    def change(self, k, g):
+        return self.rate * g / np.sqrt(self.mixed("v", k, 0.1, g * g) + 1e-7)
+
+
+class Adagrad(Optimizer):
+    def change(self, k, g):
+        self.slots["sum", k] = self.held("sum", k, 0.1) + g * g
+        return self.rate * g / np.sqrt(self.slots["sum", k] + 1e-7)
+
+
+class Adadelta(Optimizer):
+    def change(self, k, g):
+        v = self.mixed("v", k, 0.05, g * g)
+        by = g * np.sqrt(self.held("moved", k) + 1e-7) / np.sqrt(v + 1e-7)
+        self.mixed("moved", k, 0.05, by * by)
+        return self.rate * by
+
+
+OPTIMIZERS: dict[str, Callable] = {o.__name__: o for o in (SGD, Adam, Nadam, Adamax, RMSprop, Adagrad, Adadelta)}
 
 
 def reference_mix(p: dict, ref: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, tuple]:
@@ -167,13 +231,14 @@ def reference_mix(p: dict, ref: np.ndarray, g: np.ndarray) -> tuple[np.ndarray,
     r = ref[:, :-1] + EPSILON
     r = r / r.sum(axis=1, keepdims=True)
     e = np.exp(-tau)
-    jc = np.concatenate([0.25 + e * (r - 0.25), np.zeros((len(r), 1))], axis=1)
+    u = 1 / r.shape[1]
+    jc = np.concatenate([u + e * (r - u), np.zeros((len(r), 1))], axis=1)
     return (nu * g + jc) / (nu + 1), (tau, nu, r, e, jc, g)
 
 
-def loglik_and_grads(p: dict, model, kmers, counts: np.ndarray, ref: np.ndarray | None, alone: bool) -> tuple[float, dict]:
+def loglik_and_grads(p: dict, model, kmers, counts: np.ndarray, ref: np.ndarray | None, alone: bool, alphabet: str = "dna") -> tuple[float, dict]:
     """The log likelihood of counts and its gradients; alone: of the autoregressive model without a Dirichlet."""
-    g, held = model.forward(p, one_hot(kmers))
+    g, held = model.forward(p, one_hot(kmers, alphabet))
     f, mix = (g, None) if ref is None else reference_mix(p, ref, g)
     if alone:
         ll, df, grads = float((counts * np.log(f + EPSILON)).sum()), counts / (f + EPSILON), {"log_h": np.zeros(1)}
@@ -186,7 +251,7 @@ def loglik_and_grads(p: dict, model, kmers, counts: np.ndarray, ref: np.ndarray
         df, grads = dc / h, {"log_h": np.array([-(dc * f / h).sum()])}
     if mix is not None:
         tau, nu, r, e, jc, g = mix
-        grads["log_tau"] = np.array([-(df[:, :-1] * (r - 0.25)).sum() * tau * e / (nu + 1)]).reshape(p["log_tau"].shape)
+        grads["log_tau"] = np.array([-(df[:, :-1] * (r - 1 / r.shape[1])).sum() * tau * e / (nu + 1)]).reshape(p["log_tau"].shape)
         grads["log_nu"] = np.array([(df * (g - jc)).sum() * nu / (nu + 1) ** 2]).reshape(p["log_nu"].shape)
         df = df * nu / (nu + 1)
     return ll, grads | model.backward(p, held, df)
@@ -202,66 +267,168 @@ def added(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"ll": [total[0]], "rows": [total[1]], "grad": [total[2]]})
 
 
-def predicted(rows: DataFrame, params: dict, model: str, ref_group: int | None = None) -> DataFrame:
+def predicted(rows: DataFrame, params: dict, model: str, ref_group: int | None = None, alphabet: str = "dna") -> DataFrame:
     """Adds a trained model's letter probabilities f0.. to rows with kmer, and with the reference's counts if it has one."""
-    make, names = MODELS[model], [f"f{i}" for i in range(5)]
-    ref = [f"g{ref_group}_{i}" for i in range(5)] if ref_group is not None else []
+    make, names, columns = MODELS[model], [f"f{i}" for i in range(cells.width(alphabet))], rows.columns
+    src = rows.withColumn("_ref", cells.counts(rows, ref_group).cast("array<double>")) if ref_group is not None else rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                f, _ = make.forward(params, one_hot(b.column("kmer").to_pylist()))
-                if ref:
-                    f, _ = reference_mix(params, np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ref], axis=1).astype(float), f)
-                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(c)) for c in f.T)], [*b.schema.names, *names])
+                f, _ = make.forward(params, one_hot(b.column("kmer").to_pylist(), alphabet))
+                if ref_group is not None:
+                    f, _ = reference_mix(params, b.column("_ref").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1), f)
+                own = b.columns[:-1] if ref_group is not None else b.columns
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(np.ascontiguousarray(c)) for c in f.T)], [*columns, *names])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(c, T.DoubleType()) for c in names)]))
+    return src.mapInArrow(run, T.StructType([*rows.schema.fields, *(T.StructField(c, T.DoubleType()) for c in names)]))
 
 
-def train(table: DataFrame, model: str, lag: int, *, group: int = 0, ref_group: int | None = None, steps: int = 20, batches: int = 1, rate: float = 0.01, optimizer: str = "Adam", alone: bool = False, accumulate: int = 1, start: dict | None = None, seed: int = 0, kwargs: dict | None = None) -> tuple[dict, list[float]]:
-    """The parameters and the loss at each step. start: parameters to go on from; kwargs: of the model's start."""
-    make, rng = MODELS[model], np.random.default_rng(seed)
-    p = dict(start) if start else {"log_h": np.zeros(1)} | make.start(lag, rng, **(kwargs or {}))
+def linear_rows(rows: DataFrame, p: dict, alone: bool, alphabet: str = "dna") -> DataFrame:
+    """(place, letter, v) of rows (kmer, n array): sums of v by place and letter are the linear model's gradients, an entry per output letter.
+
+    The row of place -1 has the log likelihood, the gradient of log h and the number of contexts.
+    """
+    letters = cells.width(alphabet)
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda t, x: t + x)
+    at = rows.select("kmer", "n", cells.linear(F.col("kmer"), p["w"].tolist(), alphabet).alias("f"))
+    if alone:
+        at = at.select("kmer", "f", F.zip_with("n", "f", lambda n, f: n / (f + EPSILON)).alias("df"), N.multinomial_logprob_of(F.transform("f", lambda f: f + EPSILON), F.col("n")).alias("ll"), F.lit(0.0).alias("gh"))
+    else:
+        h = float(np.exp(p["log_h"][0]))
+        at = at.select("kmer", "n", "f", F.transform("f", lambda f: f / h + EPSILON).alias("c"))
+        sums = at.select("*", add("c").alias("tc"), add("n").alias("tn"))
+        slopes = sums.select("*", (N.digamma(F.col("tc") + F.col("tn")) - N.digamma(F.col("tc"))).alias("whole"), N.dm_logprob_of(F.col("c"), F.col("n")).alias("ll"))
+        each = F.zip_with("c", "n", lambda c, n: F.when(n == 0, F.lit(0.0)).otherwise(N.digamma(c + n) - N.digamma(c)))
+        slopes = slopes.select("kmer", "f", "ll", F.transform(F.zip_with(each, F.array_repeat("whole", letters), lambda x, w: x - w), lambda x: x / h).alias("df"))
+        at = slopes.select("kmer", "f", "df", "ll", (-add(F.zip_with("df", "f", lambda d, f: d * f))).alias("gh"))
+    mean = at.select("*", add(F.zip_with("f", "df", lambda f, d: f * d)).alias("mean"))
+    dz = mean.select("kmer", "ll", "gh", F.zip_with("f", F.zip_with("df", F.array_repeat("mean", letters), lambda d, m: d - m), lambda f, d: f * d).alias("dz"))
+    lag = len(p["w"])
+    own = F.transform(F.sequence(F.lit(0), F.lit(lag - 1)), lambda j: F.struct(j.alias("place"), F.substring(F.col("kmer"), j + 1, F.lit(1)).alias("letter"), F.col("dz").alias("v")))
+    whole = F.struct(F.lit(-1).alias("place"), F.lit("").alias("letter"), F.concat(F.array("ll", "gh", F.lit(1.0)), F.array_repeat(F.lit(0.0), letters - 3)).alias("v"))
+    return dz.select(F.inline(F.concat(own, F.array(whole))))
+
+
+def linear_gradients(rows: DataFrame, p: dict, alone: bool, alphabet: str = "dna") -> tuple[float, dict, int]:
+    """(log likelihood, gradients, contexts) of the linear model: one aggregate, a row per place and letter for the driver."""
+    letters = cells.width(alphabet)
+    sums = linear_rows(rows, p, alone, alphabet).groupBy("place", "letter").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(letters)])
+    symbols, w, whole = S.ALPHABETS[alphabet] + S.START, np.zeros_like(p["w"]), [0.0, 0.0, 0.0]
+    for r in sums.collect():
+        v = [r[f"v{i}"] for i in range(letters)]
+        if r["place"] < 0:
+            whole = v
+        else:
+            w[r["place"], symbols.index(r["letter"])] = v
+    return whole[0], {"w": w, "log_h": np.array([whole[1]])}, int(whole[2])
+
+
+def laid_out(table: DataFrame, group: int, ref_group: int | None, batches: int) -> tuple[DataFrame, str]:
+    """(kmer, n, r, part) written by batch, a folder each, in the order of the contexts; the frame and its path."""
+    spark = table.sparkSession
+    digest = F.conv(F.substring(F.md5("kmer"), 1, 8), 16, 10).cast("bigint")
+    src = table.select("kmer", cells.counts(table, group).cast("array<double>").alias("n"), cells.counts(table, ref_group if ref_group is not None else group).cast("array<double>").alias("r"), F.pmod(digest, F.lit(batches)).cast("int").alias("part"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    files = -(-tasks // batches)  # of each batch
+    path = scratch(spark, "batches")
+    src.repartition(max(tasks, 1), "part", F.pmod(F.xxhash64("kmer"), F.lit(files))).sortWithinPartitions("part", "kmer").write.partitionBy("part").parquet(path)
+    return spark.read.schema(src.schema).parquet(path), path
+
+
+def numpy_gradients(rows: DataFrame, p: dict, make, reference: bool, alone: bool, alphabet: str) -> tuple[float, dict, int]:
+    """The same of any model, by a row of partial sums per partition; many partitions are added up by fewer tasks first."""
+    names, now = sorted(p), dict(p)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, n_rows, sums = 0.0, 0, {k: np.zeros_like(v) for k, v in now.items()}
+        for b in frames:
+            if len(b):
+                ll, grads = loglik_and_grads(now, make, b["kmer"], np.stack(b["n"]), np.stack(b["r"]) if reference else None, alone, alphabet)
+                total, n_rows = total + ll, n_rows + len(b)
+                for k, g in grads.items():
+                    sums[k] = sums[k] + g
+        yield pd.DataFrame({"ll": [total], "rows": [n_rows], "grad": [np.concatenate([np.ravel(sums[k]) for k in names])]})
+
+    n_parts = rows.rdd.getNumPartitions()
+    sums = rows.mapInPandas(run, "ll double, rows bigint, grad array<double>")
+    if n_parts > 64:
+        sums = sums.coalesce(int(n_parts**0.5)).mapInPandas(added, sums.schema)
+    got = sums.toPandas()
+    flat, at, grads = np.sum(np.stack(got["grad"]), axis=0), 0, {}
+    for k in names:
+        grads[k] = flat[at : at + p[k].size].reshape(p[k].shape)
+        at += p[k].size
+    return float(got["ll"].sum()), grads, int(got["rows"].sum())
+
+
+def train(
+    table: DataFrame, model: str, lag: int, *, group: int = 0, ref_group: int | None = None, steps: int = 20, batches: int = 1, rate: float = 0.01, optimizer: str = "Adam", alone: bool = False,
+    accumulate: int = 1, start: dict | None = None, seed: int = 0, kwargs: dict | None = None, alphabet: str = "dna", precision: int = 64, state: str | None = None, every: int = 50,
+) -> tuple[dict, list[float]]:
+    """The parameters and the loss at each step, for a table in either form.
+
+    start: parameters to begin with; kwargs: of the model's start; precision: bits that parameters are rounded to after each step. state: a folder that
+    gets the state every `every` steps and at the end; if it has one, the run goes on from there, up to `steps` in all.
+    """
+    if optimizer not in OPTIMIZERS:
+        raise ValueError(f"there is no optimizer {optimizer}; there are {', '.join(OPTIMIZERS)}")
+    spark, make, kind = table.sparkSession, MODELS[model], {32: np.float32, 64: np.float64}[precision]
+    p = dict(start) if start else {"log_h": np.zeros(1)} | make.start(lag, np.random.default_rng(seed), letters=cells.width(alphabet), **(kwargs or {}))
     if ref_group is not None and "log_tau" not in p:
         p |= {"log_tau": np.log(np.array([1 / 30])), "log_nu": np.log(np.array([1 / 100]))}
-    cols = lambda g: F.array(*[F.col(f"g{g}_{i}").cast("double") for i in range(5)])
-    part = F.pmod(F.conv(F.substring(F.md5("kmer"), 1, 8), 16, 10).cast("bigint"), F.lit(batches)).cast("int")
-    src = table.select("kmer", cols(group).alias("n"), cols(ref_group if ref_group is not None else group).alias("r"), part.alias("part")).cache()
-    rows_all, n_parts = src.count(), src.rdd.getNumPartitions()
-    fan = int(n_parts**0.5) if n_parts > 64 else 0
-    adam, losses, names, held = OPTIMIZERS[optimizer](rate), [], sorted(p), None
-    for step in range(steps):
-        now = dict(p)
-
-        def run(frames: Iterator[pd.DataFrame], now=now) -> Iterator[pd.DataFrame]:
-            total, rows, sums = 0.0, 0, {k: np.zeros_like(v) for k, v in now.items()}
-            for b in frames:
-                if len(b):
-                    ll, grads = loglik_and_grads(now, make, b["kmer"], np.stack(b["n"]), np.stack(b["r"]) if ref_group is not None else None, alone)
-                    total, rows = total + ll, rows + len(b)
-                    for k, g in grads.items():
-                        sums[k] = sums[k] + g
-            yield pd.DataFrame({"ll": [total], "rows": [rows], "grad": [np.concatenate([np.ravel(sums[k]) for k in names])]})
-
-        sums = src.filter(F.col("part") == step % batches).mapInPandas(run, "ll double, rows bigint, grad array<double>")
-        if fan:  # many partitions: their rows are added up by fewer tasks before the driver sees them
-            sums = sums.repartition(fan).mapInPandas(added, sums.schema)
-        got = sums.toPandas()
-        scale = rows_all / max(int(got["rows"].sum()), 1)
-        flat = -scale * np.sum(np.stack(got["grad"]), axis=0)
-        losses.append(-scale * float(got["ll"].sum()))
-        held = flat if held is None else held + flat
-        if (step + 1) % accumulate == 0:
-            at, grads = 0, {}
-            for k in names:
-                grads[k] = held[at : at + p[k].size].reshape(p[k].shape)
-                at += p[k].size
-            adam.step(p, grads)
-            held = None
-    src.unpersist()
+    opt, losses, held, done = OPTIMIZERS[optimizer](rate), [], None, 0
+    if state and (found := load_state(spark, state)):
+        p, opt.slots, opt.t, held, losses, done = found
+    if done >= steps:
+        return p, losses
+    src, path = laid_out(table, group, ref_group, batches)
+    try:
+        rows_all = src.count()
+        for step in range(done, steps):
+            own = src.filter(F.col("part") == step % batches)
+            if make is Linear and ref_group is None:
+                ll, grads, n_rows = linear_gradients(own, p, alone, alphabet)
+            else:
+                ll, grads, n_rows = numpy_gradients(own, p, make, ref_group is not None, alone, alphabet)
+            scale = rows_all / max(n_rows, 1)
+            losses.append(-scale * ll)
+            held = {k: (held[k] if held else 0) - scale * grads[k] for k in p}
+            if (step + 1) % accumulate == 0:
+                opt.step(p, held)
+                p, held = {k: np.asarray(v, kind).astype(float) for k, v in p.items()}, None
+            if state and ((step + 1) % every == 0 or step + 1 == steps):
+                save_state(spark, state, p, opt, held, losses, step + 1)
+    finally:
+        dropped(spark, path)
     return p, losses
 
 
+def save_state(spark: SparkSession, path: str, params: dict, opt: Optimizer, held: dict | None, losses: list[float], done: int) -> None:
+    """One file for the step: it is there whole or not at all. The step before stays until this one is written; earlier ones go."""
+    rows = [("param", k, "", v) for k, v in params.items()] + [("slot", k, name, v) for (name, k), v in opt.slots.items()] + [("held", k, "", v) for k, v in (held or {}).items()]
+    rows += [("loss", "", "", np.array(losses)), ("t", "", "", np.array([float(opt.t)]))]
+    said = [(kind, k, name, [int(x) for x in np.shape(v)], [float(x) for x in np.ravel(v)]) for kind, k, name, v in rows]
+    spark.createDataFrame(said, "kind string, name string, slot string, shape array<int>, values array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/step={done}")
+    for old in sorted({r["step"] for r in spark.read.parquet(path).select("step").distinct().collect()})[:-2]:
+        dropped(spark, f"{path}/step={old}")
+
+
+def load_state(spark: SparkSession, path: str):
+    """(params, slots, t, held, losses, step) of the last whole state in a folder; None if there is none."""
+    try:
+        src = spark.read.parquet(path)
+        last = src.agg(F.max("step")).first()[0]
+    except AnalysisException:
+        return None
+    if last is None:
+        return None
+    by = {(r["kind"], r["name"], r["slot"]): np.array(r["values"]).reshape(r["shape"]) for r in src.filter(F.col("step") == last).collect()}
+    of = lambda kind: {k: v for (x, k, _), v in by.items() if x == kind}
+    slots = {(slot, k): v for (x, k, slot), v in by.items() if x == "slot"}
+    return of("param"), slots, int(by["t", "", ""][0]), of("held") or None, list(map(float, by["loss", "", ""])), int(last)
+
+
 def save(spark: SparkSession, params: dict, path: str) -> None:
     rows = [(k, [int(x) for x in v.shape], [float(x) for x in np.ravel(v)]) for k, v in params.items()]
     spark.createDataFrame(rows, "name string, shape array<int>, values array<double>").write.mode("overwrite").parquet(path)

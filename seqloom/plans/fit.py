@@ -2,10 +2,11 @@
 
 python -m seqloom.plans.fit net|ref CONFIG.cfg
 
-Sections and keys of the file: general (out_folder, seed), data (files_path, start_token, sparse, num_ds, alphabet, train_column, test_column,
-reference_column), hyperp (lag), train (train, epochs, batch_size, optimizer_name, learning_rate, train_ar, accumulation_steps, restart, restart_path),
+Sections and keys of the file (fixed values): general (out_folder, seed, precision), data (files_path, start_token, sparse, num_ds, alphabet, train_column, test_column,
+reference_column), hyperp (lag), train (train, epochs, batch_size, optimizer_name, learning_rate, train_ar, accumulation_steps, restart, restart_path, state_steps),
 test (test, train_test, van_reg), model (ar_func_name, af_kwargs). Values are JSON where they can be. The out folder gets the parameters, the
-loss of each step and the results, each as a Parquet table.
+loss of each step and the results, each as a Parquet table, and the state of the run every state_steps steps (50); a run that was stopped, started again with
+the same folder (a name with a star at its end), goes on from there.
 """
 
 from __future__ import annotations
@@ -18,13 +19,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.operators import models, training
+from seqloom.functions import symbols
+from seqloom.operators import cells, training
 from seqloom.sources import files
 from seqloom.sources.shared import kept
 
-F_COLUMNS = [f"f{i}" for i in range(models.LETTERS)]
-
-
 @dataclass
 class Trained:
     """A trained model: what scores, evaluation and generation need of it."""
@@ -33,13 +32,14 @@ class Trained:
     lag: int
     params: dict
     ref_group: int | None = None
+    alphabet: str = "dna"
 
     @property
     def h(self) -> float:
         return float(np.exp(self.params["log_h"][0]))
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        return training.predicted(rows, self.params, self.name, self.ref_group)
+        return training.predicted(rows, self.params, self.name, self.ref_group, self.alphabet)
 
 
 def batches_of(n_rows: int, batch_size: float) -> int:
@@ -54,42 +54,50 @@ def steps_of(epochs: int | str, n_batches: int) -> int:
     return int(said[:-1]) if said.endswith("s") else int(said) * n_batches
 
 
+def alphabet_of(data: dict) -> str:
+    name = str(data.get("alphabet", "dna"))
+    if name not in symbols.ALPHABETS:
+        raise ValueError(f"there is no alphabet {name}; there are {', '.join(symbols.ALPHABETS)}")
+    return name
+
+
 def read_table(spark: SparkSession, data: dict) -> DataFrame:
     path = files.discovered(data["files_path"], data.get("start_token", ""))
-    return (files.read_sparse if data.get("sparse") else files.read_dense)(spark, path, int(data["num_ds"]))
+    return files.read_cells(spark, path, int(data["num_ds"]), alphabet_of(data), bool(data.get("sparse")))
 
 
-def fit(table: DataFrame, cfg: dict, reference: bool) -> tuple[Trained, list[float]]:
-    """The trained model and the loss of each step; without training the restarted parameters."""
+def fit(table: DataFrame, cfg: dict, reference: bool, state: str | None = None) -> tuple[Trained, list[float]]:
+    """The trained model and the loss of each step; without training the restarted parameters. state: a folder for the state of the run (see training.train)."""
     spark, train, data = table.sparkSession, cfg["train"], cfg["data"]
-    lag, name = int(cfg["hyperp"]["lag"]), cfg["model"]["ar_func_name"]
+    lag, name, alphabet = int(cfg["hyperp"]["lag"]), cfg["model"]["ar_func_name"], alphabet_of(data)
     ref = int(data["reference_column"]) if reference else None
     start = training.load(spark, f"{train['restart_path']}/params") if train.get("restart") else None
     if not train.get("train", True):
         if start is None:
             raise ValueError("without training there must be parameters to restart from")
-        return Trained(name, lag, start, ref), []
+        return Trained(name, lag, start, ref, alphabet), []
     n_batches = batches_of(table.count(), float(train["batch_size"]))
     params, losses = training.train(
         table, name, lag, group=int(data["train_column"]), ref_group=ref, steps=steps_of(train["epochs"], n_batches), batches=n_batches, rate=float(train["learning_rate"]),
         optimizer=train["optimizer_name"], alone=bool(train["train_ar"]), accumulate=int(train.get("accumulation_steps", 1)), start=start, seed=int(cfg["general"].get("seed", 0)),
-        kwargs=cfg["model"].get("af_kwargs") or {},
+        kwargs=cfg["model"].get("af_kwargs") or {}, alphabet=alphabet, precision=int(cfg["general"].get("precision", 64)), state=state, every=int(train.get("state_steps", 50)),
     )
-    return Trained(name, lag, params, ref), losses
+    return Trained(name, lag, params, ref, alphabet), losses
 
 
 def metrics(table: DataFrame, model: Trained, test: int, given: int | None, alphas: list[float]) -> DataFrame:
     """(model, param, loglik, total, correct, perplexity, accuracy) of group `test`, conditioned on group `given` if there is one:
     the autoregressive model alone (ar), the mean of a Dirichlet (dm, param h) and the plain Bayesian Markov model (bmm, param alpha)."""
-    own = models.evaluation(model.predict(table), [F.col(c) for c in F_COLUMNS], [model.h], test, given).withColumnRenamed("h", "param")
-    bmm = models.bmm_loglik(table, [test], alphas, given)
+    probs = F.array(*[F.col(f"f{i}") for i in range(cells.width(model.alphabet))])
+    own = cells.evaluation(model.predict(table), probs, [model.h], test, given).withColumnRenamed("h", "param")
+    bmm = cells.bmm_loglik(table, [test], alphas, given)
     bmm = bmm.select(F.lit("bmm").alias("model"), F.col("alpha").alias("param"), "loglik", "total", "correct", F.exp(-F.col("loglik") / F.col("total")).alias("perplexity"), (F.col("correct") / F.col("total")).alias("accuracy"))
     return own.unionByName(bmm)
 
 
-def fit_and_evaluate(table: DataFrame, cfg: dict, reference: bool = False) -> tuple[Trained, list[float], DataFrame]:
+def fit_and_evaluate(table: DataFrame, cfg: dict, reference: bool = False, state: str | None = None) -> tuple[Trained, list[float], DataFrame]:
     """The model, its losses and the results (of, metric, model, param, value): of is heldout, train or model."""
-    model, losses = fit(table, cfg, reference)
+    model, losses = fit(table, cfg, reference, state)
     data, test = cfg["data"], cfg["test"]
     alphas = [float(a) for a in test.get("van_reg", [0.1, 1.0, 10.0])]
     parts = []
@@ -114,7 +122,7 @@ def run(spark: SparkSession, path: str, reference: bool) -> str:
     folder = str(cfg["general"]["out_folder"])
     folder = folder[:-1] if folder.endswith("*") else f"{folder}/logs/{datetime.datetime.now():%Y%m%d-%H%M%S}"
     table = kept(read_table(spark, cfg["data"]), "counts")
-    model, losses, results = fit_and_evaluate(table, cfg, reference)
+    model, losses, results = fit_and_evaluate(table, cfg, reference, f"{folder}/state")
     training.save(spark, model.params, f"{folder}/params")
     spark.createDataFrame([(k, float(x)) for k, x in enumerate(losses)], "step int, loss double").write.mode("overwrite").parquet(f"{folder}/losses")
     results.write.mode("overwrite").parquet(f"{folder}/results")
@@ -127,7 +135,7 @@ def load(spark: SparkSession, folder: str) -> Trained:
     """The trained model in a folder that run() made."""
     said = {(r["section"], r["name"]): r["value"] for r in spark.read.parquet(f"{folder}/config").collect()}
     ref = int(said["data", "reference_column"]) if said["results", "reference"] == "True" else None
-    return Trained(said["model", "ar_func_name"], int(said["hyperp", "lag"]), training.load(spark, f"{folder}/params"), ref)
+    return Trained(said["model", "ar_func_name"], int(said["hyperp", "lag"]), training.load(spark, f"{folder}/params"), ref, said.get(("data", "alphabet"), "dna"))
 
 
 def main() -> None:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.operators import counting
+from seqloom.operators import cells, counting
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -67,15 +67,26 @@ def reads(spark: SparkSession, manifest_path: str) -> DataFrame:
     return out
 
 
-def read_dense(spark: SparkSession, path: str, n_groups: int) -> DataFrame:
-    """The wide form of tab-separated (kmer, JSON matrix) files."""
-    return counting.unpacked(spark.read.csv(path, sep="\t", quote="", schema="kmer string, counts string"), n_groups)
+def read_cells(spark: SparkSession, path: str, n_groups: int, alphabet: str = "dna", sparse: bool = False) -> DataFrame:
+    """(kmer, g0, g1, ...) with an array of cells per group, of dense or sparse count files. Files of another alphabet or number of groups raise."""
+    if sparse:
+        src = spark.read.csv(path, sep=";", header=True, quote="", ignoreLeadingWhiteSpace=True, schema="kmer string, count_mat_indices string, count_mat_values string")
+        return cells.unpacked_sparse(src, n_groups, alphabet)
+    return cells.unpacked(spark.read.csv(path, sep="\t", quote="", schema="kmer string, counts string"), n_groups, alphabet)
 
 
-def read_sparse(spark: SparkSession, path: str, n_groups: int) -> DataFrame:
-    """The wide form of ';'-separated files with places and values."""
-    src = spark.read.csv(path, sep=";", header=True, quote="", ignoreLeadingWhiteSpace=True, schema="kmer string, count_mat_indices string, count_mat_values string")
-    return counting.dense(src, n_groups)
+def read_dense(spark: SparkSession, path: str, n_groups: int, alphabet: str = "dna") -> DataFrame:
+    """The wide form of tab-separated (kmer, JSON matrix) files, raising where a matrix is not of the alphabet's width."""
+    return _wide(read_cells(spark, path, n_groups, alphabet), n_groups, alphabet)
+
+
+def read_sparse(spark: SparkSession, path: str, n_groups: int, alphabet: str = "dna") -> DataFrame:
+    """The wide form of ';'-separated files with places and values, raising where a place is outside the alphabet's width."""
+    return _wide(read_cells(spark, path, n_groups, alphabet, sparse=True), n_groups, alphabet)
+
+
+def _wide(table: DataFrame, n_groups: int, alphabet: str) -> DataFrame:
+    return table.select("kmer", *[F.col(f"g{g}")[i].alias(f"g{g}_{i}") for g in range(n_groups) for i in range(cells.width(alphabet))])
 
 
 def discovered(folder: str, start: str = "") -> str:
@@ -103,9 +114,10 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_dense(table: DataFrame, path: str, n_groups: int, bins: int = 1) -> None:
-    """Tab-separated files, rows dealt to them by the md5 of the context, as shuffled as by chance but the same in every run."""
+    """Tab-separated files of a table in either form, rows dealt to them by the md5 of the context, as shuffled as by chance but the same in every run."""
     by = F.pmod(F.conv(F.substring(F.md5("kmer"), 1, 8), 16, 10).cast("bigint"), F.lit(bins))
-    counting.packed(table, n_groups).repartition(bins, by).write.mode("overwrite").csv(path, sep="\t", quote="", escape="")
+    every = cells.packed(table.select("kmer", *[cells.counts(table, g).alias(f"g{g}") for g in range(n_groups)]))
+    every.repartition(bins, by).write.mode("overwrite").csv(path, sep="\t", quote="", escape="")
 
 
 def write_fasta(seqs: DataFrame, path: str) -> None:

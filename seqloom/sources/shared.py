@@ -21,21 +21,32 @@ def folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_seqloom"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet and read back: cuts the lineage, outlives executors. Deleted when the driver's process ends."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes by dropped(), or when the driver's process ends."""
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_drop)
-    _made.append((df.sparkSession, path))
+    _made.append((spark, path))
+    return path
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet and read back: cuts the lineage, outlives executors. Deleted when the driver's process ends."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever Spark can write."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _drop() -> None:
     for spark, path in _made:
         try:
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            dropped(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone; the folder is then left to its owner
             continue
 
