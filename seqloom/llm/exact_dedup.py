@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -93,9 +94,13 @@ class DigestIndex:
 
     def groups(self) -> DataFrame:
         """(digest, keep_id, keep_tie, group_size) over all batches. Both tables are bucketed by digest, so this moves nothing."""
-        best = F.min(F.struct(-F.col("keep_chars"), F.col("keep_id").isNull(), F.col("keep_id"), F.col("keep_tie")))
-        every = self.part("first").unionByName(self.part("again"))
-        return every.groupBy("digest").agg(best.alias("best"), F.sum("group_size").alias("group_size")).select("digest", F.col("best.keep_id").alias("keep_id"), F.col("best.keep_tie").alias("keep_tie"), "group_size")
+        return best_of(self.part("first").unionByName(self.part("again")))
+
+
+def best_of(groups: DataFrame) -> DataFrame:
+    """(digest, keep_id, keep_tie, group_size) of rows of the index: the best of each digest's."""
+    best = F.min(F.struct(-F.col("keep_chars"), F.col("keep_id").isNull(), F.col("keep_id"), F.col("keep_tie")))
+    return groups.groupBy("digest").agg(best.alias("best"), F.sum("group_size").alias("group_size")).select("digest", F.col("best.keep_id").alias("keep_id"), F.col("best.keep_tie").alias("keep_tie"), "group_size")
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -106,53 +111,71 @@ def grouped(rows: DataFrame) -> DataFrame:
     )
 
 
-def _brought(rows: DataFrame, index: DigestIndex, batches: int) -> list[str]:
-    """Bring rows to the index; the names of the batches."""
-    names = [uuid.uuid4().hex for _ in range(batches)]
-    for k, name in enumerate(names):
-        index.add(grouped(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k)), name)
+def batch_name(rows: DataFrame) -> str:
+    """A name for rows (see digests) that the same rows have in any order and run: a sum over them, exact whatever the order."""
+    each = F.xxhash64("doc_id", "digest", "tie")
+    r = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(each.cast("decimal(20,0)")).alias("a"), F.sum(F.xxhash64(each, F.lit(1)).cast("decimal(20,0)")).alias("b")).first()
+    return hashlib.md5(f"{r['n']}|{r['a']}|{r['b']}".encode()).hexdigest()
+
+
+def _brought(rows: DataFrame, index: DigestIndex, batches: int, name: str | None) -> list[str]:
+    """Bring rows to the index; the names of the batches, which a rerun on the same rows, or under the same name, has again."""
+    name = name or batch_name(rows)
+    names = [f"{name}-{k}-of-{batches}" for k in range(batches)]
+    for k, part in enumerate(names):
+        index.add(grouped(rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k)), part)
     return names
 
 
-def resolve(docs: DataFrame, index: DigestIndex | None = None, batches: int = BATCHES) -> DataFrame:
+@contextmanager
+def _opened(spark: SparkSession, index: DigestIndex | None, n_rows: int) -> Iterator[DigestIndex]:
+    """The caller's index, or a new one whose files and tables go at the end, failed or not."""
+    if index is not None:
+        yield index
+        return
+    path = scratch_path(spark, "index")
+    own = DigestIndex.open(spark, path, n_rows)
+    try:
+        yield own
+    finally:
+        own.close()
+        drop_scratch(path)
+
+
+def resolve(docs: DataFrame, index: DigestIndex | None = None, batches: int = BATCHES, name: str | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of docs, adding its digests to the index.
 
-    With an index that has other batches, keep_id and group_size are over those too.
+    With an index that has other batches, keep_id and group_size are over those too. name: of what is brought; the same rows, or another try
+    under the same name, count once. Rows that come again on purpose need a name of their own.
     """
     spark = docs.sparkSession
     rows = stored(digests(docs), "digests")
     total = rows.count()
-    path = None if index else scratch_path(spark, "index")
-    index = index or DigestIndex.open(spark, path, total)
-    _brought(rows, index, batches)
-    # hot keys are told by the rows of docs alone, whatever else the index holds
-    mine = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-    table = stored(mine.join(index.groups().hint("merge"), "digest"), "resolved")
+    with _opened(spark, index, total) as own:
+        _brought(rows, own, batches, name)
+        # hot keys are told by the rows of docs alone, whatever else the index holds
+        mine = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+        table = stored(mine.join(own.groups().hint("merge"), "digest"), "resolved")
     found = hot_lookup(rows, table, "digest", "n", total)
-    out = found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
-    if path:
-        index.close()
-        drop_scratch(path)
-    return out
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def without_copies(docs: DataFrame, index: DigestIndex | None = None, batches: int = BATCHES) -> DataFrame:
-    """docs with one row of each group of equal texts that the index did not have before, all columns as they were.
+def without_copies(docs: DataFrame, index: DigestIndex | None = None, batches: int = BATCHES, name: str | None = None) -> DataFrame:
+    """docs with one row of each group of equal texts that no other batch of the index brought before, all columns as they were.
 
+    What this batch brought counts by its name, whichever try brought it, so a rerun after a failure, or after the end, gives the same rows.
     The rows to keep are found from digests alone; then docs is joined with them on the digest of the whole row, a
     key that only true repeats of a row share, so that a large group of copies spreads evenly.
     """
     spark = docs.sparkSession
     rows = stored(digests(docs), "digests")
     total = rows.count()
-    path = None if index else scratch_path(spark, "index")
-    index = index or DigestIndex.open(spark, path, total)
-    names = _brought(rows, index, batches)
-    new = index.part("first").filter(F.col("batch").isin(names)).select("digest")
-    keep = stored(index.groups().join(new.hint("merge"), "digest", "left_semi").select(F.col("keep_tie").alias("k")), "keep")
+    with _opened(spark, index, total) as own:
+        names = _brought(rows, own, batches, name)
+        new = own.part("first").filter(F.col("batch").isin(names)).select("digest")
+        # of the rows of this batch alone: the best over all batches may be a row that docs doesn't have
+        mine = own.part("first").unionByName(own.part("again")).filter(F.col("batch").isin(names))
+        keep = stored(best_of(mine).join(new.hint("merge"), "digest", "left_semi").select(F.col("keep_tie").alias("k")), "keep")
     hot = hot_ties(rows.select(F.col("tie").alias("k")), total)
-    if path:
-        index.close()
-        drop_scratch(path)
     forget(rows)
     return picked(docs, keep, hot).select("row.*")

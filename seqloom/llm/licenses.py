@@ -60,65 +60,94 @@ def family(identifier: str) -> str:
     return max(known, key=len) if known else low
 
 
-def parse(expression: str) -> tuple[list[str], list[str], str]:
-    """Shunting-yard: (the expression in reverse Polish order, its operands so far, "whole", "open" if it ends too early, or "broken")."""
-    out, held, operands, operand_due = [], [], [], True
-    for token in _TOKEN.findall(expression):
-        low = token.lower()
-        if low in _PRIORITY:
-            if operand_due:
-                return out, operands, "broken"
-            while held and held[-1] != "(" and _PRIORITY[held[-1]] >= _PRIORITY[low]:
-                out.append(held.pop())
-            held.append(low)
-            operand_due = True
-        elif token == "(" and operand_due:
-            held.append(token)
-        elif token == ")" and operand_due:
-            return out, operands, "broken"
-        elif token == ")" and "(" in held:
-            while held[-1] != "(":
-                out.append(held.pop())
-            held.pop()
-        elif operand_due:
-            out.append(token)
-            if not (held and held[-1] == "with"):
-                operands.append(token)
-            operand_due = False
-        elif "(" in held:
-            return out, operands, "broken"
-        else:  # words after the expression are not part of it
-            break
-    if operand_due or "(" in held:
-        return out, operands, "open"
-    return out + held[::-1], operands, "whole"
+class Parser:
+    """Shunting-yard over the tokens of an expression, line by line: what a line leaves open is kept, and the next one goes on from there.
+
+    rpn: the expression so far in reverse Polish order; operands: its licences; broken: it can't be one; ended: words after it, which aren't part of it.
+    """
+
+    def __init__(self):
+        self.rpn, self.held, self.operands = [], [], []
+        self.brackets, self.operand_due, self.broken, self.ended = 0, True, False, False
+
+    def feed(self, line: str) -> Parser:
+        for token in _TOKEN.findall(line):
+            if self.broken or self.ended:
+                break
+            low = token.lower()
+            if low in _PRIORITY:
+                self._operator(low)
+            elif token == "(" and self.operand_due:
+                self.held.append(token)
+                self.brackets += 1
+            elif token == ")" and self.operand_due:
+                self.broken = True
+            elif token == ")" and self.brackets:
+                self._close()
+            elif self.operand_due:
+                self.rpn.append(token)
+                if not (self.held and self.held[-1] == "with"):
+                    self.operands.append(token)
+                self.operand_due = False
+            elif self.brackets:
+                self.broken = True
+            else:
+                self.ended = True
+        return self
+
+    def _operator(self, name: str) -> None:
+        if self.operand_due:
+            self.broken = True
+            return
+        while self.held and self.held[-1] != "(" and _PRIORITY[self.held[-1]] >= _PRIORITY[name]:
+            self.rpn.append(self.held.pop())
+        self.held.append(name)
+        self.operand_due = True
+
+    def _close(self) -> None:
+        while self.held[-1] != "(":
+            self.rpn.append(self.held.pop())
+        self.held.pop()
+        self.brackets -= 1
+
+    @property
+    def open(self) -> bool:
+        """A bracket or an operator waits for the next line."""
+        return not self.broken and not self.ended and (self.operand_due or self.brackets > 0)
+
+    def result(self) -> tuple[set[str], float | None]:
+        """Labels of the licences, and the freedom of the whole. None if it is broken or ends too early: then the labels are those up to there."""
+        if self.broken or self.operand_due or self.brackets:
+            return {family(t) for t in self.operands}, None
+        stack: list[float] = []
+        for token in self.rpn + self.held[::-1]:
+            if token in _PRIORITY:
+                y, x = stack.pop(), stack.pop()
+                stack.append(x if token == "with" else max(x, y) if token == "or" else min(x, y))
+            else:
+                stack.append(FREEDOM.get(family(token), UNKNOWN))
+        return {family(t) for t in self.operands}, stack[0]
 
 
 def evaluate(expression: str) -> tuple[set[str], float | None]:
-    """Labels of an expression's licences, and its freedom. None if it is broken: then the labels are those up to there."""
-    rpn, operands, state = parse(expression)
-    if state != "whole":
-        return {family(t) for t in operands}, None
-    stack: list[tuple[set[str], float]] = []
-    for token in rpn:
-        if token in _PRIORITY:
-            (b, y), (a, x) = stack.pop(), stack.pop()
-            stack.append((a, x) if token == "with" else (a | b, max(x, y) if token == "or" else min(x, y)))
-        else:
-            stack.append(({family(token)}, FREEDOM.get(family(token), UNKNOWN)))
-    return stack[0]
-
-
-def expressions(text: str) -> Iterator[str]:
-    """What follows each tag up to its line's end; further lines as long as a bracket or an operator is open there."""
+    return Parser().feed(expression).result()
+
+
+def expressions(text: str) -> Iterator[tuple[set[str], float | None]]:
+    """Labels and freedom of what follows each tag up to its line's end; further lines as long as a bracket or an operator is open there.
+
+    A line that goes on an expression is parsed once for it. A tag within such lines is one of its own, and where those lines are many and all have
+    tags, each tag's expression ends where the next one's begins.
+    """
     for tag in _TAG.finditer(text):
-        said, at = tag[1], tag.end()
-        while parse(said)[2] == "open" and said.strip():
+        parser, at = Parser().feed(tag[1]), tag.end()
+        while parser.open and tag[1].strip():
             line = _LINE.match(text, at)
-            if not line or not _TOKEN.search(line[1]):
+            if not line or not _TOKEN.search(line[1]) or _TAG.search(line[1]):
                 break
-            said, at = said + " " + line[1], line.end()
-        yield said
+            parser.feed(line[1])
+            at = line.end()
+        yield parser.result()
 
 
 @lru_cache(maxsize=1)
@@ -155,8 +184,7 @@ def scan_text(text: str | None) -> tuple:
             scores.append(FREEDOM[label])
             reach = -end
     if tagged:
-        for said in expressions(text):
-            more, score = evaluate(said)
+        for more, score in expressions(text):
             labels |= more
             scores += [] if score is None else [score]
     return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), min(scores, default=1.0)

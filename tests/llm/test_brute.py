@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -716,6 +717,20 @@ def test_verdicts(text, labels, score):
     assert licenses.scan_text(text)[5:] == (labels, score)
 
 
+def test_long_expressions_take_linear_time():
+    """Continuation lines, tags and open brackets, 100,000 each, and both at once."""
+    tag, n = "SPDX-License-Identifier: ", 100_000
+    texts = {
+        "lines": (tag + "mit or\n" + "gpl-2.0 or\n" * n + "apache-2.0", {"mit", "gpl", "apache"}, 0.9), "tags": ((tag + "mit or\n") * n, {"mit"}, 1.0),
+        "brackets": (tag + "(" * n + "mit", {"mit"}, 1.0), "closed": (tag + "(\n" * n + "mit" + "\n)" * n, {"mit"}, 0.9), "tags and lines": ((tag + "mit and\nbsd or\n") * n, {"mit", "bsd"}, 1.0),
+    }
+    for name, (text, labels, score) in texts.items():
+        began = time.time()
+        got = licenses.scan_text(text)
+        assert (got[5], got[6]) == (",".join(sorted(labels)), score), name
+        assert time.time() - began < 5, name
+
+
 # 7 exact dedup
 
 
@@ -778,6 +793,46 @@ def test_small_batch_against_large_index(spark, tmp_path):
     index.close()
 
 
+def test_reruns_on_one_index(spark, tmp_path, monkeypatch):
+    """The same rows again, and a run that failed between its two appends, give what one run gives."""
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
+    index = exact_dedup.DigestIndex.open(spark, f"file://{tmp_path}/index", 10)
+    old, docs = frame([(10, "old"), (11, "ol d")]), frame([(1, "a b"), (2, "ab"), (3, "c"), (4, "o ld"), (5, "a b")])
+    exact_dedup.resolve(old, index)
+    append = exact_dedup.DigestIndex._append
+
+    def failing(self, rows, name):
+        if name == "first":
+            raise RuntimeError("lost")
+        append(self, rows, name)
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_append", failing)
+    with pytest.raises(RuntimeError, match="lost"):
+        exact_dedup.without_copies(docs, index)
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_append", append)
+    for _ in range(3):
+        assert {r["doc_id"] for r in exact_dedup.without_copies(docs.repartition(2), index).collect()} == {1, 3}
+        assert {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.resolve(docs, index).collect()} == {1: (1, 3), 2: (1, 3), 3: (3, 1), 4: (4, 3), 5: (1, 3)}
+    assert {r["group_size"] for r in exact_dedup.resolve(docs, index, name="on purpose").collect()} == {6, 2, 4}
+    assert exact_dedup.without_copies(docs, index, name="once more").count() == 0  # another batch brought them
+    # a better row of another batch doesn't take the place of this one's
+    assert {r["doc_id"] for r in exact_dedup.without_copies(frame([(20, "new")]), index, name="x").collect()} == {20}
+    exact_dedup.resolve(frame([(21, "n e w")]), index, name="y")
+    assert {r["doc_id"] for r in exact_dedup.without_copies(frame([(20, "new")]), index, name="x").collect()} == {20}
+    index.close()
+
+
+def test_no_tables_stay_after_a_failure(spark, docs, monkeypatch):
+    before = {t.name for t in spark.catalog.listTables()}
+    monkeypatch.setattr(exact_dedup.DigestIndex, "groups", lambda self: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        exact_dedup.resolve(docs)
+    monkeypatch.setattr(exact_dedup.DigestIndex, "add", lambda self, *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        exact_dedup.without_copies(docs)
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_resolve_leaves_no_tables(spark, docs):
     before = {t.name for t in spark.catalog.listTables()}
     a, b = exact_dedup.resolve(docs), exact_dedup.resolve(docs)
