@@ -18,10 +18,11 @@ from seqloom.functions import symbols as S
 from seqloom.operators import cells
 from seqloom.operators import counting as C
 from seqloom.operators import models as M
-from seqloom.operators import sampling, scoring, training
-from seqloom.plans import fit
-from seqloom.sources import files
+from seqloom.operators import sampling, scoring, superkmers, training
+from seqloom.plans import check, fit
+from seqloom.sources import files, sequences
 from seqloom.sources.shared import kept, scratch, spread
+from seqloom.sources.store import KmerStore
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -97,6 +98,12 @@ def kmer_count(spark, sf):
     return C.kmers(reads(spark, sf), 5).groupBy("grp", "kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"{READS} SELECT grp, w AS kmer, count(*) AS n FROM ({words_sql('seq', 31, 'reads')}) GROUP BY 1, 2 HAVING count(*) >= 2")
+def kmer_count_31(spark, sf):
+    """Words of 31 letters that occur twice or more, the counter's usual cut-off."""
+    return superkmers.counted(reads(spark, sf), 31, 2)
+
+
 @query(f"{WIDE} SELECT * FROM wide")
 def transitions_lag3(spark, sf):
     return wide3(spark, sf)
@@ -233,6 +240,14 @@ def counts_table_diff(spark, sf):
     return C.difference(wide3(spark, sf), C.wide(C.count_long(C.both_strands(reads(spark, sf)), 3), 3))
 
 
+@query(f"{WIDE}, b AS (SELECT kmer, {', '.join(f'g0_{i} + CAST(kmer = {chr(39)}ACG{chr(39)} AS BIGINT) AS g0_{i}' if i == 2 else f'g0_{i}' for i in range(5))}, {', '.join(ALL_CELLS[5:])} FROM wide WHERE kmer NOT LIKE '[[%'), j AS (SELECT coalesce(a.kmer, b.kmer) AS kmer, CASE WHEN b.kmer IS NULL THEN 'left' ELSE 'both' END AS side, " + " + ".join(f"abs(coalesce(a.{c}, 0) - coalesce(b.{c}, 0))" for c in ALL_CELLS) + " AS off FROM wide a FULL JOIN b ON a.kmer = b.kmer) SELECT * FROM j WHERE off > 0 OR side <> 'both'")
+def counts_table_digest_diff(spark, sf):
+    """A table against itself with one count changed and some contexts missing: only the ranges that have these are joined."""
+    table = kept(wide3(spark, sf), "counts")
+    other = table.filter("kmer not like '[[%'").withColumn("g0_2", F.col("g0_2") + (F.col("kmer") == "ACG").cast("bigint"))
+    return check.difference(table, other)
+
+
 # models
 
 
@@ -451,6 +466,46 @@ def kmer_lookup_revcomp(spark, sf):
     return C.lookup(asked(spark, sf), C.wide(C.count_long(C.both_strands(reads(spark, sf)), 3), 3))
 
 
+def _texts_q(lag: int) -> str:
+    return f"b AS (SELECT 0 AS seq_id, 0 AS grp, {_DNA_SQL.format(t='text')} AS seq FROM benchmark WHERE regexp_matches(text, '[a-zA-Z]')), q AS (SELECT DISTINCT kmer FROM ({win(lag, 'b')}))"
+
+
+_CELLS_SQL = ", ".join(f"[{', '.join(f'coalesce(g{k}_{i}, 0)' for i in range(5))}]::VARCHAR AS g{k}" for k in range(3))
+
+
+@query(f"{READS}, {wide_sql(11)}, {_texts_q(11)} SELECT q.kmer, {_CELLS_SQL} FROM q LEFT JOIN wide USING (kmer)")
+def kmer_store_lookup(spark, sf):
+    """Contexts of 11 letters of the benchmark's texts, some padded, in a store on disk of those of the documents."""
+    path = scratch(spark, "store")
+    KmerStore.write(cells.celled(C.count_long(reads(spark, sf), 11), 3), path, 11).close()
+    asked_ = C.windows(spark.read.parquet(f"{sf}/benchmark.parquet").select(F.lit(0).alias("grp"), S.mapped_dna(F.col("text")).alias("seq")).filter("seq != ''"), 11)
+    found = KmerStore.open(spark, path).lookup(asked_)
+    said = lambda c: F.concat(F.lit("["), F.array_join(F.col(c).cast("array<string>"), ", "), F.lit("]"))
+    return found.select("kmer", *[said(f"g{k}").alias(f"g{k}") for k in range(3)])
+
+
+@query(f"{READS}, {_BOTH}, {wide_sql(3, 'both_reads')}, {_QK} SELECT q.kmer, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ALL_CELLS)} FROM q LEFT JOIN wide USING (kmer)")
+def kmer_lookup_strands(spark, sf):
+    """Counts on both strands from a table of one."""
+    return C.lookup(asked(spark, sf), C.wide(C.strands_counts(long3(spark, sf), 3), 3))
+
+
+@query(f"{READS}, {_BOTH}, {wide_sql(4, 'both_reads')} SELECT * FROM wide")
+def transitions_strands_from_counts(spark, sf):
+    return C.wide(C.strands_counts(long3(spark, sf, 4), 4), 3)
+
+
+@query(f"{READS} SELECT grp, CAST(seq_id AS VARCHAR) AS name, seq FROM reads")
+def fastq_round_trip(spark, sf):
+    """The reads written as FASTQ and read back by byte ranges."""
+    path = scratch(spark, "fastq")
+    d = reads(spark, sf)
+    files.write_fastq(d.select(F.concat_ws("|", "grp", "seq_id").alias("name"), "seq"), path)
+    sequences.register(spark)
+    back = spark.read.format("seqloom.fastq").option("splitBytes", 1 << 20).load(path)
+    return back.select(F.substring_index("name", "|", 1).cast("int").alias("grp"), F.substring_index("name", "|", -1).alias("name"), "seq")
+
+
 @query(f"{WIDE} SELECT kmer, nxt FROM wide, (SELECT unnest(['A', 'C', 'G', 'T', ']']) AS nxt)")
 def kmer_cross_alphabet(spark, sf):
     return C.cross_letters(wide3(spark, sf).select("kmer"))
@@ -494,22 +549,43 @@ def _seeds(spark, sf) -> DataFrame:
     return reads(spark, sf).select(n.alias("seed_id"), F.right("seq", F.lit(12)).alias("seq"), (4 + n % 3).alias("left"), (5 + n % 4).alias("right"))
 
 
-def _grown_sql(lag: int, steps: int, alpha: float) -> str:
-    """A step after the other: the letter with the largest log posterior mean plus Gumbel noise."""
+def _u(k: str) -> str:
+    return _U.format(k=k)
 
-    def noise(step: int, x: str) -> str:
-        return "-ln(-ln(" + _U.format(k=f"concat_ws('|', '0', seed_id::VARCHAR, '0', side, '{step}', '{x}')") + "))"
 
+def _dirichlet_sql(src: str, key: str, keep: str, name: str = "drawn") -> str:
+    """Tables `name`_... and `name` (keep..., i, logp) from src (keep..., i, c), a row per draw and letter i with concentration c: the tries of each draw, the first that passes, its share."""
+    d = f"(c + {1.0 - 1.0 / 3.0!r}::DOUBLE)"
+    said = lambda *ends: f"concat_ws('|', {key}, i::VARCHAR, {', '.join(ends)})"
+    x = f"sqrt(-2.0 * ln({_u(said('t::VARCHAR', chr(39) + '0' + chr(39)))})) * cos(2 * pi() * {_u(said('t::VARCHAR', chr(39) + '1' + chr(39)))})"
+    return (
+        f"{name}_x AS (SELECT *, {x} AS x, ln({_u(said('t::VARCHAR', chr(39) + '2' + chr(39)))}) AS u, {d} AS d FROM {src}, (SELECT unnest(range(0, {N.TRIES})) AS t)), "
+        f"{name}_v AS (SELECT *, pow(1.0 + x / sqrt(9.0 * d), 3) AS v FROM {name}_x), "
+        f"{name}_ok AS (SELECT * FROM {name}_v WHERE CASE WHEN v > 0 THEN u < 0.5 * x * x + d - d * v + d * ln(v) ELSE false END), "
+        f"{name}_g AS (SELECT {keep}, i, c, arg_min(ln(d * v), t) AS g FROM {name}_ok GROUP BY ALL), "
+        f"{name}_l AS (SELECT {keep}, i, g + ln({_u(said(chr(39) + 'low' + chr(39)))}) / c AS l FROM {name}_g), "
+        f"{name} AS (SELECT {keep}, i, l - (ln(sum(exp(l - top)) OVER (PARTITION BY {keep})) + top) AS logp FROM (SELECT *, max(l) OVER (PARTITION BY {keep}) AS top FROM {name}_l))"
+    )
+
+
+def _grown_sql(lag: int, steps: int, alpha: float, reps: int = 1, best: bool = True) -> str:
+    """A step after the other: the letter with the largest log posterior mean, or draw, plus Gumbel noise."""
+    noise = "-ln(-ln(" + _U.format(k="concat_ws('|', '0', seed_id::VARCHAR, rep::VARCHAR, side, '{step}', ['A', 'C', 'G', 'T'][i + 1])") + "))"
+    reps_sql = f"(SELECT unnest(range(0, {reps})) AS rep)"
     out = [
         f"{READS}, {_BOTH}, {wide_sql(3, 'both_reads')}, seeds AS (SELECT seq_id AS seed_id, right(seq, 12) AS seq, 4 + seq_id % 3 AS l, 5 + seq_id % 4 AS r FROM reads)",
-        f"s0 AS (SELECT seed_id, seq, 'L' AS side, right(repeat('[', {lag}) || reverse(translate(seq, 'ACGT', 'TGCA')), {lag}) AS tail, '' AS grown, l AS todo FROM seeds UNION ALL SELECT seed_id, seq, 'R', right(repeat('[', {lag}) || seq, {lag}), '', r FROM seeds)",
+        f"s0 AS (SELECT seed_id, rep, seq, 'L' AS side, right(repeat('[', {lag}) || reverse(translate(seq, 'ACGT', 'TGCA')), {lag}) AS tail, '' AS grown, l AS todo FROM seeds, {reps_sql} UNION ALL SELECT seed_id, rep, seq, 'R', right(repeat('[', {lag}) || seq, {lag}), '', r FROM seeds, {reps_sql})",
+        f"concs AS (SELECT kmer AS tail, unnest([0, 1, 2, 3]) AS i, unnest([g0_0, g0_1, g0_2, g0_3]) AS n FROM wide)",
     ]
     for step in range(1, steps + 1):
-        v = [f"round(ln({alpha}::DOUBLE + coalesce(g0_{i}, 0)) + {noise(step, x)}, 9)" for i, x in enumerate("ACGT")]
-        out.append(f"v{step} AS MATERIALIZED (SELECT s.*, [{', '.join(v)}] AS v FROM s{step - 1} s LEFT JOIN wide ON kmer = tail)")
-        out.append(f"t{step} AS (SELECT *, CASE WHEN todo >= {step} THEN ['A', 'C', 'G', 'T'][list_position(v, list_max(v))] ELSE '' END AS letter FROM v{step})")
-        out.append(f"s{step} AS MATERIALIZED (SELECT seed_id, seq, side, right(tail || letter, {lag}) AS tail, grown || letter AS grown, todo FROM t{step})")
-    return ", ".join(out) + f" SELECT seed_id, 0 AS rep, reverse(translate(max(grown) FILTER (side = 'L'), 'ACGT', 'TGCA')) || s{steps}.seq || max(grown) FILTER (side = 'R') AS seq FROM s{steps} GROUP BY seed_id, s{steps}.seq"
+        out.append(f"c{step} AS MATERIALIZED (SELECT seed_id, rep, side, tail, l.i, {alpha}::DOUBLE + coalesce(n, 0) AS c FROM s{step - 1} CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS i) l LEFT JOIN concs USING (tail, i) WHERE todo >= {step})")
+        if best:
+            out.append(f"p{step} AS (SELECT *, ln(c) AS logp FROM c{step})")
+        else:
+            out.append(_dirichlet_sql(f"c{step}", "'0', seed_id::VARCHAR, rep::VARCHAR, side, tail, '0'", "seed_id, rep, side, tail", f"p{step}"))
+        out.append(f"l{step} AS MATERIALIZED (SELECT seed_id, rep, side, ['A', 'C', 'G', 'T'][arg_min(i, (-round(logp + {noise.format(step=step)}, 9), i)) + 1] AS letter FROM p{step} GROUP BY ALL)")
+        out.append(f"s{step} AS MATERIALIZED (SELECT seed_id, rep, seq, side, right(tail || coalesce(letter, ''), {lag}) AS tail, grown || coalesce(letter, '') AS grown, todo FROM s{step - 1} LEFT JOIN l{step} USING (seed_id, rep, side))")
+    return ", ".join(out) + f" SELECT seed_id, CAST(rep AS INTEGER) AS rep, reverse(translate(max(grown) FILTER (side = 'L'), 'ACGT', 'TGCA')) || s{steps}.seq || max(grown) FILTER (side = 'R') AS seq FROM s{steps} GROUP BY seed_id, rep, s{steps}.seq"
 
 
 @query(_grown_sql(3, 8, 0.1))
@@ -517,23 +593,29 @@ def generate_map(spark, sf):
     return sampling.generated(_seeds(spark, sf), both3(spark, sf), 3, 0, best=True)
 
 
-@query()
+@query(_grown_sql(3, 8, 0.1, 3, False))
 def generate_mc(spark, sf):
     return sampling.generated(_seeds(spark, sf), both3(spark, sf), 3, 0, samples=3)
 
 
-@query()
+_POSTERIOR = f"conc AS (SELECT kmer, s, i, 0.1::DOUBLE + n AS c FROM (SELECT kmer, unnest([0, 1, 2, 3, 4]) AS i, unnest([{', '.join(g(0))}]) AS n FROM wide), (SELECT unnest(range(0, {{samples}})) AS s))"
+
+
+@query(f"{WIDE}, {_POSTERIOR.format(samples=200)}, {_dirichlet_sql('conc', chr(39) + '0' + chr(39) + ', kmer, s::VARCHAR', 'kmer, s')} SELECT kmer, {', '.join(f'round(avg(logp) FILTER (i = {i}), 6) AS mean{i}' for i in range(5))} FROM drawn GROUP BY kmer")
 def dirichlet_posterior_mc(spark, sf):
     t = sampling.posterior_samples(wide3(spark, sf), 0, 0.1, 200)
     return t.groupBy("kmer").agg(*[F.round(F.avg(F.col("logp")[i]), 6).alias(f"mean{i}") for i in range(5)])
 
 
-@query()
+@query(f"{_VAR}, {_VWIN}, {wide_sql()}, own AS (SELECT var_id, kmer, nxt, sum(sgn) AS n FROM vw GROUP BY ALL HAVING sum(sgn) <> 0), asked AS (SELECT DISTINCT kmer FROM own), "
+       f"conc AS (SELECT kmer, s, i, 0.1::DOUBLE + coalesce(n, 0) AS c FROM (SELECT a.kmer, unnest([0, 1, 2, 3, 4]) AS i, unnest([{', '.join(g(0))}]) AS n FROM asked a LEFT JOIN wide USING (kmer)), (SELECT unnest(range(0, 41)) AS s)), "
+       f"{_dirichlet_sql('conc', chr(39) + '0' + chr(39) + ', kmer, ' + chr(39) + 'bmm' + chr(39) + ', ' + chr(39) + '0.1' + chr(39) + ', s::VARCHAR', 'kmer, s')} "
+       "SELECT var_id, CAST(s AS INTEGER) AS sample, round(sum(n * logp), 6) + 0.0 AS score FROM own JOIN drawn ON own.kmer = drawn.kmer AND instr('ACGT]', nxt) = i + 1 GROUP BY 1, 2")
 def variant_score_mc(spark, sf):
     w = scoring.variant_windows(variants(spark, sf), 3).groupBy("var_id", "kmer", "nxt").agg(F.sum("sgn").alias("sgn")).filter("sgn != 0")
     conc = scoring.concentrations(w, wide3(spark, sf), 0, alphas=[0.1])
     scores = scoring.model_samples(w.withColumnRenamed("sgn", "n"), conc, "var_id", 41)
-    return scores.select("var_id", "sample", F.round("score", 6).alias("score"))
+    return scores.select("var_id", "sample", (F.round("score", 6) + F.lit(0.0)).alias("score"))
 
 
 # scores under a fixed linear model, alone, as the mean of a Dirichlet, and beside the plain Bayesian Markov model

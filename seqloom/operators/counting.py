@@ -89,6 +89,30 @@ def both_strands(reads: DataFrame) -> DataFrame:
     return reads.withColumn("seq", F.explode(F.array(F.col("seq"), S.reverse_complement(F.col("seq")))))
 
 
+def reversed_counts(long: DataFrame, lag: int) -> DataFrame:
+    """(kmer, grp, nxt, n): what the reverse strands of counted sequences would give, from the counts (kmer, grp, nxt, n) of the sequences alone.
+
+    A word inside is its reverse complement. A sequence's end is the reverse strand's start: its last letters give the padded contexts there. Its first
+    `lag` letters, a row with one start symbol, are the reverse strand's last context, before the stop; of a sequence with fewer letters all is in the row of its stop.
+    """
+    body = F.regexp_replace("kmer", f"^\\{S.START}+", "")
+    t = long.select("grp", "n", "nxt", body.alias("body")).select("*", S.reverse_complement(F.concat("body", F.when(F.col("nxt") == S.STOP, "").otherwise(F.col("nxt")))).alias("rc"))
+    padded = lambda s: F.lpad(s, lag, S.START)
+    stop, whole = F.col("nxt") == S.STOP, F.length("body") == lag
+    out = lambda rows: rows.groupBy("kmer", "grp", "nxt").agg(F.sum("n").alias("n"))
+    inner = t.filter(~stop & whole).select(F.left("rc", F.lit(lag)).alias("kmer"), "grp", F.right("rc", F.lit(1)).alias("nxt"), "n")
+    last = t.filter(~stop & (F.length("body") == lag - 1)).select(F.col("rc").alias("kmer"), "grp", F.lit(S.STOP).alias("nxt"), "n")
+    short = t.filter(stop & ~whole).select(padded(F.col("rc")).alias("kmer"), "grp", F.lit(S.STOP).alias("nxt"), "n")
+    each = t.filter(stop & (F.length("rc") > 0)).select("grp", "n", "rc", F.explode(F.sequence(F.lit(1), F.length("rc"))).alias("i"))
+    starts = each.select(padded(F.left(F.col("rc"), F.col("i") - 1)).alias("kmer"), "grp", F.substring(F.col("rc"), F.col("i"), F.lit(1)).alias("nxt"), "n")
+    return out(inner.unionByName(last).unionByName(short).unionByName(starts))
+
+
+def strands_counts(long: DataFrame, lag: int) -> DataFrame:
+    """Counts of both strands from those of the sequences: the table is turned round, not the sequences counted twice."""
+    return long.select("kmer", "grp", "nxt", "n").unionByName(reversed_counts(long, lag)).groupBy("kmer", "grp", "nxt").agg(F.sum("n").alias("n"))
+
+
 def prefixes(reads: DataFrame, longest: int) -> DataFrame:
     """(grp, len, part, n): starts of 1 to `longest` letters."""
     return _ends(reads, longest, lambda k: F.left(F.col("seq"), k))

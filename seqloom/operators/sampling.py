@@ -1,103 +1,118 @@
 """Draws from posteriors, and sequences generated from them.
 
-A context's distribution is drawn once and then joined, so that its windows share it; the generator of each row is seeded by
-its key, so results don't depend on partitions or reruns.
+A context's distribution is drawn once and then joined, so that its windows share it. Draws are expressions of the row's key (see numeric.log_gamma_draw),
+so results don't depend on partitions, reruns or the engine.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import numeric as N
 from seqloom.functions import symbols as S
-from seqloom.operators.models import LETTERS, cells
+from seqloom.operators import cells
 from seqloom.sources.shared import kept
 
 
-def log_dirichlet(conc: np.ndarray, samples: int, rng: np.random.Generator) -> np.ndarray:
-    """(samples, letters) logs of Dirichlet draws. A gamma draw at shape a is one at a + 1 times u^(1/a), in logs, so tiny shapes don't underflow."""
-    g = np.log(rng.standard_gamma(conc + 1, (samples, len(conc)))) + np.log(rng.random((samples, len(conc)))) / conc
-    top = g.max(axis=1, keepdims=True)
-    return g - top - np.log(np.exp(g - top).sum(axis=1, keepdims=True))
-
-
 def drawn(conc: DataFrame, samples: int, seed: int = 0, by: Sequence[str] | None = None) -> DataFrame:
-    """Replaces conc by logps: `samples` draws of each row's letter probabilities, seeded by the row's other columns, or by those of `by`."""
+    """Replaces conc by logps: `samples` draws of each row's letter probabilities, told by the seed and the row's other columns, or those of `by`."""
     others = [c for c in conc.columns if c != "conc"]
-    src = conc.select(*others, F.xxhash64(*(by or others), F.lit(seed)).alias("_key"), "conc")
-    fields = [f for f in conc.schema.fields if f.name != "conc"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            shapes = b.column("conc").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            draws = np.stack([log_dirichlet(c, samples, np.random.default_rng(int(k) & (2**64 - 1))) for c, k in zip(shapes, b.column("_key").to_pylist(), strict=True)])
-            n = draws.shape[2]
-            inner = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows * samples + 1) * n, pa.int32()), pa.array(draws.ravel()))
-            outer = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * samples, pa.int32()), inner)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in others), outer], [*others, "logps"])
-
-    return src.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", logps array<array<double>>")
+    key = [F.lit(seed), *(F.col(c) for c in by or others)]
+    draws = F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), lambda s: N.log_dirichlet_draw(F.col("conc"), *key, s))
+    return conc.select(*others, draws.alias("logps"))
 
 
 def posterior_samples(table: DataFrame, group: int, alpha: float, samples: int, seed: int = 0) -> DataFrame:
     """(kmer, sample, logp array): draws of each context's letter probabilities."""
-    src = table.select("kmer", F.array(*[c.cast("double") + alpha for c in cells(group)]).alias("conc"))
+    src = table.select("kmer", F.transform(cells.counts(table, group), lambda c: c + F.lit(float(alpha))).alias("conc"))
     return drawn(src, samples, seed).select("kmer", F.posexplode("logps").alias("sample", "logp"))
 
 
-#: Steps of generation between tables that are stored, which cuts the lineage.
-STEPS = 8
+#: Letters that one lookup serves, and lookups between tables that are stored, which cuts the lineage.
+AHEAD, ROUNDS = 4, 4
+
+
+def successors(table: DataFrame, lag: int, group: int, ahead: int) -> DataFrame:
+    """(inner, counts): for each run of lag - ahead + 1 letters, the counts of every context that has it, by context.
+
+    A context and what follows it within `ahead` letters all have the context's last lag - ahead + 1 letters, so one lookup of these serves `ahead`
+    letters. A run has at most ahead * 5^(ahead - 1) contexts, whatever the table's size.
+    """
+    inner = lag - ahead + 1
+    places = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(ahead)), lambda i: F.substring(F.col("kmer"), i, F.lit(inner))))
+    letters = F.slice(cells.counts(table, group), 1, F.size(cells.counts(table, group)) - 1)
+    each = table.select(F.explode(places).alias("inner"), F.struct("kmer", letters.alias("c")).alias("e"))
+    return each.groupBy("inner").agg(F.map_from_entries(F.collect_list("e")).alias("counts"))
+
+
+def _letter(conc: Column, best: bool, seed: int, at: Sequence[Column], tail: Column, step: Column, names: Column) -> Column:
+    """The next letter under concentrations: the largest log probability, of the mean or of a draw, plus Gumbel noise; the first of equal ones."""
+    logp = F.transform(conc, lambda x: F.log(x)) if best else N.log_dirichlet_draw(conc, F.lit(seed), *at, tail, F.lit(0))
+    noisy = F.transform(logp, lambda x, i: F.round(x + N.gumbel(F.lit(seed), *at, step, F.element_at(names, i + 1)), 9))
+    return N.bound(noisy, lambda v: F.element_at(names, F.array_position(v, F.array_max(v)).cast("int")))
 
 
 def generated(
     seeds: DataFrame, table: DataFrame, lag: int, group: int, *, left: int = 0, right: int = 0, samples: int = 1, best: bool = False, alpha: float = 0.1,
-    predict: Callable[[DataFrame], DataFrame] | None = None, h: float = 1.0, seed: int = 0,
+    predict: Callable[[DataFrame], DataFrame] | None = None, h: float = 1.0, seed: int = 0, ref_group: int | None = None, alphabet: str = "dna",
 ) -> DataFrame:
     """(seed_id, rep, seq): each seed (seed_id, seq) grown on both sides, never stopping; the left side through the reverse complement.
 
     seeds may have columns `left` and `right` with lengths of their own. Counts, for the left side too, come from `table`, which should then
-    hold both strands, by a join at each step; nothing is collected. Without predict the prior is alpha (BMM), else f / h.
-    Every repeat of a seed walks, on each side, under one model drawn for it: a context's letters are drawn by a generator that is seeded by (seed,
+    hold both strands; nothing is collected. Without predict the prior is alpha (BMM), and a join with the successors of the contexts serves AHEAD letters.
+    With predict it is f / h, and each letter takes a join and the model; ref_group: the group of the reference's counts, for a model that needs them.
+    Every repeat of a seed walks, on each side, under one model drawn for it: a context's letters are told by (seed,
     repeat, side, context), so a context that comes again has the same ones. best takes the posterior mean instead. The
-    letter is then drawn by Gumbel noise from md5.
+    letter is then drawn by Gumbel noise from md5. Alphabets without a complement grow to the right alone.
     """
-    counts = kept(table.select(F.col("kmer").alias("tail"), F.array(*cells(group)[:-1]).alias("_c")), "counts")
+    letters = S.ALPHABETS[alphabet]
+    n, names, one_sided = len(letters), F.array(*[F.lit(x) for x in letters]), alphabet != "dna"
+    if one_sided and (left or "left" in seeds.columns):
+        raise ValueError(f"{alphabet} has no reverse complement, so nothing grows to the left")
     state = ["seed_id", "seq", "rep", "side", "tail", "grown", "todo"]
 
-    def side(name: str, start: Column, n: int) -> Column:
-        todo = F.col(name) if name in seeds.columns else F.lit(n)
+    def side(name: str, start: Column, size: int) -> Column:
+        todo = F.col(name) if name in seeds.columns else F.lit(size)
         return F.struct(F.lit(name[0].upper()).alias("side"), start.alias("start"), todo.cast("int").alias("todo"))
 
-    sides = F.array(side("left", S.reverse_complement(F.col("seq")), left), side("right", F.col("seq"), right))
+    sides = F.array(*([] if one_sided else [side("left", S.reverse_complement(F.col("seq")), left)]), side("right", F.col("seq"), right))
     at = seeds.select("seed_id", "seq", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("rep"), sides.alias("sides")).select("seed_id", "seq", "rep", F.inline("sides"))
     at = at.withColumn("tail", F.right(F.concat(F.lit(S.START * lag), "start"), F.lit(lag))).withColumn("grown", F.lit(""))
     at = kept(at.select(*state), "seeds")
-    steps = at.agg(F.max("todo")).first()[0] or 0
-    for step in range(1, steps + 1):
-        rows = at.join(counts, "tail", "left").withColumn("_c", F.coalesce("_c", F.array(*[F.lit(0).cast("bigint")] * (LETTERS - 1))))
-        prior = [F.lit(alpha)] * (LETTERS - 1)
-        if predict is not None:
+    steps, key = at.agg(F.max("todo")).first()[0] or 0, [F.col(c) for c in ("seed_id", "rep", "side")]
+    none = F.array_repeat(F.lit(0).cast("bigint"), n)
+    if predict is None:
+        ahead = min(AHEAD, lag + 1)
+        following = kept(successors(table, lag, group, ahead), "successors")
+        for k, begin in enumerate(range(0, steps, ahead)):
+
+            def grow(s: Column, step: Column) -> Column:
+                conc = F.transform(F.coalesce(F.try_element_at("counts", s["tail"]), none), lambda c: c + F.lit(float(alpha)))
+                letter = F.when(F.col("todo") >= step, _letter(conc, best, seed, key, s["tail"], step, names)).otherwise("")
+                return N.bound(letter, lambda x: F.struct(F.right(F.concat(s["tail"], x), F.lit(lag)).alias("tail"), F.concat(s["grown"], x).alias("grown")))
+
+            rows = at.withColumn("inner", F.right(F.col("tail"), F.lit(lag - ahead + 1))).join(following, "inner", "left")
+            walked = F.aggregate(F.sequence(F.lit(begin + 1), F.lit(begin + ahead)), F.struct("tail", "grown"), grow)
+            at = rows.withColumn("w", walked).select(*state[:4], "w.tail", "w.grown", "todo")
+            if (k + 1) % ROUNDS == 0 and begin + ahead < steps:
+                at = kept(at, "grown")
+    else:
+        own = [cells.counts(table, ref_group).alias(f"g{ref_group}")] if ref_group is not None else []
+        counts = kept(table.select(F.col("kmer").alias("tail"), F.slice(cells.counts(table, group), 1, n).alias("_c"), *own), "counts")
+        for step in range(1, steps + 1):
+            rows = at.join(counts, "tail", "left").withColumn("_c", F.coalesce("_c", none))
+            if own:
+                rows = rows.withColumn(f"g{ref_group}", F.coalesce(f"g{ref_group}", F.array_repeat(F.lit(0).cast("bigint"), n + 1)))
             rows = predict(rows.withColumn("kmer", F.col("tail")))
-            prior = [(F.col(f"f{i}") + N.EPSILON) / h for i in range(LETTERS - 1)]
-        rows = rows.select(*state, F.array(*[p + F.col("_c")[i] for i, p in enumerate(prior)]).alias("conc"))
-        if best:
-            rows = rows.select(*state, F.transform("conc", lambda x: F.log(x)).alias("logp"))
-        else:
-            rows = drawn(rows, 1, seed, ("seed_id", "rep", "side", "tail")).select(*state, F.col("logps")[0].alias("logp"))
-        noisy = [F.round(F.col("logp")[i] + N.gumbel(F.lit(seed), F.col("seed_id"), F.col("rep"), F.col("side"), F.lit(step), F.lit(x)), 9) for i, x in enumerate("ACGT")]
-        letter = F.when(F.col("todo") >= step, F.element_at(F.array(*[F.lit(x) for x in "ACGT"]), N.argmax(noisy) + 1)).otherwise("")
-        rows = rows.withColumn("letter", letter)
-        at = rows.withColumn("tail", F.right(F.concat("tail", "letter"), F.lit(lag))).withColumn("grown", F.concat("grown", "letter")).select(*state)
-        if step % STEPS == 0 and step < steps:
-            at = kept(at, "grown")
-    flank = lambda name: F.max(F.when(F.col("side") == name, F.col("grown")))
+            conc = F.array(*[(F.col(f"f{i}") + N.EPSILON) / h + F.col("_c")[i] for i in range(n)])
+            rows = rows.withColumn("letter", F.when(F.col("todo") >= step, _letter(conc, best, seed, key, F.col("tail"), F.lit(step), names)).otherwise(""))
+            at = rows.withColumn("tail", F.right(F.concat("tail", "letter"), F.lit(lag))).withColumn("grown", F.concat("grown", "letter")).select(*state)
+            if step % (AHEAD * ROUNDS) == 0 and step < steps:
+                at = kept(at, "grown")
+    flank = lambda name: F.coalesce(F.max(F.when(F.col("side") == name, F.col("grown"))), F.lit(""))
     both = at.groupBy("seed_id", "rep", "seq").agg(flank("L").alias("l"), flank("R").alias("r"))
     return both.select("seed_id", "rep", F.concat(S.reverse_complement(F.col("l")), "seq", "r").alias("seq"))
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from seqloom.functions import numeric as N
 from seqloom.functions import symbols as S
+from seqloom.operators.cells import counts as array_of
+from seqloom.operators.cells import width
 from seqloom.operators.counting import overlapping
 from seqloom.operators.models import LETTERS, cells
 from seqloom.operators.sampling import drawn
@@ -54,9 +56,9 @@ def sequence_scores(counted: DataFrame, table: DataFrame, group: int, alphas: li
     return logp(counted, table, group, alphas).groupBy("seq_id", "alpha").agg(F.sum(F.col("n") * F.col("logp")).alias("score"))
 
 
-def _own() -> list[Column]:
+def _own(alphabet: str = "dna") -> list[Column]:
     """w0..: how often each letter follows, of a group of counted windows."""
-    return [F.coalesce(F.sum(F.when(F.col("nxt") == x, F.col("n"))), F.lit(0)).alias(f"w{i}") for i, x in enumerate("ACGT]")]
+    return [F.coalesce(F.sum(F.when(F.col("nxt") == x, F.col("n"))), F.lit(0)).alias(f"w{i}") for i, x in enumerate(S.letters(alphabet))]
 
 
 def sequence_marginals(counted: DataFrame, table: DataFrame, group: int, alphas: list[float]) -> DataFrame:
@@ -72,18 +74,19 @@ def sequence_marginals(counted: DataFrame, table: DataFrame, group: int, alphas:
 # scores under trained models: "ar" (an autoregressive model alone), "dm" (the mean of a Dirichlet of scale 1/h) and "bmm"
 
 
-def concentrations(contexts: DataFrame, table: DataFrame, group: int, *, predict: Callable[[DataFrame], DataFrame] | None = None, hs: Sequence[float] = (), alphas: Sequence[float] = (), alone: bool = True) -> DataFrame:
+def concentrations(contexts: DataFrame, table: DataFrame, group: int, *, predict: Callable[[DataFrame], DataFrame] | None = None, hs: Sequence[float] = (), alphas: Sequence[float] = (), alone: bool = True, alphabet: str = "dna") -> DataFrame:
     """(kmer, model, param, conc array) for each distinct context: what its letters' probabilities are drawn from, given the counts of the group.
 
     predict adds the model's probabilities f0.. to (kmer, ...) rows; without it there are bmm rows alone. Contexts that the
     table lacks have the prior. alone: also rows of the autoregressive model without counts.
     """
-    seen = table.select("kmer", F.array(*cells(group)).alias("_c"))
-    rows = contexts.select("kmer").distinct().join(seen, "kmer", "left").withColumn("_c", F.coalesce("_c", F.array(*[F.lit(0).cast("bigint")] * LETTERS)))
-    models = [("bmm", float(a), [F.lit(float(a))] * LETTERS, True) for a in alphas]
+    n = width(alphabet)
+    seen = table.select("kmer", array_of(table, group).alias("_c"))
+    rows = contexts.select("kmer").distinct().join(seen, "kmer", "left").withColumn("_c", F.coalesce("_c", F.array_repeat(F.lit(0).cast("bigint"), n)))
+    models = [("bmm", float(a), [F.lit(float(a))] * n, True) for a in alphas]
     if predict is not None:
         rows = predict(rows)
-        f = [F.col(f"f{i}") + N.EPSILON for i in range(LETTERS)]
+        f = [F.col(f"f{i}") + N.EPSILON for i in range(n)]
         models = ([("ar", 0.0, f, False)] if alone else []) + [("dm", float(h), [x / float(h) for x in f], True) for h in hs] + models
 
     def struct(name: str, param: float, prior: list[Column], counted: bool) -> Column:
@@ -93,27 +96,27 @@ def concentrations(contexts: DataFrame, table: DataFrame, group: int, *, predict
     return rows.select("kmer", F.inline(F.array(*[struct(*m) for m in models])))
 
 
-def _letter(values: Column) -> Column:
-    return F.element_at(values, F.instr(F.lit("ACGT]"), F.col("nxt")).cast("int"))
+def _letter(values: Column, alphabet: str = "dna") -> Column:
+    return F.element_at(values, F.instr(F.lit("".join(S.letters(alphabet))), F.col("nxt")).cast("int"))
 
 
-def model_scores(counted: DataFrame, conc: DataFrame, key: str) -> DataFrame:
+def model_scores(counted: DataFrame, conc: DataFrame, key: str, alphabet: str = "dna") -> DataFrame:
     """(key, model, param, score) of windows (key, kmer, nxt, n): sums of n times the log of the posterior mean. n may be negative."""
     total = F.aggregate("conc", F.lit(0.0), lambda a, x: a + x)
     logs = conc.select("kmer", "model", "param", F.transform("conc", lambda x: F.log(x / total)).alias("logp"))
-    each = counted.join(logs, "kmer").select(key, "model", "param", (F.col("n") * _letter(F.col("logp"))).alias("s"))
+    each = counted.join(logs, "kmer").select(key, "model", "param", (F.col("n") * _letter(F.col("logp"), alphabet)).alias("s"))
     return each.groupBy(key, "model", "param").agg(F.sum("s").alias("score"))
 
 
-def model_marginals(counted: DataFrame, conc: DataFrame, key: str) -> DataFrame:
+def model_marginals(counted: DataFrame, conc: DataFrame, key: str, alphabet: str = "dna") -> DataFrame:
     """(key, model, param, score): log marginal likelihood of the windows, those of one context sharing their distribution."""
-    own = counted.groupBy(key, "kmer").agg(*_own()).join(conc.filter("model != 'ar'"), "kmer")
-    ll = N.dm_logprob([F.col("conc")[i] for i in range(LETTERS)], [F.col(f"w{i}") for i in range(LETTERS)])
+    own = counted.groupBy(key, "kmer").agg(*_own(alphabet)).join(conc.filter("model != 'ar'"), "kmer")
+    ll = N.dm_logprob_of(F.col("conc"), F.array(*[F.col(f"w{i}") for i in range(width(alphabet))]))
     return own.groupBy(key, "model", "param").agg(F.sum(ll).alias("score"))
 
 
-def model_samples(counted: DataFrame, conc: DataFrame, key: str, samples: int, seed: int = 0) -> DataFrame:
+def model_samples(counted: DataFrame, conc: DataFrame, key: str, samples: int, seed: int = 0, alphabet: str = "dna") -> DataFrame:
     """(key, model, param, sample, score): scores under models drawn from the posterior; a context's draw is shared by all windows."""
     draws = drawn(conc.filter("model != 'ar'"), samples, seed)
     each = counted.join(draws, "kmer").select(key, "model", "param", F.posexplode("logps").alias("sample", "logp"), "n", "nxt")
-    return each.groupBy(key, "model", "param", "sample").agg(F.sum(F.col("n") * _letter(F.col("logp"))).alias("score"))
+    return each.groupBy(key, "model", "param", "sample").agg(F.sum(F.col("n") * _letter(F.col("logp"), alphabet)).alias("score"))

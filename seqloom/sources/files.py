@@ -125,6 +125,11 @@ def write_fasta(seqs: DataFrame, path: str) -> None:
     seqs.select(F.concat(F.lit(">seq"), "seed_id", F.lit("_rep"), "rep", F.lit("\n"), "seq").alias("value")).write.mode("overwrite").text(path)
 
 
+def write_fastq(seqs: DataFrame, path: str) -> None:
+    """(name, seq) as records of four lines, the quality the best there is."""
+    seqs.select(F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), F.repeat(F.lit("I"), F.length("seq"))).alias("value")).write.mode("overwrite").text(path)
+
+
 def bins_for(total_bytes: int, n_groups: int, file_gb: float) -> int:
     """How many files a count table is dealt to: a power of two that keeps each under file_gb."""
     bins = 1
