@@ -3,8 +3,8 @@
 1. Sizes: words per document. Sources in code-point order weigh 5, 2, 1, repeating, and share
    epochs x all words; a target stops at max_repeat x its source's words and the excess is shared
    again by weight (closed form: sources sorted by cap / weight, prefix sums).
-2. A source's documents are dealt to shards by a hash of the id, so no group is larger than about
-   SHARD_DOCS rows whatever a source holds. Each shard's words, in the order of a seeded digest, form
+2. A source's documents are dealt to shards by a hash of the id, the text and, of rows that repeat these, their number, so no group is larger
+   than about SHARD_DOCS rows whatever a source holds. Each shard's words, in the order of a seeded digest, form
    blocks of `block` words.
 3. Sainte-Lague gives every source its number of blocks, and again every shard its part of its source's:
    with a divisor d the highest quotients v / (k + 1/2) over d are round(v / d) each, so the quotas are those
@@ -46,6 +46,15 @@ def sizes(docs: DataFrame) -> DataFrame:
     )
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """rows with `copy`, the number from 0 of each among those of its doc_id, source and text. Rows alike in all are counted
+    in each task first, so that many of them are one row until their numbers are dealt out."""
+    alike = rows.groupBy("doc_id", "source", "size", "tie", "k").agg(F.count(F.lit(1)).alias("m"))
+    before = F.sum("m").over(W.partitionBy("doc_id", "source", "tie").orderBy("k").rowsBetween(W.unboundedPreceding, -1))
+    placed = alike.withColumn("before", F.coalesce(before, F.lit(0).cast("bigint")))
+    return placed.select("doc_id", "source", "size", "tie", "k", F.explode(F.sequence("before", F.col("before") + F.col("m") - 1)).alias("copy"))
+
+
 def targets(per_source: DataFrame, epochs: float, max_repeat: int) -> DataFrame:
     """Adds `target` to one row per source (source, source_size, ...).
 
@@ -88,7 +97,7 @@ def apportioned(df: DataFrame, value: str, house: Column, divisor: Column, keys:
 def plan(docs: DataFrame, *, seed: int = 0, block: int = 64, epochs: float = 1.5, max_repeat: int = 2) -> DataFrame:
     """For every row: doc_id, tie, k, source, size, source_size, target, and what the mix takes of it:
     `rounds` whole copies and the words [cut1_from, cut1_to) and [cut2_from, cut2_to); `taken` is their sum."""
-    rows = stored(sizes(docs), "sizes")
+    rows = stored(numbered(sizes(docs)), "sizes")
     per_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_docs"))
     per_source = targets(per_source, epochs, max_repeat).withColumn("n_shards", F.ceil(F.col("source_docs") / SHARD_DOCS))
     house = F.floor(min(epochs, max_repeat) * F.sum("source_size").over(W.partitionBy()) / block + 0.5)
@@ -97,12 +106,13 @@ def plan(docs: DataFrame, *, seed: int = 0, block: int = 64, epochs: float = 1.5
     # Spark broadcasts the sources if their table is small, and else shuffles and splits hot ones
     keyed = per_source.select(F.col("source").alias("_source"), "rank", "source_size", "target", "seats", "n_shards")
     dealt = rows.join(keyed, rows["source"].eqNullSafe(keyed["_source"])).drop("_source")
-    dealt = dealt.withColumn("shard", F.pmod(seeded(seed, F.lit("shard"), F.col("doc_id"), F.col("tie")), F.col("n_shards")))
-    by_order = W.partitionBy("rank", "shard").orderBy(seeded(seed, F.lit("order"), F.col("doc_id"), F.col("tie")), "doc_id", "tie", "k")
+    own = (F.col("doc_id"), F.col("tie"), F.col("copy"))
+    dealt = dealt.withColumn("shard", F.pmod(seeded(seed, F.lit("shard"), *own), F.col("n_shards")))
+    by_order = W.partitionBy("rank", "shard").orderBy(seeded(seed, F.lit("order"), *own), "doc_id", "tie", "copy", "k")
     dealt = dealt.withColumn("_end", F.sum("size").over(by_order.rowsBetween(W.unboundedPreceding, W.currentRow)))
 
     shards = rows.join(keyed, rows["source"].eqNullSafe(keyed["_source"])).withColumn(
-        "shard", F.pmod(seeded(seed, F.lit("shard"), F.col("doc_id"), F.col("tie")), F.col("n_shards"))
+        "shard", F.pmod(seeded(seed, F.lit("shard"), *own), F.col("n_shards"))
     )
     shards = shards.groupBy("rank", "shard", "seats", "source_size", "target").agg(F.sum("size").alias("shard_size"))
     part = F.col("target") * F.col("shard_size") / F.greatest(F.col("source_size"), F.lit(1))

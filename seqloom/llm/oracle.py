@@ -53,7 +53,7 @@ FROM d LEFT JOIN listed USING (rid)
 
 ORACLE["op3_source_mixing"] = r"""
 WITH r AS (
-  SELECT doc_id, source, md5(coalesce(text, '')) AS tie, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS tie, row_number() OVER (PARTITION BY doc_id, source, md5(coalesce(text, ''))) - 1 AS copy, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), s0 AS (
   SELECT source, sum(size)::BIGINT AS source_size, count(*) AS source_docs FROM r GROUP BY source
 ), s1 AS (
@@ -84,12 +84,12 @@ WITH r AS (
 ), sources AS (
   SELECT source, rank, source_size, target, n_shards, b + (up <= need)::BIGINT - (down <= -need AND b > 0)::BIGINT AS seats FROM s8
 ), dealt AS (
-  SELECT r.doc_id, r.tie, r.size, s.rank, s.source_size, s.target, s.seats,
-    ('0x' || substr(md5(concat_ws('|', '0', 'shard', coalesce(r.doc_id::VARCHAR, '~'), r.tie)), 1, 13))::BIGINT % s.n_shards AS shard,
-    ('0x' || substr(md5(concat_ws('|', '0', 'order', coalesce(r.doc_id::VARCHAR, '~'), r.tie)), 1, 13))::BIGINT AS place
+  SELECT r.doc_id, r.tie, r.copy, r.size, s.rank, s.source_size, s.target, s.seats,
+    ('0x' || substr(md5(concat_ws('|', '0', 'shard', coalesce(r.doc_id::VARCHAR, '~'), r.tie, r.copy::VARCHAR)), 1, 13))::BIGINT % s.n_shards AS shard,
+    ('0x' || substr(md5(concat_ws('|', '0', 'order', coalesce(r.doc_id::VARCHAR, '~'), r.tie, r.copy::VARCHAR)), 1, 13))::BIGINT AS place
   FROM r JOIN sources s ON r.source IS NOT DISTINCT FROM s.source
 ), lined AS (
-  SELECT *, (sum(size) OVER (PARTITION BY rank, shard ORDER BY place, doc_id NULLS FIRST, tie ROWS UNBOUNDED PRECEDING))::BIGINT AS fin FROM dealt
+  SELECT *, (sum(size) OVER (PARTITION BY rank, shard ORDER BY place, doc_id NULLS FIRST, tie, copy ROWS UNBOUNDED PRECEDING))::BIGINT AS fin FROM dealt
 ), h0 AS (
   SELECT rank, shard, seats, source_size, target, sum(size)::BIGINT AS shard_size FROM dealt GROUP BY ALL
 ), h1 AS (

@@ -157,7 +157,8 @@ def forest(fps: np.ndarray, radius: int) -> np.ndarray:
 
 
 def small_forests(fps: np.ndarray, starts: np.ndarray, radius: int) -> np.ndarray:
-    """Edges of many small buckets at once: the xors of their pairs are themselves sliced into bit planes."""
+    """Edges of many small buckets at once: the xors of their pairs are themselves sliced into bit planes. Of a bucket's links those go out that
+    join what the ones before them had not joined, fewer than it has fingerprints."""
     left, right = [], []
     for a, b in zip(starts[:-1], starts[1:], strict=True):
         i, j = np.triu_indices(b - a, 1)
@@ -169,10 +170,22 @@ def small_forests(fps: np.ndarray, starts: np.ndarray, radius: int) -> np.ndarra
         x = fps[i[at : at + 65536]] ^ fps[j[at : at + 65536]]
         planes = planes_of(x)
         found, _ = near(planes, np.zeros(1, np.uint64), radius, lanes_up_to(-1, 1, planes.shape[1], len(x)))
-        ok = np.unpackbits(found[0].view(np.uint8), bitorder="little")[: len(x)].astype(bool)
-        out.append(np.stack([fps[i[at : at + 65536]][ok], fps[j[at : at + 65536]][ok]], axis=1).view(np.int64))
-    # of a small bucket all links are given, each an edge
-    return np.concatenate(out)
+        ok = np.flatnonzero(np.unpackbits(found[0].view(np.uint8), bitorder="little")[: len(x)])
+        out.append(np.stack([i[at + ok], j[at + ok]], axis=1))
+    label, kept = list(range(len(fps))), []
+
+    def root(x: int) -> int:
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for a, b in np.concatenate(out).tolist():
+        x, y = root(a), root(b)
+        if x != y:
+            label[max(x, y)] = min(x, y)
+            kept.append((a, b))
+    return fps[np.array(kept, np.int64).reshape(-1, 2)].view(np.int64)
 
 
 def tables(radius: int) -> list[int]:
@@ -189,10 +202,12 @@ def _signed(x: int) -> int:
 
 def links(nodes: DataFrame, radius: int = 2) -> DataFrame:
     """Edges (u, v), u > v, that span the links among the distinct fingerprints `fp` of nodes."""
-    keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("bigint")) for m in tables(radius)])).alias("t", "key"))
-    keyed = stored(keyed, "keys")
-    full = stored(keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-    met = keyed.join(full, ["t", "key"])
+    masks = tables(radius)
+    keyed = nodes.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("bigint")) for m in masks])).alias("t", "key"))
+    keyed = keyed.select("fp", F.struct("t", "key").alias("bucket"))
+    full = stored(keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    # a bucket of very many fingerprints learns its size by broadcast, so it does not meet in one task before it is cut into chunks
+    met = hot_lookup(keyed, full, "bucket", "n", nodes.count() * len(masks)).select("fp", "bucket.t", "bucket.key", "n")
     n_chunks = F.ceil(F.col("n") / (LANES // 2)).cast("int")
     met = met.withColumn("c", F.pmod(F.xxhash64("fp"), n_chunks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), n_chunks - 1)))
     met = met.select("fp", "t", "key", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"))

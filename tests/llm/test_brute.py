@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from seqloom.llm import exact_dedup, licenses, mixing, packing, quality, secret_scan, simhash, token_count, token_files, toxicity
 from seqloom.llm.wordcache import WordEncoder
@@ -758,6 +759,28 @@ def test_rows_kept_are_rows(spark):
     assert sorted(map(str, again)) == sorted(map(str, found))
 
 
+def test_repeated_rows_are_dealt_to_shards(spark):
+    """Most rows alike in id, text and source: no shard takes more than its part of them, and all reruns agree."""
+    rows = spark.range(24_000).selectExpr("CASE WHEN id % 6 > 0 THEN 7 ELSE id END AS doc_id", "CASE WHEN id % 6 > 0 THEN 'one two three' ELSE concat('words of ', id) END AS text", "'en' AS lang", "'s' AS source", "id % 3 AS n_chars")
+    sized = mixing.numbered(mixing.sizes(rows))
+    assert sized.count() == 24_000 and sized.filter("doc_id = 7 and tie = md5('one two three')").select("copy").distinct().count() == 20_000
+    shards = F.pmod(mixing.seeded(0, F.lit("shard"), F.col("doc_id"), F.col("tie"), F.col("copy")), F.lit(24))
+    assert sized.groupBy(shards.alias("shard")).count().agg(F.max("count")).first()[0] < 24_000 / 24 * 1.3
+    runs = [Counter(map(tuple, mixing.plan(d).select("doc_id", "k", "size", "taken").collect())) for d in (rows, rows.repartition(5))]
+    assert runs[0] == runs[1] and sum(runs[0].values()) == 24_000
+
+
+def test_small_buckets_give_forests():
+    """Links of many small buckets: fewer edges than fingerprints, and the same components."""
+    rng = np.random.default_rng(4)
+    tight = np.unique(np.array([0xABCDEF ^ (1 << b) for b in range(60)], np.uint64))  # any two differ in two bits
+    loose = np.unique(rng.integers(0, 1 << 63, 30, dtype=np.uint64))
+    fps, starts = np.concatenate([tight, loose]), np.array([0, len(tight), len(tight) + len(loose)])
+    edges = simhash.small_forests(fps, starts, 2)
+    assert len(edges) == 59 and len(np.unique(edges)) == 60
+    assert len(simhash.small_forests(loose, np.array([0, len(loose)]), 2)) == 0
+
+
 def test_index_persists(spark, tmp_path):
     frame = lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string")
     open_ = lambda: exact_dedup.DigestIndex.open(spark, f"file://{tmp_path}/index", 10)
