@@ -33,6 +33,8 @@ def posterior_samples(table: DataFrame, group: int, alpha: float, samples: int,
 
 #: Letters that one lookup serves, and lookups between tables that are stored, which cuts the lineage.
 AHEAD, ROUNDS = 4, 4
+#: Contexts of a table that one lookup carries whole, which then serves all letters; no more than a lookup of AHEAD letters may carry anyway.
+WHOLE = AHEAD * 5 ** (AHEAD - 1)
 
 
 def successors(table: DataFrame, lag: int, group: int, ahead: int) -> DataFrame:
@@ -85,9 +87,10 @@ def generated(
     steps, key = at.agg(F.max("todo")).first()[0] or 0, [F.col(c) for c in ("seed_id", "rep", "side")]
     none = F.array_repeat(F.lit(0).cast("bigint"), n)
     if predict is None:
-        ahead = min(AHEAD, lag + 1)
-        following = kept(successors(table, lag, group, ahead), "successors")
-        for k, begin in enumerate(range(0, steps, ahead)):
+        whole = table.count() <= WHOLE
+        ahead = lag + 1 if whole else min(AHEAD, lag + 1)
+        following, reach = kept(successors(table, lag, group, ahead), "successors"), max(steps, 1) if whole else ahead
+        for k, begin in enumerate(range(0, steps, reach)):
 
             def grow(s: Column, step: Column) -> Column:
                 conc = F.transform(F.coalesce(F.try_element_at("counts", s["tail"]), none), lambda c: c + F.lit(float(alpha)))
@@ -95,9 +98,9 @@ def generated(
                 return N.bound(letter, lambda x: F.struct(F.right(F.concat(s["tail"], x), F.lit(lag)).alias("tail"), F.concat(s["grown"], x).alias("grown")))
 
             rows = at.withColumn("inner", F.right(F.col("tail"), F.lit(lag - ahead + 1))).join(following, "inner", "left")
-            walked = F.aggregate(F.sequence(F.lit(begin + 1), F.lit(begin + ahead)), F.struct("tail", "grown"), grow)
+            walked = F.aggregate(F.sequence(F.lit(begin + 1), F.lit(begin + reach)), F.struct("tail", "grown"), grow)
             at = rows.withColumn("w", walked).select(*state[:4], "w.tail", "w.grown", "todo")
-            if (k + 1) % ROUNDS == 0 and begin + ahead < steps:
+            if (k + 1) % ROUNDS == 0 and begin + reach < steps:
                 at = kept(at, "grown")
     else:
         own = [cells.counts(table, ref_group).alias(f"g{ref_group}")] if ref_group is not None else []

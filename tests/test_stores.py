@@ -207,3 +207,17 @@ def test_checker(spark, tmp_path):
     assert check.digests(cells.of_wide(table)).exceptAll(check.digests(table)).count() == 0
     run = subprocess.run([sys.executable, "-m", "seqloom.plans.check", str(tmp_path / "manifest.csv"), str(tmp_path / "t"), "-l", "2", "-r"], capture_output=True, text=True, timeout=300)
     assert run.returncode == 1 and "counts differ" in run.stdout and S.START
+
+
+def test_words_prefixes_and_suffixes_of_all_lengths(spark, reads, tmp_path):
+    got = {(r["kind"], r["len"], r["grp"], r["part"]): r["n"] for r in summarize.parts(counting.count_windows(reads, 3), 3).collect()}
+    want = Counter()
+    for k, s in enumerate(SEQS):
+        want.update(("full", n, k % 3, s[i : i + n]) for n in range(1, 5) for i in range(len(s) - n + 1))
+        want.update((kind, n, k % 3, part) for n in range(1, min(3, len(s)) + 1) for kind, part in (("pre", s[:n]), ("suf", s[-n:])))
+    assert got == want
+    (tmp_path / "a.fa").write_text("".join(f">s{k}\n{s}\n" for k, s in enumerate(SEQS) if s))
+    (tmp_path / "manifest.csv").write_text(f"{tmp_path}/a.fa, 0, fa\n")
+    summarize.run(spark, str(tmp_path / "manifest.csv"), str(tmp_path / "t"), 2, all_parts=True)
+    back = spark.read.parquet(str(tmp_path / "t_parts"))
+    assert {r["part"]: r["n"] for r in back.filter("kind = 'pre' and len = 1").collect()} == Counter(s[0] for s in SEQS if s)
