@@ -7,7 +7,7 @@ looks up the postings of its trigrams and intersects them, alternative by altern
 candidates alone. Rules without mandatory trigrams (runs of hexadecimal digits) scan all texts.
 
 Documents are known by (doc_id, md5 of the text), so rows that repeat a doc_id with other texts stay
-apart and true repeats share a result. Defined results: a null text is empty and has no spans; spans with the same start
+apart and true repeats share a result; a document that is very many rows is looked up by broadcast. Any number of rules may be given. Defined results: a null text is empty and has no spans; spans with the same start
 come in the order of the rules; a text of any length and number of matches is scanned whole, in time that grows with its length;
 an empty table gives an empty result; other columns are not read.
 """
@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.llm._common import stored, text_of
+from seqloom.llm._common import HOT_SHARE, stored, text_of
 from seqloom.llm.trigram import held_by, query_of
 
 
@@ -84,7 +84,7 @@ def build_index(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """(doc_id, tie, hits): the rules whose query a document satisfies, as bits.
+    """(doc_id, tie, hits, rows): the rules whose query a document satisfies, and how many rows of the postings' table it is.
 
     Postings are looked up by gram (sorted files: the scan skips what it isn't asked for). Those of an alternative's grams are
     intersected: a document is in all of them if it comes with as many different grams as the alternative has.
@@ -98,8 +98,9 @@ def candidates(postings: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     looked_up = postings.filter(F.col("gram").isin(list(uses))).select("doc_id", "tie", "gram", F.inline(F.element_at(asked, F.col("gram"))))
     # a document's grams meet as bits; repeated rows set theirs again
     place = F.create_map(*[x for k, g in enumerate(uses) for x in (F.lit(g), F.lit(k))])
-    met = looked_up.groupBy("doc_id", "tie", "rule", "alt", "need").agg(F.count_distinct(F.element_at(place, F.col("gram"))).alias("n"))
-    return met.filter("n = need").groupBy("doc_id", "tie").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("hits"))
+    met = looked_up.groupBy("doc_id", "tie", "rule", "alt", "need").agg(F.count_distinct(F.element_at(place, F.col("gram"))).alias("n"), F.count(F.lit(1)).alias("postings"))
+    # a row has each gram once, so a repeated one has as many postings of an alternative as it has grams, times its rows
+    return met.filter("n = need").groupBy("doc_id", "tie").agg(F.collect_set("rule").alias("hits"), F.max(F.expr("postings div need")).alias("rows"))
 
 
 _NONE = "array<struct<start:int,rank:int,said:string>>"
@@ -162,6 +163,18 @@ def add_spans(df: DataFrame, ranked: list[tuple[int, Rule, Column]], out: str) -
     return with_places.select(*keep, F.concat(none, *[F.coalesce(said(k, r), none) for k, r, _ in ranked]).alias(out))
 
 
+def _by_document(rows: DataFrame, table: DataFrame, hot: DataFrame | None, how: str) -> DataFrame:
+    """rows (doc_id, tie, ...) joined with table (_id, _tie, ...), one row per document. The documents of hot, rows of which are very many, are looked up
+    by broadcast, so these rows stay where they are."""
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tie") == F.col("_tie"))
+    if hot is None:
+        return rows.join(table, same, how)
+    of = lambda i, t: F.col(i).eqNullSafe(F.col("_hot")) & (F.col(t) == F.col("_hot_tie"))
+    few = table.join(F.broadcast(hot), of("_id", "_tie"), "left_semi")
+    cold = rows.join(F.broadcast(hot), of("doc_id", "tie"), "left_anti").join(table, same, how)
+    return cold.unionByName(rows.join(F.broadcast(hot), of("doc_id", "tie"), "left_semi").join(F.broadcast(few), same, how))
+
+
 def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...] = MORE) -> DataFrame:
     """(doc_id, n_<kind> for base kinds, base_sha256, spans) for every row of docs."""
     rules = (*base, *more)
@@ -170,21 +183,25 @@ def scan(docs: DataFrame, base: tuple[Rule, ...] = BASE, more: tuple[Rule, ...]
     keyed = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), F.md5(text).alias("tie"), text.alias("t"))
 
     # rules with trigrams: on candidates alone
-    hit = lambda k: F.col("hits").bitwiseAND(F.lit(1 << k).cast("bigint")) != 0
+    hit = lambda k: F.array_contains("hits", F.lit(k))
     c = found.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "hits")
+    # documents that are very many rows; fewer than HOT_SHARE can be
+    total = found.agg(F.sum("rows")).first()[0] or 0
+    hot = stored(found.filter(F.col("rows") * HOT_SHARE > total).select(F.col("doc_id").alias("_hot"), F.col("tie").alias("_hot_tie")), "hot")
+    hot = None if hot.filter(F.lit(total) > HOT_SHARE).isEmpty() else hot
     # should the candidates be too many to broadcast, texts without any string that a match holds stay where they are
     held = sorted({h for r in rules if r.query() for h in held_by(r.pattern)})
     holds = lambda low: reduce(Column.__or__, [low.contains(h) for h in held], F.lit(False))
     # an array of one: the lambda's argument is made once, however often it is looked into
     near = keyed.filter(F.exists(F.array(lowered(F.col("t"))), holds))
-    picked = near.join(c, near["doc_id"].eqNullSafe(c["_id"]) & (near["tie"] == c["_tie"])).select("_id", "_tie", "hits", "t")
+    picked = _by_document(near, c, hot, "inner").select("_id", "_tie", "hits", "t")
     indexed = add_spans(picked, [(k, r, hit(k)) for k, r in enumerate(rules) if r.query()], "indexed")
     # no filter on the spans: pushed down, it would take their whole making with it
     indexed = indexed.groupBy("_id", "_tie").agg(F.first("indexed").alias("indexed"))
 
     # rules without: on all texts, each tested for any match first
     scanned = add_spans(keyed, [(k, r, F.col("t").rlike(r.pattern)) for k, r in enumerate(rules) if not r.query()], "scanned").drop("t")
-    both = scanned.join(indexed, scanned["doc_id"].eqNullSafe(indexed["_id"]) & (scanned["tie"] == indexed["_tie"]), "left")
+    both = _by_document(scanned, indexed, hot, "left")
     out = both.select("doc_id", F.array_sort(F.concat("scanned", F.coalesce("indexed", F.array().cast(_NONE)))).alias("every"))
     listed = lambda a: F.array_join(F.transform(a, lambda s: s["said"]), ",")
     of_kind = lambda k: F.filter("every", lambda s: s["rank"] == k)

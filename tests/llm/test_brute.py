@@ -141,6 +141,23 @@ def test_many_matches(spark):
     assert r["spans"] == ",".join(said for _, said in base_spans(text)) and r["n_hex"] == 9000
 
 
+def test_a_document_of_very_many_rows(spark):
+    """Half of the rows alike, with a secret in them: they get their spans, and don't meet in one task."""
+    said = "password = 'abcdefghijkl+/12' and AKIAABCDEFGHIJ1234"
+    rows = spark.range(6000).selectExpr("CASE WHEN id % 2 = 0 THEN 7 ELSE id END AS doc_id", f"""CASE WHEN id % 2 = 0 THEN "{said}" WHEN id % 5 = 0 THEN concat("token = abcdefghijklmnop", id) ELSE concat('plain ', id) END AS text""").repartition(4)
+    got = secret_scan.scan(rows)
+    counts = Counter((r["doc_id"] == 7 and r["n_access"] == 1, r["n_assign"], r["spans"][:14]) for r in got.collect())
+    assert counts[True, 1, "assign:0:28,ac"] == 3000 and sum(n for (_, a, _), n in counts.items() if a) == 3600 and sum(counts.values()) == 6000
+    assert got._jdf.queryExecution().toString().count("left_anti") == 0 and got._jdf.queryExecution().toString().count("LeftAnti") >= 2
+
+
+def test_many_rules(docs):
+    """More rules than a number has bits."""
+    many = tuple(secret_scan.Rule(f"word{k}", f"word{k:03d}x", ".") for k in range(90))
+    found = secret_scan.scan(docs.limit(1).withColumn("text", F.lit("word000x then word077x and word089x")), many[:2], many[2:]).first()
+    assert found["spans"] == "word0:0:8,word77:14:22,word89:27:35" and (found["n_word0"], found["n_word1"]) == (1, 0)
+
+
 # 2 SimHash
 
 
