@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import argparse
 import datetime
+import hashlib
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import symbols
 from seqloom.operators import cells, training
 from seqloom.sources import files
-from seqloom.sources.shared import kept
+from seqloom.sources.shared import dropped, kept
 
 @dataclass
 class Trained:
@@ -122,12 +124,14 @@ def run(spark: SparkSession, path: str, reference: bool) -> str:
     folder = str(cfg["general"]["out_folder"])
     folder = folder[:-1] if folder.endswith("*") else f"{folder}/logs/{datetime.datetime.now():%Y%m%d-%H%M%S}"
     table = kept(read_table(spark, cfg["data"]), "counts")
-    model, losses, results = fit_and_evaluate(table, cfg, reference, f"{folder}/state")
+    state = f"{folder}/state-{hashlib.md5(json.dumps(cfg, sort_keys=True, default=str).encode()).hexdigest()}"  # of this very configuration
+    model, losses, results = fit_and_evaluate(table, cfg, reference, state)
     training.save(spark, model.params, f"{folder}/params")
     spark.createDataFrame([(k, float(x)) for k, x in enumerate(losses)], "step int, loss double").write.mode("overwrite").parquet(f"{folder}/losses")
     results.write.mode("overwrite").parquet(f"{folder}/results")
     said = [(s, k, str(v)) for s, values in cfg.items() for k, v in values.items()] + [("results", "reference", str(reference))]
     spark.createDataFrame(said, "section string, name string, value string").write.mode("overwrite").parquet(f"{folder}/config")
+    dropped(spark, state)  # the run is whole; another one begins anew
     return folder
 
 

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.operators import counting, training
+from seqloom.plans import fit
+from seqloom.sources import files
 from seqloom.sources.shared import dropped
 
 
@@ -62,6 +64,56 @@ def test_stopped_runs_go_on(spark, table, tmp_path, monkeypatch, name, kwargs, o
     assert training.load_state(spark, str(tmp_path / "none")) is None
 
 
+def test_a_stopped_run_of_a_file_goes_on(spark, table, tmp_path, monkeypatch):
+    files.write_dense(table, str(tmp_path / "data" / "part"), 3)
+    text = f"""
+[general]
+out_folder = {tmp_path}/{{out}}*
+seed = 3
+[data]
+files_path = {tmp_path}/data
+num_ds = 3
+alphabet = dna
+train_column = 0
+test_column = 1
+reference_column = 2
+[hyperp]
+lag = 3
+[train]
+epochs = 6
+batch_size = 1
+optimizer_name = Adam
+learning_rate = 0.05
+train_ar = False
+state_steps = 2
+[test]
+test = True
+[model]
+ar_func_name = cnn
+af_kwargs = {{{{"filter_width": 2, "num_filters": 4}}}}
+"""
+    results = {}
+    for out in ("whole", "stopped"):
+        (tmp_path / f"{out}.cfg").write_text(text.format(out=out))
+    write, calls = training.save_state, []
+
+    def failing(*a):
+        write(*a)
+        calls.append(a[-1])
+        if a[-1] == 4:
+            raise RuntimeError("killed")
+
+    monkeypatch.setattr(training, "save_state", failing)
+    with pytest.raises(RuntimeError, match="killed"):
+        fit.run(spark, str(tmp_path / "stopped.cfg"), False)
+    monkeypatch.setattr(training, "save_state", lambda *a: (calls.append(a[-1]), write(*a)))
+    for out in ("stopped", "whole"):
+        folder = fit.run(spark, str(tmp_path / f"{out}.cfg"), False)
+        results[out] = [r["loss"] for r in spark.read.parquet(f"{folder}/losses").orderBy("step").collect()]
+        assert not list((tmp_path / out).glob("state*"))  # a whole run leaves no state
+    assert calls == [2, 4, 6, 2, 4, 6] and results["stopped"] == results["whole"] and len(results["whole"]) == 6
+
+
 def test_accumulated_steps_are_one_step_of_the_whole(table):
     """Two half batches, accumulated at the same parameters, move them as one step on the sum of their gradients would."""
     one, _ = training.train(table, "linear", 3, steps=1, rate=0.1, optimizer="SGD", alone=True)
