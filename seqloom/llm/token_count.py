@@ -1,6 +1,6 @@
 """Token counts: batch encoding in Arrow functions that give back lengths only.
 
-Rows are gathered to batches of about BATCH_BYTES, whatever the number of rows, and texts over CHUNK
+Rows are gathered to batches of about BATCH_BYTES, over the batches that Spark hands out, and texts over CHUNK
 characters are cut before encoding, so neither many rows nor one long text sets what a worker holds.
 
 A cut is safe for this kind of vocabulary if no piece has its word mark after another character, which is
@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
@@ -60,15 +61,26 @@ def lengths(texts: list[str], path: str) -> np.ndarray:
 def counts(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of docs."""
 
+    def encoded(held: list[tuple[pa.Array, pa.Array, np.ndarray]]) -> pa.RecordBatch:
+        ids, texts, size = pa.concat_arrays([x[0] for x in held]), [t for x in held for t in x[1].to_pylist()], np.concatenate([x[2] for x in held])
+        n = lengths(texts, path)
+        return pa.RecordBatch.from_arrays([ids, pa.array(size), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = [], 0
         for b in batches:
             texts = b.column(1).fill_null("")
-            size = np.array([len(x.as_buffer() or b"") if x.is_valid else 0 for x in texts.cast(pa.binary())], np.int64)
+            size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
             cuts = np.flatnonzero(np.diff((np.cumsum(size) - size) // BATCH_BYTES)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(size)], strict=True):
                 if hi > lo:
-                    n = lengths(texts.slice(lo, hi - lo).to_pylist(), path)
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(size[lo:hi]), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+                    held.append((b.column(0).slice(lo, hi - lo), texts.slice(lo, hi - lo), size[lo:hi]))
+                    total += int(size[lo:hi].sum())
+                if total >= BATCH_BYTES or len(held) > 64:
+                    yield encoded(held)
+                    held, total = [], 0
+        if held:
+            yield encoded(held)
 
     keyed = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return keyed.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
