@@ -748,14 +748,16 @@ def protein_linear_heldout(spark, sf):
 
 
 def _digamma_sql(x: str) -> str:
+    """As a list's sum: a chain of as many terms would be too deep an expression where steps stand within steps."""
     z = f"({x} + 12)"
-    return f"(ln({z}) - 0.5 / {z} - 1 / (12 * {z} ** 2) + 1 / (120 * {z} ** 4) - 1 / (252 * {z} ** 6) + 1 / (240 * {z} ** 8) - " + " - ".join(f"1 / ({x} + {k})" for k in range(12)) + ")"
+    terms = [f"ln({z})", f"-0.5 / {z}", f"-1 / (12 * {z} ** 2)", f"1 / (120 * {z} ** 4)", f"-1 / (252 * {z} ** 6)", f"1 / (240 * {z} ** 8)", *(f"-1 / ({x} + {k})" for k in range(12))]
+    return f"list_sum([{', '.join(terms)}])"
 
 
-def _dz_sql(alone: bool, h: str = "1.0::DOUBLE", src: str = "e", to: str = "") -> str:
+def _dz_sql(alone: bool, h: str = "1.0::DOUBLE", src: str = "e", to: str = "", keep: str = "") -> str:
     """From e0.. and g0_0.. of each context: f, the slopes of the log likelihood by f, and by the logits."""
     eps = "1e-7::DOUBLE"
-    f = f"f{to} AS (SELECT kmer, {', '.join(g(0))}, {', '.join(f'e{o} / (e0 + e1 + e2 + e3 + e4) AS f{o}' for o in range(5))} FROM {src})"
+    f = f"f{to} AS (SELECT kmer, {keep}{', '.join(g(0))}, {', '.join(f'e{o} / (e0 + e1 + e2 + e3 + e4) AS f{o}' for o in range(5))} FROM {src})"
     if alone:
         d = f"d{to} AS (SELECT *, {', '.join(f'g0_{o} / (f{o} + {eps}) AS d{o}' for o in range(5))} FROM f{to})"
     else:
@@ -804,6 +806,93 @@ def _adam_sql(steps: int, rate: float) -> str:
     return ", ".join(out) + " " + " UNION ALL ".join(f"SELECT {t} AS step, round(loss, 3) AS loss FROM loss{t}" for t in range(steps))
 
 
+def _part_sql(batches: str) -> str:
+    return f"('0x' || substr(md5(kmer), 1, 8))::BIGINT % {batches}"
+
+
+#: Batches of half the contexts each, as fit.batches_of counts them.
+_HALVES = "(SELECT CAST(ceil(count(*) / greatest(1, floor(count(*) * 0.5))) AS BIGINT) FROM wide)"
+
+
+def _ref_f_sql(src: str) -> str:
+    """r, jc and f of each context under the parameters xh, xt, xu beside it: the mutated reference mixed with a model that always stops."""
+    eps = "1e-7::DOUBLE"
+    r = ", ".join(f"(g2_{i} + {eps}) / (g2_0 + g2_1 + g2_2 + g2_3 + 4 * {eps}) AS r{i}" for i in range(4))
+    jc = ", ".join(f"0.25 + exp(-tau) * (r{i} - 0.25) AS jc{i}" for i in range(4))
+    f = ", ".join(f"jc{i} / (nu + 1) AS f{i}" for i in range(4))
+    return f"SELECT *, {f}, nu / (nu + 1) AS f4 FROM (SELECT *, {jc} FROM (SELECT *, {r}, exp(xt) AS tau, exp(xu) AS nu, exp(xh) AS h FROM {src}))"
+
+
+def _ref_steps_sql(steps: int, rate: float, batches: str) -> str:
+    """Table p of the reference model as the mean of a Dirichlet: the parameters after 0, 1, ... steps of Adam, and the loss of the step before."""
+    c = [f"(f{i} / h + 1e-7::DOUBLE)" for i in range(5)]
+    every = f"list_sum([{', '.join(c)}])"
+    own = [f"(CASE WHEN g0_{i} = 0 THEN 0 ELSE {_digamma_sql(f'({c[i]} + g0_{i})')} - {_digamma_sql(c[i])} END)" for i in range(5)]
+    whole = f"SELECT *, {_digamma_sql(f'({every} + {total(0)})')} - {_digamma_sql(every)} AS whole FROM ({_ref_f_sql(f'parts JOIN p ON part = step % {batches} WHERE step < {steps}')})"
+    slopes = f"SELECT *, {', '.join(f'({own[i]} - whole) / h AS d{i}' for i in range(5))} FROM ({whole})"
+    gh = "-(" + " + ".join(f"d{i} * f{i}" for i in range(5)) + ")"
+    gt = "-(" + " + ".join(f"d{i} * (r{i} - 0.25)" for i in range(4)) + ") * tau * exp(-tau) / (nu + 1)"
+    gu = "(d4 - (" + " + ".join(f"d{i} * jc{i}" for i in range(4)) + ")) * nu / (nu + 1) ** 2"
+    scale = "(SELECT count(*) FROM wide)::DOUBLE / count(*)"
+    held = [f"{x}{k}" for k in "htu" for x in "xmv"]
+    sums = f"SELECT step, {', '.join(f'any_value({x}) AS {x}' for x in held)}, {', '.join(f'-{scale} * sum({e}) AS g{k}' for k, e in zip('htu', (gh, gt, gu), strict=True))}, -{scale} * sum({dm_sql(c, g(0))}) AS loss FROM ({slopes}) GROUP BY step"
+    mixed = f"SELECT step, loss, {', '.join(f'x{k}, 0.9 * m{k} + 0.1 * g{k} AS m{k}, 0.999 * v{k} + 0.001 * g{k} * g{k} AS v{k}' for k in 'htu')} FROM ({sums})"
+    moved = ", ".join(f"x{k} - {rate}::DOUBLE * (m{k} / (1 - pow(0.9::DOUBLE, step + 1))) / (sqrt(v{k} / (1 - pow(0.999::DOUBLE, step + 1))) + 1e-7::DOUBLE), m{k}, v{k}" for k in "htu")
+    first = "SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, ln(1.0::DOUBLE / 30), 0.0::DOUBLE, 0.0::DOUBLE, ln(1.0::DOUBLE / 100), 0.0::DOUBLE, 0.0::DOUBLE, NULL::DOUBLE"
+    return f"parts AS MATERIALIZED (SELECT *, {_part_sql(batches)} AS part FROM wide), p(step, {', '.join(held)}, loss) AS ({first} UNION ALL SELECT step + 1, {moved}, loss FROM ({mixed}))"
+
+
+def _metric_rows_sql(of: str, model: str, param: str, ll: str, correct: str, n: str, src: str) -> str:
+    return f"SELECT '{of}' AS of, unnest(['loglik', 'perplexity', 'accuracy']) AS metric, '{model}' AS model, param, unnest([ll, exp(-ll / n), correct / n]) AS value FROM (SELECT {param} AS param, sum({ll}) AS ll, sum({correct})::DOUBLE AS correct, sum({n})::DOUBLE AS n FROM {src})"
+
+
+def _model_rows_sql(src: str) -> str:
+    """Of f0.. and h beside each context: the model alone and as a Dirichlet's mean, held out and on what it was trained on."""
+    out = []
+    for of, k, given in (("heldout", 1, 0), ("train", 0, None)):
+        f = [f"f{i}" for i in range(5)]
+        conc = [f"(f{i} / h + {f'g{given}_{i}' if given is not None else '0'} + 1e-7::DOUBLE)" for i in range(5)]
+        ar = " + ".join(f"CASE WHEN g{k}_{i} = 0 THEN 0 ELSE g{k}_{i} * ln(f{i} + 1e-7::DOUBLE) END" for i in range(5))
+        out.append(_metric_rows_sql(of, "ar", "0.0::DOUBLE", ar, argmax_sql(f, g(k)), total(k), src))
+        out.append(_metric_rows_sql(of, "dm", "max(h)", dm_sql(conc, g(k)), argmax_sql(conc, g(k)), total(k), src))
+        for a in ALPHAS:
+            bmm = [f"{a}::DOUBLE + {c}" for c in g(given)] if given is not None else [f"{a}::DOUBLE"] * 5
+            out.append(_metric_rows_sql(of, "bmm", f"{a}::DOUBLE", dm_sql(bmm, g(k)), argmax_sql(bmm if given is not None else ["0"] * 5, g(k)), total(k), src))
+    return " UNION ALL ".join(out)
+
+
+_ROUNDED = "SELECT of, metric, model, round(param, 6) AS param, round(value, 4) AS value FROM results"
+
+
+def _fit_reference_sql(steps: int, rate: float) -> str:
+    own = f"SELECT 'model' AS of, 'h' AS metric, 'dm' AS model, 0.0::DOUBLE AS param, exp(xh) AS value FROM done UNION ALL SELECT 'model', 'error_rate', 'ar', 0.0::DOUBLE, 1 - exp(-exp(xt)) FROM done UNION ALL SELECT 'model', 'stop_rate', 'ar', 0.0::DOUBLE, (1 + exp(xu)) / exp(xu) FROM done"
+    head = f"{WIDE.replace('WITH', 'WITH RECURSIVE', 1)}, {_ref_steps_sql(steps, rate, _HALVES)}, done AS (SELECT * FROM p WHERE step = {steps})"
+    return f"{head}, fitted AS MATERIALIZED ({_ref_f_sql('wide, done')}), results AS ({own} UNION ALL {_model_rows_sql('fitted')}) {_ROUNDED}"
+
+
+def _fit_linear_sql(steps: int, rate: float, seed: int) -> str:
+    """Steps of Adam on the weights, a table, and on log h, a row, from the model's start; then the results."""
+    start = training.Linear.start(3, np.random.default_rng(seed))["w"]
+    rows = ", ".join(f"({j}, '{a}', {o}, {float(start[j, x, o])!r}::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE)" for j in range(3) for x, a in enumerate("ACGT[") for o in range(5))
+    out = [f"w0(j, a, o, w, m, v) AS (VALUES {rows})", "q0 AS (SELECT 0.0::DOUBLE AS xh, 0.0::DOUBLE AS mh, 0.0::DOUBLE AS vh)", f"parts AS MATERIALIZED (SELECT *, {_part_sql(_HALVES)} AS part FROM wide)", "spots AS MATERIALIZED (SELECT kmer, part, j, substr(kmer, j + 1, 1) AS a FROM parts, (SELECT unnest([0, 1, 2]) AS j))"]
+    logits = ", ".join(f"exp(sum(w) FILTER (o = {o})) AS e{o}" for o in range(5))
+    for t in range(steps):
+        part, scale = f"part = {t} % {_HALVES}", f"(SELECT count(*)::DOUBLE FROM wide) / (SELECT count(*) FROM f{t})"
+        out.append(f"e{t} AS (SELECT kmer, {', '.join(g(0))}, {', '.join(f'e{o}' for o in range(5))} FROM parts JOIN (SELECT kmer, {logits} FROM spots JOIN w{t} USING (j, a) WHERE {part} GROUP BY kmer) USING (kmer))")
+        out.append(_dz_sql(False, "h", f"e{t}, (SELECT exp(xh) AS h FROM q{t})", str(t), "h, "))
+        out.append(f"slope{t} AS (SELECT j, a, unnest([0, 1, 2, 3, 4]) AS o, unnest([{', '.join(f'-sum(z{o})' for o in range(5))}]) AS s FROM dz{t} JOIN spots USING (kmer) GROUP BY j, a)")
+        out.append(f"scaled{t} AS (SELECT j, a, o, s * ({scale}) AS s FROM slope{t})")
+        out.append(f"moved{t} AS (SELECT j, a, o, w, 0.9 * m + 0.1 * coalesce(s, 0) AS m, 0.999 * v + 0.001 * coalesce(s, 0) * coalesce(s, 0) AS v FROM w{t} LEFT JOIN scaled{t} USING (j, a, o))")
+        one, two = f"{1 - 0.9 ** (t + 1)!r}::DOUBLE", f"{1 - 0.999 ** (t + 1)!r}::DOUBLE"
+        out.append(f"w{t + 1} AS MATERIALIZED (SELECT j, a, o, w - {rate}::DOUBLE * (m / {one}) / (sqrt(v / {two}) + 1e-7::DOUBLE) AS w, m, v FROM moved{t})")
+        out.append(f"gh{t} AS (SELECT ({scale}) * sum({' + '.join(f'd{o} * f{o}' for o in range(5))}) AS g FROM d{t})")
+        out.append(f"q{t + 1} AS MATERIALIZED (SELECT xh - {rate}::DOUBLE * ((0.9 * mh + 0.1 * g) / {one}) / (sqrt((0.999 * vh + 0.001 * g * g) / {two}) + 1e-7::DOUBLE) AS xh, 0.9 * mh + 0.1 * g AS mh, 0.999 * vh + 0.001 * g * g AS vh FROM q{t}, gh{t})")
+    e = f"SELECT kmer, {logits} FROM spots JOIN w{steps} USING (j, a) GROUP BY kmer"
+    fitted = f"fitted AS MATERIALIZED (SELECT wide.*, exp(xh) AS h, {', '.join(f'e{o} / (e0 + e1 + e2 + e3 + e4) AS f{o}' for o in range(5))} FROM wide JOIN ({e}) USING (kmer), q{steps})"
+    own = f"SELECT 'model' AS of, 'h' AS metric, 'dm' AS model, 0.0::DOUBLE AS param, exp(xh) AS value FROM q{steps}"
+    return f"{WIDE}, {', '.join(out)}, {fitted}, results AS ({own} UNION ALL {_model_rows_sql('fitted')}) {_ROUNDED}"
+
+
 # training; the history of the loss
 
 
@@ -821,7 +910,7 @@ def train_linear_protein(spark, sf):
     return _history(spark, training.train(protein_cells(spark, sf), "linear", 2, steps=6, batches=2, rate=0.05, alphabet="prot")[1])
 
 
-@query()
+@query(f"{WIDE.replace('WITH', 'WITH RECURSIVE', 1)}, {_ref_steps_sql(10, 0.05, '1')} SELECT CAST(step - 1 AS INTEGER) AS step, round(loss, 3) AS loss FROM p WHERE step > 0")
 def train_ref_dm(spark, sf):
     return _history(spark, training.train(wide3(spark, sf), "stop", 3, ref_group=2, steps=10, rate=0.05)[1])
 
@@ -857,10 +946,10 @@ def fit_and_evaluate_bmm(spark, sf):
 
 
 def _results(spark, sf, name: str, reference: bool = False, **model) -> DataFrame:
-    return fit.fit_and_evaluate(kept(wide3(spark, sf), "counts"), settings(name, **model), reference)[2].withColumn("value", F.round("value", 4))
+    return fit.fit_and_evaluate(kept(wide3(spark, sf), "counts"), settings(name, **model), reference)[2].withColumns({"param": F.round("param", 6), "value": F.round("value", 4)})
 
 
-@query()
+@query(_fit_linear_sql(6, 0.05, 1))
 def fit_and_evaluate_linear(spark, sf):
     return _results(spark, sf, "linear")
 
@@ -870,7 +959,7 @@ def fit_and_evaluate_cnn(spark, sf):
     return _results(spark, sf, "cnn", filter_width=2, num_filters=6)
 
 
-@query()
+@query(_fit_reference_sql(6, 0.05))
 def fit_and_evaluate_reference(spark, sf):
     return _results(spark, sf, "stop", True)
 
