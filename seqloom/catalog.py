@@ -907,7 +907,7 @@ def train_linear_ar(spark, sf):
 
 @query()
 def train_linear_protein(spark, sf):
-    return _history(spark, training.train(protein_cells(spark, sf), "linear", 2, steps=6, batches=2, rate=0.05, alphabet="prot")[1])
+    return _history(spark, training.train(protein_cells(spark, sf), "linear", 2, steps=7, batches=2, rate=0.05, alphabet="prot")[1])
 
 
 @query(f"{WIDE.replace('WITH', 'WITH RECURSIVE', 1)}, {_ref_steps_sql(10, 0.05, '1')} SELECT CAST(step - 1 AS INTEGER) AS step, round(loss, 3) AS loss FROM p WHERE step > 0")
