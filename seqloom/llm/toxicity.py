@@ -5,13 +5,15 @@ so that inflected forms share what their stems carry. Filters of one, two and th
 filter's largest value is kept, and a logistic layer scores these. As only sums and maxima are involved, the
 filters are applied to the embedding table once, and scoring a text is gathers, shifted adds and maxima in numpy.
 
-Training takes at most SAMPLE labelled rows, half of each label as far as there are, in the order of a hash of the
-id until about SAMPLE_WORDS words are reached, and never those whose crc32(doc_id as text) mod 5 is 0. Their texts are
-taken whole. A fifth of them sets, for each language, the logit at which the score is 0.5: where the cost of errors (see WRONG) in the language and, with the weight
-of PRIOR rows, in all languages is least. The language is told from the text's function words; labels, lang, source and doc_id are not inputs.
+Training takes every labelled row, its text whole, but those whose crc32(doc_id as text) mod 5 is 0. Their units are written once, dealt by a hash
+to shards of about SHARD rows. In each epoch a shard is a run of steps from the model of the epoch before, and the shards' models are averaged: dense
+parameters by rows, a bucket's embedding over the shards that moved it. The driver holds models alone, whose size is fixed. A fifth of the rows,
+told by the hash, sets, for each language, the logit at which the score is 0.5: where the cost of errors (see WRONG) in the language and, with the weight
+of PRIOR rows, in all languages is least; logits are counted to 1 in GRID. The language is told from the text's function words; labels, lang, source and doc_id are not inputs.
+train() does the same on the driver for units at hand, and training_rows() fetches a bounded number of them; the queries use neither.
 
 Defined results: a null or empty text has no words and gets the score of no evidence; without labelled rows of
-both kinds every score is 0; rows that repeat a doc_id each get their score; conflicting labels of an id count as
+both kinds every score is 0; rows that repeat a doc_id each get their score and each train; conflicting labels of an id count as
 the larger; very long texts are scored whole, slice by slice; other columns are not read and may have any name; an
 empty table gives an empty result.
 """
@@ -30,9 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from seqloom.llm._common import forget, stored
+from seqloom.llm._common import forget, scratch_path, stored
 
-#: At most so many labelled rows train the classifier, with about so many words in all; texts are taken whole.
+#: Rows of a shard of the training, about; shards are trained side by side.
+SHARD = 4096
+#: Embeddings to a row of what shards hand on, and steps of a logit's unit in which thresholds are counted.
+BLOCK, GRID = 1024, 1 << 12
+#: Labelled rows that training_rows() fetches at most, and their words in all, about; fit() has no such bound.
 SAMPLE, SAMPLE_WORDS = 8000, 1 << 22
 #: Texts to a step of the training, and rows of a language's rarer label at which its own threshold counts as much as the one of all.
 BATCH, PRIOR = 16, 20
@@ -166,11 +172,15 @@ def slices(units: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _first_units(units: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Smoothed log odds of each bucket by the documents that have it; the start of the first dimension."""
     have = np.zeros((2, BUCKETS))
     for u, y in zip(units, labels, strict=True):
         have[y, np.unique(u)] += 1
-    share = np.array([(labels == 0).mean(), (labels == 1).mean()])
+    return _log_odds(have, np.bincount(labels, minlength=2))
+
+
+def _log_odds(have: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Smoothed log odds of each bucket by how many documents of each label, n in all, have it; the start of the first dimension."""
+    share = n / n.sum()
     return (np.log((have[1] / share[1] + 4) / (have[0] / share[0] + 4))).astype(np.float32)
 
 
@@ -206,69 +216,116 @@ def tops(emb: np.ndarray, w: np.ndarray, filter_bias: np.ndarray, units: np.ndar
     return best, where
 
 
+@dataclass
+class State:
+    """What training moves: embeddings, filters, logistic layer and Adagrad's sums."""
+
+    emb: np.ndarray
+    seen_emb: np.ndarray
+    w: np.ndarray
+    filter_bias: np.ndarray
+    out: np.ndarray
+    bias: float
+    seen: np.ndarray
+
+    @classmethod
+    def first(cls, first_units: np.ndarray) -> State:
+        rng = np.random.default_rng(SEED)
+        emb = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
+        emb[:, 0] = first_units
+        w = rng.normal(0, 0.1, (len(_SLOTS), DIM, FILTERS)).astype(np.float32)
+        for s, (width, _) in enumerate(_SLOTS):
+            w[s, 0] = 1.0 / width / 2 + rng.normal(0, 0.02, FILTERS)
+        return cls(emb, np.full(BUCKETS, 1e-3, np.float32), w, np.zeros(_N, np.float32), np.full(_N, 0.2, np.float32), -1.0, np.full(3, 1e-3))
+
+    def copy(self) -> State:
+        return State(self.emb.copy(), self.seen_emb.copy(), self.w.copy(), self.filter_bias.copy(), self.out.copy(), self.bias, self.seen.copy())
+
+    def dense(self) -> np.ndarray:
+        """All but the embeddings, in one array."""
+        return np.concatenate([self.w.ravel(), self.filter_bias, self.out, [self.bias], self.seen]).astype(np.float64)
+
+    def set_dense(self, x: np.ndarray) -> None:
+        n = self.w.size
+        self.w, self.filter_bias, self.out = x[:n].reshape(self.w.shape).astype(np.float32), x[n : n + _N].astype(np.float32), x[n + _N : n + 2 * _N].astype(np.float32)
+        self.bias, self.seen = float(x[n + 2 * _N]), x[n + 2 * _N + 1 :].copy()
+
+    def step(self, units: list[np.ndarray], labels: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """One step of Adagrad over some texts, with one rate for each array and for each bucket. The buckets it moved."""
+        together, ends = np.concatenate(units), np.cumsum([len(u) for u in units])
+        best, where = tops(self.emb, self.w, self.filter_bias, together, ends)
+        g = (1 / (1 + np.exp(-np.clip(best @ self.out + self.bias, -30, 30))) - labels) * weight
+        g_best = g[:, None] * self.out[None, :] * (where >= 0)
+        g_out, g_bias = g @ best, float(g.sum())
+        self.seen[1] += float(g_out @ g_out)
+        self.seen[2] += g_bias * g_bias
+        self.out = (self.out - RATE * g_out / np.sqrt(self.seen[1] / _N)).astype(np.float32)
+        self.bias -= RATE * g_bias / np.sqrt(self.seen[2])
+        self.filter_bias -= RATE * 0.1 * g_best.sum(axis=0).astype(np.float32)
+        g_w, touched, g_emb = np.zeros_like(self.w), [], []
+        for k, width in enumerate(WIDTHS):
+            for f in range(FILTERS):
+                col = k * FILTERS + f
+                texts = np.flatnonzero(where[:, col] >= 0)
+                for j in range(width):
+                    slot = sum(WIDTHS[:k]) + j
+                    buckets = together[where[texts, col] + j]
+                    g_w[slot, :, f] = g_best[texts, col] @ self.emb[buckets].sum(axis=1)
+                    touched.append(buckets.ravel())
+                    g_emb.append(np.repeat(g_best[texts, col][:, None] * self.w[slot][:, f], 4, axis=0))
+        self.seen[0] += float((g_w * g_w).sum()) / self.w.size
+        self.w -= ((RATE * 0.1 / np.sqrt(self.seen[0])) * g_w).astype(np.float32)
+        which, back = np.unique(np.concatenate(touched), return_inverse=True)
+        total = np.zeros((len(which), DIM), np.float32)
+        np.add.at(total, back, np.concatenate(g_emb).astype(np.float32))
+        self.seen_emb[which] += (total * total).sum(axis=1)
+        self.emb[which] -= RATE * total / np.sqrt(self.seen_emb[which])[:, None]
+        return which
+
+    def classifier(self) -> Classifier:
+        tables = np.einsum("bd,sdf->sbf", self.emb, self.w).astype(np.float32)
+        return Classifier(np.ascontiguousarray(tables), self.filter_bias, self.out.astype(np.float32), self.bias, np.zeros(len(FUNCTION_WORDS)))
+
+
+def label_weights(n: np.ndarray) -> np.ndarray:
+    """What a row of each label weighs in training, of n rows by label."""
+    return 0.5 / np.maximum(n / max(n.sum(), 1), 1e-6)
+
+
+def set_thresholds(model: Classifier, langs: np.ndarray, labels: np.ndarray, logits: np.ndarray, n: np.ndarray) -> None:
+    """Sets the logit of 0.5 by language from logits, n rows at each. A language counts as much as its rarer label has rows, all languages together as much as PRIOR rows."""
+    of_label = lambda at: np.array([n[at & (labels == y)].sum() for y in (0, 1)])
+    every = of_label(np.ones(len(n), bool))
+    for lang in range(len(FUNCTION_WORDS)):
+        of = langs == lang
+        own = of_label(of)
+        share = own.min() / (own.min() + PRIOR)
+        weights = n * ((1 - share) / every[labels] + np.where(of, share / np.maximum(own[labels], 1), 0)) * np.where(labels == 1, 1, WRONG)
+        model.middle[lang] = threshold(logits, labels, weights)
+
+
+def raw_logit(model: Classifier, units: np.ndarray) -> float:
+    best = np.max([np.zeros(_N, np.float32), *(pooled(model.tables, model.filter_bias, part)[0] for _, part in slices(units))], axis=0)
+    return float(best @ model.out + model.bias)
+
+
 def train(units: list[np.ndarray], langs: np.ndarray, labels: np.ndarray) -> Classifier | None:
-    """units: (words, 4) buckets of each text. None if a label is missing. Steps are of BATCH texts each."""
+    """units: (words, 4) buckets of each text. None if a label is missing. Steps are of BATCH texts each. All here, in one run."""
     if len(set(labels.tolist())) < 2:
         return None
     rng = np.random.default_rng(SEED)
     held = np.arange(len(labels)) % 5 == 0
     fit = np.flatnonzero(~held) if len(set(labels[held].tolist())) == 2 and len(set(labels[~held].tolist())) == 2 else np.arange(len(labels))
-    emb = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
-    emb[:, 0] = _first_units([units[i] for i in fit], labels[fit])
-    w = rng.normal(0, 0.1, (len(_SLOTS), DIM, FILTERS)).astype(np.float32)
-    for s, (width, _) in enumerate(_SLOTS):
-        w[s, 0] = 1.0 / width / 2 + rng.normal(0, 0.02, FILTERS)
-    filter_bias, out, bias = np.zeros(_N, np.float32), np.full(_N, 0.2, np.float32), -1.0
-    seen = {k: 1e-3 for k in ("w", "out", "bias")}
-    seen_emb = np.full(BUCKETS, 1e-3, np.float32)
-    weight = np.where(labels == 1, 0.5 / max((labels[fit] == 1).mean(), 1e-6), 0.5 / max((labels[fit] == 0).mean(), 1e-6))
+    state = State.first(_first_units([units[i] for i in fit], labels[fit]))
+    weight = label_weights(np.bincount(labels[fit], minlength=2))[labels]
     for _ in range(EPOCHS):
         order = rng.permutation(fit)
         for at in range(0, len(order), BATCH):
             batch = order[at : at + BATCH]
-            together, ends = np.concatenate([units[i] for i in batch]), np.cumsum([len(units[i]) for i in batch])
-            best, where = tops(emb, w, filter_bias, together, ends)
-            g = (1 / (1 + np.exp(-np.clip(best @ out + bias, -30, 30))) - labels[batch]) * weight[batch]
-            g_best = g[:, None] * out[None, :] * (where >= 0)
-            # Adagrad, with one rate for each array and for each bucket
-            g_out, g_bias = g @ best, float(g.sum())
-            seen["out"] += float(g_out @ g_out)
-            seen["bias"] += g_bias * g_bias
-            out = (out - RATE * g_out / np.sqrt(seen["out"] / _N)).astype(np.float32)
-            bias -= RATE * g_bias / np.sqrt(seen["bias"])
-            filter_bias -= RATE * 0.1 * g_best.sum(axis=0).astype(np.float32)
-            g_w, touched, g_emb = np.zeros_like(w), [], []
-            for k, width in enumerate(WIDTHS):
-                for f in range(FILTERS):
-                    col = k * FILTERS + f
-                    texts = np.flatnonzero(where[:, col] >= 0)
-                    for j in range(width):
-                        slot = sum(WIDTHS[:k]) + j
-                        buckets = together[where[texts, col] + j]
-                        g_w[slot, :, f] = g_best[texts, col] @ emb[buckets].sum(axis=1)
-                        touched.append(buckets.ravel())
-                        g_emb.append(np.repeat(g_best[texts, col][:, None] * w[slot][:, f], 4, axis=0))
-            seen["w"] += float((g_w * g_w).sum()) / w.size
-            w -= (RATE * 0.1 / np.sqrt(seen["w"])) * g_w
-            which, back = np.unique(np.concatenate(touched), return_inverse=True)
-            total = np.zeros((len(which), DIM), np.float32)
-            np.add.at(total, back, np.concatenate(g_emb).astype(np.float32))
-            seen_emb[which] += (total * total).sum(axis=1)
-            emb[which] -= RATE * total / np.sqrt(seen_emb[which])[:, None]
-    tables = np.einsum("bd,sdf->sbf", emb, w).astype(np.float32)
-    model = Classifier(np.ascontiguousarray(tables), filter_bias, out.astype(np.float32), bias, np.zeros(len(FUNCTION_WORDS)))
-    whole = lambda u: np.max([np.zeros(_N, np.float32), *(pooled(tables, filter_bias, part)[0] for _, part in slices(u))], axis=0)
-    logits = np.array([float(whole(u) @ out + bias) for u in units])
-    test = held if fit.size < len(labels) else np.ones(len(labels), bool)
-    pooled_cost = np.array([(labels[test] == y).sum() for y in (0, 1)])
-    for lang in range(len(FUNCTION_WORDS)):
-        of = test & (langs == lang)
-        # a language counts as much as its rarer label has rows, all languages together as much as PRIOR rows
-        share = min((labels[of] == 0).sum(), (labels[of] == 1).sum())
-        share = share / (share + PRIOR)
-        own = np.array([(labels[of] == y).sum() for y in (0, 1)])
-        weights = ((1 - share) / pooled_cost[labels] + np.where(of, share / np.maximum(own[labels], 1), 0)) * np.where(labels == 1, 1, WRONG)
-        model.middle[lang] = threshold(logits[test], labels[test], weights[test])
+            state.step([units[i] for i in batch], labels[batch], weight[batch])
+    model = state.classifier()
+    test = np.flatnonzero(held) if fit.size < len(labels) else np.arange(len(labels))
+    set_thresholds(model, langs[test], labels[test], np.array([raw_logit(model, units[i]) for i in test]), np.ones(len(test)))
     return model
 
 
@@ -328,11 +385,161 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, word
     return [r[3] for r in got], np.array([r[2] for r in got], np.int64), np.array([r[1] for r in got], np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier | None:
-    """The classifier, learnt from labelled rows. What training held goes back to the system, as the driver has much to do after it."""
+def training_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(shard, toxic, held, lang, units): every row of docs with a label that is not held out, dealt to shards by a hash and in its order there."""
+    one = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).filter("toxic in (0, 1)").dropna()
+    one = stored(one.filter(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labels")
+    keyed = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    joined = keyed.join(one, "doc_id").select("toxic", "text", F.xxhash64("doc_id", "text").alias("h"))
+    n_shards = max(1, -(-keyed.select("doc_id").join(one, "doc_id").count() // SHARD))
+    # of a row the shard, the fold and the place in the shard come from parts of the hash that have nothing to do with one another
+    rows = joined.select(F.pmod("h", F.lit(n_shards)).cast("int").alias("shard"), "toxic", (F.pmod(F.xxhash64("h", F.lit(5)), F.lit(5)) == 0).alias("held"), F.xxhash64("h", F.lit(7)).alias("o"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH * 16):
+                b = whole.slice(at, BATCH * 16)
+                langs, found = [], []
+                for x in b.column(3):
+                    parts = list(word_hashes(x.as_py()))
+                    said = sum((votes(w) for w, _ in parts), np.zeros(len(FUNCTION_WORDS), np.int64))
+                    langs.append(int(said.argmax()))
+                    found.append(np.concatenate([u for _, u in parts]).astype("<i4").tobytes() if parts else b"")
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(langs, pa.int32()), pa.array(found, pa.binary())], ["shard", "toxic", "held", "lang", "units"])
+
+    dealt = rows.repartition(n_shards, "shard").sortWithinPartitions("shard", "o", "toxic").select("shard", "toxic", "held", "text")
+    path = scratch_path(docs.sparkSession, "training")
+    found = dealt.mapInArrow(run, "shard int, toxic int, held boolean, lang int, units binary")
+    # a file or more to a shard, which its readers take whole: the shard's number is part of the path
+    found.write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    forget(one)
+    out = docs.sparkSession.read.schema(found.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _units(x) -> np.ndarray:
+    return np.frombuffer(x.as_py(), "<i4").reshape(-1, 4)
+
+
+def _document_counts(rows: DataFrame) -> np.ndarray:
+    """(2, BUCKETS): how many documents of each label have each bucket. Tasks sum up first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = np.zeros((2, BUCKETS), np.int64)
+        for b in batches:
+            for y, u in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                have[y, np.unique(_units(u))] += 1
+        for y in (0, 1):
+            at = np.flatnonzero(have[y])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), y)), pa.array(at), pa.array(have[y, at])], ["toxic", "bucket", "n"])
+
+    each = rows.select("toxic", "units").mapInArrow(run, "toxic bigint, bucket bigint, n bigint")
+    got = each.groupBy("toxic", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    have = np.zeros((2, BUCKETS))
+    have[got["toxic"].to_numpy(), got["bucket"].to_numpy()] = got["n"].to_numpy()
+    return have
+
+
+def _epoch(rows: DataFrame, state: State, weight: np.ndarray, epoch: int) -> State:
+    """The mean of the models to which each shard brings the state in one pass over its rows."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(state)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, own, moved, n = None, None, None, 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if shard is None:
+                return
+            base = shared.value
+            ids = np.flatnonzero(moved)
+            cuts = np.searchsorted(ids, np.arange(0, BUCKETS + 1, BLOCK))
+            values = np.concatenate([own.emb[ids] - base.emb[ids], (own.seen_emb[ids] - base.seen_emb[ids])[:, None]], axis=1).astype("<f4")
+            parts = [(k, ids[a:b].astype("<i4").tobytes(), values[a:b].tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+            parts.append((-1, b"", (own.dense() - base.dense()).astype("<f8").tobytes()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p[0] for p in parts], pa.int32()), pa.array([shard] * len(parts), pa.int32()), pa.array([n] * len(parts), pa.int64()), pa.array([p[1] for p in parts], pa.binary()), pa.array([p[2] for p in parts], pa.binary())],
+                ["block", "shard", "n", "ids", "moves"],
+            )
+
+        for whole in batches:
+            for b in (whole.slice(at, BATCH * 64) for at in range(0, whole.num_rows, BATCH * 64)):
+                shards, labels = b.column(0).to_numpy(), b.column(1).to_numpy()
+                cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1), b.num_rows]
+                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                    if shards[lo] != shard:
+                        yield from close()
+                        shard, own, moved, n = int(shards[lo]), shared.value.copy(), np.zeros(BUCKETS, bool), 0
+                    order = lo + np.random.default_rng([SEED, epoch, n]).permutation(hi - lo)
+                    for at in range(0, len(order), BATCH):
+                        batch = order[at : at + BATCH]
+                        moved[own.step([_units(b.column(2)[int(i)]) for i in batch], labels[batch], weight[labels[batch]])] = True
+                    n += hi - lo
+        yield from close()
+
+    def mean(key: tuple, batch: pa.Table) -> pa.Table:
+        """Of the shards' moves, in the order of the shards: dense ones by rows, a bucket's over those shards that moved it."""
+        parts = sorted(zip(batch["shard"].to_pylist(), batch["n"].to_pylist(), batch["ids"].to_pylist(), batch["moves"].to_pylist(), strict=True))
+        if key[0].as_py() < 0:
+            total = sum(n * np.frombuffer(m, "<f8") for _, n, _, m in parts) / sum(n for _, n, _, _ in parts)
+            return pa.table([pa.array([-1], pa.int32()), pa.array([total.astype("<f8").tobytes()], pa.binary())], ["block", "moves"])
+        total, times = np.zeros((BLOCK, DIM + 1)), np.zeros(BLOCK)
+        for _, _, ids, m in parts:
+            at = np.frombuffer(ids, "<i4") % BLOCK
+            total[at] += np.frombuffer(m, "<f4").reshape(-1, DIM + 1)
+            times[at] += 1
+        total /= np.maximum(times, 1)[:, None]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([total.astype("<f4").tobytes()], pa.binary())], ["block", "moves"])
+
+    moves = rows.select("shard", "toxic", "units").mapInArrow(run, "block int, shard int, n bigint, ids binary, moves binary")
+    got, out = moves.groupBy("block").applyInArrow(mean, "block int, moves binary").toArrow(), state.copy()
+    for block, m in zip(got["block"].to_pylist(), got["moves"].to_pylist(), strict=True):
+        if block < 0:
+            out.set_dense(state.dense() + np.frombuffer(m, "<f8"))
+            continue
+        x, at = np.frombuffer(m, "<f4").reshape(-1, DIM + 1), slice(block * BLOCK, (block + 1) * BLOCK)
+        out.emb[at] += x[:, :DIM]
+        out.seen_emb[at] += x[:, DIM]
+    shared.unpersist()
+    return out
+
+
+def _counted_logits(rows: DataFrame, model: Classifier) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Languages, labels, logits to 1 in GRID, and how many rows have them. Logits beyond 30 count as 30, so there are few."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            z = np.array([raw_logit(shared.value, _units(u)) for u in b.column(2)], np.float64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.rint(np.clip(z, -30, 30) * GRID).astype(np.int64))], ["lang", "toxic", "z"])
+
+    each = rows.select("lang", "toxic", "units").mapInArrow(run, "lang int, toxic int, z bigint")
+    got = each.groupBy("lang", "toxic", "z").agg(F.count(F.lit(1)).alias("n")).orderBy("z", "toxic", "lang").toArrow()
+    shared.unpersist()
+    return got["lang"].to_numpy(), got["toxic"].to_numpy(), got["z"].to_numpy() / GRID, got["n"].to_numpy()
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Classifier | None:
+    """The classifier, learnt from every labelled row that is not held out; None if a label is missing. The driver sees counts and models alone."""
+    rows = training_table(docs, labels)
     try:
-        return train(*training_rows(docs, labels, sample))
+        n = np.zeros((2, 2), np.int64)  # by held and label
+        for r in rows.groupBy("held", "toxic").count().collect():
+            n[int(r["held"]), r["toxic"]] = r["count"]
+        if not n.sum(axis=0).all():
+            return None
+        parted = bool(n.all())
+        fit_rows, test_rows = (rows.filter("not held"), rows.filter("held")) if parted else (rows, rows)
+        n_fit = n[0] if parted else n.sum(axis=0)
+        state, weight = State.first(_log_odds(_document_counts(fit_rows), n_fit)), label_weights(n_fit)
+        for epoch in range(EPOCHS):
+            state = _epoch(fit_rows, state, weight, epoch)
+        model = state.classifier()
+        set_thresholds(model, *_counted_logits(test_rows, model))
+        return model
     finally:
+        forget(rows)
         gc.collect()
         pa.default_memory_pool().release_unused()
         if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:  # the C library keeps freed pages of many small arrays otherwise
