@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,7 @@ from seqloom.operators.cells import width
 from seqloom.operators.counting import overlapping
 from seqloom.operators.models import LETTERS, cells
 from seqloom.operators.sampling import drawn
+from seqloom.sources.shared import kept
 
 
 def parsed(variant: Column) -> Column:
@@ -45,15 +49,25 @@ def logp(windows: DataFrame, table: DataFrame, group: int, alphas: list[float])
     return joined.select(*windows.columns, F.inline(F.array(*rows)))
 
 
+def _summed(windows: DataFrame, table: DataFrame, group: int, alphas: list[float], key: str, n: str) -> DataFrame:
+    """(key, alpha, score): sums of n times logp of windows (key, kmer, nxt, n). A row goes through the join and the aggregate once, whatever the number of alphas."""
+    c = cells(group)
+    logs = lambda i: [F.log((c[i] + a) / (sum(c[1:], c[0]) + LETTERS * a)).alias(f"_l{k}") for k, a in enumerate(alphas)]
+    seen = table.select("kmer", F.inline(F.array(*[F.struct(F.lit(x).alias("nxt"), *logs(i)) for i, x in enumerate(S.letters("dna"))])))
+    each = windows.join(seen, ["kmer", "nxt"], "left")
+    sums = each.groupBy(key).agg(*[F.sum(F.col(n) * F.coalesce(f"_l{k}", F.lit(-math.log(LETTERS)))).alias(f"_s{k}") for k in range(len(alphas))])
+    return sums.select(key, F.inline(F.array(*[F.struct(F.lit(a).alias("alpha"), F.col(f"_s{k}").alias("score")) for k, a in enumerate(alphas)])))
+
+
 def variant_scores(variants: DataFrame, table: DataFrame, lag: int, group: int, alphas: list[float]) -> DataFrame:
     """(var_id, alpha, score): log probability of the mutant less that of the wild type."""
-    each = logp(variant_windows(variants, lag).groupBy("var_id", "kmer", "nxt").agg(F.sum("sgn").alias("sgn")), table, group, alphas)
-    return each.groupBy("var_id", "alpha").agg(F.sum(F.col("sgn") * F.col("logp")).alias("score"))
+    each = variant_windows(variants, lag).groupBy("var_id", "kmer", "nxt").agg(F.sum("sgn").alias("sgn"))
+    return _summed(each, table, group, alphas, "var_id", "sgn")
 
 
 def sequence_scores(counted: DataFrame, table: DataFrame, group: int, alphas: list[float]) -> DataFrame:
     """(seq_id, alpha, score) of counted windows (seq_id, kmer, nxt, n)."""
-    return logp(counted, table, group, alphas).groupBy("seq_id", "alpha").agg(F.sum(F.col("n") * F.col("logp")).alias("score"))
+    return _summed(counted, table, group, alphas, "seq_id", "n")
 
 
 def _own(alphabet: str = "dna") -> list[Column]:
@@ -61,13 +75,28 @@ def _own(alphabet: str = "dna") -> list[Column]:
     return [F.coalesce(F.sum(F.when(F.col("nxt") == x, F.col("n"))), F.lit(0)).alias(f"w{i}") for i, x in enumerate(S.letters(alphabet))]
 
 
+def with_marginals(rows: DataFrame, n: int, models: int) -> DataFrame:
+    """Rows whose last two columns are concs, `models` times n concentrations, and counts, n of them: in their place s0.., the Dirichlet-multinomial
+    log likelihood under each model. In numpy over Arrow batches, as a likelihood takes a score of logarithms."""
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes[:-2]), *(f"s{k} double" for k in range(models))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            conc = b.column(b.num_columns - 2).flatten().to_numpy().reshape(-1, models, n)
+            own = b.column(b.num_columns - 1).flatten().to_numpy().reshape(-1, 1, n).astype(np.float64)
+            ll = N.rising_of(conc, own).sum(axis=2) - N.rising_of(conc.sum(axis=2), own.sum(axis=2))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *(pa.array(ll[:, k]) for k in range(models))], [*b.schema.names[:-2], *(f"s{k}" for k in range(models))])
+
+    return rows.mapInArrow(run, schema)
+
+
 def sequence_marginals(counted: DataFrame, table: DataFrame, group: int, alphas: list[float]) -> DataFrame:
     """(seq_id, alpha, score) of counted windows (seq_id, kmer, nxt, n): log marginal likelihood, a sequence's windows of one context sharing their distribution."""
     own = counted.groupBy("seq_id", "kmer").agg(*_own())
     joined = own.join(table.select("kmer", *[c.alias(f"t{i}") for i, c in enumerate(cells(group))]), "kmer", "left")
-    w = [F.col(f"w{i}") for i in range(LETTERS)]
-    lls = [F.sum(N.dm_logprob([F.coalesce(f"t{i}", F.lit(0)) + F.lit(a) for i in range(LETTERS)], w)).alias(f"s{k}") for k, a in enumerate(alphas)]
-    out = joined.groupBy("seq_id").agg(*lls)
+    conc = F.array(*[F.coalesce(f"t{i}", F.lit(0)) + F.lit(float(a)) for a in alphas for i in range(LETTERS)])
+    lls = with_marginals(joined.select("seq_id", conc.alias("concs"), F.array(*[f"w{i}" for i in range(LETTERS)]).alias("counts")), LETTERS, len(alphas))
+    out = lls.groupBy("seq_id").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(len(alphas))])
     return out.select("seq_id", F.inline(F.array(*[F.struct(F.lit(a).alias("alpha"), F.col(f"s{k}").alias("score")) for k, a in enumerate(alphas)])))
 
 
@@ -96,27 +125,58 @@ def concentrations(contexts: DataFrame, table: DataFrame, group: int, *, predict
     return rows.select("kmer", F.inline(F.array(*[struct(*m) for m in models])))
 
 
-def _letter(values: Column, alphabet: str = "dna") -> Column:
-    return F.element_at(values, F.instr(F.lit("".join(S.letters(alphabet))), F.col("nxt")).cast("int"))
+def _by_context(conc: DataFrame, value: Column) -> tuple[DataFrame, list[tuple[str, float]]]:
+    """(kmer, v0..): the value of each model at each context, and the models. So a window meets its context once, not once a model."""
+    conc = kept(conc, "concentrations")
+    models = [(r["model"], r["param"]) for r in conc.select("model", "param").distinct().orderBy("model", "param").collect()]
+    cols = [F.first(F.when((F.col("model") == m) & (F.col("param") == p), value), ignorenulls=True).alias(f"v{k}") for k, (m, p) in enumerate(models)]
+    return conc.groupBy("kmer").agg(*cols or [F.lit(0)]), models
+
+
+def _named(sums: DataFrame, key: str, models: list[tuple[str, float]]) -> DataFrame:
+    """(key, model, param, score) of sums (key, s0..)."""
+    rows = [F.struct(F.lit(m).alias("model"), F.lit(p).alias("param"), F.col(f"s{k}").alias("score")) for k, (m, p) in enumerate(models)]
+    none = F.array().cast("array<struct<model:string,param:double,score:double>>")
+    return sums.select(key, F.inline(F.array(*rows) if rows else none))
+
+
+def by_letter(rows: DataFrame, values: list[str], alphabet: str = "dna") -> DataFrame:
+    """(kmer, nxt, values...) of rows whose values are arrays, a place per letter."""
+    each = [F.struct(F.lit(x).alias("nxt"), *[F.col(v)[i].alias(v) for v in values]) for i, x in enumerate(S.letters(alphabet))]
+    others = [c for c in rows.columns if c not in values]
+    return rows.select(*others, F.inline(F.array(*each)))
 
 
 def model_scores(counted: DataFrame, conc: DataFrame, key: str, alphabet: str = "dna") -> DataFrame:
     """(key, model, param, score) of windows (key, kmer, nxt, n): sums of n times the log of the posterior mean. n may be negative."""
     total = F.aggregate("conc", F.lit(0.0), lambda a, x: a + x)
-    logs = conc.select("kmer", "model", "param", F.transform("conc", lambda x: F.log(x / total)).alias("logp"))
-    each = counted.join(logs, "kmer").select(key, "model", "param", (F.col("n") * _letter(F.col("logp"), alphabet)).alias("s"))
-    return each.groupBy(key, "model", "param").agg(F.sum("s").alias("score"))
+    logs, models = _by_context(conc.withColumn("logp", F.transform("conc", lambda x: F.log(x / total))), F.col("logp"))
+    each = counted.select(key, "kmer", "nxt", "n").join(by_letter(logs, [f"v{k}" for k in range(len(models))], alphabet), ["kmer", "nxt"])
+    return _named(each.groupBy(key).agg(*[F.sum(F.col("n") * F.col(f"v{k}")).alias(f"s{k}") for k in range(len(models))] or [F.lit(0)]), key, models)
 
 
 def model_marginals(counted: DataFrame, conc: DataFrame, key: str, alphabet: str = "dna") -> DataFrame:
     """(key, model, param, score): log marginal likelihood of the windows, those of one context sharing their distribution."""
-    own = counted.groupBy(key, "kmer").agg(*_own(alphabet)).join(conc.filter("model != 'ar'"), "kmer")
-    ll = N.dm_logprob_of(F.col("conc"), F.array(*[F.col(f"w{i}") for i in range(width(alphabet))]))
-    return own.groupBy(key, "model", "param").agg(F.sum(ll).alias("score"))
+    concs, models = _by_context(conc.filter("model != 'ar'"), F.col("conc"))
+    own = counted.groupBy(key, "kmer").agg(*_own(alphabet)).join(concs, "kmer")
+    n = width(alphabet)
+    lls = with_marginals(own.select(key, F.concat(*[f"v{k}" for k in range(len(models))]).cast("array<double>").alias("concs"), F.array(*[f"w{i}" for i in range(n)]).alias("counts")), n, len(models))
+    return _named(lls.groupBy(key).agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(len(models))] or [F.lit(0)]), key, models)
+
+
+#: Samples of a model that are summed up side by side.
+SAMPLES = 32
 
 
 def model_samples(counted: DataFrame, conc: DataFrame, key: str, samples: int, seed: int = 0, alphabet: str = "dna") -> DataFrame:
     """(key, model, param, sample, score): scores under models drawn from the posterior; a context's draw is shared by all windows."""
     draws = drawn(conc.filter("model != 'ar'"), samples, seed)
-    each = counted.join(draws, "kmer").select(key, "model", "param", F.posexplode("logps").alias("sample", "logp"), "n", "nxt")
-    return each.groupBy(key, "model", "param", "sample").agg(F.sum(F.col("n") * _letter(F.col("logp"), alphabet)).alias("score"))
+    # a row per context, letter and SAMPLES samples, made once: windows meet it once, not once a sample
+    at = lambda i: F.transform("logps", lambda p: p[i])
+    letters = [F.struct(F.lit(x).alias("nxt"), at(i).alias("logp")) for i, x in enumerate(S.letters(alphabet))]
+    parts = F.transform(F.sequence(F.lit(0), F.lit((samples - 1) // SAMPLES)), lambda b: F.struct(b.alias("b"), F.slice("logp", b * SAMPLES + 1, F.lit(SAMPLES)).alias("logp")))
+    table = kept(draws.select("kmer", "model", "param", F.inline(F.array(*letters))).select("kmer", "nxt", "model", "param", F.inline(parts)), "draws")
+    each = counted.select(key, "kmer", "nxt", "n").join(table, ["kmer", "nxt"])
+    sums = each.groupBy(key, "model", "param", "b").agg(*[F.sum(F.col("n") * F.get("logp", F.lit(k))).alias(f"s{k}") for k in range(min(samples, SAMPLES))])
+    out = sums.select(key, "model", "param", "b", F.posexplode(F.array(*[f"s{k}" for k in range(min(samples, SAMPLES))])).alias("k", "score"))
+    return out.select(key, "model", "param", (F.col("b") * SAMPLES + F.col("k")).alias("sample"), "score").filter(F.col("sample") < samples)
