@@ -24,7 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (similarity of five-word shingles 0.8 or more) one document stays."""
+    """Of each group of near copies (SimHash fingerprints that link in op2, or a similarity of five-word shingles of 0.8 or more) one document stays."""
     return near_copies.without_near_copies(docs)
 
 

@@ -1,4 +1,7 @@
-"""Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies: texts whose SimHash fingerprints are links of op2, and texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+Fingerprints and their links are those of simhash: texts whose fingerprints differ in 2 bits or fewer are near copies, whatever their sets say. What follows finds
+the links by sets, which fingerprints so near miss; components are of both kinds of links together.
 
 Texts with equal sets are one node; sets are told apart by 128 bits of hash. Candidates come from MinHash: BANDS keys, each of ROWS minima over the set, and
 texts that share a key may be near copies. Of a pair at 0.8 the keys miss 3 in a million, of nearer pairs fewer;
@@ -28,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.llm._common import forget, hot_lookup, hot_ties, picked, row_tie, stored, text_of
-from seqloom.llm.simhash import _LOWER, SEED, stars
+from seqloom.llm.simhash import _LOWER, SEED, fingerprint, links, stars
 
 WIDTH, BANDS, ROWS = 5, 24, 4
 #: Similarity from which two texts are near copies, as a fraction.
@@ -72,12 +75,13 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def keyed_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, tie, node, check, size, keys) for every row of docs; node and check: two hashes of the whole set, 128 bits in all."""
+    """(doc_id, tie, fp, node, check, size, keys) for every row of docs; fp: the SimHash fingerprint; node and check: two hashes of the whole set, 128 bits in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, checks, sizes, keys = [], [], [], []
+            fps, nodes, checks, sizes, keys = [], [], [], [], []
             for x in b.column(2):
+                fps.append(fingerprint(x.as_py()))
                 found = shingles(x.as_py())
                 both = xxhash.xxh3_128_intdigest(found.tobytes(), SEED)
                 nodes.append(both & 0xFFFFFFFFFFFFFFFF)
@@ -86,27 +90,37 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
                 keys.append(band_keys(found))
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, checks)), pa.array(sizes, pa.int32()), lists], ["doc_id", "tie", "node", "check", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes, checks)), pa.array(sizes, pa.int32()), lists], ["doc_id", "tie", "fp", "node", "check", "size", "keys"])
 
     keyed = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), row_tie(docs).alias("tie"), text_of(docs).alias("text"))
-    return keyed.mapInArrow(run, "doc_id bigint, tie string, node bigint, check bigint, size int, keys array<bigint>")
+    return keyed.mapInArrow(run, "doc_id bigint, tie string, fp bigint, node bigint, check bigint, size int, keys array<bigint>")
+
+
+def name_of(n: int) -> Column:
+    """The 64-bit name of a set after n clashes."""
+    return F.col("node") if n == 0 else F.xxhash64("node", "check", F.lit(n))
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
-    """(node, best, size, keys): a row per distinct set of rows (doc_id, tie, node, check, size, keys), best the row that stays of it.
+    """(node, best, size, keys): as named_nodes."""
+    return named_nodes(rows)[0]
+
+
+def named_nodes(rows: DataFrame) -> tuple[DataFrame, int]:
+    """(node, best, size, keys): a row per distinct set of rows (doc_id, tie, node, check, size, keys), best the row that stays of it; and the n of name_of.
 
     Sets are told apart by node and check, 128 bits. Where different sets share a node, all sets get other 64-bit names, until no two share one.
     """
     order, n = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tie"), 0
     while True:
-        name = F.col("node") if n == 0 else F.xxhash64("node", "check", F.lit(n))
+        name = name_of(n)
         whole = F.struct("node", "check")
         each = rows.withColumn("whole", whole).groupBy(name.alias("node")).agg(
             F.min(order).alias("best"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.min("whole").alias("lo"), F.max("whole").alias("hi")
         )
         found = stored(each, "nodes")
         if found.filter("lo != hi").isEmpty():
-            return found.drop("lo", "hi")
+            return found.drop("lo", "hi"), n
         forget(found)
         n += 1
 
@@ -226,9 +240,21 @@ def _after(rows: DataFrame, *by: str) -> DataFrame:
     return rows.withColumn("o", before("node")).withColumn("so", before("size"))
 
 
+def fingerprint_links(rows: DataFrame) -> DataFrame:
+    """Edges (u, v), u > v, of the nodes that a component of fingerprints holds: each with the component's smallest."""
+    fps = stored(rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "fps")
+    star = stars(links(fps.select("fp")))
+    rooted = stored(fps.join(star, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root")), "roots")
+    of = hot_lookup(rows.select("fp", "node"), rooted, "fp", "n", rows.count()).select("node", "root").distinct()
+    of = stored(of, "rooted")
+    least = stored(of.groupBy("root").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "least")
+    return hot_lookup(of, least, "root", "n", of.count()).filter("node != v").select(F.col("node").alias("u"), "v")
+
+
 def components(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From keyed_rows: nodes (node, best), best the row that stays of it, and (fp, root) of the nodes that have a smaller one in their component."""
-    nodes = nodes_of(rows)
+    nodes, n = named_nodes(rows)
+    by_fp = stored(fingerprint_links(rows.select("fp", name_of(n).alias("node"))), "by_fingerprint")
     keyed = nodes.select("node", "size", F.explode("keys").alias("key"))
     full = stored(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     bucketed = stored(hot_lookup(keyed, full, "key", "n", nodes.count() * BANDS), "bucketed")
@@ -241,7 +267,7 @@ def components(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     tried = chain.unionByName(heads).filter("o is not null").select(*ends)
     pairs = stored(tried.filter(_sizes_fit()).select("u", "v").distinct(), "pairs")
     found = _sets(docs, nodes, pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))))
-    edges = stored(_checked(found, pairs), "alike")
+    edges = stored(_checked(found, pairs).unionByName(by_fp), "alike")
     forget(found, chain)
     star = stored(stars(edges), "stars")
 

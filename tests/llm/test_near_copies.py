@@ -101,3 +101,13 @@ def test_sets_that_share_a_node_name_stay_apart(spark):
     found = near_copies.nodes_of(spark.createDataFrame(rows, "doc_id bigint, tie string, node bigint, check bigint, size int, keys array<bigint>"))
     assert sorted((r["best"]["doc_id"], r["size"], r["keys"]) for r in found.collect()) == [(1, 3, [1, 2]), (2, 4, [3, 4]), (4, 5, [5, 6])]
     assert found.select("node").distinct().count() == 3 and set(found.columns) == {"node", "best", "size", "keys"}
+
+
+def test_fingerprint_links_count(spark):
+    """Texts whose fingerprints op2 links go, also where their sets of shingles differ: a long refrain with ends of their own."""
+    refrain = "over and under " * 200
+    rows = [(1, refrain + "first end of it all"), (2, refrain + "another way to close down"), (3, "some other text that is quite unlike the refrain")]
+    docs = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], SCHEMA)
+    a, b = (near_copies.fingerprint(t) for _, t in rows[:2])
+    assert (a ^ b).bit_count() <= 2 and not near_copies.alike(*(near_copies.shingles(t) for _, t in rows[:2]))
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [1, 3]
