@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.operators import cells, counting
+from seqloom.sources.shared import kept
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -156,9 +157,9 @@ def config(path: str) -> dict[str, dict[str, object]]:
 def numbered(df: DataFrame, size: int, by: str = "kmer") -> DataFrame:
     """Adds `batch`: rows in the order of the md5 of their key, `size` to a batch.
 
-    Rows are ranked within 4096 ranges of the md5 and the ranges' counts added up, so no task ranks all of them.
+    Rows are ranked within 4096 ranges of the md5 and the ranges' counts added up, so no task ranks all of them. They are written first, as they are read twice.
     """
-    d = df.withColumn("_m", F.md5(F.col(by))).withColumn("_r", F.substring("_m", 1, 3))
+    d = kept(df, "rows").withColumn("_m", F.md5(F.col(by))).withColumn("_r", F.substring("_m", 1, 3))
     before = d.groupBy("_r").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.sum("_n").over(W.orderBy("_r")) - F.col("_n"))
     ranked = d.withColumn("_k", F.row_number().over(W.partitionBy("_r").orderBy("_m", by)) - 1).join(F.broadcast(before), "_r")
     return ranked.withColumn("batch", F.floor((F.col("_k") + F.col("_before")) / size).cast("bigint")).drop("_m", "_r", "_n", "_before", "_k")
