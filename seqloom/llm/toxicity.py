@@ -33,9 +33,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from seqloom.llm._common import forget, scratch_path, stored
+from seqloom.llm.url_filter import BlockedBloom
 
 #: Rows of a shard of the training, about; shards are trained side by side.
 SHARD = 4096
+#: Labelled ids that the filter of training_table() is made for at most: 16 MB of bits.
+FILTERED = 1 << 23
 #: Embeddings to a row of what shards hand on, and steps of a logit's unit in which thresholds are counted.
 BLOCK, GRID = 1024, 1 << 12
 #: Labelled rows that training_rows() fetches at most, and their words in all, about; fit() has no such bound.
@@ -385,12 +388,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, word
     return [r[3] for r in got], np.array([r[2] for r in got], np.int64), np.array([r[1] for r in got], np.int64)
 
 
+def labelled(keyed: DataFrame, one: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text, toxic) of the rows (doc_id, text) that have a label in one (doc_id, toxic), and the filter's table, to be forgotten after use.
+
+    A Bloom filter of the labelled ids is broadcast, so texts without a label do not move, whatever the number of labels; its size is that for FILTERED ids at
+    most, and more ids let more rows through. What passes meets its label by an exact join.
+    """
+    bloom = BlockedBloom(one.select(F.col("doc_id").alias("key")), min(one.count(), FILTERED))
+    passed = bloom.possible(keyed.withColumnRenamed("doc_id", "key"), "broadcast").withColumnRenamed("key", "doc_id")
+    return passed.join(one.hint("merge"), "doc_id"), bloom.blocks
+
+
 def training_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(shard, toxic, held, lang, units): every row of docs with a label that is not held out, dealt to shards by a hash and in its order there."""
     one = labels.select(labels["doc_id"].cast("bigint").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).filter("toxic in (0, 1)").dropna()
     one = stored(one.filter(~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labels")
     keyed = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    joined = keyed.join(one, "doc_id").select("toxic", "text", F.xxhash64("doc_id", "text").alias("h"))
+    met, blocks = labelled(keyed, one)
+    joined = met.select("toxic", "text", F.xxhash64("doc_id", "text").alias("h"))
     n_shards = max(1, -(-keyed.select("doc_id").join(one, "doc_id").count() // SHARD))
     # of a row the shard, the fold and the place in the shard come from parts of the hash that have nothing to do with one another
     rows = joined.select(F.pmod("h", F.lit(n_shards)).cast("int").alias("shard"), "toxic", (F.pmod(F.xxhash64("h", F.lit(5)), F.lit(5)) == 0).alias("held"), F.xxhash64("h", F.lit(7)).alias("o"), "text")
@@ -412,7 +427,7 @@ def training_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
     found = dealt.mapInArrow(run, "shard int, toxic int, held boolean, lang int, units binary")
     # a file or more to a shard, which its readers take whole: the shard's number is part of the path
     found.write.option("compression", "zstd").partitionBy("shard").parquet(path)
-    forget(one)
+    forget(one, blocks)
     out = docs.sparkSession.read.schema(found.schema).parquet(path)
     out._scratch = path
     return out

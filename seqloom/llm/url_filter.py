@@ -99,11 +99,11 @@ class BlockedBloom:
         out[found.column("block").to_numpy()] = np.stack([found.column(f"w{k}").to_numpy() for k in range(WORDS)], axis=1)
         return out
 
-    def possible(self, keys: DataFrame) -> DataFrame:
-        """The rows of keys (key, ...), one per key, whose bits are all set, by a join with the blocks."""
+    def possible(self, keys: DataFrame, hint: str = "shuffle_hash") -> DataFrame:
+        """The rows of keys (key, ...) whose bits are all set, by a join with the blocks."""
         at, bits = _hashes(F.col("key"))
         each = keys.withColumn("_block", F.pmod(at, F.lit(self.n))).withColumn("_bits", bits)
-        met = each.join(self.blocks.withColumnRenamed("block", "_block").hint("shuffle_hash"), "_block")
+        met = each.join(self.blocks.withColumnRenamed("block", "_block").hint(hint), "_block")
         place = lambda k: F.call_function("shiftrightunsigned", F.col("_bits"), F.lit(6 * k)).bitwiseAND(F.lit(63)).cast("int")
         for k in range(WORDS):
             met = met.filter(F.call_function("shiftright", F.col(f"w{k}"), place(k)).bitwiseAND(F.lit(1).cast("bigint")) == 1)

@@ -17,3 +17,17 @@ def test_every_labelled_row_trains(spark):
     assert toxicity.training_table(table, labels).count() == len(rows) + 1
     model = toxicity.fit(table, labels)
     assert model.score("the scum of w5") >= 0.5 and model.score("the vermin of w5") >= 0.5 and model.score("the fine of w5") < 0.5
+
+
+def test_texts_without_a_label_do_not_move(spark):
+    """Labels by far too many to be broadcast: texts still meet a filter of the ids before they move, and rows with a label all come through."""
+    docs = spark.range(20000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 7).cast("string")).alias("text"))
+    docs = docs.unionByName(docs.filter("doc_id < 30")).unionByName(spark.createDataFrame([(None, "no id")], "doc_id bigint, text string"))
+    one = spark.range(0, 20000, 10).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    met, _ = toxicity.labelled(docs, one)
+    assert sorted(r["doc_id"] for r in met.collect()) == sorted([*range(0, 20000, 10), 0, 10, 20])
+    tree = met._jdf.queryExecution().executedPlan().toString().splitlines()
+    at = next(k for k, x in enumerate(tree) if "SortMergeJoin" in x)
+    moved = next(k for k, x in enumerate(tree[at:]) if "Exchange hashpartitioning" in x)
+    assert any("BroadcastHashJoin" in x for x in tree[at + moved :]) and not any("BroadcastHashJoin" in x for x in tree[:at])
+    assert toxicity.labelled(docs, one.limit(0))[0].count() == 0
