@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,12 +156,39 @@ def model_scores(counted: DataFrame, conc: DataFrame, key: str, alphabet: str =
     return _named(each.groupBy(key).agg(*[F.sum(F.col("n") * F.col(f"v{k}")).alias(f"s{k}") for k in range(len(models))] or [F.lit(0)]), key, models)
 
 
+#: Contexts of a table of concentrations that tasks carry whole.
+CARRIED = 4096
+
+
+def carried_marginals(own: DataFrame, concs: DataFrame, key: str, n: int, models: int) -> DataFrame:
+    """(key, s0..) of rows (key, kmer, w0..): with_marginals beside few contexts (kmer, v0..), which go to the tasks whole, so rows carry counts alone."""
+    there = concs.collect()
+    shared = own.sparkSession.sparkContext.broadcast(([r["kmer"] for r in there], np.array([[r[f"v{k}"] for k in range(models)] for r in there], np.float64).reshape(-1, models, n)))
+    rows = own.select(key, "kmer", *[f"w{i}" for i in range(n)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, table = pa.array(shared.value[0], pa.string()), shared.value[1]
+        for whole in batches:
+            at = pc.index_in(whole.column(1), names)
+            b, at = whole.filter(at.is_valid()), at.drop_null().to_numpy()
+            own = np.stack([b.column(2 + i).to_numpy() for i in range(n)], axis=1).astype(np.float64)[:, None]
+            ll = N.rising_of(table[at], own).sum(axis=2) - N.rising_of(table.sum(axis=2)[at], own.sum(axis=2))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(ll[:, k]) for k in range(models))], [key, *(f"s{k}" for k in range(models))])
+
+    return rows.mapInArrow(run, f"`{key}` {rows.dtypes[0][1]}, " + ", ".join(f"s{k} double" for k in range(models)))
+
+
 def model_marginals(counted: DataFrame, conc: DataFrame, key: str, alphabet: str = "dna") -> DataFrame:
-    """(key, model, param, score): log marginal likelihood of the windows, those of one context sharing their distribution."""
+    """(key, model, param, score): log marginal likelihood of the windows (key, kmer, nxt, n), those of one context sharing their distribution.
+    counted may also have a row per key and context, (key, kmer, w0..)."""
     concs, models = _by_context(conc.filter("model != 'ar'"), F.col("conc"))
-    own = counted.groupBy(key, "kmer").agg(*_own(alphabet)).join(concs, "kmer")
+    own = counted if "w0" in counted.columns else counted.groupBy(key, "kmer").agg(*_own(alphabet))
     n = width(alphabet)
-    lls = with_marginals(own.select(key, F.concat(*[f"v{k}" for k in range(len(models))]).cast("array<double>").alias("concs"), F.array(*[f"w{i}" for i in range(n)]).alias("counts")), n, len(models))
+    if models and concs.limit(CARRIED + 1).count() <= CARRIED:
+        lls = carried_marginals(own, concs, key, n, len(models))
+    else:
+        own = own.join(concs, "kmer")
+        lls = with_marginals(own.select(key, F.concat(*[f"v{k}" for k in range(len(models))]).cast("array<double>").alias("concs"), F.array(*[f"w{i}" for i in range(n)]).alias("counts")), n, len(models))
     return _named(lls.groupBy(key).agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(len(models))] or [F.lit(0)]), key, models)
 
 
