@@ -49,12 +49,14 @@ class KmerStore:
 
     @classmethod
     def write(cls, table: DataFrame, path: str, lag: int, alphabet: str = "dna", n_rows: int | None = None) -> KmerStore:
-        """Make the store of a count table in either form, one row per context, over what the folder had. One shuffle."""
+        """Make the store of a count table in either form, one row per context, over what the folder had. The table may have the contexts' keys for them.
+        n_rows: how many rows it has, at most. One shuffle."""
         spark, of = table.sparkSession, cells.groups(table)
         n_rows = table.count() if n_rows is None else n_rows
         buckets = max(2 ** min(14, max(0, math.ceil(math.log2(max(1, n_rows) / PER_BUCKET)))), int(spark.conf.get("spark.sql.shuffle.partitions")))
         unfit = F.raise_error(F.concat(F.lit("a context that has no key: "), F.col("kmer"))).cast("bigint")
-        rows = table.select(F.coalesce(packed_key(F.col("kmer"), alphabet), unfit).alias("key"), *[cells.counts(table, g).alias(f"g{g}") for g in of])
+        key = F.col("key") if "key" in table.columns else F.coalesce(packed_key(F.col("kmer"), alphabet), unfit)
+        rows = table.select(key.alias("key"), *[cells.counts(table, g).alias(f"g{g}") for g in of])
         name = "kmers_" + hashlib.md5(path.encode()).hexdigest()
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         # the description goes last: a folder whose cells are not whole has none
